@@ -13,12 +13,14 @@ length is spread over many tasks.
 
 from __future__ import annotations
 
+import re
+import struct
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from findmill.llm.common import arrow_map, read_table, written
 SEQUENCE = 4096
 END_ID = 2
 BUCKETS = 64
-CACHE_WORDS = 200_000
+CACHE_WORDS = 250_000
 
 
 @lru_cache(maxsize=2)
@@ -39,39 +41,76 @@ def _tokenizer(path: str):
     return made
 
 
+#: The vocabulary's split pattern, written out for Latin words (white space there can only be
+#: U+0085 and U+00A0) and for words of lower-case ASCII.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x85\xa0\p{L}\p{N}]+")
+_SPLIT_ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Below this character every text is in composed form already and lower-cased character by character.
+_LATIN_END = "\u0250"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Recent(dict):
+    """A bounded cache: when it is full it becomes the old generation, from which hits are taken over."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordIds:
-    """Ids of texts, as little-endian unsigned 32-bit bytes, from a bounded cache of words.
+    """Ids of texts, as little-endian unsigned 32-bit bytes, from bounded caches of words.
 
     The vocabulary normalises character by character, and no match of its pattern spans white space; so
     the ids of a text are the ids of its words (maximal runs without ASCII white space) in their order.
+    A new word of Latin letters is split here and only its parts go to the library's merges; any other
+    new word goes through the whole library.
     """
 
-    def __init__(self, path: str, words: int = CACHE_WORDS):
-        self.path, self.most, self.known = path, words, {}
-
-    def learn(self, missing: list[bytes]) -> None:
-        if len(self.known) + len(missing) > self.most:
-            self.known.clear()
-        encoded = _tokenizer(self.path).encode_batch_fast(
-            [w.decode("utf-8", "replace") for w in missing], add_special_tokens=False
-        )
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(missing, encoded))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        seen = set(chain.from_iterable(words))
-        known = self.known
-        if missing := [w for w in seen if w not in known]:
-            self.learn(missing)
-            # The cache may have been emptied to make room.
-            if len(known) < len(seen) and (again := [w for w in seen if w not in known]):
-                self.learn_more(again)
-        return [b"".join(map(known.__getitem__, w)) for w in words]
-
-    def learn_more(self, missing: list[bytes]) -> None:
-        most, self.most = self.most, len(self.known) + len(missing)
-        self.learn(missing)
-        self.most = most
+    def __init__(self, path: str, most: int = CACHE_WORDS):
+        self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.parts = Recent(self._part, most)
+        self.words = Recent(self._word, most)
+
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: bytes) -> bytes:
+        given = word.decode("utf-8", "replace")
+        lower = given.lower()
+        if max(lower) >= _LATIN_END:
+            ids = self.tokenizer.encode(given, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        if lower.isalpha():
+            return self.parts[lower]
+        if lower[-1] in ",." and lower[:-1].isalpha():
+            return self.parts[lower[:-1]] + self.parts[lower[-1]]
+        split = (_SPLIT_ASCII if lower.isascii() else _SPLIT).findall(lower)
+        return b"".join([self.parts[x] for x in split])
+
+    def encode(self, text: bytes) -> bytes:
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
@@ -90,18 +129,16 @@ def pieces(
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         end = np.array([end_id], "<u4").tobytes()
-        texts = [v.as_py() for v in batch.column(1)]
         row, start, length, ids, total = [], [], [], [], []
-        for a in range(0, len(texts), 500):
-            for i, found in enumerate(_words(vocabulary).encode(texts[a : a + 500]), a):
-                found += end
-                n = len(found) // 4
-                for at in range(0, n, size):
-                    row.append(i)
-                    start.append(at)
-                    length.append(min(size, n - at))
-                    ids.append(found[4 * at : 4 * (at + size)])
-                    total.append(n)
+        for i, value in enumerate(batch.column(1)):
+            found = _words(vocabulary).encode(value.as_py()) + end
+            n = len(found) // 4
+            for at in range(0, n, size):
+                row.append(i)
+                start.append(at)
+                length.append(min(size, n - at))
+                ids.append(found[4 * at : 4 * (at + size)])
+                total.append(n)
         columns = [pa.array(x, pa.int64()) for x in (start, length)] + [pa.array(ids, pa.binary()), pa.array(total, pa.int64())]
         names = [id_col, "start", "length", "ids", "doc_tokens"]
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), *columns], names)
