@@ -91,7 +91,7 @@ class WordIds:
         self.words = Recent(self._word, most)
 
     def _part(self, part: str) -> bytes:
-        if not part.isascii():
+        if not (part.isascii() and part.isprintable()):
             part = part.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.model.tokenize(part)]
         return struct.pack(f"<{len(ids)}I", *ids)
