@@ -70,13 +70,11 @@ def encode_text(codec: tiktoken.Encoding, text: str, size: int = SLICE) -> list[
     return ids
 
 
-def _column_of_ids(found: list[list[int]]) -> pa.Array:
+def _column_of_ids(found: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(found) + 1, np.int64)
     np.cumsum([len(x) for x in found], out=offsets[1:])
-    flat = np.fromiter((i for ids in found for i in ids), np.int32, offsets[-1])
-    if offsets[-1] < 2**31 - 1:
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
-    return pa.array(found, pa.list_(pa.int32()))
+    flat = np.concatenate(found) if found else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
 
 
 def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -90,7 +88,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = encoding(rank_file, pattern)
-        ids = _column_of_ids([encode_text(codec, t.as_py()) for t in batch.column(len(keep))])
+        ids = _column_of_ids([np.array(encode_text(codec, t.as_py()), np.int32) for t in batch.column(len(keep))])
         return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], [*keep, ids_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep)

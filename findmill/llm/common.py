@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SLICE_ROWS = 1000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir``, read by Spark (the path may be in any store)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,12 +64,12 @@ def utf8(text: Column) -> Column:
 def arrow_map(
     df: DataFrame, schema: str, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None]
 ) -> DataFrame:
-    """Apply a function of one Arrow batch to every batch; each task holds one batch at a time."""
+    """Apply a function of one Arrow batch to slices of every batch; a task holds what one slice makes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = per_batch(batch)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                out = per_batch(batch.slice(at, SLICE_ROWS))
                 if out is not None and out.num_rows:
                     yield out
 
