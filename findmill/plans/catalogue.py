@@ -1,6 +1,413 @@
-"""Named queries over the test tables, each with its equivalent in SQL."""
+"""Named queries over the test tables: each runs the library's operators and has its equivalent in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from findmill.functions import text as X
+from findmill.functions.recover import recovered_json
+from findmill.functions.rules import MODELS, SOFT_TERMS
+from findmill.operators import chunks as C
+from findmill.operators import findings as D
+from findmill.operators import inference as I
+from findmill.operators import report as R
+from findmill.operators import rollup as A
+from findmill.sources.tree import newest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as source files."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("."), "lang").alias("file"), F.col("text").alias("content"))
+
+
+SEVERITY_SQL = """CASE WHEN lower({0}) LIKE '%crit%' THEN 'Critical' WHEN lower({0}) LIKE '%high%' THEN 'High'
+ WHEN lower({0}) LIKE '%med%' THEN 'Medium' ELSE 'Low' END"""
+ORDER_SEVERITY = SEVERITY_SQL.format("replace(o_orderpriority, 'URGENT', 'CRITICAL')")
+SOFT_SQL = " OR ".join(f"contains(lower({{0}}), '{t}')" for t in SOFT_TERMS)
+CHUNK_SQL = """SELECT doc_id, source || '.' || lang AS file, CAST(i AS INTEGER) AS chunk_idx,
+ CAST(ceil(length(text) / 500.0) AS INTEGER) AS n_chunks, substr(text, CAST(i * 500 + 1 AS BIGINT), 1000) AS chunk
+ FROM (SELECT *, unnest(range(CAST(ceil(length(text) / 500.0) AS BIGINT))) AS i FROM documents WHERE regexp_matches(text, '\\S'))"""
+RANK_SQL = "CASE {0} WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END"
+
+
+def order_severity() -> F.Column:
+    return X.severity(F.replace("o_orderpriority", F.lit("URGENT"), F.lit("CRITICAL")))
+
+
+@query(f"""
+WITH c AS ({CHUNK_SQL}), s AS (
+ SELECT *, CASE doc_id % 4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS severity,
+ CASE WHEN {SOFT_SQL.format('chunk')} THEN 85.0 ELSE 100.0 END - CASE WHEN chunk_idx = 0 THEN 10.0 ELSE 0.0 END AS base FROM c),
+ r AS (SELECT *, (base + (doc_id * 7 + chunk_idx * 13) % 101) / 2 AS confidence FROM s),
+ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, chunk_idx) AS n FROM r WHERE confidence >= 20)
+SELECT file, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'High') AS high,
+ count(*) FILTER (severity = 'Medium') AS medium, count(*) FILTER (severity = 'Low') AS low,
+ CAST(floor(sum(CAST(confidence * 2 AS BIGINT)) * 50 / count(*)) AS BIGINT) AS confidence_x100,
+ CAST(100 - 20 * count(*) FILTER (severity = 'Critical') - 10 * count(*) FILTER (severity = 'High') AS BIGINT) AS score
+FROM k WHERE n <= 6 GROUP BY file""")
+def audit_rollup(spark, sf_dir):
+    """Flagship: chunks, confidence of each, the best six of a document, counts and score by file."""
+    cut = C.chunks(files_of(spark, sf_dir), 1000)
+    number = (F.col("doc_id") * 7 + F.col("chunk_idx") * 13) % 101
+    scored = cut.select(
+        "doc_id", "file", F.lit(0).alias("_"), F.col("chunk_idx").alias("response_pos"),
+        F.element_at(F.array(*map(F.lit, ("Critical", "High", "Medium", "Low"))), (F.col("doc_id") % 4 + 1).cast("int")).alias("severity"),
+        D.confidence(F.col("chunk"), F.lit(1.0), F.col("chunk_idx").cast("string"), number.cast("double"), F.lit(0)).alias("confidence"),
+    )
+    best = D.select_findings(
+        scored.withColumn("_s", F.col("severity")).withColumn("severity", F.lit("High")), "deep", ("doc_id",)
+    ).withColumn("severity", F.col("_s"))
+    made = best.groupBy("file").agg(
+        *A.severity_counts(F.col("severity")),
+        F.floor(F.sum((F.col("confidence") * 2).cast("long")) * 50 / F.count("*")).alias("confidence_x100"),
+    )
+    return made.withColumn("score", A.score(F.col("critical"), F.col("high")))
+
+
+@query(f"SELECT doc_id, chunk_idx, n_chunks, CAST(length(chunk) AS INTEGER) AS chunk_len, file FROM ({CHUNK_SQL})")
+def chunk_overlap(spark, sf_dir):
+    return C.chunks(files_of(spark, sf_dir), 1000).select("doc_id", "chunk_idx", "n_chunks", F.length("chunk").alias("chunk_len"), "file")
+
+
+@query("""SELECT doc_id, CAST(CASE WHEN length(text) < 4000 THEN 1 ELSE ceil(length(text) / 3500.0) END AS BIGINT) AS n
+FROM documents WHERE regexp_matches(text, '\\S')""")
+def chunk_whole_file(spark, sf_dir):
+    return C.chunks(files_of(spark, sf_dir), 4000, whole_file=True).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT doc_id, chunk_idx, CAST(17 + length(file) + length(chunk) AS INTEGER) AS prompt_len,
+ CAST(180 + 10 * ((17 + length(file) + length(chunk)) // 10000) AS INTEGER) AS timeout FROM ({CHUNK_SQL})""")
+def prompt_build(spark, sf_dir):
+    made = C.prompts(C.chunks(files_of(spark, sf_dir), 1000), ("File: ", "\n---\n", "\n---"), "\n")
+    prompt = F.col("prompt")
+    return made.select("doc_id", "chunk_idx", F.length(prompt).alias("prompt_len"), X.timeout_seconds(180, prompt).alias("timeout"))
+
+
+@query("""WITH d AS (SELECT doc_id, string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS l FROM documents),
+ n AS (SELECT doc_id, l, CAST(doc_id % len(l) + 1 AS BIGINT) AS line FROM d),
+ x AS (SELECT doc_id, line, l, unnest(range(greatest(1, line - 5), least(len(l), line + 5) + 1)) AS i FROM n)
+SELECT doc_id, line, string_agg(CASE WHEN i = line THEN '>> ' ELSE '   ' END || i || ': ' || l[i], chr(10) ORDER BY i) AS context
+FROM x GROUP BY doc_id, line""")
+def line_context(spark, sf_dir):
+    docs = files_of(spark, sf_dir)
+    body = F.when(F.col("content").endswith("\n"), F.expr("left(content, length(content) - 1)")).otherwise(F.col("content"))
+    line = (F.col("doc_id") % F.size(F.split(body, "\n")) + 1).cast("long")
+    return docs.select("doc_id", line.alias("line"), "content").select("doc_id", "line", C.context(F.col("content"), F.col("line")).alias("context"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents WHERE regexp_matches(text, '\\S') GROUP BY lang")
+def blank_filter(spark, sf_dir):
+    return files_of(spark, sf_dir).where(X.has_text(F.col("content"))).groupBy(F.substring_index("file", ".", -1).alias("lang")).count().withColumnRenamed("count", "n")
+
+
+@query("""SELECT page_id, regexp_extract(string_split(url, '/')[-1], '^\\.*[^.].*\\.([^.]*)$', 1) AS ext,
+ string_split(url, '/')[-1] AS base FROM pages WHERE (url LIKE '%.html' OR url LIKE '%#top') AND NOT list_contains(string_split(url, '/'), 'fr')""")
+def suffix_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    wanted = F.col("url").endswith(".html") | F.col("url").endswith("#top")
+    base = X.basename(F.col("url"))
+    return pages.where(wanted & ~F.array_contains(F.split("url", "/"), "fr")).select("page_id", X.extension(base).alias("ext"), base.alias("base"))
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k, coalesce(json_extract_string(props, '$.title'), 'Unknown') AS title FROM events")
+def json_extract(spark, sf_dir):
+    props = F.try_parse_json("props")
+    get = lambda path, other: F.coalesce(F.try_variant_get(props, path, "string"), F.lit(other))
+    return table(spark, sf_dir, "events").select("event_id", get("$.k", "none").alias("k"), get("$.title", "Unknown").alias("title"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events""")
+def json_recover(spark, sf_dir):
+    """The props wrapped in prose, a list or a fence, or made unreadable."""
+    kind, props = F.col("event_id") % 5, F.col("props")
+    wrapped = (
+        F.when(kind == 0, props).when(kind == 1, F.concat(F.lit("Answer: "), props, F.lit(" as asked")))
+        .when(kind == 2, F.concat(F.lit("x ["), props, F.lit("] y"))).when(kind == 3, F.concat(F.lit("```json\n"), props, F.lit("\n```")))
+        .otherwise(F.concat(props, F.lit(" and "), props))
+    )
+    found = F.parse_json(recovered_json(wrapped))
+    k = F.coalesce(F.try_variant_get(found, "$.k", "bigint"), F.try_variant_get(found, "$[0].k", "bigint"))
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"))
+
+
+@query(f"SELECT {ORDER_SEVERITY} AS severity, count(*) AS n FROM orders GROUP BY 1")
+def severity_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(order_severity().alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey AS key, nullif(TRY_CAST(regexp_replace(p_brand, '[^0-9]', '', 'g') AS BIGINT), 0) AS line FROM part
+UNION ALL SELECT page_id, nullif(TRY_CAST(regexp_replace(url, '[^0-9]', '', 'g') AS BIGINT), 0) FROM pages""")
+def digits_line(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), X.digits(F.col("p_brand")).alias("line"))
+    return part.unionAll(table(spark, sf_dir, "pages").select("page_id", X.digits(F.col("url"))))
+
+
+@query(f"""WITH d AS (SELECT d.doc_id, text, quality, CASE WHEN d.doc_id % 9 = 0 THEN 'It SEEMS that ' || text ELSE text END AS t FROM documents d LEFT JOIN labels USING (doc_id))
+SELECT doc_id, CAST(round(greatest(0.0, least(100.0, (100.0 - CASE WHEN {SOFT_SQL.format('t')} THEN 15.0 ELSE 0.0 END)
+ * (0.7 + 0.3 * ((3 + CAST(quality IS NOT NULL AS INTEGER) + CAST(doc_id % 7 <> 0 AS INTEGER)) / 5.0)) - CASE WHEN doc_id % 7 = 0 THEN 10.0 ELSE 0.0 END)) * 100) AS BIGINT) AS confidence_x100 FROM d""")
+def confidence_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    line = F.col("doc_id") % 7
+    text = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("It SEEMS that "), "text")).otherwise(F.col("text"))
+    complete = (3 + F.col("quality").isNotNull().cast("int") + (line != 0).cast("int")) / F.lit(5.0)
+    made = D.confidence(text, complete, line.cast("string"), F.lit(None).cast("double"), F.lit(0))
+    return docs.select("doc_id", F.round(made * 100).cast("long").alias("confidence_x100"))
+
+
+@query("""SELECT p_partkey, CAST(CASE p_size % 3 WHEN 0 THEN CAST(contains(upper(p_type), 'XSS') AS INTEGER) + CAST(contains(upper(p_type), 'SQLI') AS INTEGER)
+ WHEN 1 THEN CAST(contains(upper(p_type) || '|' || upper(p_name || ' resource'), 'RCE') AS INTEGER) + CAST(contains(upper(p_name), 'SQLI') OR contains(upper(p_type), 'SQLI') AS INTEGER) ELSE 0 END AS INTEGER) AS blocked FROM part""")
+def type_blocklist(spark, sf_dir):
+    ext = F.element_at(F.array(*map(F.lit, ("yml", "svg", "py"))), F.col("p_size") % 3 + 1)
+    title = F.concat("p_name", F.when(F.col("p_size") % 3 == 1, " resource").otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", X.blocked_terms(ext, F.col("p_type"), title).alias("blocked"))
+
+
+@query(f"SELECT o_orderkey, {ORDER_SEVERITY} AS severity FROM orders WHERE {ORDER_SEVERITY} IN ('Critical', 'High')")
+def severity_filter(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", order_severity().alias("severity")).where(F.col("severity").isin("Critical", "High"))
+
+
+@query("SELECT event_id, value FROM events WHERE round(value, 2) >= 20")
+def confidence_filter(spark, sf_dir):
+    return table(spark, sf_dir, "events").where(F.round("value", 2) >= 20).select("event_id", "value")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER
+ (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n <= 3""")
+def topk_per_group(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber", "l_partkey", "l_suppkey")
+    ranked = table(spark, sf_dir, "lineitem").withColumn("rank", F.row_number().over(order))
+    return ranked.where("rank <= 3").select("l_orderkey", "l_linenumber", "rank")
+
+
+@query("SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey, o_orderkey) AS id FROM orders")
+def assign_ids(spark, sf_dir):
+    return D.assign_ids(table(spark, sf_dir, "orders"), ("o_orderstatus",), ("o_custkey", "o_orderkey")).select("o_orderkey", "o_orderstatus", "id")
+
+
+_COUNTS_SQL = ", ".join(f"count(*) FILTER (s = '{s}') AS {s.lower()}" for s in ("Critical", "High", "Medium", "Low"))
+_SCORE_SQL = "CAST(100 - 20 * count(*) FILTER (s = 'Critical') - 10 * count(*) FILTER (s = 'High') AS BIGINT) AS score"
+
+
+@query(f"SELECT o_custkey, {_COUNTS_SQL} FROM (SELECT *, {ORDER_SEVERITY} AS s FROM orders) GROUP BY o_custkey")
+def severity_counts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(*A.severity_counts(order_severity()))
+
+
+@query(f"SELECT o_custkey, {_SCORE_SQL} FROM (SELECT *, {ORDER_SEVERITY} AS s FROM orders) GROUP BY o_custkey")
+def run_score(spark, sf_dir):
+    counted = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(*A.severity_counts(order_severity()))
+    return counted.select("o_custkey", A.score(F.col("critical"), F.col("high")).alias("score"))
+
+
+@query("""SELECT event_type, CAST(floor(sum(CAST(round(value * 100) AS BIGINT)) / count(*)) AS BIGINT) AS mean_x100, 0.0::DOUBLE AS empty FROM events GROUP BY event_type""")
+def mean_confidence(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    cents = F.round(F.col("value") * 100).cast("long")
+    empty = events.where("event_id < 0").agg(A.mean_confidence(F.col("value")).alias("empty"))
+    made = events.groupBy("event_type").agg(F.floor(F.sum(cents) / F.count("*")).alias("mean_x100"))
+    return made.join(F.broadcast(empty), how="cross")  # one row
+
+
+@query(f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (s = 'Critical') AS critical, count(*) FILTER (s = 'High') AS high,
+ count(*) FILTER (s = 'Medium') AS medium, count(*) FILTER (s = 'Low') AS low, count(DISTINCT user_id) AS files, {_SCORE_SQL}
+FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS s FROM events) GROUP BY 1""")
+def run_summary(spark, sf_dir):
+    names = F.array(*map(F.lit, ("Critical", "High", "Medium", "Low")))
+    rows = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id", F.element_at(names, (F.col("event_id") % 4 + 1).cast("int")).alias("severity"))
+    made = rows.groupBy("day").agg(*A.severity_counts(F.col("severity")), F.count_distinct("user_id").alias("files"))
+    return made.withColumn("score", A.score(F.col("critical"), F.col("high")))
+
+
+@query("SELECT count(*) FILTER (event_type = 'purchase') AS successful_analyses, count(*) FILTER (event_type <> 'purchase') AS failed_analyses FROM events")
+def call_counters(spark, sf_dir):
+    status = F.when(F.col("event_type") == "purchase", "ok").otherwise("failed")
+    return A.call_counters(table(spark, sf_dir, "events").select(status.alias("status")))
+
+
+@query("SELECT event_type, min(event_id) AS first_id FROM events GROUP BY event_type")
+def distinct_first_seen(spark, sf_dir):
+    return A.first_seen(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'token = ') OR contains(lower(source), 'token = ') OR (doc_id <> 0 AND contains(CAST(doc_id AS VARCHAR), 'token = '))")
+def search_text(spark, sf_dir):
+    return A.search(table(spark, sf_dir, "documents"), "TOKEN = ", ("text", "source"), "doc_id").select("doc_id")
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE lang IN ('de', 'fr') AND source IN ('src1', 'src2', 'src3')")
+def facet_filter(spark, sf_dir):
+    return A.facets(table(spark, sf_dir, "documents"), lang=("de", "fr"), source=("src1", "src2", "src3")).select("doc_id", "lang", "source")
+
+
+@query("""SELECT doc_id, lang, count(*) OVER () AS shown, (SELECT count(*) FROM documents) AS total FROM documents WHERE contains(lower(text), 'token') AND lang IN ('en', 'de')""")
+def search_and_facets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    hits = A.facets(A.search(docs, "Token", ("text",), None), lang=("en", "de")).select("doc_id", "lang")
+    counts = hits.agg(F.count("*").alias("shown")).join(docs.agg(F.count("*").alias("total")))
+    return hits.join(F.broadcast(counts), how="cross")  # one row
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 7")
+def point_lookup(spark, sf_dir):
+    return table(spark, sf_dir, "orders").where("o_orderkey = 7").orderBy("o_orderkey").limit(1).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT source AS file, min(doc_id) AS doc_id FROM documents WHERE source = 'src5' GROUP BY source")
+def file_lookup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), "doc_id")
+    return docs.where(F.col("file") == "src5").orderBy("doc_id").limit(1)
+
+
+@query(f"SELECT o_orderkey, severity, CAST(rk AS INTEGER) AS rank FROM (SELECT o_orderkey, severity, {RANK_SQL.format('severity')} AS rk FROM (SELECT *, {ORDER_SEVERITY} AS severity FROM orders)) ORDER BY rk DESC, o_orderkey LIMIT 5")
+def top5_priority(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", order_severity().alias("severity"))
+    return A.top_priority(orders, 5, key="o_orderkey").withColumn("rank", X.severity_rank(F.col("severity")))
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS date FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+def history_top50(spark, sf_dir):
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("date"))
+    return newest(runs)
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 501")
+def ring_tail(spark, sf_dir):
+    return A.tail(table(spark, sf_dir, "events"), "event_id").select("event_id", "event_type")
+
+
+@query("""WITH t AS (SELECT max(event_id) + 1 AS n FROM events) SELECT event_id, CAST(floor((event_id + 1) * 100 / n) AS BIGINT) AS pct,
+ CAST(floor(CAST(120.0 AS DOUBLE) / (event_id + 1) * (n - event_id - 1)) AS BIGINT) AS eta FROM events, t""")
+def progress_eta(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id")
+    total = events.agg((F.max("event_id") + 1).alias("n"))
+    done = F.col("event_id") + 1
+    return events.join(F.broadcast(total), how="cross").select(  # one row
+        "event_id", A.progress(done, F.col("n")).alias("pct"), A.eta_seconds(F.lit(120.0), done, F.col("n")).alias("eta")
+    )
+
+
+@query("""SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 240 WHEN 'BUILDING' THEN 150 ELSE 180 END AS timeout,
+ CASE c_mktsegment WHEN 'MACHINERY' THEN 'high' WHEN 'BUILDING' THEN 'low' ELSE 'medium' END AS latency FROM customer""")
+def dim_lookup_default(spark, sf_dir):
+    names = {"deepseek-coder:6.7b": "MACHINERY", "qwen2.5-coder:14b": "_default", "qwen2.5-coder:32b": "BUILDING"}
+    rows = [(names[k], m.timeout, m.latency) for k, m in MODELS.items()]
+    models = spark.createDataFrame(rows, "c_mktsegment string, timeout int, latency string")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return A.with_default(customers, F.broadcast(models), "c_mktsegment", "_default").drop("c_mktsegment")
+
+
+@query(f"""SELECT o_orderkey, CASE s WHEN 'Critical' THEN '2-4h' WHEN 'High' THEN '1-2h' WHEN 'Medium' THEN '30min-1h' ELSE '15-30min' END AS fix_time,
+ CASE s WHEN 'Critical' THEN CASE o_orderstatus WHEN 'F' THEN 'production compromise' WHEN 'O' THEN 'data breach' ELSE 'high risk' END WHEN 'High' THEN 'compromised' WHEN 'Medium' THEN 'moderate' ELSE 'improvement' END AS impact,
+ CASE s WHEN 'Critical' THEN 'red' WHEN 'High' THEN 'orange' ELSE 'blue' END AS colour FROM (SELECT *, {ORDER_SEVERITY} AS s FROM orders)""")
+def enrich_impact(spark, sf_dir):
+    status = F.col("o_orderstatus")
+    kind = F.when(status == "F", "Remote RCE").when(status == "O", "SQL injection").otherwise("Other")
+    sev = F.col("severity")
+    return table(spark, sf_dir, "orders").withColumn("severity", order_severity()).select(
+        "o_orderkey", X.fix_time(sev).alias("fix_time"), X.impact(sev, kind).alias("impact"), X.report_colour(sev).alias("colour")
+    )
+
+
+@query("SELECT 'documents' AS origin, doc_id AS id, lang FROM documents UNION ALL SELECT 'pages', page_id, NULL FROM pages")
+def bag_union(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "lang")
+    pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"))
+    return docs.unionByName(pages, allowMissingColumns=True)
+
+
+@query("SELECT o_orderkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders")
+def json_export(spark, sf_dir):
+    """Rows written as JSON and parsed again."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    back = F.from_json("json", "o_orderkey bigint, o_orderstatus string, cents bigint")
+    return R.json_rows(orders).select(back.alias("x")).select("x.*")
+
+
+@query(f"""SELECT o_orderkey, '<div class="finding" style="border-color:' || CASE s WHEN 'Critical' THEN 'red' WHEN 'High' THEN 'orange' ELSE 'blue' END || '"><h3>&lt;' || o_orderpriority || '&gt;</h3><p>' || s
+ || ' <b style="color:' || CASE WHEN o_orderkey % 101 >= 70 THEN 'green' WHEN o_orderkey % 101 >= 40 THEN 'orange' ELSE 'red' END || '">' || (o_orderkey % 101) || '.00</b></p><p>Status: ' || o_orderstatus || '</p></div>' AS html
+FROM (SELECT *, {ORDER_SEVERITY} AS s FROM orders)""")
+def html_fragment(spark, sf_dir):
+    title = F.concat(F.lit("<"), "o_orderpriority", F.lit(">"))
+    made = R.html_fragment(title, order_severity(), (F.col("o_orderkey") % 101).cast("double"), Status=F.col("o_orderstatus"), CVE=F.lit(""))
+    return table(spark, sf_dir, "orders").select("o_orderkey", made.alias("html"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9_.-]', '_', 'g') AS name FROM pages")
+def sanitise_name(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.safe_name(F.col("url")).alias("name"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp, strftime(ts, '%H:%M:%S') AS clock, strftime(ts, '%d/%m/%Y %H:%M') AS shown,
+ coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END, ''), 'N/A') AS kind FROM events""")
+def ts_format(spark, sf_dir):
+    ts = F.col("ts")
+    kind = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.date_format(ts, "yyyyMMdd_HHmmss").alias("stamp"), F.date_format(ts, "HH:mm:ss").alias("clock"),
+        F.date_format(ts, "dd/MM/yyyy HH:mm").alias("shown"), X.or_else(kind, "N/A").alias("kind"),
+    )
+
+
+@query("SELECT source, string_agg(lang, ', ' ORDER BY lang) AS langs FROM (SELECT DISTINCT source, lang FROM documents) GROUP BY source")
+def array_join(spark, sf_dir):
+    langs = F.array_join(F.array_sort(F.collect_set("lang")), ", ")  # a handful of languages
+    return table(spark, sf_dir, "documents").groupBy("source").agg(langs.alias("langs"))
+
+
+@query()
+def patch_diff(spark, sf_dir):
+    """Rows only: a unified diff for one line of each document."""
+    made = files_of(spark, sf_dir).withColumn("line", (F.col("doc_id") % 3 + 1).cast("long")).withColumn("fix", F.lit("fixed line"))
+    return made.select("doc_id", R.patch("file", "content", "line", "fix").alias("p")).select("doc_id", "p.*")
+
+
+def _stub(prompt: str) -> str:
+    n = len(prompt)
+    return f'[{{"title": "t{n % 7}", "severity": "{("high", "critical", "low")[n % 3]}", "line": {n % 50}, "description": "d", "fix": "f", "confidence": {n % 101}}}]'
+
+
+@query()
+def infer_replay(spark, sf_dir):
+    """Rows only: chunks to a stub model to findings to the best of each response, with ids."""
+    cut = C.prompts(C.chunks(files_of(spark, sf_dir), 4000), ("", "\n", ""))
+    asked = I.infer(cut.select("doc_id", "file", "chunk_idx", "prompt"), I.ReplayBackend(_stub), "qwen2.5-coder:14b")
+    raw = asked.where("status = 'ok'").select(F.lit("r").alias("run_id"), F.concat("doc_id", F.lit("/"), "file").alias("filepath"), "chunk_idx", "raw")
+    found = D.assign_ids(D.select_findings(D.findings(raw), "devsecops"))
+    return found.select("id", "filepath", "chunk_idx", "title", "severity", "line", "confidence")
+
+
+@query(f"SELECT {_COUNTS_SQL}, {_SCORE_SQL} FROM (SELECT {SEVERITY_SQL.format('event_type')} AS s FROM events)")
+def stream_rollup(spark, sf_dir):
+    """Running counts over a stream that takes what is there and ends."""
+    import uuid
+
+    from findmill.streaming.incremental import running_counts
+
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    name = f"stream_rollup_{uuid.uuid4().hex}"
+    running = running_counts(events, "event_type").writeStream.format("memory").queryName(name).outputMode("complete")
+    running.trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)

@@ -1,0 +1,75 @@
+import json
+
+import pytest
+
+import __spark_entry__ as entry
+from findmill.operators.inference import ReplayBackend
+from findmill.plans.engine import generate_patch, run_scan
+from findmill.sources.tree import history, responses, source_tree
+from findmill.streaming.incremental import publish_findings, response_stream
+
+
+@pytest.fixture
+def tree(tmp_path):
+    files = {
+        "main.py": b"a\r\nb\r\n", "__init__.py": b"x\n", ".env": b"K=1", "prod.env": b"K=2", "sub/Dockerfile": b"FROM x",
+        "sub/bad.py": b"ok \xff end", "blank.py": b" \n\t", "node_modules/x/i.js": b"1", "build/out.js": b"1", "UPPER.PY": b"1", "a.d.ts": b"t",
+    }
+    for name, data in files.items():
+        path = tmp_path / "src" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+    return tmp_path / "src"
+
+
+def test_source_tree(spark, tree):
+    rows = {r.file: r for r in source_tree(spark, str(tree), (".py", ".ts")).collect()}
+    assert set(rows) == {"main.py", "__init__.py", "bad.py", "blank.py", "a.d.ts"}
+    assert rows["main.py"].content == "a\nb\n" and rows["bad.py"].content == "ok  end" and rows["a.d.ts"].ext == "ts"
+    rows = {r.file: r.ext for r in source_tree(spark, str(tree), (".env", "Dockerfile")).collect()}
+    assert rows == {".env": "", "prod.env": "env", "Dockerfile": ""}
+
+
+def test_scan_history_patch(spark, tree, tmp_path):
+    answer = json.dumps([{"title": "t", "severity": "critical", "line": 2, "description": "d", "fix": "fixed", "confidence": 90}])
+    run = run_scan(spark, str(tree), ReplayBackend(lambda p: answer), str(tmp_path / "store"), mode="rapid")
+    found = run.findings.collect()
+    assert sorted(r.file for r in found) == ["__init__.py", "a.d.ts", "bad.py", "main.py"]
+    summary = run.summary.first()
+    assert (summary.stats.critical, summary.stats.files, summary.score, summary.confidence_score) == (4, 5, 20, 95.0)
+    patch = generate_patch(run, next(r.id for r in found if r.file == "main.py")).first()
+    assert patch.ok and "-b\n+fixed\n" in patch.diff
+    assert history(spark, str(tmp_path / "none")).count() == 0
+    assert spark.read.json(str(tmp_path / "store/history")).count() == 1
+    assert run_scan(spark, str(tree / "sub"), ReplayBackend(lambda p: answer), str(tmp_path / "s2"), mode="nothing") is not None
+    (tree / "empty").mkdir()
+    assert run_scan(spark, str(tree / "empty"), ReplayBackend(lambda p: answer), str(tmp_path / "s3")) is None
+
+
+def test_history_generations(spark, tmp_path):
+    path = tmp_path / "h.json"
+    old = {"id": "a", "date": "2025-01-01T00:00:00", "target": "t", "profile": "p", "stats": {"critical": 1}, "score": 80}
+    path.write_text(json.dumps([{**old, "id": f"n{i:03}", "date": f"2025-02-01T00:00:{i % 60:02}", "mode": "deep"} for i in range(60)] + [old]))
+    rows = history(spark, str(path)).collect()
+    assert len(rows) == 50 and rows[0].date == "2025-02-01T00:00:59" and rows[0].confidence_score is None
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from findmill.operators.findings import findings
+
+    source = tmp_path / "in"
+    source.mkdir()
+    for i, name in enumerate(("101010_a.cpp.json", "20250101_101011_b.cpp.json")):
+        (source / name).write_text(json.dumps({"title": "t", "severity": "high", "line": i + 1, "description": "d", "fix": "f"}))
+    rows = responses(spark, str(source)).orderBy("file").collect()
+    assert [(r.file, r.day, r.time) for r in rows] == [("a.cpp", None, "101010"), ("b.cpp", "20250101", "101011")]
+    publish_findings(response_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    kept = ["filepath", "title", "severity", "line", "confidence"]
+    streamed = spark.read.parquet(str(tmp_path / "out")).select(kept).orderBy("filepath").collect()
+    batch = findings(responses(spark, str(source)).selectExpr("file AS filepath", "raw")).select(kept).orderBy("filepath").collect()
+    assert streamed == batch and len(batch) == 2
+
+
+def test_entry_and_names(spark):
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
