@@ -29,7 +29,7 @@ from findmill.llm.common import arrow_map, read_table, written
 SEQUENCE = 4096
 END_ID = 2
 BUCKETS = 64
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -44,7 +44,7 @@ def _tokenizer(path: str):
 #: The vocabulary's split pattern, written out for Latin words (white space there can only be
 #: U+0085 and U+00A0) and for words of lower-case ASCII.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x85\xa0\p{L}\p{N}]+")
-_SPLIT_ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
+_SPLIT_ASCII = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Below this character every text is in composed form already and lower-cased character by character.
 _LATIN_END = "\u0250"
 
@@ -75,39 +75,42 @@ class Recent(dict):
 
 
 class WordIds:
-    """Ids of texts, as little-endian unsigned 32-bit bytes, from bounded caches of words.
+    """Ids of texts, as little-endian unsigned 32-bit bytes, from a bounded cache of words.
 
     The vocabulary normalises character by character, and no match of its pattern spans white space; so
     the ids of a text are the ids of its words (maximal runs without ASCII white space) in their order.
-    A new word of Latin letters is split here and only its parts go to the library's merges; any other
-    new word goes through the whole library.
+    A new word of Latin letters is split here into its parts, which are words of the cache themselves;
+    only a word that is its own single part goes to the library's merges. Any other new word goes
+    through the whole library.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.parts = Recent(self._part, most)
         self.words = Recent(self._word, most)
 
-    def _part(self, part: str) -> bytes:
-        if not (part.isascii() and part.isprintable()):
-            part = part.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(part)]
+    def _part(self, part: bytes) -> bytes:
+        text = part.decode()
+        if not (text.isascii() and text.isprintable()):
+            text = part.decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(text)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: bytes) -> bytes:
-        given = word.decode("utf-8", "replace")
-        lower = given.lower()
-        if max(lower) >= _LATIN_END:
-            ids = self.tokenizer.encode(given, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        if lower.isalpha():
-            return self.parts[lower]
-        if lower[-1] in ",." and lower[:-1].isalpha():
-            return self.parts[lower[:-1]] + self.parts[lower[-1]]
-        split = (_SPLIT_ASCII if lower.isascii() else _SPLIT).findall(lower)
-        return b"".join([self.parts[x] for x in split])
+        if word.isascii():
+            lower = word.lower()
+            split = [lower] if lower.isalpha() else _SPLIT_ASCII.findall(lower)
+        else:
+            given = word.decode("utf-8", "replace")
+            lower = given.lower()
+            if max(lower) >= _LATIN_END:
+                ids = self.tokenizer.encode(given, add_special_tokens=False).ids
+                return struct.pack(f"<{len(ids)}I", *ids)
+            split = [x.encode() for x in _SPLIT.findall(lower)]
+        if split == [word]:
+            return self._part(word)
+        return b"".join([self.words[x] for x in split])
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, text.split()))
