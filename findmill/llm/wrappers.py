@@ -9,8 +9,8 @@ expression for each task and host is shuffled; those are aligned in two steps, f
 The finished wrapper says which places of the host hold content: places inside an article, else inside
 main, else anywhere in the body, always without menus, headers, footers, sidebars, notices, adverts,
 forms and comments, which are known by element, role, class or id. Outside an article, texts that are the
-same on all pages of a host with ``MIN_PAGES`` or more are part of the template and dropped too. Pages
-are then read once more with their host's wrapper.
+same on all pages of a host with ``MIN_PAGES`` or more are part of the template and dropped too, unless
+the pages have no other text. Pages are then read once more with their host's wrapper.
 
 The table of wrappers is written first, so its size is known: Spark broadcasts it while it is below its
 own threshold, and joins by host beyond that.
@@ -331,21 +331,26 @@ def places(wrapper: list, n_pages: int) -> tuple[list[int], list[int], list[int]
     """(keys of places with content, their levels, keys of template texts) of a finished wrapper."""
     levels: dict[int, int] = {}
     template: set[int] = set()
+    slots = 0
 
-    def walk(items: list, place: Place, in_heading: bool) -> None:
+    def walk(items: list, place: Place, in_heading: bool, always: bool) -> None:
+        nonlocal slots
         for label, flags, inner in items:
+            on_all = always and not flags & OPTIONAL
             if label == "":
                 level = place.content(in_heading)
                 if level and levels.get(place.key, 9) > level:
                     levels[place.key] = level
-                if inner is not None and level > 1 and n_pages >= MIN_PAGES and not flags & OPTIONAL:
+                slots += level > 0 and inner is None
+                if inner is not None and level > 1 and n_pages >= MIN_PAGES and on_all:
                     template.add(_text_key(place, inner))
             else:
                 below = place.child(label)
-                walk(inner, below, in_heading or below.tag in HEADINGS)
+                walk(inner, below, in_heading or below.tag in HEADINGS, on_all)
 
-    walk(wrapper, Place(None, ""), False)
-    return list(levels), list(levels.values()), sorted(template)
+    walk(wrapper, Place(None, ""), False, True)
+    # Pages that are all alike show no template.
+    return list(levels), list(levels.values()), sorted(template) if slots else []
 
 
 def _text_key(place: Place, text_hash: str) -> int:
