@@ -6,20 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findmill.functions.recover import recovered_json, truthy
-from findmill.functions.rules import DEFAULTS, MIN_CONFIDENCE, mode_of
+from findmill.functions.rules import DEFAULTS, MIN_CONFIDENCE, NO_CONTEXT, mode_of
 from findmill.functions.text import basename, blocked_terms, clamp_round, contains_any, digits, extension, severity
+from findmill.operators.chunks import context
 
 REQUIRED = ("title", "severity", "line", "description", "fix")
 
 
-def objects(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
+def objects(raw: DataFrame, raw_col: str = "raw", unwrap: str | None = None) -> DataFrame:
     """One row for each JSON object of a response: ``obj`` (variant), ``response_pos``, ``line_text``.
 
     An object is a list of one. Responses that don't parse, other values, and elements that aren't
     objects give no row. ``line_text`` is the line as it is written, as a variant would rewrite 10.0.
+    With ``unwrap``, an object that has a list under that name stands for the list.
     """
     # A generator keeps the recovery in one place; a plain column would be copied into every later use.
-    found = F.filter(F.array(recovered_json(F.col(raw_col))), lambda x: x.isNotNull())
+    text = recovered_json(F.col(raw_col))
+    if unwrap:
+        inner = F.get_json_object(text, f"$.{unwrap}")
+        text = F.when(inner.startswith("["), inner).otherwise(text)
+    found = F.filter(F.array(text), lambda x: x.isNotNull())
     parsed = raw.select("*", F.explode(found).alias("_json"))
     value = F.parse_json("_json")
     is_list = F.schema_of_variant(value).startswith("ARRAY")
@@ -49,13 +55,13 @@ def _number(value: Column) -> Column:
     )
 
 
-def findings(raw: DataFrame, path_col: str = "filepath") -> DataFrame:
+def findings(raw: DataFrame, path_col: str = "filepath", unwrap: str | None = None) -> DataFrame:
     """Typed findings of raw responses (columns ``path_col``, raw, and any others, which stay).
 
     Absent and null fields get defaults; ``degraded`` marks rows where a null stood for a text. An
     unknown severity is Low; a line of zero or without digits is null.
     """
-    rows = objects(raw)
+    rows = objects(raw, unwrap=unwrap)
     obj = F.col("obj")
 
     def field(name: str, kind: str = "string") -> Column:
@@ -96,6 +102,32 @@ def findings(raw: DataFrame, path_col: str = "filepath") -> DataFrame:
     return rows.select(*kept, *(c.alias(n) for n, c in made.items()))
 
 
+def drop_non_findings(found: DataFrame) -> DataFrame:
+    """Opt-in: without answers that name neither a title nor a description of a defect."""
+    return found.where((F.col("title") != DEFAULTS["title"]) | (F.col("description") != DEFAULTS["description"]))
+
+
+def drop_overlap_repeats(found: DataFrame) -> DataFrame:
+    """Opt-in: a finding that overlapping chunks report twice (file, line and title alike) counts once."""
+    return found.dropDuplicates(["filepath", "line", "title"])
+
+
+def with_snippets(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings without a snippet of the model's own get the lines around theirs, or say why there are none.
+
+    Only paths that need it are joined, and only the cut lines leave the join.
+    """
+    missing = F.col("snippet") == DEFAULTS["snippet"]
+    texts = files.select(F.col("path").alias("filepath"), F.col("content").alias("_content"))
+    both = found.join(texts, "filepath", "left")
+    around = (
+        F.when(F.col("line").isNull(), F.lit(DEFAULTS["snippet"]))
+        .when(F.col("_content").isNull(), F.concat(F.lit(NO_CONTEXT), F.col("filepath")))
+        .otherwise(F.coalesce(F.nullif(context(F.col("_content"), F.col("line")), F.lit("")), F.lit(DEFAULTS["snippet"])))
+    )
+    return both.withColumn("snippet", F.when(missing, around).otherwise(F.col("snippet"))).drop("_content")
+
+
 def select_findings(found: DataFrame, mode: str, group: tuple[str, ...] = ("filepath", "chunk_idx")) -> DataFrame:
     """The mode's severities, then enough confidence, then the best few of each response (stable on ties)."""
     rules = mode_of(mode)

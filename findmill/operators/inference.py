@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -46,8 +47,36 @@ class HttpBackend:
             return json.load(answer).get("response", "{}")
 
 
+_PARTS = (r"\[\s*\{.*\}\s*\]", r"\{.*\}", r"```json\s*(.*?)```")
+
+
 def _usable(text: str) -> bool:
-    return any(c in text for c in "[{")
+    """Whether a JSON value other than null can be recovered; else the call counts as failed."""
+    found = [text]
+    for part in _PARTS:
+        if m := re.search(part, text, re.DOTALL):
+            found.append(m[m.lastindex or 0])
+    for candidate in found:
+        try:
+            return json.loads(candidate) is not None
+        except ValueError:
+            continue
+    return False
+
+
+def resolve_endpoint(given: str | None, candidates: Sequence[str], default: str, tries: int = 2, timeout: float = 2.0) -> str:
+    """The address given, else the first candidate that answers a probe with 200, else the default."""
+    if given:
+        return given
+    for url in candidates:
+        for _ in range(tries):
+            try:
+                with urllib.request.urlopen(url, timeout=timeout) as answer:
+                    if answer.status == 200:
+                        return url
+            except OSError:
+                continue
+    return default
 
 
 def ask(backend: Backend, model: str, prompt: str, pause: Callable[[float], None] = time.sleep) -> tuple[str, str | None, str]:

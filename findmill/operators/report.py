@@ -87,6 +87,12 @@ def patch(file: pd.Series, content: pd.Series, line: pd.Series, fix: pd.Series)
     return pd.DataFrame(rows, columns=["ok", "diff", "before", "after", "error"])
 
 
+def write_patches(patched: DataFrame, path: str) -> None:
+    """Each usable patch as a text file of its own below ``path/id=<id>``; ``patched`` has (id, ok, diff)."""
+    body = F.when(F.endswith("diff", F.lit("\n")), F.expr("left(diff, length(diff) - 1)")).otherwise(F.col("diff"))
+    patched.where("ok").select("id", body.alias("value")).write.mode("append").partitionBy("id").text(path)
+
+
 def patches(found: DataFrame, files: DataFrame) -> DataFrame:
     """``found`` with ``patch``; the file is looked up by path."""
     texts = files.select(F.col("path").alias("filepath"), "content")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from typing import NamedTuple
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from findmill.functions.rules import mode_of, profile_of
 from findmill.operators.chunks import chunks, prompts
-from findmill.operators.findings import assign_ids, findings, select_findings
+from findmill.operators.findings import assign_ids, findings, select_findings, with_snippets
 from findmill.operators.inference import Backend, infer
 from findmill.operators.report import append_history, patches, save_responses
 from findmill.operators.rollup import call_counters, run_summary
@@ -29,6 +30,9 @@ MODE_TEXT = {
 }
 
 
+_BUSY = threading.Lock()
+
+
 class Run(NamedTuple):
     run_id: str
     files: DataFrame
@@ -41,9 +45,30 @@ def run_scan(spark: SparkSession, target: str, backend: Backend, store: str, pro
     """Scan a target; None if no file matches (such runs leave no history).
 
     Responses are stored before anything is made of them, so a repeated task never calls the model for
-    the later steps again.
+    the later steps again. One scan runs at a time; its Spark jobs carry the run's tag for ``stop_scan``.
     """
+    if not _BUSY.acquire(blocking=False):
+        raise RuntimeError("a scan is running")
     run_id = str(uuid.uuid4())[:8]
+    spark.addTag(f"scan-{run_id}")
+    try:
+        return _scan(spark, run_id, target, backend, store, profile, mode, keep_history)
+    finally:
+        spark.removeTag(f"scan-{run_id}")
+        _BUSY.release()
+
+
+def running_scans(spark: SparkSession) -> list[str]:
+    """The tags of scans that this thread has running."""
+    return sorted(t for t in spark.getTags() if t.startswith("scan-"))
+
+
+def stop_scan(spark: SparkSession, tag: str) -> list[str]:
+    """Cancel the jobs of a running scan, which ends with an error and leaves no history."""
+    return spark.interruptTag(tag)
+
+
+def _scan(spark: SparkSession, run_id: str, target: str, backend: Backend, store: str, profile: str, mode: str, keep_history: bool) -> Run | None:
     plan, rules = profile_of(profile), mode_of(mode)
     files = source_tree(spark, local_copy(target), rules.suffixes)
     if files.isEmpty():
@@ -53,7 +78,8 @@ def run_scan(spark: SparkSession, target: str, backend: Backend, store: str, pro
     save_responses(answered.withColumnRenamed("path", "filepath"), f"{store}/responses")
     calls = spark.read.parquet(f"{store}/responses").where(F.col("run_id") == run_id)
     raw = calls.where("status = 'ok'").select("run_id", "filepath", "chunk_idx", "raw")
-    found = assign_ids(select_findings(findings(raw), mode, ("run_id", "filepath", "chunk_idx")))
+    best = assign_ids(select_findings(findings(raw), mode, ("run_id", "filepath", "chunk_idx")))
+    found = with_snippets(best, files)
     summary = (
         run_summary(found).join(call_counters(calls)).join(files.agg(F.count("*").alias("files")))
         .select(

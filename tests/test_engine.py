@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from findmill.operators.inference import ReplayBackend
-from findmill.plans.engine import generate_patch, run_scan
+from findmill.plans.engine import generate_patch, run_scan, running_scans, stop_scan
 from findmill.sources.tree import history, responses, source_tree
 from findmill.streaming.incremental import publish_findings, response_stream
 
@@ -42,6 +42,8 @@ def test_scan_history_patch(spark, tree, tmp_path):
     assert history(spark, str(tmp_path / "none")).count() == 0
     assert spark.read.json(str(tmp_path / "store/history")).count() == 1
     assert run_scan(spark, str(tree / "sub"), ReplayBackend(lambda p: answer), str(tmp_path / "s2"), mode="nothing") is not None
+    assert {r.file: r.snippet for r in found}["main.py"] == "   1: a\n>> 2: b"
+    assert running_scans(spark) == [] and stop_scan(spark, "scan-none") == []
     (tree / "empty").mkdir()
     assert run_scan(spark, str(tree / "empty"), ReplayBackend(lambda p: answer), str(tmp_path / "s3")) is None
 

@@ -8,8 +8,8 @@ from findmill.functions.recover import recovered_json
 from findmill.operators import chunks as C
 from findmill.operators import findings as D
 from findmill.operators import rollup as A
-from findmill.operators.inference import ReplayBackend, ask
-from findmill.operators.report import json_rows, make_patch, report_rows
+from findmill.operators.inference import ReplayBackend, ask, resolve_endpoint
+from findmill.operators.report import json_rows, make_patch, report_rows, write_patches
 
 FULL = {"title": "t", "severity": "High", "line": 3, "description": "d", "fix": "f"}
 
@@ -82,6 +82,22 @@ def test_defaults_and_lists(spark):
     assert scored(spark, "text") == []
 
 
+def test_opt_in_rules(spark):
+    raw = spark.createDataFrame([("x.py", json.dumps({"issues": [FULL, FULL]})), ("y.py", json.dumps({"message": "fine"}))], "filepath string, raw string")
+    found = D.findings(raw, unwrap="issues")
+    assert found.count() == 3 and D.findings(raw).count() == 2
+    assert D.drop_non_findings(found).count() == 2
+    assert D.drop_overlap_repeats(found).count() == 2
+
+
+def test_snippets(spark):
+    raw = spark.createDataFrame([(f, json.dumps([{**FULL, "line": n, **more}])) for f, n, more in (("a.py", 2, {}), ("a.py", 0, {}), ("a.py", 2, {"snippet": "own"}), ("gone.py", 1, {}), ("a.py", 99, {}))], "filepath string, raw string")
+    files = spark.createDataFrame([("a.py", "one\ntwo\n")], "path string, content string")
+    found = sorted(r.snippet for r in D.with_snippets(D.findings(raw), files).collect())
+    none = "Code non disponible"
+    assert found == sorted(["   1: one\n>> 2: two", none, "own", "Impossible d'extraire le contexte : gone.py", none])
+
+
 def test_selection_and_ids(spark):
     raw = spark.createDataFrame([("r", f"{f}.py", c, json.dumps([FULL] * 5)) for f in "ba" for c in (0, 1)], "run_id string, filepath string, chunk_idx int, raw string")
     best = D.assign_ids(D.select_findings(D.findings(raw), "rapid"))
@@ -148,4 +164,18 @@ def test_ask_retries_and_falls_back():
     pauses = []
     assert ask(Flaky(), "qwen2.5-coder:14b", "p" * 20000, pauses.append) == ("ok", "{}", "deepseek-coder:6.7b")
     assert pauses == [2.0, 4.0] and calls[0] == ("qwen2.5-coder:14b", 200)
-    assert ask(ReplayBackend(lambda p: "none"), "m", "p", pauses.append)[0] == "failed"
+    for useless in ("none", "null", "[broken", ""):
+        assert ask(ReplayBackend(lambda p: useless), "m", "p", pauses.append)[0] == "failed"
+    assert ask(ReplayBackend(lambda p: 'so: {"a": 1}.'), "m", "p", pauses.append)[0] == "ok"
+
+
+def test_endpoint_resolution():
+    assert resolve_endpoint("http://given", [], "http://default") == "http://given"
+    assert resolve_endpoint(None, ["http://127.0.0.1:9/"], "http://default", timeout=0.2) == "http://default"
+
+
+def test_patch_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, True, "--- a\n+++ b\n"), (2, False, None)], "id long, ok boolean, diff string")
+    write_patches(df, str(tmp_path / "p"))
+    (file,) = (tmp_path / "p").glob("id=*/part-*")
+    assert file.parent.name == "id=1" and file.read_text() == "--- a\n+++ b\n"
