@@ -15,13 +15,13 @@ a conversation, in order, are its rendered text.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from itertools import groupby, product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findmill.llm.common import read_table, written
+from findmill.llm.common import arrow_map, read_table, written
 
 SEGMENT = 1024
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -109,18 +109,29 @@ def _runs(batches: Iterator[pa.RecordBatch], key_columns: int) -> Iterator[tuple
 
 
 def segments(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """(conv, seg, turn, role, text), exact repeats of a turn once; null turns come first."""
+    """(conv, seg, turn, role, text); null turns come first.
+
+    Of exact repeats of a turn that lie near each other only one is left, so that very many do not all
+    go to one task; the others fall away where the rows of a segment meet.
+    """
     turn = F.col(turn_col).cast("long")
-    return df.select(
+    given = df.select(
         F.col(conv_col).alias("conv"),
         F.coalesce(F.floor(turn / SEGMENT), F.lit(-(2**62))).cast("long").alias("seg"),
         turn.alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"),
-    ).distinct()
+    )
+    kind = df.schema[conv_col].dataType.simpleString()
+    return arrow_map(given, f"conv {kind}, seg long, turn long, role string, text string", _once)
+
+
+def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
+    rows = pa.Table.from_batches([batch]).group_by(batch.schema.names, use_threads=False).aggregate([])
+    return rows.combine_chunks().to_batches()[0]
 
 
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One matrix a segment; only the current segment's four rows of costs are held."""
-    key = costs = None
+    key = costs = before = None
 
     def out() -> pa.RecordBatch:
         made = [pa.array([key[0]], conv_type), pa.array([key[1]], pa.int64()), pa.array([sum(costs, [])], pa.list_(pa.int64()))]
@@ -128,7 +139,11 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         conv_type = batch.column(0).type
-        for conv, seg, role in zip(*(c.to_pylist() for c in batch.columns)):
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row == before:
+                continue
+            before = row
+            conv, seg, _, role, _ = row
             if (conv, seg) != key:
                 if key is not None:
                     yield out()
@@ -167,7 +182,9 @@ def _typed(batches: Iterator[pa.RecordBatch], kinds: list) -> Iterator[pa.Record
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["conv", "seg", "pos", "turn", "role", "action", "text", "rendered"]
     for (conv, seg), rows in _runs(_typed(batches, kinds := []), 2):
-        entry, leave, last, first = rows[0][3:]
+        # The segment's states come first, then its turns, exact repeats next to each other.
+        entry, leave, last, first = rows[0][4:]
+        turns = [row[1:4] for row, _ in groupby(rows[1:])]
         out: list[tuple] = []
 
         def add(turn: int | None, role: int, action: str, text: str) -> None:
@@ -175,7 +192,7 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((turn, ROLES[role], action, text, f"{opening}<|{ROLES[role]}|>\n{text}"))
 
         state = entry
-        for (turn, name, text, *_), (inserted, target) in zip(rows, repair([role_of(r[1]) for r in rows], entry, leave)):
+        for (turn, name, text), (inserted, target) in zip(turns, repair([role_of(r[1]) for r in turns], entry, leave)):
             for role in inserted:
                 add(None, role, "insert", "")
                 state = role
@@ -208,18 +225,21 @@ def repaired(
     empty result.
     """
     turns = segments(df, conv_col, turn_col, role_col, text_col)
-    order = ["conv", "seg", "turn", "role", "text"]
     kind = df.schema[conv_col].dataType.simpleString()
+    # Costs need the order of roles only: digests tell texts apart, and the texts stay where they are.
+    lean = turns.select("conv", "seg", "turn", "role", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
     matrices = (
-        turns.repartition("conv", "seg").sortWithinPartitions(*order).select("conv", "seg", "role")
+        lean.repartition("conv", "seg").sortWithinPartitions(*lean.columns)
         .mapInArrow(_matrices, f"conv {kind}, seg long, costs array<long>")
     )
+    states = "entry long, leave long, last boolean, first boolean"
     cuts = written(
-        matrices.repartition("conv").sortWithinPartitions("conv", "seg")
-        .mapInArrow(_cuts, f"conv {kind}, seg long, entry long, leave long, last boolean, first boolean"),
+        matrices.repartition("conv").sortWithinPartitions("conv", "seg").mapInArrow(_cuts, f"conv {kind}, seg long, {states}"),
         "chat-cuts",
-    )
-    both = turns.join(cuts.withColumnsRenamed({"conv": "_conv", "seg": "_seg"}), F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("seg") == F.col("_seg")))
+    )
+    # States and turns of a segment meet in the one shuffle of the texts, without a join.
+    both = cuts.withColumn("kind", F.lit(0)).unionByName(turns.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    order = ["conv", "seg", "kind", "turn", "role", "text"]
     made = (
         both.select(*order, "entry", "leave", "last", "first").repartition("conv", "seg").sortWithinPartitions(*order)
         .mapInArrow(_render, f"conv {kind}, seg long, pos long, turn long, role string, action string, text string, rendered string")
