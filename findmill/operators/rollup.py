@@ -79,8 +79,6 @@ def with_default(rows: DataFrame, dimension: DataFrame, key: str, default: str)
     """Left join with a dimension; keys it lacks get the dimension's ``default`` row."""
     other = dimension.where(F.col(key) == default).drop(key)
     names = other.columns
-    fallback = other.select(F.struct(*names).alias("_fallback"))
-    joined = rows.join(dimension.withColumn("_hit", F.lit(True)), key, "left").join(fallback, F.lit(True), "left")
-    return joined.select(
-        *rows.columns, *(F.when(F.col("_hit"), F.col(n)).otherwise(F.col(f"_fallback.{n}")).alias(n) for n in names)
-    )
+    fallback = {n: other.select(n).scalar() for n in names}
+    joined = rows.join(dimension.withColumn("_hit", F.lit(True)), key, "left")
+    return joined.select(*rows.columns, *(F.when(F.col("_hit"), F.col(n)).otherwise(fallback[n]).alias(n) for n in names))

@@ -228,7 +228,7 @@ def mean_confidence(spark, sf_dir):
     cents = F.round(F.col("value") * 100).cast("long")
     empty = events.where("event_id < 0").agg(A.mean_confidence(F.col("value")).alias("empty"))
     made = events.groupBy("event_type").agg(F.floor(F.sum(cents) / F.count("*")).alias("mean_x100"))
-    return made.join(F.broadcast(empty), how="cross")  # one row
+    return made.withColumn("empty", empty.scalar())
 
 
 @query(f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (s = 'Critical') AS critical, count(*) FILTER (s = 'High') AS high,
@@ -266,8 +266,8 @@ def facet_filter(spark, sf_dir):
 def search_and_facets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     hits = A.facets(A.search(docs, "Token", ("text",), None), lang=("en", "de")).select("doc_id", "lang")
-    counts = hits.agg(F.count("*").alias("shown")).join(docs.agg(F.count("*").alias("total")))
-    return hits.join(F.broadcast(counts), how="cross")  # one row
+    shown, total = hits.agg(F.count("*")).scalar(), docs.agg(F.count("*")).scalar()
+    return hits.withColumns({"shown": shown, "total": total})
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 7")
@@ -302,11 +302,9 @@ def ring_tail(spark, sf_dir):
  CAST(floor(CAST(120.0 AS DOUBLE) / (event_id + 1) * (n - event_id - 1)) AS BIGINT) AS eta FROM events, t""")
 def progress_eta(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id")
-    total = events.agg((F.max("event_id") + 1).alias("n"))
+    total = events.agg(F.max("event_id") + 1).scalar()
     done = F.col("event_id") + 1
-    return events.join(F.broadcast(total), how="cross").select(  # one row
-        "event_id", A.progress(done, F.col("n")).alias("pct"), A.eta_seconds(F.lit(120.0), done, F.col("n")).alias("eta")
-    )
+    return events.select("event_id", A.progress(done, total).alias("pct"), A.eta_seconds(F.lit(120.0), done, total).alias("eta"))
 
 
 @query("""SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 240 WHEN 'BUILDING' THEN 150 ELSE 180 END AS timeout,
