@@ -53,6 +53,14 @@ def test_fewer_candidates_than_k_and_empty_tables(spark):
     assert T.top_k(df, df.limit(0)).count() == 0
 
 
+def test_query_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    made = duckdb.connect()
+    made.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    want = {(q, r): (v, s) for q, r, v, s in made.sql(T.ORACLE_SQL).fetchall()}
+    assert as_dict(T.op6_threshold(spark, SF)) == want
+
+
 def test_search_stops_before_the_end_of_the_lists():
     rng = np.random.default_rng(5)
     rows = rng.normal(0, 1, (4000, 8))
