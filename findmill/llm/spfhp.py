@@ -8,7 +8,8 @@
    patterns, which is bounded by ``size`` as well.
 
 Ranks come from counts per (length, bucket) and a window inside each bucket, so that one very common
-length is spread over many tasks.
+length is spread over many tasks. The number of buckets grows with the pieces; their first ranks are
+summed and joined in Spark, and only the totals per length reach the driver.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from findmill.llm.common import arrow_map, read_table, written
 SEQUENCE = 4096
 END_ID = 2
 BUCKETS = 64
+BUCKET_ROWS = 1_000_000
 CACHE_WORDS = 200_000
 
 
@@ -220,34 +222,36 @@ def _places(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     return {length: np.array(x, np.int64) for length, x in rows.items()}
 
 
-def pack(df: DataFrame, length_col: str = "length", key_cols: tuple[str, ...] = ("doc_id", "start"), size: int = SEQUENCE, buckets: int = BUCKETS) -> DataFrame:
-    """``df`` with ``sequence_id`` and ``offset``; ``df`` should be a stored table, as it is read twice.
+def pack(
+    df: DataFrame, length_col: str = "length", key_cols: tuple[str, ...] = ("doc_id", "start"), size: int = SEQUENCE,
+    bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """``df`` with ``sequence_id`` and ``offset``; ``df`` should be a stored table, as it is read more than once.
 
     Lengths lie in 1..size. Rows are told apart by ``key_cols``; equal rows get different places in an
-    order that is not fixed. An empty table gives an empty result.
+    order that is not fixed. A length has a bucket for each ``bucket_rows`` rows of ``df`` (at least
+    ``BUCKETS``). An empty table gives an empty result.
     """
+    buckets = max(BUCKETS, -(-df.count() // bucket_rows))
     given = df.withColumn("_bucket", F.pmod(F.xxhash64(*key_cols), F.lit(buckets)).cast("int"))
-    # At most size * buckets rows, whatever the number of pieces.
-    counts = given.groupBy(length_col, "_bucket").agg(F.count("*").alias("n")).collect()
-    per_length: dict[int, np.ndarray] = {}
-    for length, bucket, n in counts:
-        per_length.setdefault(length, np.zeros(buckets, np.int64))[bucket] = n
-    if any(not 1 <= length <= size for length in per_length):
+    counts = written(given.groupBy(length_col, "_bucket").agg(F.count("*").alias("_n")), "piece-counts")
+    # At most one row for each length, whatever the number of pieces.
+    histogram = dict(counts.groupBy(length_col).agg(F.sum("_n")).collect())
+    if any(length is None or not 1 <= length <= size for length in histogram):
         raise ValueError(f"lengths must lie in 1..{size}")
-    first_rank = {k: np.cumsum(v) - v for k, v in per_length.items()}
-    places = _places(pack_histogram({k: int(v.sum()) for k, v in per_length.items()}, size))
+    places = _places(pack_histogram(histogram, size))
+    before = F.sum("_n").over(Window.partitionBy(length_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = counts.select(length_col, "_bucket", F.coalesce(before, F.lit(0)).cast("long").alias("_first"))
     rank = F.row_number().over(Window.partitionBy(length_col, "_bucket").orderBy(*key_cols)) - 1
     names = df.columns
     at_length = names.index(length_col)
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lengths, bucket, ranks = (
-            batch.column(i).to_numpy(zero_copy_only=False) for i in (at_length, len(names), len(names) + 1)
-        )
+        lengths, ranks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (at_length, len(names)))
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for length in np.unique(lengths):
             mine = np.flatnonzero(lengths == length)
-            r = ranks[mine] + first_rank[int(length)][bucket[mine]]
+            r = ranks[mine]
             table = places[int(length)]
             first, times, seq, off = table[np.searchsorted(table[:, 0], r, side="right") - 1].T
             sequence[mine] = seq + (r - first) // times
@@ -257,7 +261,7 @@ def pack(df: DataFrame, length_col: str = "length", key_cols: tuple[str, ...] =
         )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    ranked = given.withColumn("_rank", rank.cast("long"))
+    ranked = given.join(firsts, [length_col, "_bucket"]).select(*names, (rank + F.col("_first")).alias("_rank"))
     return arrow_map(ranked, f"{schema}, sequence_id long, offset long", per_batch)
 
 

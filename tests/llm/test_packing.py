@@ -98,7 +98,7 @@ def test_nulls_repeats_and_empty_tables(spark):
 
 def test_one_common_length_is_spread_and_ranked_without_gaps(spark):
     df = spark.range(5000).select(K.F.col("id").alias("doc_id"), K.F.lit(0).cast("long").alias("start"), K.F.lit(1000).cast("long").alias("length"))
-    rows = K.pack(df).collect()
+    rows = K.pack(df, bucket_rows=50).collect()
     count = Counter(r.sequence_id for r in rows)
     assert set(count.values()) == {4} and len(count) == 1250
     assert len({(r.sequence_id, r.offset) for r in rows}) == 5000
