@@ -9,6 +9,7 @@ from findmill.functions.recover import recovered_json, truthy
 from findmill.functions.rules import DEFAULTS, MIN_CONFIDENCE, NO_CONTEXT, mode_of
 from findmill.functions.text import basename, blocked_terms, clamp_round, contains_any, digits, extension, severity
 from findmill.operators.chunks import context
+from findmill.sources.store import written
 
 REQUIRED = ("title", "severity", "line", "description", "fix")
 
@@ -137,16 +138,21 @@ def select_findings(found: DataFrame, mode: str, group: tuple[str, ...] = ("file
 
 
 def assign_ids(found: DataFrame, run: tuple[str, ...] = ("run_id",), order: tuple[str, ...] = ("filepath", "chunk_idx", "response_rank")) -> DataFrame:
-    """Dense ids from 1 within a run.
+    """Dense ids from 1 within a run; a null run is a run too.
 
-    Counts of each (run, file) are small and are summed in order; numbers within a file come from a
-    window over that file, so one large run is not sorted in one task.
+    Rows are dealt by ranges of run and order, sorted in their range and written, so their places stay.
+    The rows of each run in each range are counted, and those counts, no more than runs and ranges
+    together, are summed in order: neither a large run nor a large file has to be sorted in one task.
     """
-    by_file = found.groupBy(*run, order[0]).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*run).orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = by_file.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
-    own = F.row_number().over(Window.partitionBy(*run, order[0]).orderBy(*order[1:]))
-    return (
-        found.withColumn("_own", own).join(offsets, [*run, order[0]])
-        .withColumn("id", (F.col("_before") + F.col("_own")).cast("long")).drop("_own", "_before")
-    )
+    keys = [*run, *order]
+    dealt = written(
+        found.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranges"
+    ).withColumn("_range", F.shiftright("_at", 33))
+    counts = dealt.groupBy(*run, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*run).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    shift = F.coalesce(before, F.lit(0)) - F.col("_first") + 1
+    shifts = counts.select(*(F.col(c).alias(f"_run_{c}") for c in run), F.col("_range").alias("_run_range"), shift.alias("_shift"))
+    same = F.col("_range") == F.col("_run_range")
+    for c in run:
+        same &= F.col(c).eqNullSafe(F.col(f"_run_{c}"))
+    return dealt.join(shifts, same).select(*found.columns, (F.col("_at") + F.col("_shift")).alias("id"))

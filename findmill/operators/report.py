@@ -54,9 +54,19 @@ def export_html(found: DataFrame, path: str) -> None:
     report_rows(found).repartitionByRange("id").sortWithinPartitions("id").select("html").write.mode("overwrite").text(path)
 
 
-def save_responses(raw: DataFrame, path: str) -> None:
-    """Append raw responses by run; name and chunk are part of the row, so nothing is overwritten."""
-    raw.withColumn("safe_name", safe_name(F.col("file"))).write.mode("append").partitionBy("run_id").parquet(path)
+def save_run(rows: DataFrame, path: str, run_id: str) -> DataFrame:
+    """Store the rows of one run in a folder of its own below ``path`` and read them again.
+
+    Other runs are neither listed nor overwritten, and a run without rows can be read too.
+    """
+    own = f"{path}/run_id={run_id}"
+    rows.drop("run_id").write.parquet(own)
+    return rows.sparkSession.read.parquet(own).withColumn("run_id", F.lit(run_id))
+
+
+def save_responses(raw: DataFrame, path: str, run_id: str) -> DataFrame:
+    """Raw responses of a run; name and chunk are part of the row, so nothing is overwritten."""
+    return save_run(raw.withColumn("safe_name", safe_name(F.col("file"))), path, run_id)
 
 
 def append_history(summary: DataFrame, path: str) -> None:

@@ -13,7 +13,7 @@ from findmill.functions.rules import mode_of, profile_of
 from findmill.operators.chunks import chunks, prompts
 from findmill.operators.findings import assign_ids, findings, select_findings, with_snippets
 from findmill.operators.inference import Backend, infer
-from findmill.operators.report import append_history, patches, save_responses
+from findmill.operators.report import append_history, patches, save_responses, save_run
 from findmill.operators.rollup import call_counters, run_summary
 from findmill.sources.tree import local_copy, source_tree
 
@@ -45,7 +45,7 @@ def run_scan(spark: SparkSession, target: str, backend: Backend, store: str, pro
     """Scan a target; None if no file matches (such runs leave no history).
 
     Responses are stored before anything is made of them, so a repeated task never calls the model for
-    the later steps again. One scan runs at a time; its Spark jobs carry the run's tag for ``stop_scan``.
+    the later steps again; findings are stored too, so each is made once. One scan runs at a time; its Spark jobs carry the run's tag for ``stop_scan``.
     """
     if not _BUSY.acquire(blocking=False):
         raise RuntimeError("a scan is running")
@@ -74,14 +74,15 @@ def _scan(spark: SparkSession, run_id: str, target: str, backend: Backend, store
     if files.isEmpty():
         return None
     cut = prompts(chunks(files, plan.chunk_size, plan.whole_file), TEMPLATE, MODE_TEXT.get(mode, MODE_TEXT["deep"]))
-    answered = infer(cut, backend, plan.model, plan.max_calls).withColumn("run_id", F.lit(run_id))
-    save_responses(answered.withColumnRenamed("path", "filepath"), f"{store}/responses")
-    calls = spark.read.parquet(f"{store}/responses").where(F.col("run_id") == run_id)
+    answered = infer(cut, backend, plan.model, plan.max_calls).withColumnRenamed("path", "filepath")
+    calls = save_responses(answered, f"{store}/responses", run_id)
     raw = calls.where("status = 'ok'").select("run_id", "filepath", "chunk_idx", "raw")
     best = assign_ids(select_findings(findings(raw), mode, ("run_id", "filepath", "chunk_idx")))
-    found = with_snippets(best, files)
-    summary = (
-        run_summary(found).join(call_counters(calls)).join(files.agg(F.count("*").alias("files")))
+    found = save_run(with_snippets(best, files), f"{store}/findings", run_id)
+    counters = call_counters(calls)
+    row = (
+        run_summary(found)
+        .withColumns({c: counters.select(c).scalar() for c in counters.columns} | {"files": files.agg(F.count("*")).scalar()})
         .select(
             F.lit(run_id).alias("id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
             F.lit(target).alias("target"), F.lit(profile).alias("profile"), F.lit(mode).alias("mode"),
@@ -89,6 +90,7 @@ def _scan(spark: SparkSession, run_id: str, target: str, backend: Backend, store
             F.col("score").cast("long").alias("score"), "successful_analyses", "failed_analyses",
         )
     )
+    summary = spark.createDataFrame([row.first()], row.schema)  # one row, so that its date stays
     if keep_history:
         append_history(summary, f"{store}/history")
     return Run(run_id, files, calls, found, summary)

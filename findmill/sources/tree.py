@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import subprocess
 import tempfile
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,26 +23,48 @@ HISTORY_SCHEMA = (
 
 
 class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
+    def __init__(self, paths: list[str], folder: str | None = None):
         super().__init__(None)
-        self.paths = paths
+        self.paths, self.folder = paths, folder
 
 
 class _TreeReader(DataSourceReader):
+    """The driver opens folders level by level until there are ``folderTasks`` of them; tasks walk the rest."""
+
     def __init__(self, options: dict):
         self.root = options["path"]
         self.suffixes = tuple(s for s in options.get("suffixes", "").split(",") if s)
         self.per_task = int(options.get("filesPerTask", 200))
+        self.most = int(options.get("folderTasks", 4096))
+
+    def _inside(self, folder: str) -> tuple[list[str], list[str]]:
+        """(folders to enter, files wanted) of one folder."""
+        _, inside, names = next(os.walk(folder), (folder, [], []))
+        below = [os.path.join(folder, d) for d in sorted(inside) if d not in PRUNED_DIRS]
+        wanted = [os.path.join(folder, n) for n in sorted(names) if not self.suffixes or n.endswith(self.suffixes)]
+        return [d for d in below if not os.path.islink(d)], wanted
 
     def partitions(self) -> list[InputPartition]:
-        found = []
-        for folder, inside, names in os.walk(self.root):
-            inside[:] = sorted(d for d in inside if d not in PRUNED_DIRS)
-            found += [os.path.join(folder, n) for n in sorted(names) if not self.suffixes or n.endswith(self.suffixes)]
-        return [_Files(found[i : i + self.per_task]) for i in range(0, len(found), self.per_task)] or [_Files([])]
+        found: list[str] = []
+        open_, opened = deque([self.root]), 0
+        while open_ and opened < self.most:
+            below, wanted = self._inside(open_.popleft())
+            open_ += below
+            found += wanted
+            opened += 1
+        tasks = [_Files(found[i : i + self.per_task]) for i in range(0, len(found), self.per_task)]
+        return tasks + [_Files([], folder) for folder in open_] or [_Files([])]
+
+    def _paths(self, partition: InputPartition) -> Iterator[str]:
+        yield from partition.paths
+        work = [partition.folder] if partition.folder else []
+        while work:
+            below, wanted = self._inside(work.pop())
+            work += below
+            yield from wanted
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for path in partition.paths:
+        for path in self._paths(partition):
             with open(path, encoding="utf-8", errors="ignore") as f:
                 name = os.path.basename(path)
                 yield path, name, os.path.splitext(name)[1].lstrip("."), f.read()

@@ -30,6 +30,18 @@ def test_source_tree(spark, tree):
     assert rows == {".env": "", "prod.env": "env", "Dockerfile": ""}
 
 
+@pytest.mark.parametrize("opened", [0, 1, 2, 3])
+def test_source_tree_walked_by_tasks(spark, tree, opened):
+    """Folders that the driver leaves are walked, and pruned, in tasks."""
+    (tree / "sub/deep/er").mkdir(parents=True)
+    (tree / "sub/deep/er/z.py").write_text("z")
+    (tree / "sub/deep/dist").mkdir()
+    (tree / "sub/deep/dist/no.py").write_text("no")
+    source_tree(spark, str(tree))
+    read = spark.read.format("srctree").option("suffixes", ".py").option("folderTasks", opened).option("filesPerTask", 1)
+    assert sorted(r.file for r in read.load(str(tree)).collect()) == ["__init__.py", "bad.py", "blank.py", "main.py", "z.py"]
+
+
 def test_scan_history_patch(spark, tree, tmp_path):
     answer = json.dumps([{"title": "t", "severity": "critical", "line": 2, "description": "d", "fix": "fixed", "confidence": 90}])
     run = run_scan(spark, str(tree), ReplayBackend(lambda p: answer), str(tmp_path / "store"), mode="rapid")
@@ -48,6 +60,17 @@ def test_scan_history_patch(spark, tree, tmp_path):
     assert run_scan(spark, str(tree / "empty"), ReplayBackend(lambda p: answer), str(tmp_path / "s3")) is None
 
 
+def test_scan_without_chunks(spark, tmp_path):
+    """Files without text count as files; there is no call, no finding, and a summary all the same."""
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/blank.py").write_text(" \n")
+    run = run_scan(spark, str(tmp_path / "src"), ReplayBackend(lambda p: "[]"), str(tmp_path / "store"))
+    summary = run.summary.first()
+    assert (run.calls.count(), run.findings.count()) == (0, 0)
+    assert (summary.stats.files, summary.score, summary.confidence_score, summary.failed_analyses) == (1, 100, 0.0, 0)
+    assert history(spark, str(tmp_path / "store/history")).first().id == run.run_id
+
+
 def test_history_generations(spark, tmp_path):
     path = tmp_path / "h.json"
     old = {"id": "a", "date": "2025-01-01T00:00:00", "target": "t", "profile": "p", "stats": {"critical": 1}, "score": 80}

@@ -113,6 +113,18 @@ def test_selection_and_ids(spark):
     assert report[0] == "<h1>Findings: 12</h1>" and "&lt;b&gt;" in report[1]
 
 
+def test_ids_over_ranges(spark):
+    """One run with most rows, one file with most of those, repeated rows, a null run and an empty table."""
+    rows = [("a", "hot", i % 400) for i in range(900)] + [("a", f"f{i}", 0) for i in range(50)] + [("b", "x", 1)] * 3 + [(None, "y", i) for i in range(5)]
+    given = spark.createDataFrame(rows, "run_id string, filepath string, n int").repartition(7)
+    made = D.assign_ids(given, order=("filepath", "n")).collect()
+    for run in ("a", "b", None):
+        own = sorted((r for r in made if r.run_id == run), key=lambda r: r.id)
+        assert [r.id for r in own] == list(range(1, len(own) + 1))
+        assert [(r.filepath, r.n) for r in own] == sorted((f, n) for x, f, n in rows if x == run)
+    assert D.assign_ids(given.where("false"), order=("filepath", "n")).count() == 0
+
+
 @pytest.mark.parametrize("size, wanted", [(0, 0), (1, 1), (11500, 1), (11501, 2), (12000, 2), (23001, 3)])
 def test_chunk_counts_and_reassembly(spark, size, wanted):
     text = "".join(chr(97 + i % 26) for i in range(size))
