@@ -129,8 +129,9 @@ def write_arc(
                     parts.append(arc_start(version, b"part-%d.arc" % n, stamp))
                 own = b"" if row is None else b"%s: %d\r\n" % (ROW_HEADER, row)
                 head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n%s\r\n" % (len(body), own)
-                parts += [arc_header(version, url, stamp, b"text/html", len(head) + len(body)), head, body, b"\n"]
-                size += len(body)
+                record = [arc_header(version, url, stamp, b"text/html", len(head) + len(body)), head, body, b"\n"]
+                parts += record
+                size += sum(map(len, record))
                 if size >= archive_bytes:
                     yield flush()
                     parts.clear()
@@ -329,7 +330,12 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     target = records.where("type = 'response'").select(
         F.col("record").alias("refers_record"), F.col("row_id").alias("refers_to")
     )
-    return records.join(target, "refers_record", "left").select(
+    # Responses refer to nothing: they stay out of the join, where they would all have one key.
+    none = F.lit(None).cast("long").alias("refers_to")
+    found = records.where("type = 'response'").withColumn("refers_to", none).unionByName(
+        records.where("type = 'revisit'").join(target, "refers_record", "left")
+    )
+    return found.select(
         F.col("row_id").alias(id_col), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to"
     )
 

@@ -98,3 +98,10 @@ def test_files_are_archives_that_others_can_read(spark, tmp_path):
     assert len(again) == 27
     targets = {r.record for r in W.read_warc(W.archives(spark, warc)).collect() if r.type == "response"}
     assert {r.refers_record for r in again} == targets
+
+
+def test_rows_without_payload_fill_archives_too(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "http://h/", None) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    W.write_arc(pages, f"file://{tmp_path}/arc", "page_id", "url", "html", archive_bytes=2000)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "arc").glob("*.gz")]
+    assert len(sizes) > 3 and max(sizes) < 2600
