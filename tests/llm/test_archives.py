@@ -101,7 +101,7 @@ def test_files_are_archives_that_others_can_read(spark, tmp_path):
 
 
 def test_rows_without_payload_fill_archives_too(spark, tmp_path):
-    pages = spark.createDataFrame([(i, "http://h/", None) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    pages = spark.createDataFrame([(i, "http://h/", None) for i in range(80)], "page_id long, url string, html string").coalesce(1)
     W.write_arc(pages, f"file://{tmp_path}/arc", "page_id", "url", "html", archive_bytes=2000)
     sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "arc").glob("*.gz")]
     assert len(sizes) > 3 and max(sizes) < 2600
