@@ -98,3 +98,17 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert sorted(found.columns) == ["doc_id", "entities", "text"]
     assert sorted((r.doc_id, r.text, len(r.entities)) for r in found.collect()) == [(1, None, 0), (2, "", 0), (2, "", 0)]
     assert R.pseudonymise(df.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("write to a@b.org", "email"), ("ask 8.8.8.8 first", "ip"), ("at 1.1.1.1", "ip"), ("DE89 3704 0044 0532 0130 00", "iban"),
+        ("my 078-05-1120", "ssn"), ("4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "card"), ("call +1 2 3 4 5 6 7", "phone"),
+        *((f"{before}{title}{dot} {name}", "name") for titles in R.TITLES.values() for title in titles for dot in (".", "") for before in ("", "– ", "ο ")
+          for name in ("Lee", "Иванов", "Παπαδόπουλος")),
+    ],
+)
+def test_texts_with_a_single_entity_are_not_passed_over(text, kind):
+    made, found = R.replace(KEY, text.encode())
+    assert [x[2] for x in found] == [kind] and made != text
