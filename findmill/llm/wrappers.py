@@ -8,7 +8,8 @@ expression for each task and host is shuffled; those are aligned in two steps, f
 
 The finished wrapper says which places of the host hold content: places inside an article, else inside
 main, else anywhere in the body, always without menus, headers, footers, sidebars, notices, adverts,
-forms and comments, which are known by element, role, class or id. Outside an article, texts that are the
+forms and comments, which are known by element, or by a class, role or id that is a listed word or made of
+listed words only (cookie-notice, not no-sidebar); html, body, main and article are never judged by name. Outside an article, texts that are the
 same on all pages of a host with ``MIN_PAGES`` or more are part of the template and dropped too, unless
 the pages have no other text. Pages are then read once more with their host's wrapper.
 
@@ -64,6 +65,8 @@ OTHER_WORDS = {
     "popup", "promo", "promotion", "related", "replies", "search", "share", "sharing", "sidebar", "signup", "skip",
     "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Elements whose class, id and role describe the page or the content, whatever words they hold.
+CONTAINERS = {"html", "body", "main", "article"}
 
 
 class Place:
@@ -77,8 +80,9 @@ class Place:
         self.key = xxhash.xxh64_intdigest(f"{parent.key if parent else 0}/{label}") - 2**63
         above = parent.level if parent else 3
         kinds = set(words.split("."))
-        self.masthead = bool(parent and parent.masthead) or self.tag == "header" or "header" in kinds
-        if above == 0 or self.tag in OTHER_TAGS or kinds & OTHER_WORDS:
+        named = set() if self.tag in CONTAINERS else kinds
+        self.masthead = bool(parent and parent.masthead) or self.tag == "header" or "header" in named
+        if above == 0 or self.tag in OTHER_TAGS or "[hidden]" in kinds or named & OTHER_WORDS:
             self.level = 0
         elif self.tag == "article":
             self.level = 1
@@ -106,9 +110,15 @@ def _label(tag: str, attributes: str) -> str:
     words = set()
     for name, *values in _ATTRIBUTE.findall(attributes):
         if name.lower() == "hidden":
-            words.add("hidden")
+            words.add("[hidden]")
         else:
-            words.update(_WORDS.findall(_CAMEL.sub(" ", "".join(values)).lower()))
+            for name in "".join(values).split():
+                parts = _WORDS.findall(_CAMEL.sub(" ", name).lower())
+                if OTHER_WORDS.issuperset(parts):  # cookie-notice is furniture, no-sidebar is not
+                    words.update(parts)
+                elif parts:
+                    words.add("-".join(parts))
+                    words.update({"main"}.intersection(parts) if OTHER_WORDS.isdisjoint(parts) else ())
     return ".".join([tag, *sorted(words)]) if words else tag
 
 

@@ -96,3 +96,20 @@ def test_query_over_the_table(spark):
         assert row.url == pages[row.page_id].url and row.n_chars == len(row.text)
         assert "<script" not in row.text and "  " not in row.text
     assert sum(r.n_chars > 0 for r in found) > len(found) // 2
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html class='no-search'><body><p>kept</p></body></html>", "<body class='no-sidebar widget search'><p>kept</p></body>",
+        "<main class='comments' id='search'><p>kept</p></main>", "<article class='post category-social related'><p>kept</p></article>",
+        "<article class=header><p>kept</p></article>", "<div class='elementor-widget'><p>kept</p></div>", "<div class='hasSidebar'><p>kept</p></div>",
+        "<div id=research-share-price><p>kept</p></div>",
+    ],
+)
+def test_words_in_names_of_content_lose_no_text(page):
+    furniture = "<div class='cookie-notice'>n</div><div class='x sidebar'>n</div><div id=navMenu>n</div><article hidden>n</article>"
+    root = H.Place(None, "")
+    for more in ("", furniture):
+        text = page.replace("<p>kept", f"{more}<p>kept")
+        assert H.main_text(text, {}, set(), root) == "kept"
