@@ -5,9 +5,9 @@ the last word. An automaton over the last role says which turn may follow. For a
 the rules, dynamic programming finds the cheapest edits: merge a turn into the one before it, relabel it,
 or insert empty turns. The repaired sequence is then rendered with turn markers.
 
-A long conversation is never gathered. Its turns are cut into segments of ``SEGMENT`` turn numbers. Each
-segment is read as a stream and gives one small matrix: the cheapest cost from every state before it to
-every state after it. The matrices of a conversation, a few numbers for each segment, give the state at
+A long conversation is never gathered. All turns are sorted over range partitions, and each conversation's
+share of a partition is cut into segments of ``SEGMENT`` rows. Each segment gives one small matrix: the
+cheapest cost from every state before it to every state after it. The matrices of a conversation, a few numbers for each segment, give the state at
 each cut, and then each segment is repaired and rendered by itself between its two states. The pieces of
 a conversation, in order, are its rendered text.
 """
@@ -15,9 +15,10 @@ a conversation, in order, are its rendered text.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby, product
+from itertools import product
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,48 +110,70 @@ def _runs(batches: Iterator[pa.RecordBatch], key_columns: int) -> Iterator[tuple
 
 
 def segments(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """(conv, seg, turn, role, text); null turns come first.
+    """(kind, conv, seg, turn, role, text, n, costs): turns (kind 1) and one matrix a segment (kind 0), null turns first.
 
-    Of exact repeats of a turn that lie near each other only one is left, so that very many do not all
-    go to one task; the others fall away where the rows of a segment meet.
+    Exact repeats of a numbered turn of a known conversation are one turn, and ``n`` counts them. Turns
+    without a number or a conversation all stay: a number of their own spreads even equal ones over the
+    range partitions.
     """
-    turn = F.col(turn_col).cast("long")
     given = df.select(
-        F.col(conv_col).alias("conv"),
-        F.coalesce(F.floor(turn / SEGMENT), F.lit(-(2**62))).cast("long").alias("seg"),
-        turn.alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"),
-    )
+        F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
+        F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"),
+    ).withColumn("own", F.when(F.col("conv").isNull() | F.col("turn").isNull(), F.monotonically_increasing_id()))
     kind = df.schema[conv_col].dataType.simpleString()
-    return arrow_map(given, f"conv {kind}, seg long, turn long, role string, text string", _once)
+    order = ["conv", "turn", "role", "text", "own"]
+    once = arrow_map(given.select(*order), f"conv {kind}, turn long, role string, text string, own long, n long", _once)
+    return once.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        _segments, f"kind int, conv {kind}, seg long, turn long, role string, text string, n long, costs array<long>"
+    )
 
 
 def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
-    rows = pa.Table.from_batches([batch]).group_by(batch.schema.names, use_threads=False).aggregate([])
-    return rows.combine_chunks().to_batches()[0]
+    """Repeats that lie near each other are counted before the shuffle."""
+    names = batch.schema.names
+    rows = pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([([], "count_all")])
+    return rows.select([*names, "count_all"]).rename_columns([*names, "n"]).combine_chunks().to_batches()[0]
 
 
-def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One matrix a segment; only the current segment's four rows of costs are held."""
-    key = costs = before = None
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the segments of a sorted partition; a segment's rows come before its matrix."""
+    seg = TaskContext.get().partitionId() << 32
+    names = ["kind", "conv", "seg", "turn", "role", "text", "n", "costs"]
+    rows: list[tuple] = []
+    conv, costs, size, before = object(), None, 0, None
+    conv_type = pa.null()
 
     def out() -> pa.RecordBatch:
-        made = [pa.array([key[0]], conv_type), pa.array([key[1]], pa.int64()), pa.array([sum(costs, [])], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(made, ["conv", "seg", "costs"])
+        types = (pa.int32(), conv_type, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()))
+        made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
+        rows.clear()
+        return made
+
+    def turn_of(key: tuple, n: int) -> None:
+        nonlocal conv, costs, size, seg
+        if size == SEGMENT or size and key[0] != conv:
+            rows.append((0, conv, seg, None, None, None, None, sum(costs, [])))
+            seg, size = seg + 1, 0
+        if not size:
+            conv, costs = key[0], [[0 if a == b else FAR for b in range(4)] for a in range(4)]
+        rows.append((1, conv, seg, *key[1:4], n, None))
+        costs = [step_costs(row, role_of(key[2])) for row in costs]
+        size += 1
 
     for batch in batches:
         conv_type = batch.column(0).type
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row == before:
+        for *key, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if before is not None and key == before[0]:
+                before[1] += n
                 continue
-            before = row
-            conv, seg, _, role, _ = row
-            if (conv, seg) != key:
-                if key is not None:
-                    yield out()
-                key = (conv, seg)
-                costs = [[0 if a == b else FAR for b in range(4)] for a in range(4)]
-            costs = [step_costs(row, role_of(role)) for row in costs]
-    if key is not None:
+            if before is not None:
+                turn_of(*before)
+            before = [key, n]
+            if len(rows) >= SEGMENT:
+                yield out()
+    if before is not None:
+        turn_of(*before)
+        rows.append((0, conv, seg, None, None, None, None, sum(costs, [])))
         yield out()
 
 
@@ -180,69 +203,65 @@ def _typed(batches: Iterator[pa.RecordBatch], kinds: list) -> Iterator[pa.Record
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv", "seg", "pos", "turn", "role", "action", "text", "rendered"]
+    names = ["conv", "seg", "pos", "turn", "role", "action", "text", "rendered", "repeats"]
     for (conv, seg), rows in _runs(_typed(batches, kinds := []), 2):
-        # The segment's states come first, then its turns, exact repeats next to each other.
-        entry, leave, last, first = rows[0][4:]
-        turns = [row[1:4] for row, _ in groupby(rows[1:])]
+        # The segment's states come first, then its turns.
+        entry, leave, last, first = rows[0][5:]
+        turns = [row[1:5] for row in rows[1:]]
         out: list[tuple] = []
 
-        def add(turn: int | None, role: int, action: str, text: str) -> None:
+        def add(turn: int | None, role: int, action: str, text: str, n: int = 0) -> None:
             opening = "" if first and not out else "<|end|>\n"
-            out.append((turn, ROLES[role], action, text, f"{opening}<|{ROLES[role]}|>\n{text}"))
+            out.append((turn, ROLES[role], action, text, f"{opening}<|{ROLES[role]}|>\n{text}", n))
 
         state = entry
-        for (turn, name, text), (inserted, target) in zip(turns, repair([role_of(r[1]) for r in turns], entry, leave)):
+        for (turn, name, text, n), (inserted, target) in zip(turns, repair([role_of(r[1]) for r in turns], entry, leave)):
             for role in inserted:
                 add(None, role, "insert", "")
                 state = role
             text = text or ""
             if target:
-                add(turn, target, "keep" if role_of(name) == target else "relabel", text)
+                add(turn, target, "keep" if role_of(name) == target else "relabel", text, n)
                 state = target
             else:
-                out.append((turn, ROLES[state], "merge", text, f"\n{text}" if text else ""))
+                out.append((turn, ROLES[state], "merge", text, f"\n{text}" if text else "", n))
         if last:
             for role in CLOSE[leave][1]:
                 add(None, role, "insert", "")
-            turn, role, action, text, piece = out[-1]
-            out[-1] = (turn, role, action, text, piece + "<|end|>\n")
-        n = len(out)
-        columns = [pa.array([conv] * n, kinds[0]), pa.array([seg] * n, pa.int64()), pa.array(range(n), pa.int64())]
-        columns += [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), *[pa.string()] * 4))]
+            *head, piece, n = out[-1]
+            out[-1] = (*head, piece + "<|end|>\n", n)
+        size = len(out)
+        columns = [pa.array([conv] * size, kinds[0]), pa.array([seg] * size, pa.int64()), pa.array(range(size), pa.int64())]
+        columns += [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), *[pa.string()] * 4, pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def repaired(
     df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
-    """(``conv_col``, seg, pos, turn, role, action, text, rendered): the turns after repair, in order (seg, pos).
+    """(``conv_col``, seg, pos, turn, role, action, text, rendered, repeats): the turns after repair, in order (seg, pos).
 
     ``action`` is keep, merge (into the turn before), relabel or insert. ``rendered`` pieces joined in
     order are the formatted conversation. Null roles and unknown ones are relabelled, null texts are
     empty, null turns come first, rows without a conversation id are one conversation. Turns with one
-    number are ordered by role and text; an exact repeat of a turn counts once. An empty table gives an
-    empty result.
+    number are ordered by role and text; an exact repeat of a numbered turn in a known conversation counts
+    once, and ``repeats`` says how many rows it had (0: an inserted turn). All other rows stay. An empty
+    table gives an empty result.
     """
-    turns = segments(df, conv_col, turn_col, role_col, text_col)
     kind = df.schema[conv_col].dataType.simpleString()
-    # Costs need the order of roles only: digests tell texts apart, and the texts stay where they are.
-    lean = turns.select("conv", "seg", "turn", "role", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
-    matrices = (
-        lean.repartition("conv", "seg").sortWithinPartitions(*lean.columns)
-        .mapInArrow(_matrices, f"conv {kind}, seg long, costs array<long>")
-    )
+    found = written(segments(df, conv_col, turn_col, role_col, text_col), "chat-segments")
+    matrices = found.where("kind = 0").select("conv", "seg", "costs")
     states = "entry long, leave long, last boolean, first boolean"
     cuts = written(
         matrices.repartition("conv").sortWithinPartitions("conv", "seg").mapInArrow(_cuts, f"conv {kind}, seg long, {states}"),
         "chat-cuts",
     )
-    # States and turns of a segment meet in the one shuffle of the texts, without a join.
-    both = cuts.withColumn("kind", F.lit(0)).unionByName(turns.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    # States and turns of a segment meet in one shuffle of the texts, without a join.
+    both = cuts.withColumn("kind", F.lit(0)).unionByName(found.where("kind = 1").drop("costs"), allowMissingColumns=True)
     order = ["conv", "seg", "kind", "turn", "role", "text"]
     made = (
-        both.select(*order, "entry", "leave", "last", "first").repartition("conv", "seg").sortWithinPartitions(*order)
-        .mapInArrow(_render, f"conv {kind}, seg long, pos long, turn long, role string, action string, text string, rendered string")
+        both.select(*order, "n", "entry", "leave", "last", "first").repartition("conv", "seg").sortWithinPartitions(*order)
+        .mapInArrow(_render, f"conv {kind}, seg long, pos long, turn long, role string, action string, text string, rendered string, repeats long")
     )
     return made.withColumnRenamed("conv", conv_col)
 

@@ -109,3 +109,22 @@ def test_query_over_the_table(spark):
     for rows in found.values():
         assert legal([C.ROLES.index(r.role) for r in rows if r.action != "merge"])
         assert "".join(r.rendered for r in rows).endswith("<|end|>\n")
+
+
+def test_lost_turns_stay_and_repeats_are_counted(spark):
+    rows = [(None, 1, "user", "yes")] * 3 + [(7, None, "user", "yes")] * 2 + [(8, 0, "user", "b")] * 4 + [(8, 1, "assistant", "c")]
+    found = rendered(spark, rows)
+    assert found[None][0].count("yes") == 3 and found[7][0].count("yes") == 2 and found[8][1] == ["keep", "keep"]
+    assert [r.repeats for r in found[8][2]] == [4, 1] and sum(r.repeats for r in found[None][2]) == 3
+
+
+def test_a_hot_group_is_cut_into_segments_over_tasks(spark):
+    df = spark.range(6 * C.SEGMENT, numPartitions=5).selectExpr("cast(null as long) conv_id", "cast(null as long) turn", "'user' role", "'same' text")
+    parts = C.segments(df, "conv_id", "turn", "role", "text").where("kind = 1").selectExpr("seg", "shiftright(seg, 32) part")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few here
+    sizes = parts.groupBy("part", "seg").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in sizes) == 6 * C.SEGMENT and max(r["count"] for r in sizes) <= C.SEGMENT
+    assert len({r.part for r in sizes}) > 1
+    found = sorted(C.repaired(df).collect(), key=lambda r: (r.seg, r.pos))
+    assert sum(r.repeats for r in found) == 6 * C.SEGMENT and legal([C.ROLES.index(r.role) for r in found if r.action != "merge"])
