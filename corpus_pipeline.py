@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findmill.llm import anchor_simhash, fertility, secret_worklist, spfhp
+from findmill.llm import fertility, near_copies, secret_worklist, spfhp
 from findmill.llm.common import read_table, written
 
 
@@ -21,12 +21,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays.
+    """Of each group of near copies (5-word shingles, Jaccard 0.8 or more) the document with the smallest id stays.
 
     Rows that share an id are one document. Rows without an id all stay. The ids that go are written
     first, so Spark knows their size and picks the join.
     """
-    found = anchor_simhash.near_duplicates(docs)
+    found = near_copies.near_copies(docs)
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
