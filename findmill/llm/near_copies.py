@@ -24,7 +24,7 @@ from findmill.llm.anchor_simhash import SEED, _with_end, components
 from findmill.llm.common import arrow_map, buffers, utf8, written
 
 WORDS = 5
-SAMPLE, COMMON = 20_000, 20
+SAMPLE, COMMON = 4000, 8
 
 
 def shingles(raw: bytes) -> np.ndarray:
@@ -146,13 +146,15 @@ def _verified(pairs: DataFrame, firsts: DataFrame, given: DataFrame) -> DataFram
     """The pairs whose whole sets are similar. Only texts of pairs are cut into shingles again."""
     pairs = written(pairs.distinct(), "near-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    need = written(firsts.select("node", "sig", "text_hash").join(nodes, "node", "left_semi"), "near-needed")
+    need = written(firsts.select("node", "sig", "text_hash", "first_id").join(nodes, "node", "left_semi"), "near-needed")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(x) for x in buffers(batch.column(0))]
         return pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.binary()) for f in (_sig, np.ndarray.tobytes)], ["sig", "hashes"])
 
-    texts = given.join(need.select("text_hash"), "text_hash", "left_semi").select("raw").distinct()
+    # A text of each set, that of its first id: exact copies are not cut.
+    one = need.select(F.col("text_hash").alias("wanted"), "first_id")
+    texts = given.join(one, (F.col("text_hash") == F.col("wanted")) & F.col("_id").eqNullSafe(F.col("first_id")), "left_semi").select("raw")
     made = arrow_map(texts, "sig binary, hashes binary", sets).join(need.select("sig", "node"), "sig").select("node", "hashes")
     kept = written(made.dropDuplicates(["node"]), "near-sets")
     both = pairs.join(kept.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
@@ -176,7 +178,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     given = df.select(F.col(id_col).alias("_id"), utf8(F.col(text_col)).alias("raw")).withColumn("text_hash", F.xxhash64("raw"))
     rows = written(_rows(given, _common(given), df.schema[id_col].dataType.simpleString()), "near-rows")
     parts = ("n", "sketch", "tokens", "text_hash")
-    grouped = rows.groupBy("sig").agg(F.min("_id").alias("first_id"), *(F.first(c).alias(c) for c in parts))
+    grouped = rows.groupBy("sig").agg(F.min("_id").alias("first_id"), *(F.first(c).alias(c) for c in parts[:3]), F.coalesce(F.min_by("text_hash", "_id"), F.first("text_hash")).alias("text_hash"))
     firsts = written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-firsts")
     # Most tokens belong to one set; they go before anything else is copied beside them.
     tokens = firsts.select(F.explode("tokens").alias("token"), "node").repartition("token").sortWithinPartitions("token")

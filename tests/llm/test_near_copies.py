@@ -38,3 +38,12 @@ def test_the_stage_drops_near_copies_of_the_table(spark):
     ids = sorted(texts)
     want = {i for i, r in zip(ids, brute([texts[i] for i in ids])) if i == ids[r]}
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == want
+
+
+def test_rows_without_ids_take_part(spark):
+    words = [f"w{i}" for i in range(100)]
+    first, second, third = (" ".join([*words[:at], "new", *words[at + 1 :]]) for at in (2, 50, 97))
+    df = spark.createDataFrame([(None, first), (None, first), (5, second), (None, third), (9, "other")], "doc_id long, text string")
+    found = sorted(r.component_id for r in N.near_copies(df).collect())
+    assert found == [5, 5, 5, 5, 9]
+    assert N.near_copies(df.limit(0)).count() == 0
