@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, SimHash near-duplicates, secret scan, packing.
+"""The corpus pipeline: quality rules, near-duplicates, secret scan, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the
 next stage's docs. All but the last return the columns of ``documents``.
