@@ -230,39 +230,48 @@ def links(distinct: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     return found.where("kind = 0").union(second).select("a", "b").distinct()
 
 
+HUB_ROWS, MOST_HUBS = 100, 10_000
+
+
+def _beside_lowest(edges: DataFrame, most: int) -> DataFrame:
+    """``edges`` (u, v) with ``low``, the smallest v of u. The rows of hubs are not dealt by u.
+
+    Hubs have more than ``most`` edges. Their minima are broadcast; all other rows meet theirs in a shuffle.
+    """
+    found = edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("degree"))
+    hubs = F.broadcast(found.where(F.col("degree") > most).select("u", F.col("low").alias("hub_low")))
+    split = edges.join(hubs, "u", "left")
+    others = found.where(F.col("degree") <= most).select("u", "low")
+    return split.where("hub_low IS NOT NULL").select("u", "v", F.col("hub_low").alias("low")).union(
+        split.where("hub_low IS NULL").select("u", "v").join(others, "u")
+    )
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root): the smallest node each node of ``edges`` (a, b) is connected with.
 
-    Large-star and small-star steps alternate until the edges are stars. Each round is a table in the
-    shared folder. Minima are aggregated before the shuffle, and the joins are plain equi-joins, which
-    Spark's adaptive execution splits where one hub has very many neighbours.
+    Large-star and small-star steps alternate until a round changes no edge. Each round is a table in the
+    shared folder; the one before is removed. Minima are aggregated before the shuffle. A hub has more than
+    HUB_ROWS edges and more than one in MOST_HUBS of all, so at most 2 MOST_HUBS minima are broadcast.
     """
-    now, before = written(edges.where("a <> b"), "edges"), None
+    now = written(edges.where("a <> b").distinct(), "edges")
+    count = now.count()
     for _ in range(max_rounds):
+        most = max(HUB_ROWS, count // MOST_HUBS)
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b"))
-        down = large.where("a <> b").select(
-            F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-        ).distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("low"))
-        small = down.join(least, "u")
-        stars = (
-            small.select(F.col("v").alias("a"), F.col("low").alias("b"))
-            .union(least.select("u", "low"))
-            .where("a <> b")
-            .distinct()
-        )
-        after = written(stars, "edges")
-        mark = after.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        large = _beside_lowest(both, most).where("v > u").withColumn("low", F.least("u", "low"))
+        down = large.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        small = _beside_lowest(down, most)
+        stars = small.select(F.col("v").alias("a"), F.col("low").alias("b")).union(small.select("u", "low"))
+        after = written(stars.where("a <> b").distinct(), "edges")
+        before, count = count, after.count()
+        # Both tables hold distinct rows, so they are equal if as many and none is new.
+        settled = count == before and after.join(now, ["a", "b"], "left_anti").isEmpty()
         discard(now)
         now = after
-        if tuple(mark) == before:
-            break
-        before = tuple(mark)
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if settled:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(

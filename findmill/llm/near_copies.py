@@ -1,18 +1,28 @@
-"""Near copies by exact Jaccard similarity of 5-word shingles, 0.8 or more.
-
-Two sets that similar share one of the first n - ceil(0.8 n) + 1 shingles of each, in any order common to
-all sets, so sets are compared where such a shingle (a token) is the same. The order puts shingles that a
-sample shows to be common last; it bears on the work only. Sizes, and the bits in which two 512-bit parity
-sketches differ (never more than the shingles in which the sets do), rule pairs out without losing one. What
-is left is verified on the whole sets.
-
-First every set is compared with its neighbours of a token; then, where sets of a token are not connected
-yet, all pairs are. So a large group of near copies costs few pairs, and connectivity is that of all links.
+"""SimHash near-duplicates at a similarity of 0.8 or more: the anchors of a covering code for wider fingerprints.
+
+``anchor_simhash`` links fingerprints of 64 bits at 3 or fewer differing bits. Texts whose sets of 5-word
+shingles have a Jaccard similarity of 0.8 differ in about 10 of 64 bits, so no such radius links them. Here
+the fingerprint has 512 bits, and each of ``TABLES`` blocks of 23 of them is searched with a threshold of
+one: the anchors are the words of the perfect [23, 12] Golay code, whose covering radius is 3, and a text is
+copied to every anchor within 3 + 1 = 4 of its block (1 or 6 of them). A block counts only together with
+the least shingle of the text under the block's own hash, so unrelated texts do not meet, however many.
+Where a key (least shingle, anchor) is shared, fingerprints are compared; pairs within ``FAR`` bits are
+verified by the exact similarity of their whole sets of shingles, so no link is false.
+
+Recall: a pair with similarity exactly 0.8 has the least shingle of a table in common with probability 0.8,
+and an anchor with 0.60, so one of nine tables shows it with 0.997; at 0.85 it is 0.9997. Equal sets are
+merged before and never missed. ``FAR`` lies 4.6 standard deviations above what 0.8 gives.
+
+Two passes. First each text of a key is compared with the text in the middle of those it is near to; keys
+with very many texts are dealt into parts, other ones for every table. Then, in keys whose texts are not all
+connected yet, all texts are compared that are not connected. So a large group of near copies costs few
+pairs, and connectivity is that of all links found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findmill.llm.anchor_simhash import SEED, _with_end, components
-from findmill.llm.common import arrow_map, buffers, utf8, written
+from findmill.llm.common import arrow_map, buffers, discard, utf8, written
 
 WORDS = 5
-SAMPLE, COMMON = 4000, 8
+BITS = 512
+TABLES = 9
+FIRST_TABLES = 3
+FAR = 115
+PART_ROWS = 1024
+_SLICE = 1 << 14
+_ROUNDS = np.random.default_rng(SEED)
+#: Odd factors: of the eight words of a shingle's 512 bits, and of the hash of each table.
+_WIDEN = _ROUNDS.integers(0, 2**63, BITS // 64, np.uint64) * np.uint64(2) + np.uint64(1)
+_TABLE = _ROUNDS.integers(0, 2**63, TABLES, np.uint64) * np.uint64(2) + np.uint64(1)
+#: The bits of each block.
+_BLOCKS = np.stack([_ROUNDS.choice(BITS, 23, replace=False) for _ in range(TABLES)])
 
 
 def shingles(raw: bytes) -> np.ndarray:
@@ -44,113 +65,193 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * shared >= 4 * (len(a) + len(b))
 
 
-def _sig(found: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(found.tobytes())
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
 
-def _sketch(found: np.ndarray) -> bytes:
-    odd = np.bincount((found & np.uint64(511)).astype(np.int64), minlength=512) & 1
-    return np.packbits(odd.astype(bool)).tobytes()
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """SimHash of 512 bits (as bits) of a set of shingles; no shingles give zeros."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(found), _SLICE):
+        part = _mixed(found[at : at + _SLICE, None] * _WIDEN)
+        bits = np.unpackbits(part.view(np.uint8), axis=1)
+        for i in range(0, len(bits), 255):  # sums of 255 bits fit in a byte
+            ones += np.add.reduce(bits[i : i + 255], axis=0, dtype=np.uint8)
+    return (2 * ones > len(found)).astype(np.uint8)
 
 
-def _common(given: DataFrame) -> np.ndarray:
-    """Shingles of COMMON or more texts of a sample."""
-    part = given.select("raw").sample(min(1.0, SAMPLE / max(1, given.count())), seed=SEED)
+def least_shingles(found: np.ndarray) -> np.ndarray:
+    """The least hash of a set of shingles for each table."""
+    least = np.full(TABLES, np.uint64(2**64 - 1))
+    for at in range(0, len(found), _SLICE):
+        least = np.minimum(least, _mixed(found[at : at + _SLICE, None] * _TABLE).min(axis=0))
+    return least
 
-    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(x) for x in buffers(batch.column(0))]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
 
-    counts = arrow_map(part, "token long", per_batch).groupBy("token").count()
-    rows = counts.where(F.col("count") >= COMMON).select("token").collect()
-    return np.sort(np.array([r.token for r in rows], np.int64).view(np.uint64))
+def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the [23, 12] Golay code: syndromes of the bits; per syndrome the error of up to 3 bits, and those of 4."""
+    generator = 0b101011100011
+
+    def rest(word: int) -> int:
+        for i in range(22, 10, -1):
+            if word >> i & 1:
+                word ^= generator << (i - 11)
+        return word
+
+    single = [rest(1 << i) for i in range(23)]
+    nearest, further = np.zeros(2048, np.uint32), [[] for _ in range(2048)]
+    for n in range(1, 5):
+        for places in combinations(range(23), n):
+            syndrome = 0
+            for i in places:
+                syndrome ^= single[i]
+            error = sum(1 << i for i in places)
+            if n < 4:
+                nearest[syndrome] = error
+            else:
+                further[syndrome].append(error)
+    return np.array(single, np.uint32), nearest, np.array([x if x else [0] * 5 for x in further], np.uint32)
+
 
+_SINGLE, _NEAREST, _FURTHER = _golay()
 
-def _rows(given: DataFrame, common: np.ndarray, kind: str) -> DataFrame:
-    shared = given.sparkSession.sparkContext.broadcast(common)
 
+def golay_anchors(words: np.ndarray) -> np.ndarray:
+    """The anchors within 4 of each word of 23 bits, six a row; where there is one only, it is repeated."""
+    syndrome = np.zeros(len(words), np.uint32)
+    for i in range(23):
+        syndrome ^= ((words >> np.uint32(i)) & np.uint32(1)) * _SINGLE[i]
+    nearest = (words ^ _NEAREST[syndrome])[:, None]
+    far = _FURTHER[syndrome]
+    return np.concatenate([nearest, np.where(far > 0, words[:, None] ^ far, nearest)], axis=1)
+
+
+def keys(least: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """For each text a row of keys, one for every (table, least shingle, anchor); the lowest four bits are the table."""
+    blocks = np.zeros((len(bits), TABLES), np.uint32)
+    for i in range(23):
+        blocks |= bits[:, _BLOCKS[:, i]].astype(np.uint32) << np.uint32(i)
+    anchors = golay_anchors(blocks.ravel()).reshape(len(bits), TABLES, 6).astype(np.uint64)
+    both = _mixed(least[:, :, None] ^ (anchors * np.uint64(0x9E3779B97F4A7C15)))
+    return ((both & ~np.uint64(15)) | np.arange(TABLES, dtype=np.uint64)[:, None]).reshape(len(bits), TABLES * 6)
+
+
+def _rows(given: DataFrame, kind: str) -> DataFrame:
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sigs, sizes, sketches, tokens = [], [], [], []
+        sigs, sizes, prints, least = [], [], [], []
         for raw in buffers(batch.column(1)):
             found = shingles(raw)
-            order = np.concatenate([found[~(often := np.isin(found, shared.value))], found[often]])
-            sigs.append(_sig(found))
+            sigs.append(xxhash.xxh3_128_digest(found.tobytes()))
             sizes.append(len(found))
-            sketches.append(_sketch(found))
-            tokens.append(order[: len(found) - (4 * len(found) + 4) // 5 + 1].view(np.int64))
-        made = [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), *made, batch.column(2)], ["_id", "sig", "n", "sketch", "tokens", "text_hash"])
+            prints.append(wide_fingerprint(found))
+            least.append(least_shingles(found))
+        bits = np.stack(prints)
+        made = [np.unique(x) for x in keys(np.stack(least), bits).view(np.int64)]
+        fps = [x.tobytes() for x in np.packbits(bits, axis=1)]
+        columns = [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(made, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], ["_id", "sig", "n", "fp", "keys", "text_hash"])
 
-    return arrow_map(given, f"_id {kind}, sig binary, n long, sketch binary, tokens array<long>, text_hash long", per_batch)
+    return arrow_map(given, f"_id {kind}, sig binary, n long, fp binary, keys array<long>, text_hash long", per_batch)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token those whose token is not alone."""
-    held = None
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of whole runs of rows with one value in the first column, some runs at a time."""
+    held: list[np.ndarray] | None = None
     for batch in _with_end(batches):
         if batch is not None:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            new = [
+                np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, BITS // 64) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False)
+                for c in batch.columns
+            ]
             held = [np.concatenate(x) for x in zip(held, new)] if held else new
         if not held or not len(held[0]):
             continue
-        token = held[0]
-        end = len(token) if batch is None else int(np.searchsorted(token, token[-1]))
-        same = token[1:end] == token[: max(0, end - 1)]
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if end else np.zeros(0, bool)
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[:end][keep]) for x in held], ["token", "node"])
+        first = held[0]
+        end = len(first) if batch is None else int(np.searchsorted(first, first[-1]))
+        if end:
+            yield [x[:end] for x in held]
         held = [x[end:] for x in held]
 
 
-def _compare(whole: bool):
-    """Task over rows sorted by token and size: pairs that may be similar and are in different components."""
+def _bounds(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs."""
+    starts = np.concatenate([[0], np.flatnonzero(first[1:] != first[:-1]) + 1])
+    return starts, np.diff(np.append(starts, len(first)))
+
 
-    def pairs(token: np.ndarray, n: np.ndarray, node: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at, k = np.flatnonzero(token[1:] == token[:-1]), 1
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key those whose key is not alone, and the rows of their key."""
+    for key, node in _runs(batches):
+        _, sizes = _bounds(key)
+        sizes = np.repeat(sizes, sizes)
+        keep = sizes > 1
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, sizes)], ["key", "node", "size"])
+
+
+def _mixed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node, root) sorted by key those whose key has several roots."""
+    for key, node, root in _runs(batches):
+        starts, sizes = _bounds(key)
+        keep = np.repeat(np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts), sizes)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, root)], ["key", "node", "root"])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    two = np.unique(np.sort(np.stack([a, b]), axis=0), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(side) for side in two], ["a", "b"])
+
+
+def _to_middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, node, fp) sorted by part: each row with the middle one of those near to it."""
+    for part, node, fp in _runs(batches):
+        starts, sizes = _bounds(part)
+        for at, size in zip(starts.tolist(), sizes.tolist()):
+            left = np.arange(at, at + size)
+            while len(left) > 1:
+                bits = np.unpackbits(fp[left].view(np.uint8), axis=1)
+                usual = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(left)).view(np.uint64)
+                middle = left[np.bitwise_count(fp[left] ^ usual).sum(axis=1, dtype=np.int64).argmin()]
+                near = np.bitwise_count(fp[left] ^ fp[middle]).sum(axis=1, dtype=np.int64) <= FAR
+                mine = left[near & (left != middle)]
+                if len(mine):
+                    yield _pairs(node[mine], np.full(len(mine), node[middle]))
+                left = left[~near]
+
+
+def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, root, n, fp) sorted by key and n: all pairs that are near and have different roots."""
+    for key, node, root, n, fp in _runs(batches):
+        at, k = np.flatnonzero(key[1:] == key[:-1]), 1
         while len(at):
             to = at + k
-            near = root[at] != root[to]
-            near[near] = 5 * n[at[near]] >= 4 * n[to[near]]
-            a, b = at[near], to[near]
-            for i in range(0, len(a), 1 << 18):
-                x, y = a[i : i + (1 << 18)], b[i : i + (1 << 18)]
-                may = 9 * np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y]
-                if may.any():
-                    two = np.sort(np.stack([node[x[may]], node[y[may]]]), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(side) for side in two], ["a", "b"])
-            if not whole and k == 2:
-                return
+            ask = root[at] != root[to]
+            a, b = at[ask], to[ask]
+            for i in range(0, len(a), 1 << 16):
+                x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+                near = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= FAR
+                if near.any():
+                    yield _pairs(node[x[near]], node[y[near]])
             k += 1
             at = at[at + k < len(n)]
-            # Sizes grow along a token, so the first one too large ends a row's comparisons.
-            at = at[(token[at] == token[at + k]) & (5 * n[at] >= 4 * n[at + k])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, 8)
-                new = [*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]), sketch]
-                held = [np.concatenate(x) for x in zip(held, new)] if held else new
-            if not held or not len(held[0]):
-                continue
-            token = held[0]
-            end = len(token) if batch is None else int(np.searchsorted(token, token[-1]))
-            yield from pairs(*(x[:end] for x in held))
-            held = [x[end:] for x in held]
-
-    return run
+            # Sizes grow along a key, so the first one too large ends a row's comparisons.
+            at = at[(key[at] == key[at + k]) & (5 * n[at] >= 4 * n[at + k])]
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, given: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar. Only texts of pairs are cut into shingles again."""
     pairs = written(pairs.distinct(), "near-pairs")
+    if pairs.isEmpty():
+        return pairs
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     need = written(firsts.select("node", "sig", "text_hash", "first_id").join(nodes, "node", "left_semi"), "near-needed")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(x) for x in buffers(batch.column(0))]
-        return pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.binary()) for f in (_sig, np.ndarray.tobytes)], ["sig", "hashes"])
+        made = [pa.array([f(x.tobytes()) for x in found], pa.binary()) for f in (xxhash.xxh3_128_digest, bytes)]
+        return pa.RecordBatch.from_arrays(made, ["sig", "hashes"])
 
     # A text of each set, that of its first id: exact copies are not cut.
     one = need.select(F.col("text_hash").alias("wanted"), "first_id")
@@ -165,36 +266,72 @@ def _verified(pairs: DataFrame, firsts: DataFrame, given: DataFrame) -> DataFram
         x, y = ([np.frombuffer(v, np.uint64) for v in buffers(batch.column(i))] for i in (2, 3))
         return batch.select(["a", "b"]).filter(pa.array(map(similar, x, y), pa.bool_()))
 
-    return written(arrow_map(both.select("a", "b", "x", "y"), "a long, b long", check), "near-links")
+    found = written(arrow_map(both.select("a", "b", "x", "y"), "a long, b long", check), "near-links")
+    for done in (pairs, need, kept):
+        discard(done)
+    return found
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _connected(df: DataFrame, id_col: str, text_col: str, part_rows: int) -> DataFrame:
+    """(_id, text_hash, root) for every row of ``df``: rows with one root are near copies."""
+    given = df.select(F.col(id_col).alias("_id"), utf8(F.col(text_col)).alias("raw")).withColumn("text_hash", F.xxhash64("raw"))
+    rows = written(_rows(given, df.schema[id_col].dataType.simpleString()), "near-rows")
+    grouped = rows.groupBy("sig").agg(
+        F.min("_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", "fp", "keys")),
+        F.coalesce(F.min_by("text_hash", "_id"), F.first("text_hash")).alias("text_hash"),
+    )
+    firsts = written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-firsts")
+    # Most keys belong to one set; they go before anything else is copied beside them.
+    each = firsts.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key")
+    shared = written(each.mapInArrow(_shared, "key long, node long, size long"), "near-keys")
+
+    few = shared.where(F.col("key").bitwiseAND(15) < FIRST_TABLES)
+    dealt = F.xxhash64("key", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / part_rows)))
+    part = F.when(F.col("size") > part_rows, dealt).otherwise(F.col("key"))
+    wide = few.withColumn("part", part).join(firsts.select("node", "fp"), "node").select("part", "node", "fp")
+    middle = wide.repartition("part").sortWithinPartitions("part").mapInArrow(_to_middle, "a long, b long")
+    links = _verified(middle, firsts, given)
+
+    roots = written(components(links), "near-roots")
+    lean = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    several = lean.repartition("key").sortWithinPartitions("key").mapInArrow(_mixed_keys, "key long, node long, root long")
+    wide = several.join(firsts.select("node", "n", "fp"), "node").select("key", "node", "root", "n", "fp")
+    rest = wide.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_all_pairs, "a long, b long")
+    more = _verified(rest, firsts, given)
+    if not more.isEmpty():
+        roots = components(links.union(more))
+    by_sig = firsts.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"))
+    return rows.select("_id", "sig", "text_hash").join(by_sig, "sig").select("_id", "text_hash", "root")
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
     """(``id_col``, ``component_id``) for every row of ``df``.
 
-    ``component_id`` is the smallest id reachable over pairs with similarity 0.8 or more, the row's own
-    included. Texts without words are equal. Rows whose id is null take part; they get the smallest id that
-    is not null, or null if there is none.
+    ``component_id`` is the smallest id reachable over links, the row's own included. Texts without words are
+    equal. Rows whose id is null take part; they get the smallest id that is not null, or null if there is
+    none. Repeated rows stay, an empty table gives an empty result, other columns of ``df`` are not read.
     """
-    given = df.select(F.col(id_col).alias("_id"), utf8(F.col(text_col)).alias("raw")).withColumn("text_hash", F.xxhash64("raw"))
-    rows = written(_rows(given, _common(given), df.schema[id_col].dataType.simpleString()), "near-rows")
-    parts = ("n", "sketch", "tokens", "text_hash")
-    grouped = rows.groupBy("sig").agg(F.min("_id").alias("first_id"), *(F.first(c).alias(c) for c in parts[:3]), F.coalesce(F.min_by("text_hash", "_id"), F.first("text_hash")).alias("text_hash"))
-    firsts = written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-firsts")
-    # Most tokens belong to one set; they go before anything else is copied beside them.
-    tokens = firsts.select(F.explode("tokens").alias("token"), "node").repartition("token").sortWithinPartitions("token")
-    shared = written(tokens.mapInArrow(_shared, "token long, node long"), "near-tokens")
-
-    def compared(known: DataFrame, whole: bool) -> DataFrame:
-        wide = shared.join(known.select("node", "n", "root", "sketch"), "node").select("token", "n", "node", "root", "sketch")
-        ordered = wide.repartition("token").sortWithinPartitions("token", "n", "node")
-        return _verified(ordered.mapInArrow(_compare(whole), "a long, b long"), firsts, given)
-
-    def rooted(edges: DataFrame) -> DataFrame:
-        return firsts.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    links = compared(firsts.withColumn("root", F.col("node")), False)
-    links = links.union(compared(rooted(links), True))
-    known = rooted(links).select("sig", "root", "first_id")
-    lowest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_sig = known.join(lowest, "root").select("sig", "component_id")
-    return rows.select("_id", "sig").join(by_sig, "sig").select(F.col("_id").alias(id_col), "component_id")
+    rows = written(_connected(df, id_col, text_col, part_rows).drop("text_hash"), "near-roots")
+    lowest = rows.groupBy("root").agg(F.min("_id").alias("component_id"))
+    return rows.join(lowest, "root").select(F.col("_id").alias(id_col), "component_id")
+
+
+def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
+    """One row of each group of near copies, with all columns of ``df``.
+
+    The row with the smallest id stays (null ids last), of rows that share it the one whose text has the
+    smallest hash, of rows equal in both any one. Ids need not be unique: rows, not ids, are kept or dropped.
+    """
+    rows = _connected(df, id_col, text_col, part_rows).groupBy("root", "_id", "text_hash").agg(F.count("*").alias("rows"))
+    rows = written(rows.withColumn("rank", F.struct(F.col("_id").isNull().alias("none"), "_id", "text_hash")), "near-roots")
+    first = rows.groupBy("root").agg(F.min("rank").alias("first"))
+    marks = rows.join(first, "root").select("_id", F.col("text_hash").alias("_hash"), (F.col("rank") != F.col("first")).alias("_gone"), "rows")
+    # Only what goes or is there more than once meets the texts: its size is known, and Spark picks the join.
+    marks = written(marks.where("_gone OR rows > 1").select("_id", "_hash", "_gone"), "near-marks")
+    named = df.withColumn("_text_hash", F.xxhash64(utf8(F.col(text_col))))
+    both = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    single = named.join(marks, both, "left_anti").select(*df.columns)
+    repeated = marks.where("NOT _gone")
+    if repeated.isEmpty():
+        return single
+    return single.union(named.join(repeated, both, "left_semi").dropDuplicates([id_col, "_text_hash"]).select(*df.columns))
