@@ -21,14 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, Jaccard 0.8 or more) the document with the smallest id stays.
-
-    Rows that share an id are one document. Rows without an id all stay. The ids that go are written
-    first, so Spark knows their size and picks the join.
-    """
-    found = near_copies.near_copies(docs)
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies stays (5-word shingles, Jaccard 0.8 or more): that with the smallest id."""
+    return near_copies.without_copies(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
