@@ -12,7 +12,8 @@ meet there. Fingerprints are compared per anchor, over the full 64 bits.
 Equal fingerprints are merged before anything is copied, so exact copies cost one row. A bucket hands on
 a spanning forest of its links, never all its pairs. Buckets above ``bucket_rows`` are not compared as
 they are: their rows go to a second level of anchors (the [15, 11] Hamming code and one free bit, on each
-quarter of the other half, where again one quarter differs in at most one bit), which is exact too.
+quarter of the other half, where again one quarter differs in at most one bit), and buckets that are too
+large there to a third (each byte of the quarter left, with all bytes one bit away). Both are exact too.
 """
 
 from __future__ import annotations
@@ -128,6 +129,24 @@ def _to_second_anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def _to_third_anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Third level: within one second-level bucket, the words within one bit of each byte of the quarter left.
+
+    At most three bits differ in two bytes, so at most one does in one of them.
+    """
+    keys, quarters, fps = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
+    other = np.uint64(32) * (np.uint64(1) - (keys >> np.uint64(32))) + (np.uint64(16) - (quarters >> np.uint64(16)))
+    near = np.array([0, *(1 << i for i in range(8))], np.uint64)
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for byte in (0, 8):
+        words = ((fps >> (other + np.uint64(byte))) & np.uint64(255))[:, None] ^ near
+        third = (words | np.uint64(byte << 8)).ravel()
+        for to, x in zip(out, (np.repeat(keys, 9), np.repeat(quarters, 9), third, np.repeat(fps, 9))):
+            to.append(x)
+    made = [pa.array(np.concatenate(x).view(np.int64)) for x in out]
+    return pa.RecordBatch.from_arrays(made, ["bucket", "quarter", "anchor", "fp"])
+
+
 def _root(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
     up = parent[at]
     while (up != at).any():
@@ -165,11 +184,10 @@ def _forest(group: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _links(bucket_rows: int | None, key_columns: int):
     """Task over rows sorted by anchor: links (kind 0), and the rows of large buckets passed on (kind 1)."""
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
-            ["kind", "a", "b"],
-        )
+    def out(kind: int, a: np.ndarray, b: np.ndarray, quarter: np.ndarray) -> pa.RecordBatch:
+        columns = [a, b, quarter][: 2 + (key_columns > 1)]
+        made = [pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x.view(np.int64)) for x in columns)]
+        return pa.RecordBatch.from_arrays(made, ["kind", "a", "b", "quarter"][: len(made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.uint64) for _ in range(key_columns + 1)]
@@ -196,10 +214,11 @@ def _links(bucket_rows: int | None, key_columns: int):
             ready |= heavy
             if heavy.any():
                 mine = heavy[group]
-                yield out(1, held[0][mine], rows[mine])
+                yield out(1, held[0][mine], rows[mine], held[-2][mine])
             do = (ready & ~heavy & (sizes > 1))[group]
             if do.any():
-                yield out(0, *_forest(group[do], rows[do]))
+                a, b = _forest(group[do], rows[do])
+                yield out(0, a, b, np.zeros_like(a))
             stay = ~ready[group]
             held = [x[stay] for x in held]
 
@@ -221,47 +240,62 @@ def links(distinct: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
         "simhash-links",
     )
     large = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("fp"))
-    second = (
+    second = written(
         arrow_map(large, "bucket long, anchor long, fp long", _to_second_anchors)
         .repartition("bucket", "anchor")
         .sortWithinPartitions("bucket", "anchor", "fp")
-        .mapInArrow(_links(None, 2), "kind int, a long, b long")
+        .mapInArrow(_links(bucket_rows, 2), "kind int, a long, b long, quarter long"),
+        "simhash-links",
+    )
+    larger = second.where("kind = 1").select(F.col("a").alias("bucket"), "quarter", F.col("b").alias("fp"))
+    third = (
+        arrow_map(larger, "bucket long, quarter long, anchor long, fp long", _to_third_anchors)
+        .repartition("bucket", "quarter", "anchor")
+        .sortWithinPartitions("bucket", "quarter", "anchor", "fp")
+        .mapInArrow(_links(None, 3), "kind int, a long, b long, quarter long")
     )
-    return found.where("kind = 0").union(second).select("a", "b").distinct()
+    return found.where("kind = 0").union(second.where("kind = 0").drop("quarter")).union(third.drop("quarter")).select("a", "b").distinct()
 
 
 HUB_ROWS, MOST_HUBS = 100, 10_000
 
 
-def _beside_lowest(edges: DataFrame, most: int) -> DataFrame:
-    """``edges`` (u, v) with ``low``, the smallest v of u. The rows of hubs are not dealt by u.
+def beside(rows: DataFrame, found: DataFrame, key: str, count: int) -> DataFrame:
+    """``rows`` with the columns of ``found``, which has one row for each value of ``key`` in ``rows``, and its ``degree``.
 
-    Hubs have more than ``most`` edges. Their minima are broadcast; all other rows meet theirs in a shuffle.
+    A value is a hub if its degree, the number of its rows, is above HUB_ROWS and above one in MOST_HUBS of
+    all ``count`` rows; so there are at most MOST_HUBS hubs. They are broadcast, and their rows are not dealt by
+    the value; all other rows meet theirs in a shuffle.
     """
+    most = max(HUB_ROWS, count // MOST_HUBS)
+    values = [c for c in found.columns if c not in (key, "degree")]
+    hub = found.where(F.col("degree") > most).select(key, F.lit(True).alias("_hub"), *(F.col(c).alias(f"_hub_{c}") for c in values))
+    split = rows.join(F.broadcast(hub), key, "left")
+    hot = split.where("_hub").select(*rows.columns, *(F.col(f"_hub_{c}").alias(c) for c in values))
+    others = found.where(F.col("degree") <= most).drop("degree")
+    return hot.union(split.where("_hub IS NULL").select(*rows.columns).join(others, key).select(*hot.columns))
+
+
+def _beside_lowest(edges: DataFrame, count: int) -> DataFrame:
+    """``edges`` (u, v) with ``low``, the smallest v of u."""
     found = edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("degree"))
-    hubs = F.broadcast(found.where(F.col("degree") > most).select("u", F.col("low").alias("hub_low")))
-    split = edges.join(hubs, "u", "left")
-    others = found.where(F.col("degree") <= most).select("u", "low")
-    return split.where("hub_low IS NOT NULL").select("u", "v", F.col("hub_low").alias("low")).union(
-        split.where("hub_low IS NULL").select("u", "v").join(others, "u")
-    )
+    return beside(edges, found, "u", count)
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root): the smallest node each node of ``edges`` (a, b) is connected with.
 
     Large-star and small-star steps alternate until a round changes no edge. Each round is a table in the
-    shared folder; the one before is removed. Minima are aggregated before the shuffle. A hub has more than
-    HUB_ROWS edges and more than one in MOST_HUBS of all, so at most 2 MOST_HUBS minima are broadcast.
+    shared folder; the one before is removed. Minima are aggregated before the shuffle, and the edges of
+    nodes with very many neighbours are not dealt by the node.
     """
     now = written(edges.where("a <> b").distinct(), "edges")
     count = now.count()
     for _ in range(max_rounds):
-        most = max(HUB_ROWS, count // MOST_HUBS)
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        large = _beside_lowest(both, most).where("v > u").withColumn("low", F.least("u", "low"))
+        large = _beside_lowest(both, 2 * count).where("v > u").withColumn("low", F.least("u", "low"))
         down = large.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        small = _beside_lowest(down, most)
+        small = _beside_lowest(down, 2 * count)
         stars = small.select(F.col("v").alias("a"), F.col("low").alias("b")).union(small.select("u", "low"))
         after = written(stars.where("a <> b").distinct(), "edges")
         before, count = count, after.count()
@@ -284,20 +318,12 @@ def near_duplicates(
     gives an empty result. Other columns of ``df`` are not read.
     """
     rows = written(fingerprints(df, id_col, text_col).withColumnRenamed(id_col, "_id"), "fingerprints")
-    firsts = rows.groupBy("fp").agg(F.min("_id").alias("first_id"))
+    firsts = rows.groupBy("fp").agg(F.min("_id").alias("first_id"), F.count("*").alias("degree"))
     stars = components(links(firsts, bucket_rows))
-    rooted = firsts.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
-    lowest = rooted.where("root <> fp").groupBy("root").agg(F.min("first_id").alias("other_id"))
-    # Only roots of stars have members; a root's component is known from its members and itself.
-    roots = firsts.join(lowest.withColumnRenamed("root", "fp"), "fp").select(
-        F.col("fp").alias("root"), F.least("first_id", "other_id").alias("component_id")
-    )
-    by_fp = rooted.join(roots, "root", "left").select(
-        "fp", F.coalesce("component_id", "first_id").alias("component_id")
-    )
-    return rows.join(by_fp, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    rooted = written(firsts.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("degree"))
+    by_fp = beside(rooted, lowest, "root", rooted.count()).select("fp", "component_id", "degree")
+    return beside(rows, by_fp, "fp", rows.count()).select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

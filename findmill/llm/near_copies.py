@@ -6,8 +6,9 @@ the fingerprint has 512 bits, and each of ``TABLES`` blocks of 23 of them is sea
 one: the anchors are the words of the perfect [23, 12] Golay code, whose covering radius is 3, and a text is
 copied to every anchor within 3 + 1 = 4 of its block (1 or 6 of them). A block counts only together with
 the least shingle of the text under the block's own hash, so unrelated texts do not meet, however many.
-Where a key (least shingle, anchor) is shared, fingerprints are compared; pairs within ``FAR`` bits are
-verified by the exact similarity of their whole sets of shingles, so no link is false.
+Where a key (least shingle, anchor) is shared, fingerprints are compared. Beside each stands a parity sketch
+of 512 bits: two differ in no more bits than the sets do in shingles, so it rules out pairs without losing
+one. Pairs within ``FAR`` bits are verified by the exact similarity of their whole sets, so no link is false.
 
 Recall: a pair with similarity exactly 0.8 has the least shingle of a table in common with probability 0.8,
 and an anchor with 0.60, so one of nine tables shows it with 0.997; at 0.85 it is 0.9997. Equal sets are
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findmill.llm.anchor_simhash import SEED, _with_end, components
+from findmill.llm.anchor_simhash import SEED, _with_end, beside, components
 from findmill.llm.common import arrow_map, buffers, discard, utf8, written
 
 WORDS = 5
@@ -81,6 +82,17 @@ def wide_fingerprint(found: np.ndarray) -> np.ndarray:
     return (2 * ones > len(found)).astype(np.uint8)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """512 bits: whether an odd number of the shingles falls on each."""
+    return (np.bincount((found & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+
+
+def may_be_similar(n: np.ndarray, prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows a and b (arrays of places) may be similar, by fingerprints with sketches and by sizes."""
+    near = np.bitwise_count(prints[a] ^ prints[b]).reshape(-1, 2, BITS // 64).sum(axis=2, dtype=np.int64)
+    return (near[:, 0] <= FAR) & (9 * near[:, 1] <= n[a] + n[b])
+
+
 def least_shingles(found: np.ndarray) -> np.ndarray:
     """The least hash of a set of shingles for each table."""
     least = np.full(TABLES, np.uint64(2**64 - 1))
@@ -139,16 +151,17 @@ def keys(least: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 def _rows(given: DataFrame, kind: str) -> DataFrame:
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sigs, sizes, prints, least = [], [], [], []
+        sigs, sizes, prints, sketches, least = [], [], [], [], []
         for raw in buffers(batch.column(1)):
             found = shingles(raw)
             sigs.append(xxhash.xxh3_128_digest(found.tobytes()))
             sizes.append(len(found))
             prints.append(wide_fingerprint(found))
+            sketches.append(parity(found))
             least.append(least_shingles(found))
         bits = np.stack(prints)
         made = [np.unique(x) for x in keys(np.stack(least), bits).view(np.int64)]
-        fps = [x.tobytes() for x in np.packbits(bits, axis=1)]
+        fps = [x.tobytes() for x in np.packbits(np.concatenate([bits, np.stack(sketches)], axis=1), axis=1)]
         columns = [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(made, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], ["_id", "sig", "n", "fp", "keys", "text_hash"])
 
@@ -161,7 +174,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     for batch in _with_end(batches):
         if batch is not None:
             new = [
-                np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, BITS // 64) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False)
+                np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, 2 * BITS // 64) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False)
                 for c in batch.columns
             ]
             held = [np.concatenate(x) for x in zip(held, new)] if held else new
@@ -205,16 +218,17 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _to_middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, node, fp) sorted by part: each row with the middle one of those near to it."""
-    for part, node, fp in _runs(batches):
+    """Rows (part, node, n, fp) sorted by part: each row with the middle one of those near to it."""
+    for part, node, n, fp in _runs(batches):
         starts, sizes = _bounds(part)
         for at, size in zip(starts.tolist(), sizes.tolist()):
             left = np.arange(at, at + size)
             while len(left) > 1:
-                bits = np.unpackbits(fp[left].view(np.uint8), axis=1)
+                some = fp[left, : BITS // 64]
+                bits = np.unpackbits(some.view(np.uint8), axis=1)
                 usual = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(left)).view(np.uint64)
-                middle = left[np.bitwise_count(fp[left] ^ usual).sum(axis=1, dtype=np.int64).argmin()]
-                near = np.bitwise_count(fp[left] ^ fp[middle]).sum(axis=1, dtype=np.int64) <= FAR
+                middle = left[np.bitwise_count(some ^ usual).sum(axis=1, dtype=np.int64).argmin()]
+                near = may_be_similar(n, fp, left, np.full(len(left), middle))
                 mine = left[near & (left != middle)]
                 if len(mine):
                     yield _pairs(node[mine], np.full(len(mine), node[middle]))
@@ -231,7 +245,7 @@ def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = at[ask], to[ask]
             for i in range(0, len(a), 1 << 16):
                 x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-                near = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= FAR
+                near = may_be_similar(n, fp, x, y)
                 if near.any():
                     yield _pairs(node[x[near]], node[y[near]])
             k += 1
@@ -277,7 +291,7 @@ def _connected(df: DataFrame, id_col: str, text_col: str, part_rows: int) -> Dat
     given = df.select(F.col(id_col).alias("_id"), utf8(F.col(text_col)).alias("raw")).withColumn("text_hash", F.xxhash64("raw"))
     rows = written(_rows(given, df.schema[id_col].dataType.simpleString()), "near-rows")
     grouped = rows.groupBy("sig").agg(
-        F.min("_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", "fp", "keys")),
+        F.min("_id").alias("first_id"), F.count("*").alias("degree"), *(F.first(c).alias(c) for c in ("n", "fp", "keys")),
         F.coalesce(F.min_by("text_hash", "_id"), F.first("text_hash")).alias("text_hash"),
     )
     firsts = written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-firsts")
@@ -288,7 +302,7 @@ def _connected(df: DataFrame, id_col: str, text_col: str, part_rows: int) -> Dat
     few = shared.where(F.col("key").bitwiseAND(15) < FIRST_TABLES)
     dealt = F.xxhash64("key", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / part_rows)))
     part = F.when(F.col("size") > part_rows, dealt).otherwise(F.col("key"))
-    wide = few.withColumn("part", part).join(firsts.select("node", "fp"), "node").select("part", "node", "fp")
+    wide = few.withColumn("part", part).join(firsts.select("node", "n", "fp"), "node").select("part", "node", "n", "fp")
     middle = wide.repartition("part").sortWithinPartitions("part").mapInArrow(_to_middle, "a long, b long")
     links = _verified(middle, firsts, given)
 
@@ -300,8 +314,8 @@ def _connected(df: DataFrame, id_col: str, text_col: str, part_rows: int) -> Dat
     more = _verified(rest, firsts, given)
     if not more.isEmpty():
         roots = components(links.union(more))
-    by_sig = firsts.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"))
-    return rows.select("_id", "sig", "text_hash").join(by_sig, "sig").select("_id", "text_hash", "root")
+    by_sig = firsts.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"), "degree")
+    return beside(rows.select("_id", "sig", "text_hash"), by_sig, "sig", rows.count()).select("_id", "text_hash", "root")
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
@@ -312,8 +326,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     none. Repeated rows stay, an empty table gives an empty result, other columns of ``df`` are not read.
     """
     rows = written(_connected(df, id_col, text_col, part_rows).drop("text_hash"), "near-roots")
-    lowest = rows.groupBy("root").agg(F.min("_id").alias("component_id"))
-    return rows.join(lowest, "root").select(F.col("_id").alias(id_col), "component_id")
+    lowest = rows.groupBy("root").agg(F.min("_id").alias("component_id"), F.count("*").alias("degree"))
+    return beside(rows, lowest, "root", rows.count()).select(F.col("_id").alias(id_col), "component_id")
 
 
 def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
@@ -324,8 +338,8 @@ def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = _connected(df, id_col, text_col, part_rows).groupBy("root", "_id", "text_hash").agg(F.count("*").alias("rows"))
     rows = written(rows.withColumn("rank", F.struct(F.col("_id").isNull().alias("none"), "_id", "text_hash")), "near-roots")
-    first = rows.groupBy("root").agg(F.min("rank").alias("first"))
-    marks = rows.join(first, "root").select("_id", F.col("text_hash").alias("_hash"), (F.col("rank") != F.col("first")).alias("_gone"), "rows")
+    first = rows.groupBy("root").agg(F.min("rank").alias("first"), F.count("*").alias("degree"))
+    marks = beside(rows, first, "root", rows.count()).select("_id", F.col("text_hash").alias("_hash"), (F.col("rank") != F.col("first")).alias("_gone"), "rows")
     # Only what goes or is there more than once meets the texts: its size is known, and Spark picks the join.
     marks = written(marks.where("_gone OR rows > 1").select("_id", "_hash", "_gone"), "near-marks")
     named = df.withColumn("_text_hash", F.xxhash64(utf8(F.col(text_col))))
