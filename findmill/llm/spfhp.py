@@ -14,6 +14,7 @@ summed and joined in Spark, and only the totals per length reach the driver.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from functools import lru_cache
@@ -34,18 +35,10 @@ BUCKET_ROWS = 1_000_000
 CACHE_WORDS = 200_000
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made
-
-
 #: The vocabulary's split pattern, written out for Latin words (white space there can only be
 #: U+0085 and U+00A0) and for words of lower-case ASCII.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x85\xa0\p{L}\p{N}]+")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPLIT_ASCII = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Below this character every text is in composed form already and lower-cased character by character.
 _LATIN_END = "\u0250"
@@ -83,11 +76,23 @@ class WordIds:
     the ids of a text are the ids of its words (maximal runs without ASCII white space) in their order.
     A new word of Latin letters is split here into its parts, which are words of the cache themselves;
     only a word that is its own single part goes to the library's merges. Any other new word goes
-    through the whole library.
+    through the whole library, and so does one that may hold a special token. What a special token's string
+    becomes is the library's choice: its id, as by default. A vocabulary with other steps is refused.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
-        self.tokenizer = _tokenizer(path)
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())
+        split, letters = (steps["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])[:2]
+        made = (
+            [x.get("type") for x in (steps["normalizer"] or {}).get("normalizers", [])], split.get("pattern", {}).get("Regex"), split.get("invert"),
+            split.get("behavior"), letters.get("type"), letters.get("add_prefix_space"), steps["model"].get("end_of_word_suffix"),
+        )
+        if made != (["NFC", "Replace", "Lowercase"], _PATTERN, True, "Removed", "ByteLevel", False, "</w>"):
+            raise ValueError(f"{path} normalises or splits texts in another way")
+        self.special = [x["content"].encode() for x in steps["added_tokens"]]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.words = Recent(self._word, most)
@@ -99,7 +104,13 @@ class WordIds:
         ids = [t.id for t in self.model.tokenize(text)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _whole(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _word(self, word: bytes) -> bytes:
+        if any(x in word for x in self.special):
+            return self._whole(word.decode("utf-8", "replace"))
         if word.isascii():
             lower = word.lower()
             split = [lower] if lower.isalpha() else _SPLIT_ASCII.findall(lower)
@@ -107,8 +118,7 @@ class WordIds:
             given = word.decode("utf-8", "replace")
             lower = given.lower()
             if max(lower) >= _LATIN_END:
-                ids = self.tokenizer.encode(given, add_special_tokens=False).ids
-                return struct.pack(f"<{len(ids)}I", *ids)
+                return self._whole(given)
             split = [x.encode() for x in _SPLIT.findall(lower)]
         if split == [word]:
             return self._part(word)

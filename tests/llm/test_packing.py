@@ -3,8 +3,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from findmill.llm import spfhp as K
 
@@ -12,8 +14,11 @@ SF = "/root/testdata/sf0.001"
 VOCABULARY = P.path("word_bpe_49k.json")
 
 
+LIBRARY = Tokenizer.from_file(VOCABULARY)
+
+
 def library_ids(text: str) -> list[int]:
-    return K._tokenizer(VOCABULARY).encode(text, add_special_tokens=False).ids
+    return LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
@@ -23,11 +28,16 @@ def test_word_ids_equal_the_library(text):
     assert found == library_ids(text)
 
 
-def test_special_tokens_in_a_text_are_text():
-    text = "<|startoftext|> a <|endoftext|>"
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "A<|endoftext|>É", "<|EndOfText|> <|endoftext |>", "<|endoftext|>" * 3])
+def test_special_tokens_in_a_text_are_as_the_library_has_them(text):
     assert np.frombuffer(K._words(VOCABULARY).encode(text.encode()), "<u4").tolist() == library_ids(text)
 
 
+def test_a_vocabulary_that_splits_in_another_way_is_refused():
+    with pytest.raises(ValueError):
+        K.WordIds(P.path("byte_bpe_50k.json"))
+
+
 def test_small_caches_give_the_same_ids():
     words = K.WordIds(VOCABULARY, most=3)
     text = "one two three four five one two six seven one"

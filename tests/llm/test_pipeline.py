@@ -1,9 +1,10 @@
 from collections import defaultdict
 
 import public_tokenizers as P
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from findmill.llm import fertility, secret_worklist, spfhp
+from findmill.llm import fertility, secret_worklist
 
 from test_near_copies import brute
 
@@ -53,7 +54,7 @@ def test_stages_keep_the_columns_and_their_decisions_take_effect(spark):
 def test_run_packs_what_the_stages_keep(spark):
     docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     kept = brute_kept(docs)
-    tokenizer = spfhp._tokenizer(P.path("word_bpe_49k.json"))
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     found: dict[int, int] = defaultdict(int)
     places = set()
     for r in corpus_pipeline.run(spark, SF).collect():
