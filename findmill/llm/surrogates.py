@@ -3,12 +3,20 @@
 A replacement is a keyed permutation of the entity, never a draw from a pool: digits and letters go
 through a Feistel network over exactly the words of their length, with rounds from HMAC-SHA256. Different
 entities of a type therefore cannot get the same replacement, and the same entity gets the same one in
-every document and task, without a table of the corpus. What must hold for the type is kept: separators,
-letter case, country codes, card issuer digit and check digit, octet ranges, titles, gender and script.
-``collisions`` checks distinctness over a corpus and returns no rows.
-
-Names are recognised by a title. Surname and given names are replaced one by one, so 'Mrs. Ann Lee',
-'Ms. Lee' and a later bare 'Lee' stay one person. Given names end as names of their gender do.
+every document and task, without a table of the corpus. What is permuted is the entity's ``identity``, one
+form for all ways to write it: '+1 555 123 4567', '001 555 123-4567' and '+15551234567' are one number. What must hold
+for the type is kept: separators, letter case, country codes, card issuer digit and check digit, octet
+ranges, titles, gender and script.
+
+``collisions`` checks over a corpus that no two entities share a replacement and that no replacement is
+itself an entity of the corpus; the latter can happen by chance, where numbers of a type are dense, and is
+reported, not mended.
+
+Names are recognised by a title or by a listed given name before a capitalised word; later bare mentions of
+either part are replaced too. Surname and given names are replaced one by one, so 'Mrs. Ann Lee', 'Dr. Ann
+Lee', 'Ms. Lee' and a bare 'Ann' stay one person. A given name has one gender in a document: that of a
+gendered title with it, else that of the list, else by its last letter. Made given names end as names of
+their gender do. A number without its country code is another entity than the one with it.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)", re.ASCII)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.ASCII)
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)
-_CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w|-\d)", re.ASCII)
+_CARD = re.compile(r"(?<![\w+-])[1-9](?:[ -]?\d){12,18}(?!\w|-\d)", re.ASCII)
 _PHONE = re.compile(
     r"(?<![\w.+])\+\d{1,3}(?:[ .-]?(?:\(\d{1,5}\)|\d{1,12})){1,6}+(?!\w|[.-]\d)"
     r"|(?<![\w.+])(?:00\d{1,3}[ .-])?(?:\(\d{1,5}\)[ .-]?|\d{2,5}[ ./-])\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w|[.-]\d)",
@@ -44,14 +52,38 @@ TITLES = {
     "n": ("Dr", "Prof"),
 }
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
+#: Common given names that are no common words, by gender.
+GIVEN = {
+    "m": (
+        "John", "James", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Matthew", "Anthony",
+        "Steven", "Paul", "Andrew", "Kenneth", "George", "Edward", "Brian", "Ronald", "Kevin", "Peter", "Henry", "Hans", "Klaus", "Jürgen",
+        "Wolfgang", "Stefan", "Andreas", "Jean", "Pierre", "Jacques", "François", "Michel", "Philippe", "José", "Juan", "Carlos", "Luis",
+        "Miguel", "Antonio", "Pedro", "Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Γιώργος", "Νίκος", "Κώστας",
+    ),
+    "f": (
+        "Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Nancy", "Lisa", "Margaret",
+        "Sandra", "Ashley", "Emily", "Donna", "Michelle", "Carol", "Amanda", "Melissa", "Deborah", "Stephanie", "Ann", "Anna", "Helen",
+        "Laura", "Ursula", "Monika", "Petra", "Sabine", "Claudia", "Marie", "Nathalie", "Isabelle", "Sylvie", "Catherine", "María", "Carmen",
+        "Ana", "Lucía", "Elena", "Анна", "Мария", "Ольга", "Елена", "Наталья", "Μαρία", "Ελένη", "Κατερίνα",
+    ),
+}
+_LISTED = {name.casefold(): g for g, names in GIVEN.items() for name in names}
+#: International country codes of one and of two digits; all others have three.
+SHORT_CODES = {
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54",
+    "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+}
 _WORD = r"[^\W\d_a-zß-öø-ÿа-яα-ω][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 _NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, _GENDER), key=len, reverse=True))})(\.? )({_WORD}(?: {_WORD}){{0,2}})(?!\w)")
+_FULL = re.compile(rf"(?<!\w)((?:{'|'.join(n for names in GIVEN.values() for n in names)})(?: {_WORD}){{1,2}})(?!\w)")
 #: Syllable parts of made names, and endings by gender, for each script.
 SYLLABLES = {
-    "latin": ("bdfghklmnprstvz", "aeiou", {"m": "o", "f": "a", "n": "is"}),
-    "cyrillic": ("бвгдзклмнпрст", "аеиоу", {"m": "ий", "f": "ая", "n": "ен"}),
-    "greek": ("βγδθκλμνπρστφ", "αεηοι", {"m": "ος", "f": "α", "n": "ις"}),
+    "latin": ("bcdfghjklmnpqrstvwxz", "aeiouy", {"m": "o", "f": "a", "n": "is"}),
+    "cyrillic": ("бвгджзклмнпрстфхцчшщ", "аеиоуыэюя", {"m": "ий", "f": "ая", "n": "ен"}),
+    "greek": ("βγδζθκλμνξπρστφχψ", "αεηιουω", {"m": "ος", "f": "α", "n": "ις"}),
 }
+#: The letters of most names of a script.
+LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "wide": "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýœšž", "cyrillic": "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψωςάέήίόύώ"}
 
 
 @lru_cache(maxsize=1 << 14)
@@ -144,15 +176,32 @@ def _card(key: bytes, text: str) -> str:
     return _digits_in(text, body + str(check))
 
 
+def _phone_parts(text: str) -> tuple[str, list[int]]:
+    """The country code ('' if none is written) and the places of the digits after it, a trunk (0) left out."""
+    places = [i for i, c in enumerate(text) if c.isdigit()]
+    code = ""
+    if text.startswith("+") or re.match("00[1-9]", text) and not text.startswith("000"):
+        skip = 0 if text[0] == "+" else 2
+        digits = "".join(text[i] for i in places[skip:])
+        size = next((n for n in (1, 2) if digits[:n] in SHORT_CODES), 3)
+        code, places = digits[:size], places[skip + size :]
+        trunk = re.compile(r"[ .-]?\(0\)").match(text, places[0] - 1 if places else 0)
+        places = places[1:] if trunk and text[places[0]] == "0" else places
+    return code, places
+
+
 def _phone(key: bytes, text: str) -> str:
-    country = re.match(r"\+\d{1,3}(?=\D)|00\d{1,3}(?=\D)", text)
-    start = country.end() if country else 0
-    digits = re.sub(r"\D", "", text[start:])
-    tweak = f"phone{re.sub(r'[^0-9]', '', text[:start]).lstrip('0')}"
+    code, places = _phone_parts(text)
+    digits = "".join(text[i] for i in places)
+    if not digits:
+        return text
     # The first digit permutes among 1-9 or stays 0; the rest among all words of its length.
-    first = digits[0] if digits[0] == "0" else str(1 + permute(key, f"{tweak}|{digits[1:]}", int(digits[0]) - 1, 9))
-    rest = permute_word(key, f"{tweak}|{first}", digits[1:], string.digits)
-    return text[:start] + _digits_in(text[start:], first + rest)
+    first = digits[0] if digits[0] == "0" else str(1 + permute(key, f"phone{code}|{digits[1:]}", int(digits[0]) - 1, 9))
+    made = iter(first + permute_word(key, f"phone{code}|{first}", digits[1:], string.digits))
+    out = list(text)
+    for i in places:
+        out[i] = next(made)
+    return "".join(out)
 
 
 def _iban(key: bytes, text: str) -> str:
@@ -174,17 +223,23 @@ def _script(word: str) -> str:
 
 
 def made_name(key: bytes, word: str, gender: str | None) -> str:
-    """A pronounceable word for a name: its UTF-8 bytes permuted, then written in syllables.
+    """A pronounceable word for a name: its letters permuted as a number, then written in syllables.
 
-    Every word of n bytes has a number of its own and every number its own syllables, so two names
-    never share one. ``gender`` None makes a surname, without a gendered ending.
+    Every word of n letters has a number of its own and every number its own syllables, so two names never
+    share one; it takes about 1.4 letters for one. Words with rarer characters are numbered by their UTF-8.
+    ``gender`` None makes a surname, without a gendered ending.
     """
-    raw = word.lower().encode()
-    script = _script(word)
+    low, script = word.lower(), _script(word)
     consonants, vowels, endings = SYLLABLES[script]
-    n = permute(key, f"name|{script}|{gender}|{len(raw)}", int.from_bytes(raw, "big"), 256 ** len(raw))
-    # Numbers for shorter words come first, so that lengths do not meet either.
-    n += sum(256**k for k in range(1, len(raw)))
+    kinds = [x for x in (script, "wide") if set(low) <= set(LETTERS[x])]
+    letters = LETTERS[kinds[0]] if kinds else ""
+    base, raw = (len(letters), [letters.index(c) for c in low]) if kinds else (256, low.encode())
+    n = 0
+    for digit in raw:
+        n = n * base + digit
+    n = permute(key, f"name|{script}|{gender}|{base}|{len(raw)}", n, base ** len(raw))
+    # Numbers for shorter words come first, so that lengths do not meet; nor do the three kinds of words.
+    n = 3 * (n + sum(base**k for k in range(1, len(raw)))) + (2 if not kinds else kinds[0] != script)
     out, base = [], len(consonants) * len(vowels)
     while True:
         n, digit = divmod(n, base)
@@ -217,19 +272,27 @@ def detect(text: str) -> list[tuple[int, int, str, str | None]]:
             if kind == "phone" and not 7 <= digits <= 15:
                 continue
             take(m.start(), m.end(), kind)
-    surnames = set()
-    for m in _NAME.finditer(text):
-        words = [(m.start(3) + w.start(), m.start(3) + w.end(), w[0]) for w in re.finditer(r"\S+", m[3])]
-        for a, b, _ in words[:-1]:
-            take(a, b, "name", _GENDER[m[1]])
-        a, b, surname = words[-1]
-        take(a, b, "name")
+    surnames: set[str] = set()
+    titled: dict[str, set[str]] = {}
+    found = [(m.start(3), m[3], _GENDER[m[1]]) for m in _NAME.finditer(text)] + [(m.start(1), m[1], "n") for m in _FULL.finditer(text)]
+    for start, words, gender in found:
+        *given, surname = words.split()
         surnames.add(surname)
-    if surnames:
-        bare = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, surnames), key=len, reverse=True))})(?!\w)")
-        for m in bare.finditer(text):
-            take(m.start(), m.end(), "name")
-    return sorted(taken)
+        for name in given:
+            titled.setdefault(name, set()).update({gender} - {"n"})
+    if found:
+        genders = {name.casefold(): _gender_of(name, g) for name, g in titled.items()}
+        known = surnames | titled.keys()
+        either = {x for name in known for x in (name, name.upper())}
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, either), key=len, reverse=True))})(?!\w)", text):
+            take(m.start(), m.end(), "name", genders.get(m[0].casefold()))
+    return sorted(taken, key=lambda x: x[:2])
+
+
+def _gender_of(name: str, titled: set[str]) -> str:
+    if len(titled) == 1:
+        return next(iter(titled))
+    return _LISTED.get(name.casefold()) or ("f" if name.casefold()[-1] in "aeаяηα" else "m")
 
 
 def surrogate(key: bytes, kind: str, text: str, gender: str | None = None) -> str:
@@ -238,11 +301,15 @@ def surrogate(key: bytes, kind: str, text: str, gender: str | None = None) -> st
 
 def identity(kind: str, text: str) -> str:
     """What makes two mentions the same entity: digits of numbers, letters without case."""
-    return re.sub(r"\D", "", text) if kind in ("card", "phone", "ssn") else text.replace(" ", "").casefold()
+    if kind == "phone":
+        code, places = _phone_parts(text)
+        return f"{'+' if code else ''}{code}{''.join(text[i] for i in places)}"
+    return re.sub(r"\D", "", text) if kind in ("card", "ssn") else text.replace(" ", "").casefold()
 
 
-#: What every detection holds: an e-mail its @, numbers an ASCII digit, a name its title. \b would know ASCII letters only.
-_MAYBE = re.compile(rb"@|[0-9]|(?:" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)).encode() + rb")\.? ")
+#: What every detection holds: an e-mail its @, numbers an ASCII digit, a name its title or a listed given name.
+#: \b would know ASCII letters only.
+_MAYBE = re.compile(rb"@|[0-9]|(?:" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)).encode() + rb")\.? |(?:" + "|".join(n for x in GIVEN.values() for n in x).encode() + rb") ")
 
 
 def replace(key: bytes, raw: bytes) -> tuple[str, list[tuple[int, int, str, str, str]]]:
@@ -259,25 +326,28 @@ def replace(key: bytes, raw: bytes) -> tuple[str, list[tuple[int, int, str, str,
     return "".join([*out, text[at:]]), found
 
 
-ENTITIES = "array<struct<start:bigint,end:bigint,kind:string,identity:string,surrogate:string>>"
+ENTITIES = "array<struct<start:bigint,end:bigint,kind:string,identity:string,surrogate:string,made:string>>"
+
+
+FIELDS = ("start", "end", "kind", "identity", "surrogate", "made")
 
 
 def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``df`` with surrogates in ``text_col`` and ``entities``, their spans in the old text.
+    """``df`` with surrogates in ``text_col`` and ``entities``, their spans in the old text; ``made`` is the surrogate's identity.
 
     A null text stays null; it and an empty text have no entities. ``entities`` replaces a column of that
     name; other columns and repeated rows stay. One narrow pass without a shuffle.
     """
     secret = hashlib.sha256(key.encode()).digest()
     keep = [c for c in df.columns if c not in ("entities", text_col)]
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), *((x, pa.string()) for x in ("kind", "identity", "surrogate"))]))
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), *((x, pa.string()) for x in FIELDS[2:])]))
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, found = [], []
         for value, null in zip(batch.column(len(keep)), batch.column(len(keep) + 1)):
             text, spans = replace(secret, value.as_py())
             texts.append(None if null.as_py() else text)
-            found.append([dict(zip(("start", "end", "kind", "identity", "surrogate"), x)) for x in spans])
+            found.append([dict(zip(FIELDS, (*x, identity(x[2], x[4])))) for x in spans])
         made = [pa.array(texts, pa.string()), pa.array(found, kind)]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, text_col, "entities"])
 
@@ -287,26 +357,25 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 
 def collisions(found: DataFrame) -> DataFrame:
-    """(kind, surrogate, identities): replacements that two entities share, over ``entities`` of a corpus.
+    """(kind, made, identities, real): surrogates that several entities share, or that are entities of the corpus.
 
-    Pairs are made distinct before they are counted, so a frequent entity is one row a task.
+    ``found`` has the ``entities`` of a corpus. Pairs are made distinct before they are counted, so a frequent
+    entity is one row a task.
     """
-    one = found.select(F.explode("entities").alias("e")).select(
-        "e.kind", F.lower("e.identity").alias("identity"),
-        F.when(F.col("e.kind").isin("card", "phone", "ssn"), F.regexp_replace("e.surrogate", r"\D", ""))
-        .otherwise(F.lower(F.replace("e.surrogate", F.lit(" "), F.lit("")))).alias("surrogate"),
-    ).distinct()
-    shared = one.groupBy("kind", "surrogate").agg(F.count("*").alias("identities"))
-    return shared.where("identities > 1")
+    one = found.select(F.explode("entities").alias("e")).select("e.kind", "e.identity", "e.made").distinct()
+    both = one.select("kind", "made", F.lit(0).alias("real")).union(one.select("kind", "identity", F.lit(1)).distinct())
+    counted = both.groupBy("kind", "made").agg(F.sum(1 - F.col("real")).alias("identities"), F.max("real").alias("real"))
+    # An e-mail's surrogate and a name's are made for no one else; a real one means the same in all kinds.
+    return counted.where("identities > 1 OR (identities > 0 AND real = 1)").withColumn("real", F.col("real") == 1)
 
 
 def op5_surrogates(spark, sf_dir: str) -> DataFrame:
+    """Every document with surrogates; ``n_unchanged`` counts those of its entities whose surrogate is themselves."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pseudonymise(documents, key="findmill")
-    counts = [
-        F.size(F.filter("entities", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS
-    ]
-    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), *counts)
+    counts = [F.size(F.filter("entities", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    same = F.size(F.filter("entities", lambda x: x["identity"] == x["made"])).cast("long").alias("n_unchanged")
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), *counts, same)
 
 
 def _of_kind(kind: str):
