@@ -1,17 +1,27 @@
 """Main-text extraction with wrappers: union-free regular expressions inferred for each host.
 
 Inference aligns the token streams of a host's pages one after the other. An expression is a list of
-items; an item is an element (label, flags, items) or a text (flags, literal). Aligning two expressions
-matches items in order; what only one side has becomes optional, neighbours alike become one repeated
-item, and texts that differ become slots. Map tasks align the pages they hold, so that only one small
-expression for each task and host is shuffled; those are aligned in two steps, first by (host, salt).
-
-The finished wrapper says which places of the host hold content: places inside an article, else inside
-main, else anywhere in the body, always without menus, headers, footers, sidebars, notices, adverts,
-forms and comments, which are known by element, or by a class, role or id that is a listed word or made of
-listed words only (cookie-notice, not no-sidebar); html, body, main and article are never judged by name. Outside an article, texts that are the
-same on all pages of a host with ``MIN_PAGES`` or more are part of the template and dropped too, unless
-the pages have no other text. Pages are then read once more with their host's wrapper.
+items; an item is an element (label, flags, items, occurrences) or a text (flags, literal, characters,
+occurrences). Aligning two expressions matches items in order by a longest common subsequence; what only
+one side has becomes optional, neighbours alike and groups of any length that recur become repeated items,
+and texts that differ become slots. Map tasks align the pages they hold, so that only one small expression
+for each task and host is shuffled; those are aligned in two steps, first by (host, salt).
+
+The finished wrapper alone says which places (paths of labels) of the host hold content; ``places`` reads it
+off the expression, and a page's text is what stands at those places:
+
+* what slots hold counts, by characters over all pages; texts in links do not. Articles hold the content
+  where they have most of it, weighted ``WEIGHTS`` to one, else main, else the body. Of several kinds of
+  article those count that hold at least a quarter of what the largest holds, so teasers do not.
+* repeated items whose texts are all links are menus, inside articles too.
+* literals on all pages are the template. In articles, and in places that hold other texts too, that goes for
+  hosts with ``MANY_PAGES`` or more where literals are a small part, so near copies of a page keep their text.
+* elements that are furniture by tag, or by a class, role or id that is a listed word or made of listed
+  words only (cookie-notice, not no-sidebar), hold none: menus, headers, footers, sidebars, notices, adverts,
+  forms, comments. html, body, main and article are never judged by name.
+
+A host with fewer than ``MIN_PAGES`` pages shows neither menus by links nor a template, so only elements and
+names decide there. Pages nest at most ``MAX_DEPTH`` deep; elements below stand beside each other.
 
 The table of wrappers is written first, so its size is known: Spark broadcasts it while it is below its
 own threshold, and joins by host beyond that.
@@ -24,6 +34,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,8 +42,11 @@ from pyspark.sql import functions as F
 
 from findmill.llm.common import arrow_map, read_table, utf8, written
 
-MIN_PAGES = 3
+MIN_PAGES, MANY_PAGES = 3, 8
 SALTS = 32
+MAX_DEPTH = 100
+#: What a character in an article, in main and in the rest of the body weighs.
+WEIGHTS = {1: 64, 2: 8, 3: 1}
 OPTIONAL, REPEATED = 1, 2
 
 _TAG = re.compile(
@@ -72,10 +86,10 @@ CONTAINERS = {"html", "body", "main", "article"}
 class Place:
     """A path of labels. level: 1 in an article, 2 in main, 3 in the body, 0 elsewhere (not content)."""
 
-    __slots__ = ("label", "tag", "key", "level", "children", "masthead")
+    __slots__ = ("label", "tag", "key", "level", "children", "masthead", "parent")
 
     def __init__(self, parent: Place | None, label: str):
-        self.label, self.children = label, {}
+        self.label, self.children, self.parent = label, {}, parent
         self.tag, _, words = label.partition(".")
         self.key = xxhash.xxh64_intdigest(f"{parent.key if parent else 0}/{label}") - 2**63
         above = parent.level if parent else 3
@@ -141,6 +155,7 @@ def _root() -> Place:
 def events(page: str, root: Place) -> Iterator[tuple[str, Place, str]]:
     """('open' | 'close' | 'text', place, text) of a page, in order; line breaks are texts of a space."""
     stack = [root]
+    below: dict[str, int] = {}  # open elements deeper than MAX_DEPTH, which are not on the stack
     at, size = 0, len(page)
     while at < size:
         m = _TAG.search(page, at)
@@ -156,6 +171,12 @@ def events(page: str, root: Place) -> Iterator[tuple[str, Place, str]]:
             continue
         tag = m[2].lower()
         if m[1]:
+            if below.get(tag):
+                below[tag] -= 1
+                place = stack[-1].child(tag)
+                yield "open", place, ""
+                yield "close", place, ""
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     while len(stack) > i:
@@ -189,6 +210,9 @@ def events(page: str, root: Place) -> Iterator[tuple[str, Place, str]]:
         yield "open", place, ""
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             yield "close", place, ""
+        elif len(stack) > MAX_DEPTH:
+            below[tag] = below.get(tag, 0) + 1
+            yield "close", place, ""
         else:
             stack.append(place)
     while len(stack) > 1:
@@ -199,7 +223,7 @@ def squeeze(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-# --- expressions: [label, flags, items] and ["", flags, literal or None] ------------------------------
+# --- expressions: [label, flags, items, occurrences] and ["", flags, [[literal, length], ..], characters, occurrences, pages]
 
 
 def expression(page: str, root: Place) -> list:
@@ -208,80 +232,136 @@ def expression(page: str, root: Place) -> list:
     stack = [top]
     for kind, place, text in events(page, root):
         if kind == "open":
-            item = [place.label, 0, []]
+            item = [place.label, 0, [], 1]
             stack[-1].append(item)
             stack.append(item[2])
         elif kind == "close":
             done = stack.pop()
             done[:] = fold(done)
         elif words := squeeze(text):
-            stack[-1].append(["", 0, xxhash.xxh64_hexdigest(words)])
+            stack[-1].append(["", 0, [[xxhash.xxh32_intdigest(words), len(words)]], len(words), 1, 1])
     return fold(top)
 
 
-def merge(a: list, b: list) -> list:
-    """One item for two with the same label."""
+def merge(a: list, b: list, one_page: bool = False) -> list:
+    """One item for two with the same label, of one page or of different ones."""
     flags = a[1] | b[1]
-    if a[0] == "":
-        return ["", flags, a[2] if a[2] == b[2] else None]
-    return [a[0], flags, align(a[2], b[2])]
+    if a[0]:
+        return [a[0], flags, align(a[2], b[2], one_page), a[3] + b[3]]
+    if one_page:
+        both = sorted(dict(map(tuple, [*a[2], *b[2]])).items())
+        return ["", flags, [list(x) for x in both], a[3] + b[3], a[4] + b[4], max(a[5], b[5])]
+    common = a[2] if a[2] == b[2] else [x for x in a[2] if x[0] in {y[0] for y in b[2]}] if a[2] and b[2] else []
+    return ["", flags, common, a[3] + b[3], a[4] + b[4], a[5] + b[5]]
+
+
+def _recurring(same: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """(first, times) of every group of ``size`` items that recurs at once; ``same`` marks what equals the item ``size`` later."""
+    edges = np.diff(np.concatenate([[0], same.astype(np.int8), [0]]))
+    found, free = [], 0
+    for start, end in zip(np.flatnonzero(edges > 0).tolist(), np.flatnonzero(edges < 0).tolist()):
+        start = max(start, free)
+        if end - start >= size:
+            times = (end - start) // size + 1
+            found.append((start, times))
+            free = start + times * size
+    return found
 
 
 def fold(items: list) -> list:
-    """Neighbours with one label become a repeated item; so do groups of two or three that recur."""
-    out: list = []
-    for item in items:
-        if out and out[-1][0] == item[0]:
-            item = merge(out.pop(), item)
-            item[1] |= REPEATED
-        out.append(item)
-    for size in (2, 3):
-        at = 0
-        while at + 2 * size <= len(out):
-            first, second = out[at : at + size], out[at + size : at + 2 * size]
-            if [x[0] for x in first] == [x[0] for x in second]:
-                again = [merge(x, y) for x, y in zip(first, second)]
-                for x in again:
-                    x[1] |= REPEATED
-                out[at : at + 2 * size] = again
-            else:
-                at += 1
-    return out
+    """Neighbours with one label, and groups of any length that recur, become repeated items."""
+    if len(items) < 2:
+        return items
+    names: dict[str, int] = {}
+    labels = [names.setdefault(x[0], len(names)) for x in items]
+    if len(names) == len(items):
+        return items
+    numbers, size = np.array(labels), 1
+    while 2 * size <= len(items):
+        same = numbers[size:] == numbers[:-size]
+        found = _recurring(same, size) if np.count_nonzero(same) >= size else []
+        out, kept, at = [], [], 0
+        for start, times in found:
+            group = items[start : start + size]
+            for again in range(start + size, start + times * size, size):
+                group = [merge(x, y, True) for x, y in zip(group, items[again : again + size])]
+            for x in group:
+                x[1] |= REPEATED
+            out += items[at:start] + group
+            kept.append(np.arange(at, start + size))
+            at = start + times * size
+        if found:
+            numbers = numbers[np.concatenate([*kept, np.arange(at, len(items))])]
+            items = out + items[at:]
+        size += 1
+    return items
+
+
+def _steps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of all of x and each beginning of y."""
+    row = np.zeros(len(y) + 1, np.int64)
+    for value in x:
+        row[1:] = np.maximum(row[1:], (row[:-1] + 1) * (y == value))
+        np.maximum.accumulate(row, out=row)
+    return row
+
 
+def common(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence of two sequences of numbers, in memory linear in both.
 
-def align(a: list, b: list) -> list:
+    Halves of x meet the best cut of y until the parts are small; numbers one side lacks are left out first.
+    """
+    keep, other = np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))
+    x, y, out, work = x[keep], y[other], [], [(0, len(keep), 0, len(other))]
+    while work:
+        a, b, c, d = work.pop()
+        while a < b and c < d and x[a] == y[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1] == y[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if a == b or c == d:
+            continue
+        if b - a == 1:
+            out += [(a, c + int(j)) for j in np.flatnonzero(y[c:d] == x[a])[:1]]
+            continue
+        half = (a + b) // 2
+        total = _steps(x[a:half], y[c:d]) + _steps(x[half:b][::-1], y[c:d][::-1])[::-1]
+        cut = c + int(total.argmax())
+        work += [(a, half, c, cut), (half, b, cut, d)]
+    return sorted((int(keep[i]), int(other[j])) for i, j in out)
+
+
+def align(a: list, b: list, one_page: bool = False) -> list:
     """The expression of two lists of items: a longest common subsequence of labels, the rest optional."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head][0] == b[head][0]:
-        head += 1
-    out = [merge(x, y) for x, y in zip(a[:head], b[:head])]
-    a, b = a[head:], b[head:]
-    if not a or not b:
-        return out + [[x[0], x[1] | OPTIONAL, x[2]] for x in a or b]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            same = a[i][0] == b[j][0]
-            best[i][j] = best[i + 1][j + 1] + 1 if same else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i][0] == b[j][0]:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], a[i][1] | OPTIONAL, a[i][2]])
-            i += 1
-        else:
-            out.append([b[j][0], b[j][1] | OPTIONAL, b[j][2]])
-            j += 1
+    if [x[0] for x in a] == [x[0] for x in b]:
+        return [merge(x, y, one_page) for x, y in zip(a, b)]
+    most = min(len(a), len(b))
+    head = next((i for i in range(most) if a[i][0] != b[i][0]), most)
+    tail = next((i for i in range(most - head) if a[-1 - i][0] != b[-1 - i][0]), most - head)
+    places = [(i, i) for i in range(head)]
+    if head + tail < most:
+        names: dict[str, int] = {}
+        x, y = (np.array([names.setdefault(i[0], len(names)) for i in side[head : len(side) - tail]], np.int64) for side in (a, b))
+        places += [(head + i, head + j) for i, j in common(x, y)]
+    places += [(len(a) - i, len(b) - i) for i in range(tail, 0, -1)]
+    out, i, j = [], 0, 0
+    for to_i, to_j in [*places, (len(a), len(b))]:
+        for item in [*a[i:to_i], *b[j:to_j]]:
+            out.append([item[0], item[1] | OPTIONAL, *item[2:]])
+        if to_i < len(a):
+            out.append(merge(a[to_i], b[to_j], one_page))
+        i, j = to_i + 1, to_j + 1
     return out
 
 
 def regular_expression(items: list) -> str:
     """An expression as text: (..)? optional, (..)+ repeated, (..)* both, #PCDATA for slots."""
     parts = []
-    for label, flags, inner in items:
-        body = ("#PCDATA" if inner is None else f"'{inner}'") if label == "" else f"<{label}>{regular_expression(inner)}</{label}>"
+    for label, flags, inner, chars, *occurrences in items:
+        literal = inner[0][0] if not label and len(inner) == 1 and inner[0][1] * occurrences[0] == chars else None
+        body = f"<{label}>{regular_expression(inner)}</{label}>" if label else "#PCDATA" if literal is None else f"'{literal:08x}'"
         parts.append(f"({body}){('', '?', '+', '*')[flags]}" if flags else body)
     return "".join(parts)
 
@@ -337,38 +417,87 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     )
 
 
+class Kind:
+    """What a wrapper knows of one place: characters below it, those in links, and whether it repeats."""
+
+    __slots__ = ("place", "chars", "linked", "repeats")
+
+    def __init__(self, place: Place):
+        self.place, self.chars, self.linked, self.repeats = place, 0, 0, False
+
+
 def places(wrapper: list, n_pages: int) -> tuple[list[int], list[int], list[int]]:
     """(keys of places with content, their levels, keys of template texts) of a finished wrapper."""
-    levels: dict[int, int] = {}
-    template: set[int] = set()
-    slots = 0
-
-    def walk(items: list, place: Place, in_heading: bool, always: bool) -> None:
-        nonlocal slots
-        for label, flags, inner in items:
+    known: dict[int, Kind] = {}
+    texts: list[tuple[Place, bool, list, bool]] = []  # place, in a heading, literals, on all pages
+    mixed: set[int] = set()  # places that hold other texts than literals
+    articles: dict[int, int] = {}  # characters of the topmost articles, by place
+    free = {1: 0, 2: 0, 3: 0}  # characters outside links by level
+    slots = {1: 0, 2: 0, 3: 0}  # those of slots
+
+    def walk(items: list, place: Place, in_heading: bool, always: bool, in_link: bool, article: int) -> tuple[int, int]:
+        """Characters of texts, and of those in links, below."""
+        total = linked = 0
+        for label, flags, inner, chars, *counts in items:
             on_all = always and not flags & OPTIONAL
-            if label == "":
+            if not label:
+                other = max(0, chars - sum(n for _, n in inner) * counts[1])
+                total, linked = total + chars, linked + chars * in_link
+                texts.append((place, in_heading, inner, on_all))
+                if other:
+                    mixed.add(place.key)
                 level = place.content(in_heading)
-                if level and levels.get(place.key, 9) > level:
-                    levels[place.key] = level
-                slots += level > 0 and inner is None
-                if inner is not None and level > 1 and n_pages >= MIN_PAGES and on_all:
-                    template.add(_text_key(place, inner))
-            else:
-                below = place.child(label)
-                walk(inner, below, in_heading or below.tag in HEADINGS, on_all)
-
-    walk(wrapper, Place(None, ""), False, True)
+                if level and not in_link:
+                    free[level] += chars
+                    slots[level] += other
+                    if article:
+                        articles[article] = articles.get(article, 0) + chars
+                continue
+            child = place.child(label)
+            top = child.key if not article and child.tag == "article" and child.level else article
+            n, in_links = walk(inner, child, in_heading or child.tag in HEADINGS, on_all, in_link or child.tag == "a", top)
+            total, linked = total + n, linked + in_links
+            kind = known.setdefault(child.key, Kind(child))
+            kind.chars, kind.linked = kind.chars + n, kind.linked + in_links
+            kind.repeats = kind.repeats or bool(flags & REPEATED)
+        return total, linked
+
+    walk(wrapper, Place(None, ""), False, True, False, 0)
+    best = max((1, 2, 3), key=lambda x: WEIGHTS[x] * free[x])
+    largest = max(articles.values(), default=0)
+    menus = {
+        key for key, k in known.items()
+        if k.repeats and k.chars and k.chars == k.linked and k.place.tag in BLOCK and k.place.tag not in ("p", *HEADINGS)
+        and n_pages >= MIN_PAGES and 4 * k.linked <= free[k.place.level or 3]
+    }
+    left_out = menus | {key for key, chars in articles.items() if 4 * chars < largest and n_pages >= MIN_PAGES}
+    few = {x: n_pages >= MANY_PAGES and 5 * (free[x] - slots[x]) <= slots[x] for x in free}
+
+    def outside(place: Place | None) -> bool:
+        while place is not None and place.key not in left_out:
+            place = place.parent
+        return place is not None
+
+    levels: dict[int, int] = {}
+    template: set[int] = set()
+    for place, in_heading, literals, on_all in texts:
+        level = place.content(in_heading)
+        if not level or outside(place):
+            continue
+        # Where articles hold next to nothing of a host's text they are no better than the rest of the page.
+        levels[place.key] = min(levels.get(place.key, 9), max(level, best))
+        if on_all and n_pages >= MIN_PAGES and (few[level] or level > 1 and place.key not in mixed):
+            template.update(_text_key(place, literal) for literal, _ in literals)
     # Pages that are all alike show no template.
-    return list(levels), list(levels.values()), sorted(template) if slots else []
+    return list(levels), list(levels.values()), sorted(template) if any(slots.values()) else []
 
 
-def _text_key(place: Place, text_hash: str) -> int:
+def _text_key(place: Place, text_hash: int) -> int:
     return xxhash.xxh64_intdigest(f"{place.key}:{text_hash}") - 2**63
 
 
-def main_text(page: str, levels: dict[int, int], template: set[int], root: Place) -> str:
-    """The main text of a page by its wrapper; places the wrapper doesn't know are judged as it would."""
+def main_text(page: str, levels: dict[int, int] | None, template: set[int], root: Place) -> str:
+    """The text of a page at the places its wrapper names; without a wrapper (None) elements and names decide."""
     blocks: list[tuple[int, str]] = []
     parts: list[str] = []
     level = headings = 0
@@ -380,12 +509,14 @@ def main_text(page: str, levels: dict[int, int], template: set[int], root: Place
 
     for kind, place, text in events(page, root):
         if kind == "text":
-            here = levels.get(place.key)
-            if here is None:
-                here = place.content(headings > 0)
+            here = place.content(headings > 0)
+            if levels is not None and here:
+                here = levels.get(place.key, 0)
+                if not here and not squeeze(text):
+                    here = level  # white space belongs to what it stands in
             if not here:
                 continue
-            if template and not text.isspace() and _text_key(place, xxhash.xxh64_hexdigest(squeeze(text))) in template:
+            if template and not text.isspace() and _text_key(place, xxhash.xxh32_intdigest(squeeze(text))) in template:
                 continue
             if here != level:
                 end()
@@ -411,7 +542,8 @@ def squeeze_joined(parts: list[str]) -> str:
 def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(``id_col``, ``url_col``, text, n_chars) of every page, with the wrappers (host, wrapper, n_pages).
 
-    Null and empty pages, and pages without main text, have an empty text. A null URL, or one without a
+    Null and empty pages, and pages without main text, have an empty text. A page of a host without a
+    wrapper is judged by elements and names alone. A null URL, or one without a
     host, belongs to the host ''. Repeated rows stay. Text inside a block has single spaces.
     """
 
@@ -431,8 +563,8 @@ def extract(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_
         for host, raw, *lists in zip(*batch.columns[2:]):
             host = host.as_py()
             if host not in known:
-                kept, levels, template = (x.as_py() or [] for x in lists)
-                known[host] = dict(zip(kept, levels)), set(template)
+                kept, levels, template = (x.as_py() for x in lists)
+                known[host] = (None, set()) if kept is None else (dict(zip(kept, levels)), set(template))
             out.append(main_text(raw.as_py().decode("utf-8", "replace"), *known[host], root))
         made = [pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())]
         return pa.RecordBatch.from_arrays([*batch.columns[:2], *made], [id_col, url_col, "text", "n_chars"])

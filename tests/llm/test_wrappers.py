@@ -1,6 +1,11 @@
 import json
+import random
+from itertools import groupby
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from findmill.llm import wrappers as H
 
@@ -112,4 +117,89 @@ def test_words_in_names_of_content_lose_no_text(page):
     root = H.Place(None, "")
     for more in ("", furniture):
         text = page.replace("<p>kept", f"{more}<p>kept")
-        assert H.main_text(text, {}, set(), root) == "kept"
+        assert H.main_text(text, None, set(), root) == "kept"
+
+
+def labelled_site() -> list[tuple[str, str]]:
+    """Pages of one host, each with the main text a reader would mark: what varies and is no list of links."""
+    out = []
+    for i in range(12):
+        paragraphs = [f"Paragraph {j} of story {i} tells {'more ' * (30 + (i * j) % 7)}things." for j in range(2 + i % 3)]
+        note = [f"Correction {i}: a name."] if i % 4 == 1 else []
+        links = "".join(f"<li><a href=/{j}>More about topic {j + i}</a></li>" for j in range(3 + i % 2))
+        teasers = "".join(f"<article><a href=/t{j}>Teaser {i + j}</a><span>{j} min</span></article>" for j in range(3))
+        body = "".join(f"<p>{x}</p>" for x in paragraphs + note)
+        page = f"""<html><body><div id=top><a href=/>Home</a></div><section class=story><article class=full><h1>Story {i}</h1>
+<p>Filed under the paper's usual terms.</p>{body}<ul>{links}</ul><p>Write to us about this story.</p></article></section>
+<section class=more>{teasers}</section><div><span>{i} readers</span></div></body></html>"""
+        out.append((page, "\n".join([f"Story {i}", *paragraphs, *note])))
+    return out
+
+
+def test_the_wrapper_finds_what_was_marked_by_hand(spark):
+    """Template sentences, link lists and teasers inside articles have no telling names: only the aligned pages show them."""
+    site = labelled_site()
+    found = texts(spark, [(i, "http://labelled.example/", page) for i, (page, _) in enumerate(site)])
+    assert found == {i: text for i, (_, text) in enumerate(site)}
+    root = H.Place(None, "")
+    without = [H.main_text(page, None, set(), root) for page, _ in site]
+    assert all(text != want for text, (_, want) in zip(without, site))
+    assert all(H.main_text(page, {}, set(), root) == "" for page, _ in site)  # a wrapper that names no place
+
+
+def test_near_copies_of_an_article_keep_their_text(spark):
+    body = "".join(f"<p>Sentence {i} is the same in all of them.</p>" for i in range(20))
+    found = texts(spark, [(i, "http://copies.example/", f"<article><h1>T</h1>{body}<p>Copy {i}</p></article>") for i in range(12)])
+    assert all(text.count("\n") == 21 and text.endswith(f"Copy {i}") for i, text in found.items())
+
+
+def test_lists_of_links_stay_where_a_host_has_little_else(spark):
+    found = texts(spark, [(i, "http://links.example/", f"<article><ul><li><a href=/>a {i}</a><li><a href=/>b {i}</a></ul></article>") for i in range(5)])
+    assert found[3] == "a 3\nb 3"
+
+
+def test_deep_and_wide_pages_do_not_stop_the_job(spark):
+    deep = "<article>" + "<div>" * 5000 + "<p>deep {}</p>" + "</div>" * 5000 + "<p>after</p></article>"
+    rng = random.Random(3)
+    wide = ["<article>" + "".join(f"<{t}>w{i}</{t}>" for i, t in enumerate(rng.choices(["p", "h2", "div", "blockquote"], k=12_000))) + "</article>" for _ in range(2)]
+    rows = [(i, "http://deep.example/", deep.format(i)) for i in range(4)] + [(10 + i, "http://wide.example/", w) for i, w in enumerate(wide)]
+    found = texts(spark, rows)
+    assert found[2] == "deep 2\nafter"
+    assert found[10] == "\n".join(f"w{i}" for i in range(12_000))
+
+
+def brute_lcs(x: list[int], y: list[int]) -> int:
+    row = [0] * (len(y) + 1)
+    for a in x:
+        now = [0]
+        for j, b in enumerate(y):
+            now.append(row[j] + 1 if a == b else max(row[j + 1], now[-1]))
+        row = now
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=25), st.lists(st.integers(0, 5), max_size=25))
+def test_alignment_is_a_longest_common_subsequence(x, y):
+    found = H.common(np.array(x, np.int64), np.array(y, np.int64))
+    assert len(found) == brute_lcs(x, y) and all(x[i] == y[j] for i, j in found)
+    assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:]))
+    both = H.align([[str(i), 0, [], 1] for i in x], [[str(i), 0, [], 1] for i in y])
+    assert len(both) == len(x) + len(y) - len(found)
+
+
+@pytest.mark.parametrize("size", range(1, 9))
+def test_groups_of_any_length_that_recur_are_folded(size):
+    group = [f"g{i}" for i in range(size)]
+    labels = ["before", *group * 5, "after", "after2"]
+    found = H.fold([[x, 0, [], 1] for x in labels])
+    assert [x[0] for x in found] == ["before", *group, "after", "after2"]
+    assert [x[1] for x in found] == [0, *[H.REPEATED] * size, 0, 0] and [x[3] for x in found[1:-2]] == [5] * size
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=14))
+def test_folding_leaves_no_neighbours_alike(labels):
+    found = H.fold([[x, 0, [], 1] for x in labels])
+    assert [k for k, _ in groupby(x[0] for x in found)] == [x[0] for x in found]
+    assert sum(x[3] for x in found) == len(labels)
