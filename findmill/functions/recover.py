@@ -20,7 +20,7 @@ def strict_json(text: Column) -> Column:
 
 def recovered_json(text: Column) -> Column:
     """The first that parses: the text, its widest array of objects, its widest object, a fenced block."""
-    fence = F.nullif(F.regexp_extract(text, r"(?s)```json\s*(.*?)```", 1), F.lit(""))
+    fence = F.nullif(F.regexp_extract(text, r"(?s)```json\s*(\[.*?\]|\{.*?\})\s*```", 1), F.lit(""))
     return F.coalesce(
         strict_json(text),
         strict_json(F.regexp_substr(text, F.lit(r"(?s)\[\s*\{.*\}\s*\]"))),

@@ -39,8 +39,9 @@ def digits(text: Column) -> Column:
 
 
 def contains_any(text: Column, terms: tuple[str, ...] = SOFT_TERMS) -> Column:
-    low = F.lower(text)
-    return F.coalesce(reduce(Column.__or__, [low.contains(t) for t in terms]), F.lit(False))
+    # The array holds the lowered text once; as a plain column it would be made again for every term.
+    found = F.exists(F.array(F.lower(text)), lambda low: reduce(Column.__or__, [low.contains(t) for t in terms]))
+    return F.coalesce(found, F.lit(False))
 
 
 def blocked_terms(ext: Column, kind: Column, title: Column) -> Column:
@@ -71,6 +72,11 @@ def has_text(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\S"), F.lit(False))
 
 
+def alert(sev: Column) -> Column:
+    """Whether a finding is worth an alert of its own."""
+    return F.coalesce(sev.isin("Critical", "High"), F.lit(False))
+
+
 def report_colour(sev: Column) -> Column:
     return F.when(sev == "Critical", "red").when(sev == "High", "orange").otherwise("blue")
 

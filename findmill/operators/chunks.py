@@ -9,8 +9,17 @@ from findmill.functions.rules import CHUNK_OVERLAP
 from findmill.functions.text import has_text
 
 
-def chunk_starts(content: Column, size: int, overlap: int = CHUNK_OVERLAP) -> Column:
-    return F.when(F.length(content) > 0, F.sequence(F.lit(0), F.length(content) - 1, F.lit(size - overlap)))
+def cut_chunks(content: Column, size: int, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Chunks of ``size`` characters, each beginning ``size`` - ``overlap`` after the one before.
+
+    The content is cut once, into stretches of that step, and a chunk is the beginning of those that follow
+    each other: the work grows with the content, while a substring counts its characters from the start.
+    """
+    step = size - overlap
+    parts = F.regexp_extract_all(content, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    wide = -(-size // step)
+    joined = F.transform(F.array(parts), lambda p: F.transform(p, lambda _, i: F.substring(F.array_join(F.slice(p, i + 1, F.lit(wide)), ""), F.lit(1), F.lit(size))))
+    return joined[0]
 
 
 def chunks(files: DataFrame, size: int, whole_file: bool = False, content_col: str = "content") -> DataFrame:
@@ -20,7 +29,7 @@ def chunks(files: DataFrame, size: int, whole_file: bool = False, content_col: s
     than ``size`` is one chunk.
     """
     content = F.col(content_col)
-    cut = F.transform(chunk_starts(content, size), lambda at: F.substring(content, at + 1, F.lit(size)))
+    cut = cut_chunks(content, size)
     if whole_file:
         cut = F.when(F.length(content) < size, F.array(content)).otherwise(cut)
     kept = [c for c in files.columns if c != content_col]

@@ -116,10 +116,11 @@ def drop_overlap_repeats(found: DataFrame) -> DataFrame:
 def with_snippets(found: DataFrame, files: DataFrame) -> DataFrame:
     """Findings without a snippet of the model's own get the lines around theirs, or say why there are none.
 
-    Only paths that need it are joined, and only the cut lines leave the join.
+    Only files of findings that need it are joined, and only the cut lines leave the join.
     """
     missing = F.col("snippet") == DEFAULTS["snippet"]
-    texts = files.select(F.col("path").alias("filepath"), F.col("content").alias("_content"))
+    wanted = found.where(missing & F.col("line").isNotNull()).select("filepath").distinct()
+    texts = files.select(F.col("path").alias("filepath"), F.col("content").alias("_content")).join(wanted, "filepath", "left_semi")
     both = found.join(texts, "filepath", "left")
     around = (
         F.when(F.col("line").isNull(), F.lit(DEFAULTS["snippet"]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
 import urllib.request
@@ -10,11 +11,13 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 
 from findmill.functions.rules import FALLBACK_MODEL, model_of
 
 ATTEMPTS = 3
+CALLS_PER_TASK = 64
 
 
 class Backend(Protocol):
@@ -34,20 +37,20 @@ class ReplayBackend:
 class HttpBackend:
     """A model server that takes a JSON request and answers {"response": text}."""
 
-    def __init__(self, url: str, context: int):
-        self.url, self.context = url, context
+    def __init__(self, url: str, context: int, **options):
+        self.url, self.options = url, {"num_ctx": context, "temperature": 0.1, **options}
 
     def call(self, model: str, prompt: str, timeout: int) -> str:
         body = {
             "model": model, "prompt": prompt, "stream": False, "format": "json",
-            "options": {"temperature": 0.1, "num_gpu": 1, "num_thread": 8, "num_ctx": self.context},
+            "options": self.options,
         }
         request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
         with urllib.request.urlopen(request, timeout=timeout) as answer:
             return json.load(answer).get("response", "{}")
 
 
-_PARTS = (r"\[\s*\{.*\}\s*\]", r"\{.*\}", r"```json\s*(.*?)```")
+_PARTS = (r"\[\s*\{.*\}\s*\]", r"\{.*\}", r"```json\s*(\[.*?\]|\{.*?\})\s*```")
 
 
 def _usable(text: str) -> bool:
@@ -64,10 +67,10 @@ def _usable(text: str) -> bool:
     return False
 
 
-def resolve_endpoint(given: str | None, candidates: Sequence[str], default: str, tries: int = 2, timeout: float = 2.0) -> str:
-    """The address given, else the first candidate that answers a probe with 200, else the default."""
-    if given:
-        return given
+def resolve_endpoint(given: str | None, candidates: Sequence[str], default: str, tries: int = 2, timeout: float = 2.0, variable: str | None = None) -> str:
+    """The address given, else that in the environment, else the first candidate that answers with 200, else the default."""
+    if given or variable and os.environ.get(variable):
+        return given or os.environ[variable]
     for url in candidates:
         for _ in range(tries):
             try:
@@ -90,19 +93,20 @@ def ask(backend: Backend, model: str, prompt: str, pause: Callable[[float], None
             pause(2.0**attempt)
         try:
             text = backend.call(FALLBACK_MODEL if last else model, prompt, timeout)
-        except OSError:
+        except Exception:  # a backend may fail in any way; the call counts as failed
             continue
-        if _usable(text):
+        if isinstance(text, str) and _usable(text):
             return "ok", text, FALLBACK_MODEL if last else model
     return "failed", None, model
 
 
-def infer(prompted: DataFrame, backend: Backend, model: str, max_calls: int = 2) -> DataFrame:
-    """``prompted`` with status, raw and model; ``max_calls`` partitions bound the calls at a time.
+def infer(prompted: DataFrame, backend: Backend, model: str, max_calls: int = 2, profile: ResourceProfile | None = None) -> DataFrame:
+    """``prompted`` with status, raw and model.
 
-    Store the result before using it: a task that is repeated calls the model again.
+    Calls at a time are bounded by ``max_calls`` partitions, or by a resource profile whose task resource
+    stands for one call: then a partition is ``CALLS_PER_TASK`` calls, and a lost executor repeats no more
+    than its own. Store the result before using it: a task that is repeated calls the model again.
     """
-    names = prompted.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -110,4 +114,6 @@ def infer(prompted: DataFrame, backend: Backend, model: str, max_calls: int = 2)
             yield batch.assign(**{c: [a[i] for a in answers] for i, c in enumerate(("status", "raw", "model"))})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompted.schema)
-    return prompted.select(*names).repartition(max_calls).mapInPandas(run, f"{schema}, status string, raw string, model string")
+    tasks = max_calls if profile is None else max(max_calls, -(-prompted.count() // CALLS_PER_TASK))
+    more = {} if profile is None else {"profile": profile}
+    return prompted.repartition(tasks).mapInPandas(run, f"{schema}, status string, raw string, model string", **more)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,22 +73,39 @@ def append_history(summary: DataFrame, path: str) -> None:
     summary.write.mode("append").json(path)
 
 
+def _span(start: int, count: int) -> str:
+    """Lines of a hunk, counted from 1; none lie after the line before."""
+    return f"{start + 1}" if count == 1 else f"{start + (count > 0)},{count}"
+
+
 def make_patch(file: str, content: str | None, line: int | None, fix: str | None) -> dict:
-    """Replace one line by a fix with that line's indent, as a unified diff with three lines around it."""
+    """Replace one line by a fix with that line's indent, as a unified diff with three lines around it.
+
+    Lines end with a line feed only. Of each line of the fix the white space in front gives way to the indent.
+    """
     failed = {"ok": False, "diff": None, "before": None, "after": None}
     if content is None:
         return {**failed, "error": "file not found"}
-    lines = content.splitlines(keepends=True)
+    lines = re.findall(r"[^\n]*\n|[^\n]+", content)
     if line is None or not 1 <= line <= len(lines):
         return {**failed, "error": "line out of range"}
     if not (fix or "").strip():
         return {**failed, "error": "no fix"}
     old = lines[line - 1]
-    indent = " " * (len(old) - len(old.lstrip()) if old.strip() else 1)
-    new = [f"{indent}{x.strip()}\n" for x in fix.strip().splitlines()]
-    after = [*lines[: line - 1], *new, *lines[line:]]
-    diff = "".join(x if x.endswith("\n") else f"{x}\n\\ No newline at end of file\n" for x in difflib.unified_diff(lines, after, f"a/{file}", f"b/{file}"))
-    return {"ok": True, "diff": diff, "before": old.rstrip("\n"), "after": "".join(new).rstrip("\n"), "error": None}
+    indent = " " * (len(old) - len(old.lstrip()))
+    new = [f"{indent}{x.lstrip()}\n" for x in fix.strip().split("\n")]
+    diff = ""
+    if new != [old]:
+        # The old line may stay among the new ones: then there are only insertions around it.
+        at = new.index(old) if old in new else None
+        first = line - (at is None or at > 0)
+        last = line - (at is not None and at == len(new) - 1)
+        low, high = max(0, first - 3), min(len(lines), last + 3)
+        middle = [f"-{old}", *(f"+{x}" for x in new)] if at is None else [*(f"+{x}" for x in new[:at]), f" {old}", *(f"+{x}" for x in new[at + 1 :])]
+        body = [*(f" {x}" for x in lines[low : line - 1]), *middle, *(f" {x}" for x in lines[line:high])]
+        head = f"--- a/{file}\n+++ b/{file}\n@@ -{_span(low, high - low)} +{_span(low, high - low + len(new) - 1)} @@\n"
+        diff = head + "".join(x if x.endswith("\n") else f"{x}\n\\ No newline at end of file\n" for x in body)
+    return {"ok": True, "diff": diff, "before": old.removesuffix("\n"), "after": "".join(new).removesuffix("\n"), "error": None}
 
 
 @F.pandas_udf(PATCH)
@@ -103,8 +120,16 @@ def write_patches(patched: DataFrame, path: str) -> None:
     patched.where("ok").select("id", body.alias("value")).write.mode("append").partitionBy("id").text(path)
 
 
-def patches(found: DataFrame, files: DataFrame) -> DataFrame:
-    """``found`` with ``patch``; the file is looked up by path."""
+def with_content(found: DataFrame, files: DataFrame) -> DataFrame:
+    """``found`` with the content of its file, looked up by path, else by name: then the first path with it."""
     texts = files.select(F.col("path").alias("filepath"), "content")
-    both = found.join(texts, "filepath", "left")
-    return both.withColumn("patch", patch("file", "content", F.col("line").cast("long"), "fix")).drop("content")
+    missing = found.join(texts.select("filepath"), "filepath", "left_anti").select("file").distinct()
+    named = files.join(missing, "file", "left_semi").groupBy("file").agg(F.min_by("content", "path").alias("_named"))
+    both = found.join(texts, "filepath", "left").join(named, "file", "left")
+    return both.select(*found.columns, F.coalesce("content", "_named").alias("content"))
+
+
+def patches(found: DataFrame, files: DataFrame) -> DataFrame:
+    """``found`` with ``patch``."""
+    made = with_content(found, files).withColumn("patch", patch("file", "content", F.col("line").cast("long"), "fix"))
+    return made.select(*found.columns, "patch")

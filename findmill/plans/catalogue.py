@@ -375,21 +375,96 @@ def array_join(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(langs.alias("langs"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, source || '.' || lang AS file, doc_id % 3 + 1 AS n, text LIKE '%' || chr(10) AS ends,
+ CASE WHEN text = '' THEN [] ELSE string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) END AS l FROM documents),
+ x AS (SELECT *, len(l) AS m, greatest(1, n - 3) AS a, least(len(l), n + 3) AS e, l[n] AS old FROM d),
+ y AS (SELECT *, repeat(' ', CASE WHEN trim(old, ' ' || chr(9)) = '' AND (n < m OR ends) THEN length(old) + 1 ELSE length(old) - length(ltrim(old, ' ' || chr(9))) END) || 'fixed line' AS new FROM x),
+ b AS (SELECT doc_id, n, l, m, ends, old, new, unnest(range(a, e + 1)) AS i FROM y WHERE n <= m),
+ t AS (SELECT doc_id, string_agg(CASE WHEN i = n THEN '-' ELSE ' ' END || l[i] || chr(10) || CASE WHEN i = m AND NOT ends THEN '\ No newline at end of file' || chr(10) ELSE '' END
+  || CASE WHEN i = n THEN '+' || new || chr(10) ELSE '' END, '' ORDER BY i) AS body FROM b GROUP BY doc_id)
+SELECT doc_id, n <= m AS ok, CASE WHEN n <= m THEN '--- a/' || file || chr(10) || '+++ b/' || file || chr(10) || '@@ -' || r || ' +' || r || ' @@' || chr(10) || body END AS diff,
+ CASE WHEN n <= m THEN old END AS before, CASE WHEN n <= m THEN new END AS after, CASE WHEN n > m THEN 'line out of range' END AS error
+FROM (SELECT *, CASE WHEN e = a THEN CAST(a AS VARCHAR) ELSE a || ',' || (e - a + 1) END AS r FROM y) LEFT JOIN t USING (doc_id)""")
 def patch_diff(spark, sf_dir):
-    """Rows only: a unified diff for one line of each document."""
+    """A unified diff for one line of each document."""
     made = files_of(spark, sf_dir).withColumn("line", (F.col("doc_id") % 3 + 1).cast("long")).withColumn("fix", F.lit("fixed line"))
     return made.select("doc_id", R.patch("file", "content", "line", "fix").alias("p")).select("doc_id", "p.*")
 
 
+@query(f"SELECT o_orderkey, {ORDER_SEVERITY} IN ('Critical', 'High') AS alert FROM orders")
+def alert_flag(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.alert(order_severity()).alias("alert"))
+
+
+@query("SELECT doc_id, true AS found, 'src' || doc_id % 3 AS file, CASE WHEN doc_id % 2 = 0 THEN text ELSE (SELECT min_by(text, doc_id) FROM documents d WHERE d.doc_id % 3 = documents.doc_id % 3) END AS content FROM documents WHERE doc_id < 20")
+def patch_lookup(spark, sf_dir):
+    """Files found by their path, or, where that is gone, the first with their name."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("src"), (F.col("doc_id") % 3).cast("string"))
+    path = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    files = docs.select(path.alias("path"), name.alias("file"), F.col("text").alias("content"))
+    found = docs.where("doc_id < 20").select(
+        "doc_id", name.alias("file"), F.when(F.col("doc_id") % 2 == 0, path).otherwise("gone").alias("filepath"), F.lit(1).alias("line"), F.lit("f").alias("fix")
+    )
+    return R.with_content(found, files).select("doc_id", F.col("content").isNotNull().alias("found"), "file", "content")
+
+
+_SECOND = """'{"title": "second", "reasoning": {"pattern": "p"}}'"""
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_custkey, {ORDER_SEVERITY} AS severity, CASE o_orderkey % 3 WHEN 0 THEN 'css' WHEN 1 THEN 'py' ELSE 'md' END AS ext FROM orders WHERE o_orderkey % 4 <> 3),
+ f AS (SELECT k, 0 AS response_pos, 'f.' || ext AS file, CASE WHEN k % 5 = 0 THEN 'Vulnérabilité Inconnue' ELSE 'C' || o_custkey END AS title, severity,
+  nullif(CAST(CASE WHEN k % 4 = 1 THEN k % 7 || '9' ELSE CAST(k % 7 AS VARCHAR) END AS BIGINT), 0) AS line,
+  CASE k % 3 WHEN 0 THEN 'this SEEMS wrong' WHEN 1 THEN 'Pas de description fournie.' ELSE 'plain' END AS description,
+  CASE WHEN k % 6 = 0 THEN '' ELSE 'f' END AS fix, CASE WHEN k % 2 = 1 THEN 'XSS' ELSE 'Unknown' END AS type, 'Non spécifié' AS pattern, severity AS mitigation_priority,
+  100.0 - CASE WHEN k % 3 = 0 THEN 15.0 ELSE 0.0 END AS base,
+  (CAST(k % 5 <> 0 AS INTEGER) + 1 + CAST(k % 4 = 1 OR k % 7 <> 0 AS INTEGER) + CAST(k % 3 <> 1 AS INTEGER) + CAST(k % 6 <> 0 AS INTEGER)) / CAST(5 AS DOUBLE) AS complete,
+  CASE WHEN k % 4 = 1 OR k % 7 = 0 THEN 10.0 ELSE 0.0 END AS unclear, CASE WHEN k % 2 = 0 THEN CAST(k % 101 AS DOUBLE) END AS number,
+  CASE WHEN k % 2 = 1 AND ext <> 'py' THEN 30.0 ELSE 0.0 END AS blocked FROM o
+ UNION ALL SELECT k, 1, 'f.' || ext, 'second', 'Low', NULL, 'Pas de description fournie.', 'Pas de correctif proposé.', 'Unknown', 'p', 'Low', 100.0, 0.2, 10.0, NULL, 0.0 FROM o WHERE k % 4 = 2),
+ s AS (SELECT *, CAST(base AS DOUBLE) * (0.7 + 0.3 * complete) - unclear AS score FROM f)
+SELECT k, CAST(response_pos AS INTEGER) AS response_pos, file, title, severity, line, description, fix, type, pattern, mitigation_priority, false AS degraded,
+ CAST(round(greatest(0.0, least(100.0, coalesce((score + number) / 2, score) - blocked)) * 100) AS BIGINT) AS confidence_x100 FROM s""")
+def findings_raw(spark, sf_dir):
+    """Responses as models write them (an object, a list with other values, a list in prose, no JSON) to typed findings."""
+    k = F.col("o_orderkey")
+
+    def quoted(name: str, value) -> F.Column:
+        return F.concat(F.lit(f'"{name}": "'), value, F.lit('"'))
+
+    line = F.when(k % 4 == 1, quoted("line", F.concat(F.lit("L"), (k % 7).cast("string"), F.lit("-9")))).otherwise(F.concat(F.lit('"line": '), (k % 7).cast("string")))
+    description = F.when(k % 3 == 0, '"description": "this SEEMS wrong"').when(k % 3 == 2, '"description": "plain"')
+    parts = [
+        F.when(k % 5 != 0, quoted("title", F.concat(F.lit("C"), "o_custkey"))), quoted("severity", F.replace("o_orderpriority", F.lit("URGENT"), F.lit("CRITICAL"))), line, description,
+        F.when(k % 6 == 0, '"fix": ""').otherwise('"fix": "f"'), F.when(k % 2 == 1, '"type": "XSS"').otherwise(F.concat(F.lit('"confidence": '), (k % 101).cast("string"))),
+    ]
+    first = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    raw = (
+        F.when(k % 4 == 0, first).when(k % 4 == 1, F.concat(F.lit("["), first, F.lit(', "x"]')))
+        .when(k % 4 == 2, F.concat(F.lit("Found: ["), first, F.lit(", "), F.expr(_SECOND), F.lit("] so far."))).otherwise("no defect")
+    )
+    path = F.concat(F.lit("src/f."), F.element_at(F.array(*map(F.lit, ("css", "py", "md"))), (k % 3 + 1).cast("int")))
+    found = D.findings(table(spark, sf_dir, "orders").select(k.alias("k"), path.alias("filepath"), raw.alias("raw")))
+    return found.select(
+        "k", "response_pos", "file", "title", "severity", "line", "description", "fix", "type", F.col("reasoning.pattern").alias("pattern"),
+        F.col("reasoning.mitigation_priority").alias("mitigation_priority"), "degraded", F.round(F.col("confidence") * 100).cast("long").alias("confidence_x100"),
+    )
+
+
 def _stub(prompt: str) -> str:
     n = len(prompt)
     return f'[{{"title": "t{n % 7}", "severity": "{("high", "critical", "low")[n % 3]}", "line": {n % 50}, "description": "d", "fix": "f", "confidence": {n % 101}}}]'
 
 
-@query()
+_REPLAY_CHUNK_SQL = CHUNK_SQL.replace("500.0", "3500.0").replace("i * 500", "i * 3500").replace("1000)", "4000)")
+
+
+@query(f"""WITH p AS (SELECT doc_id || '/' || file AS filepath, chunk_idx, length(file) + length(chunk) + 2 AS n FROM ({_REPLAY_CHUNK_SQL})),
+ f AS (SELECT filepath, chunk_idx, 't' || n % 7 AS title, CASE n % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'Critical' ELSE 'Low' END AS severity, nullif(n % 50, 0) AS line,
+ round((CAST(100.0 AS DOUBLE) * (0.7 + 0.3 * CASE WHEN n % 50 = 0 THEN 0.8 ELSE 1.0 END) - CASE WHEN n % 50 = 0 THEN 10.0 ELSE 0.0 END + n % 101) / 2, 2) AS confidence FROM p)
+SELECT row_number() OVER (ORDER BY filepath, chunk_idx) AS id, * FROM f WHERE confidence >= 20""")
 def infer_replay(spark, sf_dir):
-    """Rows only: chunks to a stub model to findings to the best of each response, with ids."""
+    """Chunks to a stub model to findings to the best of each response, with ids."""
     cut = C.prompts(C.chunks(files_of(spark, sf_dir), 4000), ("", "\n", ""))
     asked = I.infer(cut.select("doc_id", "file", "chunk_idx", "prompt"), I.ReplayBackend(_stub), "qwen2.5-coder:14b")
     raw = asked.where("status = 'ok'").select(F.lit("r").alias("run_id"), F.concat("doc_id", F.lit("/"), "file").alias("filepath"), "chunk_idx", "raw")

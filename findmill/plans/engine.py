@@ -15,7 +15,7 @@ from findmill.operators.findings import assign_ids, findings, select_findings, w
 from findmill.operators.inference import Backend, infer
 from findmill.operators.report import append_history, patches, save_responses, save_run
 from findmill.operators.rollup import call_counters, run_summary
-from findmill.sources.tree import local_copy, source_tree
+from findmill.sources.tree import opened, source_tree
 
 TEMPLATE = (
     "Review the source file below for security defects. Answer with a JSON list; each entry has title, severity, "
@@ -31,6 +31,13 @@ MODE_TEXT = {
 
 
 _BUSY = threading.Lock()
+#: Scans of this driver by id: what each is doing. Threads share it.
+_SCANS: dict[str, dict] = {}
+STEPS = ("files", "calls", "findings", "summary")
+
+
+class Stopped(RuntimeError):
+    """A scan was stopped; it leaves no history."""
 
 
 class Run(NamedTuple):
@@ -45,40 +52,71 @@ def run_scan(spark: SparkSession, target: str, backend: Backend, store: str, pro
     """Scan a target; None if no file matches (such runs leave no history).
 
     Responses are stored before anything is made of them, so a repeated task never calls the model for
-    the later steps again; findings are stored too, so each is made once. One scan runs at a time; its Spark jobs carry the run's tag for ``stop_scan``.
+    the later steps again; files and findings are stored too, so each is read and made once. One scan runs
+    at a time; its Spark jobs carry the run's tag, so that ``stop_scan`` reaches them from any thread.
     """
     if not _BUSY.acquire(blocking=False):
         raise RuntimeError("a scan is running")
     run_id = str(uuid.uuid4())[:8]
-    spark.addTag(f"scan-{run_id}")
+    mine = _SCANS[run_id] = {"run_id": run_id, "target": target, "state": "running", "step": STEPS[0], "progress": 0, "stop": False}
+    spark.sparkContext.addJobTag(f"scan-{run_id}")
     try:
-        return _scan(spark, run_id, target, backend, store, profile, mode, keep_history)
+        with opened(spark, target) as folder:
+            found = _scan(spark, run_id, target, folder, backend, store, profile, mode, keep_history)
+        mine.update(state="done", progress=100)
+        return found
+    except Exception as e:
+        mine["state"] = "stopped" if mine["stop"] else "failed"
+        if mine["stop"] and not isinstance(e, Stopped):
+            raise Stopped(run_id) from e
+        raise
     finally:
-        spark.removeTag(f"scan-{run_id}")
+        spark.sparkContext.removeJobTag(f"scan-{run_id}")
         _BUSY.release()
 
 
-def running_scans(spark: SparkSession) -> list[str]:
-    """The tags of scans that this thread has running."""
-    return sorted(t for t in spark.getTags() if t.startswith("scan-"))
+def run_status(run_id: str) -> dict | None:
+    """State (running, done, stopped or failed), step and progress in per cent of a scan of this driver."""
+    found = _SCANS.get(run_id)
+    return found and {k: v for k, v in found.items() if k != "stop"}
+
+
+def running_scans() -> list[str]:
+    """The ids of the scans that run, whichever thread runs them."""
+    return sorted(i for i, x in list(_SCANS.items()) if x["state"] == "running")
+
+
+def stop_scan(spark: SparkSession, run_id: str) -> bool:
+    """Stop a running scan from any thread: its jobs are cancelled, no step follows, and there is no history."""
+    if run_id not in running_scans():
+        return False
+    _SCANS[run_id]["stop"] = True
+    spark.sparkContext.cancelJobsWithTag(f"scan-{run_id}")
+    return True
 
 
-def stop_scan(spark: SparkSession, tag: str) -> list[str]:
-    """Cancel the jobs of a running scan, which ends with an error and leaves no history."""
-    return spark.interruptTag(tag)
+def _enter(run_id: str, step: str) -> None:
+    mine = _SCANS[run_id]
+    if mine["stop"]:
+        raise Stopped(run_id)
+    mine.update(step=step, progress=100 * STEPS.index(step) // len(STEPS))
 
 
-def _scan(spark: SparkSession, run_id: str, target: str, backend: Backend, store: str, profile: str, mode: str, keep_history: bool) -> Run | None:
+def _scan(spark: SparkSession, run_id: str, target: str, folder: str, backend: Backend, store: str, profile: str, mode: str, keep_history: bool) -> Run | None:
     plan, rules = profile_of(profile), mode_of(mode)
-    files = source_tree(spark, local_copy(target), rules.suffixes)
+    # Stored once: every later step sees the same files, and a clone can go.
+    files = save_run(source_tree(spark, folder, rules.suffixes), f"{store}/files", run_id).drop("run_id")
     if files.isEmpty():
         return None
+    _enter(run_id, "calls")
     cut = prompts(chunks(files, plan.chunk_size, plan.whole_file), TEMPLATE, MODE_TEXT.get(mode, MODE_TEXT["deep"]))
     answered = infer(cut, backend, plan.model, plan.max_calls).withColumnRenamed("path", "filepath")
     calls = save_responses(answered, f"{store}/responses", run_id)
+    _enter(run_id, "findings")
     raw = calls.where("status = 'ok'").select("run_id", "filepath", "chunk_idx", "raw")
     best = assign_ids(select_findings(findings(raw), mode, ("run_id", "filepath", "chunk_idx")))
     found = save_run(with_snippets(best, files), f"{store}/findings", run_id)
+    _enter(run_id, "summary")
     counters = call_counters(calls)
     row = (
         run_summary(found)

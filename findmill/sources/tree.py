@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import shutil
 import subprocess
-import tempfile
+import zlib
 from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from findmill.functions.rules import HISTORY_ROWS, PRUNED_DIRS
+from findmill.sources.store import work_path
 
 HISTORY_SCHEMA = (
     "id string, date string, target string, profile string, mode string, "
@@ -23,44 +27,78 @@ HISTORY_SCHEMA = (
 
 
 class _Files(InputPartition):
-    def __init__(self, paths: list[str], folder: str | None = None):
+    """Files, or a folder to walk; of a wide folder the names with one remainder by ``parts``."""
+
+    def __init__(self, paths: list[str], folder: str | None = None, part: int = 0, parts: int = 1):
         super().__init__(None)
-        self.paths, self.folder = paths, folder
+        self.paths, self.folder, self.part, self.parts = paths, folder, part, parts
 
 
 class _TreeReader(DataSourceReader):
-    """The driver opens folders level by level until there are ``folderTasks`` of them; tasks walk the rest."""
+    """The driver opens folders level by level until there are ``folderTasks`` of them; tasks walk the rest.
+
+    A folder with more than ``folderNames`` names is not listed on the driver: ``folderParts`` tasks list it,
+    and each takes its share.
+    """
 
     def __init__(self, options: dict):
         self.root = options["path"]
         self.suffixes = tuple(s for s in options.get("suffixes", "").split(",") if s)
         self.per_task = int(options.get("filesPerTask", 200))
         self.most = int(options.get("folderTasks", 4096))
-
-    def _inside(self, folder: str) -> tuple[list[str], list[str]]:
-        """(folders to enter, files wanted) of one folder."""
-        _, inside, names = next(os.walk(folder), (folder, [], []))
-        below = [os.path.join(folder, d) for d in sorted(inside) if d not in PRUNED_DIRS]
-        wanted = [os.path.join(folder, n) for n in sorted(names) if not self.suffixes or n.endswith(self.suffixes)]
-        return [d for d in below if not os.path.islink(d)], wanted
+        self.names = int(options.get("folderNames", 50_000))
+        self.parts = int(options.get("folderParts", 64))
+
+    def _entries(self, folder: str, most: int | None = None) -> list[os.DirEntry] | None:
+        """What is in a folder, or None if that is more than ``most``."""
+        found = []
+        try:
+            with os.scandir(folder) as entries:
+                for entry in entries:
+                    found.append(entry)
+                    if most is not None and len(found) > most:
+                        return None
+        except OSError:
+            return []
+        return sorted(found, key=lambda x: x.name)
+
+    def _inside(self, entries: list[os.DirEntry], part: int = 0, parts: int = 1) -> tuple[list[str], list[str]]:
+        """(folders to enter, files wanted) of one folder, or of one part of its names."""
+        below, wanted = [], []
+        for entry in entries:
+            if parts > 1 and zlib.crc32(os.fsencode(entry.name)) % parts != part:
+                continue
+            if entry.is_dir():
+                if entry.name not in PRUNED_DIRS and not entry.is_symlink():
+                    below.append(entry.path)
+            elif not self.suffixes or entry.name.endswith(self.suffixes):
+                wanted.append(entry.path)
+        return below, wanted
 
     def partitions(self) -> list[InputPartition]:
         found: list[str] = []
-        open_, opened = deque([self.root]), 0
-        while open_ and opened < self.most:
-            below, wanted = self._inside(open_.popleft())
+        open_, opened, wide = deque([self.root]), 0, []
+        while open_ and opened < self.most and len(found) <= self.most * self.per_task:
+            folder = open_.popleft()
+            opened += 1
+            entries = self._entries(folder, self.names)
+            if entries is None:
+                wide.append(folder)
+                continue
+            below, wanted = self._inside(entries)
             open_ += below
             found += wanted
-            opened += 1
         tasks = [_Files(found[i : i + self.per_task]) for i in range(0, len(found), self.per_task)]
+        tasks += [_Files([], folder, part, self.parts) for folder in wide for part in range(self.parts)]
         return tasks + [_Files([], folder) for folder in open_] or [_Files([])]
 
     def _paths(self, partition: InputPartition) -> Iterator[str]:
         yield from partition.paths
-        work = [partition.folder] if partition.folder else []
+        work = [(partition.folder, partition.part, partition.parts)] if partition.folder else []
         while work:
-            below, wanted = self._inside(work.pop())
-            work += below
+            folder, *share = work.pop()
+            below, wanted = self._inside(self._entries(folder), *share)
+            work += [(x, 0, 1) for x in below]
             yield from wanted
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -94,13 +132,24 @@ def source_tree(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ()
     return spark.read.format("srctree").option("suffixes", ",".join(suffixes)).load(folder)
 
 
-def local_copy(target: str) -> str:
-    """A folder for a target: itself, or a shallow clone of a git address."""
-    if not target.startswith(("http", "git@")):
-        return target
-    folder = tempfile.mkdtemp(prefix="findmill-src-")
-    subprocess.run(["git", "clone", "--depth", "1", target, folder], check=True, timeout=600)
-    return folder
+@contextmanager
+def opened(spark: SparkSession, target: str) -> Iterator[str]:
+    """A folder for a target: itself, or a shallow clone of a git address, which is removed at the end.
+
+    The clone lies in the folder that driver and executors share, which has to be mounted for that.
+    """
+    if not target.startswith(("http", "git@", "file://")):
+        yield target
+        return
+    folder = urlparse(work_path(spark, "source"))
+    if folder.scheme not in ("", "file"):
+        raise ValueError("a clone needs a shared folder that is mounted on all machines")
+    os.makedirs(os.path.dirname(folder.path), exist_ok=True)
+    try:
+        subprocess.run(["git", "clone", "--quiet", "--depth", "1", target, folder.path], check=True, timeout=600)
+        yield folder.path
+    finally:
+        shutil.rmtree(folder.path, ignore_errors=True)
 
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:

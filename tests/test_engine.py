@@ -1,11 +1,15 @@
 import json
+import os
+import subprocess
+import threading
+import time
 
 import pytest
 
 import __spark_entry__ as entry
 from findmill.operators.inference import ReplayBackend
-from findmill.plans.engine import generate_patch, run_scan, running_scans, stop_scan
-from findmill.sources.tree import history, responses, source_tree
+from findmill.plans.engine import Stopped, generate_patch, run_scan, run_status, running_scans, stop_scan
+from findmill.sources.tree import history, opened, responses, source_tree
 from findmill.streaming.incremental import publish_findings, response_stream
 
 
@@ -55,11 +59,61 @@ def test_scan_history_patch(spark, tree, tmp_path):
     assert spark.read.json(str(tmp_path / "store/history")).count() == 1
     assert run_scan(spark, str(tree / "sub"), ReplayBackend(lambda p: answer), str(tmp_path / "s2"), mode="nothing") is not None
     assert {r.file: r.snippet for r in found}["main.py"] == "   1: a\n>> 2: b"
-    assert running_scans(spark) == [] and stop_scan(spark, "scan-none") == []
+    assert running_scans() == [] and not stop_scan(spark, "none") and run_status("none") is None
+    status = run_status(run.run_id)
+    assert (status["state"], status["progress"], status["step"]) == ("done", 100, "summary")
     (tree / "empty").mkdir()
     assert run_scan(spark, str(tree / "empty"), ReplayBackend(lambda p: answer), str(tmp_path / "s3")) is None
 
 
+def test_a_scan_is_stopped_from_another_thread(spark, tree, tmp_path):
+    ended = []
+
+    class Slow:
+        def call(self, model, prompt, timeout):
+            time.sleep(60)
+            return "[]"
+
+    def scan():
+        try:
+            run_scan(spark, str(tree), Slow(), str(tmp_path / "store"))
+        except Exception as e:
+            ended.append(e)
+
+    thread = threading.Thread(target=scan)
+    thread.start()
+    began = time.time()
+    while time.time() - began < 40 and not any(run_status(i)["step"] == "calls" for i in running_scans()):
+        time.sleep(0.2)
+    (run_id,) = running_scans()
+    time.sleep(3)
+    with pytest.raises(RuntimeError):
+        run_scan(spark, str(tree), Slow(), str(tmp_path / "other"))
+    assert stop_scan(spark, run_id)
+    thread.join(50)
+    assert not thread.is_alive() and isinstance(ended[0], Stopped) and run_status(run_id)["state"] == "stopped"
+    assert not (tmp_path / "store/history").exists() and running_scans() == []
+
+
+def test_a_clone_lies_in_the_shared_folder_and_goes(spark, tree, tmp_path):
+    for command in (["init", "-q"], ["add", "-A", "-f"], ["-c", "user.name=t", "-c", "user.email=t@t", "commit", "-qm", "x"]):
+        subprocess.run(["git", *command], cwd=tree, check=True)
+    with opened(spark, f"file://{tree}") as folder:
+        assert folder.startswith(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+        assert source_tree(spark, folder, (".py",)).count() == 4
+    assert not os.path.exists(folder)
+
+
+def test_wide_folders_are_listed_by_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"f{i}.py").write_text(str(i))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/g.py").write_text("g")
+    source_tree(spark, str(tmp_path))
+    read = spark.read.format("srctree").option("folderNames", 10).option("folderParts", 3)
+    assert sorted(r.file for r in read.load(str(tmp_path)).collect()) == sorted([*(f"f{i}.py" for i in range(40)), "g.py"])
+
+
 def test_scan_without_chunks(spark, tmp_path):
     """Files without text count as files; there is no call, no finding, and a summary all the same."""
     (tmp_path / "src").mkdir()

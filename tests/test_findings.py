@@ -1,3 +1,6 @@
+import difflib
+import http.client
+import io
 import json
 
 import pytest
@@ -163,6 +166,39 @@ def test_patch():
     assert make_patch("a", "x", 5, "q")["error"] and make_patch("a", None, 1, "q")["error"] and make_patch("a", "x", 1, " ")["error"]
 
 
+@pytest.mark.parametrize(
+    "content, line, fix",
+    [
+        ("x\fy\nz\n", 2, "q"), ("a\u2028b\nc\x85d\ne", 2, "q"), ("a\n\nb\n", 2, "q"), ("a\n  \t\nb\n", 2, "q  \n r "), ("\tx\ny", 1, "q\r\nr"),
+        ("a\nb\nc\n", 2, "b"), ("a\nb\nc\n", 2, "n\nb"), ("a\nb\nc\n", 2, "b\nn"), ("a\nb\nc\n", 2, "m\nb\nn"), ("only", 1, "q\nr"), ("x\n" * 300 + "y", 150, "q"),
+    ],
+)
+def test_patch_splits_and_indents_as_lines_are_read(content, line, fix):
+    """Against the standard library's diff of the lines that reading the file gives."""
+    lines = list(io.StringIO(content, newline="\n"))
+    old = lines[line - 1]
+    new = [" " * (len(old) - len(old.lstrip())) + x.lstrip() + "\n" for x in fix.strip().split("\n")]
+    want = difflib.unified_diff(lines, [*lines[: line - 1], *new, *lines[line:]], "a/f", "b/f")
+    want = "".join(x if x.endswith("\n") else f"{x}\n\\ No newline at end of file\n" for x in want)
+    made = make_patch("f", content, line, fix)
+    assert (made["ok"], made["diff"], made["before"], made["after"] + "\n") == (True, want, old.removesuffix("\n"), "".join(new))
+
+
+@pytest.mark.parametrize("fault", [ValueError("json"), http.client.IncompleteRead(b""), AttributeError("list"), RuntimeError("any")])
+def test_any_fault_of_a_backend_is_a_failed_call(fault):
+    class Broken:
+        def call(self, model, prompt, timeout):
+            raise fault
+
+    assert ask(Broken(), "m", "p", lambda s: None) == ("failed", None, "m")
+    assert ask(ReplayBackend(lambda p: {"a": 1}), "m", "p", lambda s: None)[0] == "failed"
+
+
+def test_a_fence_holds_a_list_or_an_object(spark):
+    assert ask(ReplayBackend(lambda p: "x\n```json\n5\n```"), "m", "p", lambda s: None)[0] == "failed"
+    assert one(spark, recovered_json, "x\n```json\n5\n```") is None
+
+
 def test_ask_retries_and_falls_back():
     calls = []
 
