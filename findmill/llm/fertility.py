@@ -1,11 +1,14 @@
 """Quality rules from tokeniser fertility.
 
-A public SentencePiece vocabulary with byte fallback is run over every whole text. Text that is far from
-the language it claims to be needs unusually many tokens a word, short tokens, raw bytes, or very few
-different tokens. Each language has a band for every measure; a text outside any band is rejected. A
-language without bands of its own is judged by the bands of the script that most of its letters have.
+Public vocabularies are run over every whole text: a SentencePiece vocabulary with byte fallback, and a
+byte-level one for many languages. Text that is far from the language it claims to be falls into short
+tokens, raw bytes (of the byte-level vocabulary: tokens of a single byte), or very few different tokens. Each
+language has a band for characters a token, byte share and token entropy under each vocabulary; a text
+outside any band is rejected. A language without bands of its own is judged by the bands of the script that
+most of its letters have.
 
-A base rule comes first: too few words, or most of the text inside 3-word windows that repeat.
+A base rule comes first: too few words, or most of the text inside 3-word windows that repeat. What fails it
+is not tokenised, and its measures are null.
 
 Bands are fixed parameters, so a document's verdict depends on that document alone and nothing has to be
 gathered from the corpus: one narrow pass without a shuffle.
@@ -13,8 +16,10 @@ gathered from the corpus: one narrow pass without a shuffle.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -23,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findmill.llm.bpe_codec import encode_text, encoding
 from findmill.llm.common import arrow_map, read_table, utf8
 
 MIN_WORDS = 50
@@ -31,29 +37,29 @@ SYMBOLS = b"#*$%&|<>"
 
 
 class Band(NamedTuple):
-    """What a text may have: characters a token, byte-fallback share, bits of entropy, tokens a word."""
+    """What a text may have under one vocabulary: characters a token, byte share, bits of entropy."""
 
     chars_low: float
     chars_high: float
     bytes_high: float
     entropy_low: float
-    fertility_high: float
 
 
-#: Wide enough for text of the language that also holds numbers, names, code or a few foreign words.
+#: For each language the bands of the vocabulary with byte fallback and of the byte-level one. Wide enough for
+#: text of the language that also holds numbers, names, code or a few foreign words.
 LANGUAGE_BANDS = {
-    "en": Band(1.60, 8.0, 0.10, 5.4, 3.3),
-    "de": Band(1.60, 9.0, 0.10, 5.4, 3.4),
-    "fr": Band(1.50, 8.0, 0.10, 5.4, 3.8),
-    "es": Band(1.50, 8.0, 0.10, 5.4, 3.8),
+    "en": (Band(1.60, 8.0, 0.10, 5.4), Band(1.92, 9.0, 0.40, 5.5)),
+    "de": (Band(1.60, 9.0, 0.10, 5.4), Band(2.05, 10.0, 0.40, 5.5)),
+    "fr": (Band(1.50, 8.0, 0.10, 5.4), Band(1.74, 9.0, 0.40, 5.5)),
+    "es": (Band(1.50, 8.0, 0.10, 5.4), Band(1.83, 9.0, 0.40, 5.5)),
 }
 SCRIPT_BANDS = {
-    "LATIN": Band(1.40, 9.0, 0.15, 5.0, 4.5),
-    "CYRILLIC": Band(1.20, 8.0, 0.15, 5.0, 6.0),
-    "GREEK": Band(0.80, 8.0, 0.30, 4.5, 10.0),
+    "LATIN": (Band(1.40, 9.0, 0.15, 5.0), Band(1.50, 10.0, 0.50, 5.0)),
+    "CYRILLIC": (Band(1.20, 8.0, 0.15, 5.0), Band(0.80, 10.0, 0.60, 5.0)),
+    "GREEK": (Band(0.80, 8.0, 0.30, 4.5), Band(0.60, 10.0, 0.80, 4.5)),
 }
-#: Scripts without spaces between words, or mostly outside the vocabulary: only a floor under entropy.
-OTHER_BAND = Band(0.20, 9.0, 1.0, 3.5, float("inf"))
+#: Scripts without spaces between words, or mostly outside the vocabularies: only a floor under entropy.
+OTHER_BAND = (Band(0.20, 9.0, 1.0, 3.5), Band(0.20, 12.0, 1.0, 3.5))
 
 
 @lru_cache(maxsize=2)
@@ -73,7 +79,7 @@ def _script(text: str) -> str:
     return min(scripts, key=lambda s: (-scripts[s], s), default="")
 
 
-def band_of(lang: str | None, text: str) -> Band:
+def bands_of(lang: str | None, text: str) -> tuple[Band, Band]:
     if lang in LANGUAGE_BANDS:
         return LANGUAGE_BANDS[lang]
     return SCRIPT_BANDS.get(_script(text), OTHER_BAND)
@@ -105,36 +111,78 @@ def base_measures(raw: bytes, n_chars: int) -> tuple[int, int, int, int, int]:
     return len(words), n_chars - white, symbols, len(lines) - len(set(lines)), _repeated(ids)
 
 
-def fertility(path: str, text: str) -> tuple[int, float, float]:
-    """Tokens, byte-fallback share and token entropy in bits, over slices that are cut before spaces."""
-    model, is_byte = _vocabulary(path)
-    counts = np.zeros(len(is_byte), np.int64)
+#: A space between ASCII words: the model starts every text as if a space came before it, so what follows can go alone.
+_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+
+
+def _parts(text: str, size: int) -> Iterator[str]:
     start = 0
-    while start < len(text):
-        cut = text.find(" ", start + SLICE)
-        end = len(text) if cut < 0 else cut
-        ids = np.array(model.encode(text[start:end], num_threads=1), np.int64)
-        counts += np.bincount(ids, minlength=len(counts))
-        start = end
+    while len(text) - start > size and (cut := _CUT.search(text, start + size)):
+        yield text[start : cut.start()]
+        start = cut.end()
+    yield text[start:]
+
+
+class Measured(NamedTuple):
+    tokens: int
+    chars_per_token: float
+    byte_share: float
+    entropy: float
+
+    def within(self, band: Band) -> bool:
+        return band.chars_low <= self.chars_per_token <= band.chars_high and self.byte_share <= band.bytes_high and self.entropy >= band.entropy_low
+
+
+def _measured(counts: np.ndarray, is_byte: np.ndarray, chars: int) -> Measured:
     n = int(counts.sum())
     if not n:
-        return 0, 0.0, 0.0
+        return Measured(0, 0.0, 0.0, 0.0)
     share = counts[counts > 0] / n
-    return n, float(counts[is_byte].sum() / n), float(-(share * np.log2(share)).sum())
+    return Measured(n, chars / n, float(counts[is_byte].sum() / n), float(-(share * np.log2(share)).sum()))
+
+
+def piece_fertility(path: str, text: str, chars: int, size: int = SLICE) -> Measured:
+    """By the SentencePiece vocabulary at ``path``; long texts are cut where the ids stay those of the whole text."""
+    model, is_byte = _vocabulary(path)
+    counts = np.zeros(len(is_byte), np.int64)
+    for part in _parts(text, size):
+        counts += np.bincount(np.array(model.encode(part, num_threads=1), np.int64), minlength=len(counts))
+    return _measured(counts, is_byte, chars)
+
+
+def byte_fertility(rank_file: str, pattern: str, text: str, chars: int) -> Measured:
+    """By the byte-level ranks in ``rank_file``; a byte is a token of a single one."""
+    codec = encoding(rank_file, pattern)
+    counts = np.bincount(np.array(encode_text(codec, text), np.int64), minlength=codec.n_vocab)
+    return _measured(counts, _single_bytes(rank_file, pattern), chars)
+
+
+@lru_cache(maxsize=2)
+def _single_bytes(rank_file: str, pattern: str) -> np.ndarray:
+    codec = encoding(rank_file, pattern)
+    single = np.zeros(codec.n_vocab, bool)
+    single[[codec.encode_single_token(bytes([b])) for b in range(256)]] = True
+    return single
 
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+TOKENS = ("n_tokens", "chars_per_token", "byte_share", "token_entropy")
 MEASURES = {
-    "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long",
-    "n_tokens": "long", "chars_per_token": "double", "byte_share": "double", "token_entropy": "double",
+    **dict.fromkeys(BASE, "long"), **dict(zip(TOKENS, ("long", "double", "double", "double"))),
+    **{f"bytes_{name}": kind for name, kind in zip(TOKENS, ("long", "double", "double", "double"))},
     "base_failed": "boolean", "kept": "boolean",
 }
 
 
-def measure(df: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+def measure(
+    df: DataFrame, vocabulary: str, ranks: str | None = None, pattern: str | None = None, text_col: str = "text", lang_col: str | None = "lang"
+) -> DataFrame:
     """``df`` with the columns of ``MEASURES``, which replace columns of those names.
 
-    Null and empty texts have no words and fail the base rule. Repeated rows stay, each with the same
-    verdict. A null or unknown language is judged by script.
+    ``vocabulary`` is a SentencePiece model with byte fallback, ``ranks`` a file of byte-level ranks that goes
+    with ``pattern``; without it the columns ``bytes_*`` are null and its bands do not count. Null and empty
+    texts have no words and fail the base rule. Repeated rows stay, each with the same verdict. A null or
+    unknown language is judged by script.
     """
     keep = [c for c in df.columns if c not in MEASURES]
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
@@ -147,18 +195,16 @@ def measure(df: DataFrame, vocabulary: str, text_col: str = "text", lang_col: st
             text = raw.decode("utf-8", "replace")
             words, chars, *rest = base_measures(raw, len(text))
             failed = words < MIN_WORDS or 100 * rest[-1] > 50 * words
-            tokens, byte_share, entropy = fertility(vocabulary, text)
-            per_token = chars / tokens if tokens else 0.0
-            kept = False
+            none = (None,) * len(TOKENS)
+            pieces, single, kept = none, none, False
             if not failed:
-                band = band_of(lang.as_py(), text)
-                kept = (
-                    band.chars_low <= per_token <= band.chars_high
-                    and byte_share <= band.bytes_high
-                    and entropy >= band.entropy_low
-                    and tokens <= band.fertility_high * words
-                )
-            rows.append((words, chars, *rest, tokens, per_token, byte_share, entropy, failed, kept))
+                bands = bands_of(lang.as_py(), text)
+                pieces = piece_fertility(vocabulary, text, chars)
+                kept = pieces.within(bands[0])
+                if ranks is not None:
+                    single = byte_fertility(ranks, pattern, text, chars)
+                    kept = kept and single.within(bands[1])
+            rows.append((words, chars, *rest, *pieces, *single, failed, kept))
         kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
         made = [pa.array(x, kinds[k]) for x, k in zip(zip(*rows), MEASURES.values())]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, *MEASURES])
@@ -171,5 +217,5 @@ def op3_fertility(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = measure(documents, P.path("piece_bpe_32k.model"))
+    found = measure(documents, P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     return found.select("doc_id", *MEASURES)

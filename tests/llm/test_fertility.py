@@ -1,6 +1,13 @@
+import base64
+import math
+import random
 import re
+from collections import Counter
 
 import public_tokenizers as P
+import pytest
+import sentencepiece
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -28,22 +35,64 @@ def test_base_measures_equal_brute_force(text):
     assert Q.base_measures(text.encode(), len(text)) == brute_base(text)
 
 
+RANKS = P.path("byte_bpe_multi_50k.tiktoken")
+
+
+def brute_measures(ids: list[int], single: set[int], chars: int) -> tuple[int, float, float, float]:
+    counts = Counter(ids)
+    entropy = sum(-n / len(ids) * math.log2(n / len(ids)) for n in counts.values())
+    return len(ids), chars / len(ids), sum(i in single for i in ids) / len(ids), entropy
+
+
+def brute_verdicts(docs: list[tuple]) -> dict:
+    """doc_id to (base failed, kept, measures under both vocabularies), by the libraries on whole texts."""
+    pieces = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    raw = {i for i in range(pieces.get_piece_size()) if pieces.is_byte(i)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    codec = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bytes_ = {ranks[bytes([b])] for b in range(256)}
+    out = {}
+    for doc_id, text, lang in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = Counter(zip(words, words[1:], words[2:]))
+        again = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        failed = len(words) < 50 or 2 * len(again) > len(words)
+        if failed:
+            out[doc_id] = (True, False, None, None)
+            continue
+        chars = sum(map(len, words))
+        both = brute_measures(pieces.encode(text), raw, chars), brute_measures(codec.encode_ordinary(text), bytes_, chars)
+        bands = Q.LANGUAGE_BANDS[lang] if lang in Q.LANGUAGE_BANDS else Q.SCRIPT_BANDS["LATIN"]
+        kept = all(b.chars_low <= m[1] <= b.chars_high and m[2] <= b.bytes_high and m[3] >= b.entropy_low for m, b in zip(both, bands))
+        out[doc_id] = (False, kept, *both)
+    return out
+
+
 def test_query_over_the_table(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     found = Q.op3_fertility(spark, SF).collect()
     assert len(found) == len(docs)
-    model, is_byte = Q._vocabulary(MODEL)
+    want = brute_verdicts([(r.doc_id, r.text, r.lang) for r in docs.values()])
     for row in found:
         text = docs[row.doc_id].text or ""
         if len(text) < 20_000:
             base = brute_base(text)
             assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == base
-        assert row.base_failed == (row.n_words < 50 or 100 * row.n_repeat_words > 50 * row.n_words)
-        assert not (row.base_failed and row.kept)
-        if len(text) < Q.SLICE:
-            ids = model.encode(text)
-            assert row.n_tokens == len(ids)
-            assert abs(row.byte_share - sum(is_byte[i] for i in ids) / max(1, len(ids))) < 1e-9
+        failed, kept, *both = want[row.doc_id]
+        assert (row.base_failed, row.kept) == (failed, kept)
+        for names, measures in zip(([*Q.TOKENS], [f"bytes_{x}" for x in Q.TOKENS]), both):
+            assert [row[x] for x in names] == ([None] * 4 if measures is None else pytest.approx(list(measures)))
+    assert 0 < sum(not r.base_failed and not r.kept for r in found) < len(found) / 4
+
+
+def test_measures_of_long_texts_are_those_of_the_whole_text():
+    rng = random.Random(5)
+    text = "".join(rng.choice(["word", " ", "  ", "\n", "été ", "x1 ", "漢字", ". ", " 'tis ", "\u00a0", "y "]) for _ in range(30_000))
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for size in (50, 1000, 1 << 16):
+        found = Q.piece_fertility(MODEL, text, 1, size)
+        assert found.tokens == len(model.encode(text))
+        assert found == pytest.approx(Q.piece_fertility(MODEL, text, 1, 1 << 30))
 
 
 def prose(words: str, n: int = 90) -> str:
@@ -62,7 +111,7 @@ def test_bands_reject_junk_and_keep_prose(spark):
         (1, prose(ENGLISH), "en"), (2, prose(ENGLISH), None), (3, keyboard, "en"), (4, repeated, "en"),
         (5, " ".join(f"xq{i}zv{i * i}kk" for i in range(80)), "de"), (6, "too short", "en"), (7, "", "en"), (8, None, None),
     ]
-    found = Q.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string"), MODEL)
+    found = Q.measure(spark.createDataFrame(rows, "doc_id long, text string, lang string"), MODEL, RANKS, P.PATTERN)
     kept = {r.doc_id: (r.base_failed, r.kept) for r in found.collect()}
     assert kept[3] == (False, False)
     assert kept[5] == (False, False)
@@ -72,11 +121,11 @@ def test_bands_reject_junk_and_keep_prose(spark):
 
 
 def test_script_decides_where_the_language_is_unknown():
-    assert Q.band_of("xx", "Привет, мир") is Q.SCRIPT_BANDS["CYRILLIC"]
-    assert Q.band_of(None, "hello") is Q.SCRIPT_BANDS["LATIN"]
-    assert Q.band_of(None, "漢字") is Q.OTHER_BAND
-    assert Q.band_of(None, "12 34") is Q.OTHER_BAND
-    assert Q.band_of("en", "Привет") is Q.LANGUAGE_BANDS["en"]
+    assert Q.bands_of("xx", "Привет, мир") is Q.SCRIPT_BANDS["CYRILLIC"]
+    assert Q.bands_of(None, "hello") is Q.SCRIPT_BANDS["LATIN"]
+    assert Q.bands_of(None, "漢字") is Q.OTHER_BAND
+    assert Q.bands_of(None, "12 34") is Q.OTHER_BAND
+    assert Q.bands_of("en", "Привет") is Q.LANGUAGE_BANDS["en"]
 
 
 def test_extra_columns_repeats_and_empty_tables(spark):

@@ -4,8 +4,9 @@ import public_tokenizers as P
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from findmill.llm import fertility, secret_worklist
+from findmill.llm import secret_worklist
 
+from test_fertility import brute_verdicts
 from test_near_copies import brute
 
 SF = "/root/testdata/sf0.001"
@@ -13,16 +14,8 @@ SF = "/root/testdata/sf0.001"
 
 def brute_kept(docs: list[tuple]) -> dict[int, str]:
     """doc_id to text after quality rules, near-duplicates and redaction."""
-    model, _ = fertility._vocabulary(P.path("piece_bpe_32k.model"))
-    good = []
-    for doc_id, text, lang in sorted(docs):
-        words, chars, *rest = fertility.base_measures((text or "").encode(), len(text or ""))
-        if words < 50 or 100 * rest[-1] > 50 * words:
-            continue
-        n, raw, entropy = fertility.fertility(P.path("piece_bpe_32k.model"), text)
-        band = fertility.band_of(lang, text)
-        if band.chars_low <= chars / n <= band.chars_high and raw <= band.bytes_high and entropy >= band.entropy_low and n <= band.fertility_high * words:
-            good.append((doc_id, text))
+    verdicts = brute_verdicts(docs)
+    good = [(i, text) for i, text, _ in sorted(docs) if verdicts[i][1]]
     roots = brute([t for _, t in good])
     first = [x for i, x in enumerate(good) if roots[i] == i]
     out = {}
