@@ -16,7 +16,8 @@ from findmill.llm.common import read_table, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the fertility bands reject go."""
-    measured = fertility.measure(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    path = public_tokenizers.path
+    measured = fertility.measure(docs, path("piece_bpe_32k.model"), path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return measured.where("kept").select(*docs.columns)
 
 
