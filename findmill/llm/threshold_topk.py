@@ -8,6 +8,10 @@ than the sum of the weights times the next entries of the lists, so the search s
 below the k-th best score. (An equal bound does not stop it: an equal score with a smaller id would win.)
 The best k of each block are then ranked together.
 
+Blocks share what is known of the k-th score: one block of candidates is searched first, and its k-th score
+for a query is a floor under that of all candidates, so in every other block the search also stops once the
+bound is below the floor, and only scores that reach it are handed on.
+
 All arithmetic is on integers. The product of queries and candidates is inherent in an exact search of a
 query set against all rows; blocks keep memory bounded and spread the work evenly.
 """
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from findmill.llm.common import read_table
+from findmill.llm.common import read_table, written
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 2048
@@ -47,11 +51,11 @@ def _matrix(ids: np.ndarray, vectors: list[np.ndarray], width: int) -> tuple[np.
 
 
 def threshold_search(
-    query: np.ndarray, own_id: int, ids: np.ndarray, rows: np.ndarray, order: np.ndarray, ranked: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, int]:
-    """The k best (ids, scores) of one block for one query, and the depth that was read.
+    query: np.ndarray, own_id: int, ids: np.ndarray, rows: np.ndarray, order: np.ndarray, ranked: np.ndarray, k: int, floor: int | None = None
+) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The k best (ids, scores) of one block for one query, the depth that was read, and how many were scored.
 
-    ``order`` holds, for each dimension, the rows by rising component; ``ranked`` the components so sorted.
+    Scores below ``floor`` are of no use. ``order`` holds, for each dimension, the rows by rising component; ``ranked`` the components so sorted.
     """
     n = len(ids)
     up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
@@ -75,10 +79,13 @@ def threshold_search(
         if upto == n or new.all():
             break
         bound = int(ranked[n - 1 - upto, up] @ query[up] + ranked[upto, down] @ query[down])
-        if len(best) == k and bound < best[-1]:
+        if len(best) == k and bound < best[-1] or floor is not None and bound < floor:
             break
-        depth, upto = upto, min(2 * upto, n)
-    return best_ids, best, upto
+        depth, upto = upto, min(upto + max(FIRST_DEPTH, upto // 2), n)
+    scored = int(met.sum()) - int((ids == own_id).sum())
+    if floor is not None:
+        best_ids, best = best_ids[best >= floor], best[best >= floor]
+    return best_ids, best, upto, scored
 
 
 def _search_block(k: int):
@@ -88,14 +95,17 @@ def _search_block(k: int):
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if queries.num_rows and candidates.num_rows:
             query_ids, query_rows = _vectors(queries)
+            floors = dict(zip(queries.column("id").to_pylist(), queries.column("floor").to_pylist()))
             ids, rows = _vectors(candidates)
             width = max(map(len, (*query_rows, *rows)))
             query_ids, query_rows = _matrix(query_ids, query_rows, width)
             ids, rows = _matrix(ids, rows, width)
+            if width * max(map(abs, (int(query_rows.min()), int(query_rows.max())))) * max(map(abs, (int(rows.min()), int(rows.max())))) >= 2**63:
+                raise OverflowError("inner products may not fit in 64 bits")
             order = np.argsort(rows, axis=0, kind="stable")
             ranked = np.take_along_axis(rows, order, axis=0)
             for own, query in zip(query_ids, query_rows):
-                best_ids, best, _ = threshold_search(query, own, ids, rows, order, ranked, k)
+                best_ids, best, *_ = threshold_search(query, own, ids, rows, order, ranked, k, floors[own])
                 found.append((np.full(len(best), own, np.int64), best_ids, best))
         columns = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 3
         return pa.table([pa.array(c) for c in columns], names)
@@ -127,23 +137,35 @@ def top_k(
     A candidate with the query's own id is left out. Vectors that are null or hold null or non-finite
     components take no part. Repeated rows count once; of different vectors with one id the
     lexicographically smallest counts. Where lengths differ, missing components are 0. Fewer than k
-    candidates are all returned; empty tables give an empty result. Products must fit in 64 bits.
+    candidates are all returned; empty tables give an empty result. Vectors whose products may not fit in 64
+    bits are an error.
     """
     blocks = max(1, -(-candidates.count() // block_rows))
     query_blocks = max(1, -(-queries.count() // query_rows))
 
-    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        keyed = integer_vectors(df, id_col, vector_col, scale)
-        keyed = keyed.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-        return keyed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-
-    left = dealt(queries, "query_block", query_blocks, "block", blocks)
-    right = dealt(candidates, "block", blocks, "query_block", query_blocks)
-    found = (
-        left.groupBy("block", "query_block")
-        .cogroup(right.groupBy("block", "query_block"))
-        .applyInArrow(_search_block(k), "query_id long, vec_id long, score long")
-    )
+    def dealt(df: DataFrame, own: str, n: int) -> DataFrame:
+        return integer_vectors(df, id_col, vector_col, scale).withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+
+    def copied(df: DataFrame, other: str, first: int, m: int) -> DataFrame:
+        return df.withColumn(other, F.explode(F.sequence(F.lit(first), F.lit(m - 1))))
+
+    def searched(asked: DataFrame, first: int, m: int) -> DataFrame:
+        """The best of candidate blocks ``first`` to ``m`` - 1."""
+        own = right.where(F.col("block").between(first, m - 1))
+        pairs = copied(asked, "block", first, m).groupBy("block", "query_block")
+        return pairs.cogroup(copied(own, "query_block", 0, query_blocks).groupBy("block", "query_block")).applyInArrow(
+            _search_block(k), "query_id long, vec_id long, score long"
+        )
+
+    left, right = dealt(queries, "query_block", query_blocks), dealt(candidates, "block", blocks)
+    none = left.withColumn("floor", F.lit(None).cast("long"))
+    if blocks == 1:
+        found = searched(none, 0, 1)
+    else:
+        seed = written(searched(none, 0, 1), "topk-seed")
+        floors = seed.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("floor")).where(F.col("_n") == k)
+        known = left.join(floors.select(F.col("query_id").alias("id"), "floor"), "id", "left").select(*left.columns, "floor")
+        found = seed.union(searched(known, 1, blocks))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

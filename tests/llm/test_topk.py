@@ -70,8 +70,23 @@ def test_search_stops_before_the_end_of_the_lists():
     order = np.argsort(rows, axis=0, kind="stable")
     ranked = np.take_along_axis(rows, order, axis=0)
     query = np.array([500, 3, 0, -2, 0, 1, 0, 0])
-    best_ids, best, depth = T.threshold_search(query, -1, ids, rows, order, ranked, 5)
+    best_ids, best, depth, scored = T.threshold_search(query, -1, ids, rows, order, ranked, 5)
     exact = rows @ query
     want = np.lexsort((ids, -exact))[:5]
     assert best_ids.tolist() == ids[want].tolist() and best.tolist() == exact[want].tolist()
-    assert depth < len(rows)
+    assert depth < len(rows) and scored < len(rows) / 2
+    floor = int(best[-1])
+    some = np.arange(0, len(rows), 2)  # another block: the floor of all stops it earlier and loses nothing
+    part = rows[some]
+    order = np.argsort(part, axis=0, kind="stable")
+    ranked = np.take_along_axis(part, order, axis=0)
+    alone = T.threshold_search(query, -1, ids[some], part, order, ranked, 5)
+    known = T.threshold_search(query, -1, ids[some], part, order, ranked, 5, floor)
+    assert known[0].tolist() == [i for i in best_ids.tolist() if i % 2 == 0]
+    assert known[2] <= alone[2] and known[3] <= alone[3]
+
+
+def test_products_beyond_64_bits_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e16]), (1, [1e16])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        T.top_k(df, df).collect()
