@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findmill.llm.common import arrow_map, buffers, discard, utf8, written
+from findmill.llm.common import arrow_map, beside, buffers, discard, utf8, written
 
 THRESHOLD = 3
 SEED = 42
@@ -257,25 +257,6 @@ def links(distinct: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     return found.where("kind = 0").union(second.where("kind = 0").drop("quarter")).union(third.drop("quarter")).select("a", "b").distinct()
 
 
-HUB_ROWS, MOST_HUBS = 100, 10_000
-
-
-def beside(rows: DataFrame, found: DataFrame, key: str, count: int) -> DataFrame:
-    """``rows`` with the columns of ``found``, which has one row for each value of ``key`` in ``rows``, and its ``degree``.
-
-    A value is a hub if its degree, the number of its rows, is above HUB_ROWS and above one in MOST_HUBS of
-    all ``count`` rows; so there are at most MOST_HUBS hubs. They are broadcast, and their rows are not dealt by
-    the value; all other rows meet theirs in a shuffle.
-    """
-    most = max(HUB_ROWS, count // MOST_HUBS)
-    values = [c for c in found.columns if c not in (key, "degree")]
-    hub = found.where(F.col("degree") > most).select(key, F.lit(True).alias("_hub"), *(F.col(c).alias(f"_hub_{c}") for c in values))
-    split = rows.join(F.broadcast(hub), key, "left")
-    hot = split.where("_hub").select(*rows.columns, *(F.col(f"_hub_{c}").alias(c) for c in values))
-    others = found.where(F.col("degree") <= most).drop("degree")
-    return hot.union(split.where("_hub IS NULL").select(*rows.columns).join(others, key).select(*hot.columns))
-
-
 def _beside_lowest(edges: DataFrame, count: int) -> DataFrame:
     """``edges`` (u, v) with ``low``, the smallest v of u."""
     found = edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("degree"))

@@ -7,8 +7,9 @@ synthetic identifier (from archive and offset, so a repeated task makes the same
 and SHA-1 digests. Of records with equal payloads one is the response; the others become revisits.
 
 Files are written by Spark's own text writer, one archive a row and a file: any shared store works, and a
-lost executor only repeats its tasks. Payloads are never shuffled, nor is any group gathered: digests are
-aggregated before the shuffle, and what each archive has to change goes back to it as one short list.
+lost executor only repeats its tasks. No group of equal payloads is gathered: digests are aggregated before
+the shuffle, and what each archive has to change goes back to it as one short list. While these lists are
+below Spark's broadcast threshold archives are not shuffled; beyond it each (compressed) archive moves once.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findmill.llm.common import arrow_map, read_table, utf8, work_path, written
+from findmill.llm.common import arrow_map, beside, read_table, utf8, work_path, written
 
 ARCHIVE_BYTES = 1 << 23
 #: The header fields of both versions of the format.
@@ -114,6 +116,7 @@ def write_arc(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
+        task = TaskContext.get().partitionId()  # so that small runs write both versions too
         size = n = 0
         stamp = date.encode()
 
@@ -124,7 +127,7 @@ def write_arc(
             for row, url, body in zip(*batch.columns):
                 row, body = row.as_py(), body.as_py()
                 url = (url.as_py() or f"urn:page:{row}").encode()
-                version = 1 + n % 2
+                version = 1 + (task + n) % 2
                 if not parts:
                     parts.append(arc_start(version, b"part-%d.arc" % n, stamp))
                 own = b"" if row is None else b"%s: %d\r\n" % (ROW_HEADER, row)
@@ -239,9 +242,9 @@ def arc_to_warc(found: DataFrame, path: str, min_bytes: int = 0) -> None:
     """
     records = written(scan_arc(found), "arc-records").where(F.col("bytes") >= min_bytes)
     first = F.max(F.struct("row_id", "record", "url", "date")).alias("first")
-    kept = records.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").drop("n")
+    kept = records.groupBy("digest").agg(first, F.count("*").alias("degree")).where("degree > 1")
     again = (
-        records.join(kept, "digest")
+        beside(records, kept, "digest", records.count())
         .where(F.col("record") != F.col("first.record"))
         .groupBy("path")
         .agg(F.collect_list(F.struct("offset", "first.record", "first.url", "first.date")).alias("revisits"))
@@ -327,14 +330,13 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     write_arc(pages, arc, id_col, url_col, body_col)
     arc_to_warc(archives(spark, arc), warc)
     records = written(read_warc(archives(spark, warc)), "warc-records")
-    target = records.where("type = 'response'").select(
-        F.col("record").alias("refers_record"), F.col("row_id").alias("refers_to")
-    )
+    revisits = records.where("type = 'revisit'")
+    counts = revisits.groupBy("refers_record").agg(F.count("*").alias("degree"))
+    responses = records.where("type = 'response'")
+    target = responses.select(F.col("record").alias("refers_record"), F.col("row_id").alias("refers_to")).join(counts, "refers_record")
     # Responses refer to nothing: they stay out of the join, where they would all have one key.
     none = F.lit(None).cast("long").alias("refers_to")
-    found = records.where("type = 'response'").withColumn("refers_to", none).unionByName(
-        records.where("type = 'revisit'").join(target, "refers_record", "left")
-    )
+    found = responses.withColumn("refers_to", none).unionByName(beside(revisits, target, "refers_record", records.count()))
     return found.select(
         F.col("row_id").alias(id_col), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to"
     )

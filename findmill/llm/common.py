@@ -51,3 +51,22 @@ def buffers(column: pa.Array) -> Iterator[bytes]:
     """The values of a binary column as bytes; null gives b''."""
     for value in column:
         yield value.as_py() or b""
+
+
+HUB_ROWS, MOST_HUBS = 100, 10_000
+
+
+def beside(rows: DataFrame, found: DataFrame, key: str, count: int) -> DataFrame:
+    """``rows`` with the columns of ``found``, which has one row for a value of ``key``, and its ``degree``.
+
+    Rows whose value is not in ``found`` go. A value is a hub if its degree, the number of its rows, is above HUB_ROWS and above one in MOST_HUBS of
+    all ``count`` rows; so there are at most MOST_HUBS hubs. They are broadcast, and their rows are not dealt by
+    the value; all other rows meet theirs in a shuffle.
+    """
+    most = max(HUB_ROWS, count // MOST_HUBS)
+    values = [c for c in found.columns if c not in (key, "degree")]
+    hub = found.where(F.col("degree") > most).select(key, F.lit(True).alias("_hub"), *(F.col(c).alias(f"_hub_{c}") for c in values))
+    split = rows.join(F.broadcast(hub), key, "left")
+    hot = split.where("_hub").select(*rows.columns, *(F.col(f"_hub_{c}").alias(c) for c in values))
+    others = found.where(F.col("degree") <= most).drop("degree")
+    return hot.union(split.where("_hub IS NULL").select(*rows.columns).join(others, key).select(*hot.columns))

@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findmill.llm.anchor_simhash import SEED, _with_end, beside, components
-from findmill.llm.common import arrow_map, buffers, discard, utf8, written
+from findmill.llm.anchor_simhash import SEED, _with_end, components
+from findmill.llm.common import arrow_map, beside, buffers, discard, utf8, written
 
 WORDS = 5
 BITS = 512
