@@ -396,17 +396,16 @@ def alert_flag(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.alert(order_severity()).alias("alert"))
 
 
-@query("SELECT doc_id, true AS found, 'src' || doc_id % 3 AS file, CASE WHEN doc_id % 2 = 0 THEN text ELSE (SELECT min_by(text, doc_id) FROM documents d WHERE d.doc_id % 3 = documents.doc_id % 3) END AS content FROM documents WHERE doc_id < 20")
+@query("""WITH n AS (SELECT doc_id % 3 AS k, min_by(text, doc_id) AS first FROM documents GROUP BY 1)
+SELECT doc_id, 'src' || k AS file, CASE WHEN doc_id % 2 = 0 THEN text ELSE first END AS content FROM documents JOIN n ON doc_id % 3 = k""")
 def patch_lookup(spark, sf_dir):
     """Files found by their path, or, where that is gone, the first with their name."""
     docs = table(spark, sf_dir, "documents")
     name = F.concat(F.lit("src"), (F.col("doc_id") % 3).cast("string"))
-    path = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    path = F.lpad(F.col("doc_id").cast("string"), 20, "0")
     files = docs.select(path.alias("path"), name.alias("file"), F.col("text").alias("content"))
-    found = docs.where("doc_id < 20").select(
-        "doc_id", name.alias("file"), F.when(F.col("doc_id") % 2 == 0, path).otherwise("gone").alias("filepath"), F.lit(1).alias("line"), F.lit("f").alias("fix")
-    )
-    return R.with_content(found, files).select("doc_id", F.col("content").isNotNull().alias("found"), "file", "content")
+    found = docs.select("doc_id", name.alias("file"), F.when(F.col("doc_id") % 2 == 0, path).otherwise("gone").alias("filepath"))
+    return R.with_content(found, files).select("doc_id", "file", "content")
 
 
 _SECOND = """'{"title": "second", "reasoning": {"pattern": "p"}}'"""
