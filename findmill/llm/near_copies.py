@@ -14,10 +14,11 @@ Recall: a pair with similarity exactly 0.8 has the least shingle of a table in c
 and an anchor with 0.60, so one of nine tables shows it with 0.997; at 0.85 it is 0.9997. Equal sets are
 merged before and never missed. ``FAR`` lies 4.6 standard deviations above what 0.8 gives.
 
-Two passes. First each text of a key is compared with the text in the middle of those it is near to; keys
-with very many texts are dealt into parts, other ones for every table. Then, in keys whose texts are not all
-connected yet, all texts are compared that are not connected. So a large group of near copies costs few
-pairs, and connectivity is that of all links found.
+Two passes. First each text of a key meets the text in the middle of those it is near to; keys with very many
+texts are dealt into parts, other ones for every table. Of the middles a text met it is compared with the
+one that most texts met. Then, in keys whose texts are not all connected yet, all texts are compared that are
+not connected. So a large group of near copies costs about one pair a text, and connectivity is that of all
+links found.
 """
 
 from __future__ import annotations
@@ -231,7 +232,7 @@ def _to_middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near = may_be_similar(n, fp, left, np.full(len(left), middle))
                 mine = left[near & (left != middle)]
                 if len(mine):
-                    yield _pairs(node[mine], np.full(len(mine), node[middle]))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[mine], np.full(len(mine), node[middle]))], ["a", "b"])
                 left = left[~near]
 
 
@@ -254,6 +255,14 @@ def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[(key[at] == key[at + k]) & (5 * n[at] >= 4 * n[at + k])]
 
 
+def _most_met(met: DataFrame) -> DataFrame:
+    """Of the middles (b) each text (a) met the one that most texts met, so that groups become stars."""
+    met = written(met, "near-middles")
+    texts = met.groupBy("b").agg(F.count("*").alias("degree")).withColumn("texts", F.col("degree"))
+    best = beside(met, texts, "b", met.count()).groupBy("a").agg(F.max_by("b", F.struct("texts", "b")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _verified(pairs: DataFrame, firsts: DataFrame, given: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar. Only texts of pairs are cut into shingles again."""
     pairs = written(pairs.distinct(), "near-pairs")
@@ -304,7 +313,7 @@ def _connected(df: DataFrame, id_col: str, text_col: str, part_rows: int) -> Dat
     part = F.when(F.col("size") > part_rows, dealt).otherwise(F.col("key"))
     wide = few.withColumn("part", part).join(firsts.select("node", "n", "fp"), "node").select("part", "node", "n", "fp")
     middle = wide.repartition("part").sortWithinPartitions("part").mapInArrow(_to_middle, "a long, b long")
-    links = _verified(middle, firsts, given)
+    links = _verified(_most_met(middle), firsts, given)
 
     roots = written(components(links), "near-roots")
     lean = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
