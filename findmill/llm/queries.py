@@ -8,6 +8,7 @@ from findmill.llm import (
     bpe_codec,
     chat_repair,
     fertility,
+    line_dedup,
     secret_worklist,
     spfhp,
     surrogates,
@@ -26,5 +27,6 @@ QUERIES = {
     "op8_spfhp": spfhp.op8_spfhp,
     "op9_wrappers": wrappers.op9_wrappers,
     "op10_secrets": secret_worklist.op10_secrets,
+    "op13_line_dedup": line_dedup.op13_line_dedup,
 }
-ORACLE_SQL = {"op6_threshold": threshold_topk.ORACLE_SQL}
+ORACLE_SQL = {"op6_threshold": threshold_topk.ORACLE_SQL, "op13_line_dedup": line_dedup.ORACLE_SQL}
