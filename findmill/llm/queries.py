@@ -7,6 +7,7 @@ from findmill.llm import (
     arc_convert,
     bpe_codec,
     chat_repair,
+    collocations,
     fertility,
     line_dedup,
     secret_worklist,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_spfhp": spfhp.op8_spfhp,
     "op9_wrappers": wrappers.op9_wrappers,
     "op10_secrets": secret_worklist.op10_secrets,
+    "op12_collocations": collocations.op12_collocations,
     "op13_line_dedup": line_dedup.op13_line_dedup,
 }
-ORACLE_SQL = {"op6_threshold": threshold_topk.ORACLE_SQL, "op13_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op6_threshold": threshold_topk.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL, "op13_line_dedup": line_dedup.ORACLE_SQL}
