@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from findmill.llm.common import discard, read_table, utf8, written
 
-ID_BYTES, SHARD_WORDS, SLICE_ENTRIES = 6, 2_500_000, 1_000_000
+ID_BYTES, SHARD_WORDS, FILTER_ENTRIES, SLICE_ENTRIES = 6, 2_500_000, 500_000, 1_000_000
 LONGEST, MIN_COUNT, COVER_PERCENT, TOP = 3, 10, 50, 2000
 #: Bytes of a text that are split at a time, words known before the local ids begin anew, and bits of a local id.
-PART, MOST_WORDS, LOCAL_BITS = 1 << 20, 400_000, 21
+PART, MOST_WORDS, LOCAL_BITS = 1 << 20, 250_000, 21
 #: 0xFE and 0xFF are in no UTF-8 text: the one between pieces, the other between keys.
 _BREAK, _JOIN = b"\xff", b"\xfe"
 _TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _BREAK * 10 + b" ")
@@ -212,13 +212,16 @@ class Shard:
                 keys = (keys << LOCAL_BITS) | part
                 whole &= part > 0
             whole[: max(0, self.carried - n + 1)] = False  # these were counted with the words before
-            keys = np.sort(keys[whole])
-            if len(keys):
-                starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                counts = np.diff(np.append(starts, len(keys)))
-                keys = keys[starts]
-                lanes = [ids[(keys >> (LOCAL_BITS * (n - 1 - i))) & ((1 << LOCAL_BITS) - 1)] for i in range(n)]
-                for row in self.layout.cut(lanes, counts):
+            keys = keys[whole]
+            keys.sort()
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys
+            counts = np.diff(np.append(starts, len(keys)))
+            keys = keys[starts]
+            # Several filters, as lanes and entries take many times the memory of keys.
+            for at in range(0, len(keys), FILTER_ENTRIES):
+                part = keys[at : at + FILTER_ENTRIES]
+                lanes = [ids[(part >> (LOCAL_BITS * (n - 1 - i))) & ((1 << LOCAL_BITS) - 1)] for i in range(n)]
+                for row in self.layout.cut(lanes, counts[at : at + FILTER_ENTRIES]):
                     yield row[0], n, *row[1:]
         last = flat[-(self.longest - 1) :] if self.longest > 1 else flat[:0]
         if len(self.names) >= MOST_WORDS:
@@ -397,7 +400,8 @@ def op12_collocations(spark, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
  p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?
--]')) AS piece FROM d),
+-
+]')) AS piece FROM d),
  w AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS ws FROM p),
  x AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
  g AS (SELECT lang, unnest(CASE WHEN i + 2 <= len(ws) THEN [ws[i:i], ws[i:i + 1], ws[i:i + 2]] WHEN i + 1 <= len(ws) THEN [ws[i:i], ws[i:i + 1]] ELSE [ws[i:i]] END) AS ids FROM x),

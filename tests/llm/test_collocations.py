@@ -109,12 +109,12 @@ def test_shards_cut_anywhere(texts, part, words, most):
         for ws in pieces(text):
             for n in (1, 2, 3):
                 want.update(tuple(ws[i : i + n]) for i in range(len(ws) - n + 1))
-    old = C.PART, C.SHARD_WORDS, C.MOST_WORDS
-    C.PART, C.SHARD_WORDS, C.MOST_WORDS = part, words, most
+    old = C.PART, C.SHARD_WORDS, C.MOST_WORDS, C.FILTER_ENTRIES
+    C.PART, C.SHARD_WORDS, C.MOST_WORDS, C.FILTER_ENTRIES = part, words, most, part
     try:
         assert shard_counts([("en", t) for t in texts]) == want
     finally:
-        C.PART, C.SHARD_WORDS, C.MOST_WORDS = old
+        C.PART, C.SHARD_WORDS, C.MOST_WORDS, C.FILTER_ENTRIES = old
 
 
 def corpus(seed, n=300):
