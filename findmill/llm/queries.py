@@ -14,6 +14,7 @@ from findmill.llm import (
     spfhp,
     surrogates,
     threshold_topk,
+    token_align,
     wrappers,
 )
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_spfhp": spfhp.op8_spfhp,
     "op9_wrappers": wrappers.op9_wrappers,
     "op10_secrets": secret_worklist.op10_secrets,
+    "op11_alignment": token_align.op11_alignment,
     "op12_collocations": collocations.op12_collocations,
     "op13_line_dedup": line_dedup.op13_line_dedup,
 }
