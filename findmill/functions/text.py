@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from findmill.functions.rules import IMPLAUSIBLE, SOFT_TERMS
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names`` with as many underscores behind them as it takes to clash with no column of ``taken``."""
+    known = {c.lower() for c in taken}
+    made = []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        made.append(name)
+    return made
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -64,6 +75,31 @@ def or_else(text: Column, other: str) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit(other))
 
 
+def joined(refs: Column) -> Column:
+    """References as one text; '' for none."""
+    return F.coalesce(F.array_join(refs, ", "), F.lit(""))
+
+
+def file_stamp(ts: Column) -> Column:
+    """For names of files."""
+    return F.date_format(ts, "yyyyMMdd_HHmmss")
+
+
+def clock(ts: Column) -> Column:
+    """For log lines."""
+    return F.date_format(ts, "HH:mm:ss")
+
+
+def iso(ts: Column) -> Column:
+    """For findings and the history; as text it sorts by time."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def shown_time(ts: Column) -> Column:
+    """For reports."""
+    return F.date_format(ts, "dd/MM/yyyy HH:mm")
+
+
 def timeout_seconds(base: int, prompt: Column) -> Column:
     return F.lit(base) + 10 * F.floor(F.length(prompt) / 10000).cast("int")
 

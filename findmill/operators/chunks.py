@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from findmill.functions.rules import CHUNK_OVERLAP
 from findmill.functions.text import has_text
 
+BLOCK_LINES = 64
+
 
 def cut_chunks(content: Column, size: int, overlap: int = CHUNK_OVERLAP) -> Column:
     """Chunks of ``size`` characters, each beginning ``size`` - ``overlap`` after the one before.
@@ -48,14 +50,47 @@ def prompts(chunked: DataFrame, template: tuple[str, str, str], extra: str = "")
     )
 
 
+def lines_of(content: Column) -> Column:
+    """The lines as reading the file line by line gives them: a line feed at the end begins no further one."""
+    return F.split(F.when(content.endswith("\n"), F.substring(content, F.lit(1), F.length(content) - 1)).otherwise(content), "\n")
+
+
+def numbered(lines: Column, first: Column, line: Column, around: int = 5) -> Column:
+    """The lines around ``line``, numbered, itself marked; ``first`` is the number of the array's first line."""
+    low = F.greatest(F.lit(1), line - around)
+    shown = F.slice(lines, (low - first + 1).cast("int"), F.greatest(F.lit(0), line + around - low + 1).cast("int"))
+    marked = F.transform(shown, lambda x, i: F.concat(F.when(low + i == line, ">> ").otherwise("   "), (low + i).cast("string"), F.lit(": "), x))
+    return F.array_join(marked, "\n")
+
+
 def context(content: Column, line: Column, around: int = 5) -> Column:
     """Numbered lines around ``line``, which is marked; '' beyond the end; null without a line."""
-    text = F.when(content.endswith("\n"), F.substring(content, F.lit(1), F.length(content) - 1)).otherwise(content)
-    lines = F.split(text, "\n")
-    first = F.greatest(F.lit(1), line - around).cast("int")
-    shown = F.slice(lines, first, F.greatest(F.lit(0), (line + around - first + 1)).cast("int"))
-    numbered = F.transform(
-        shown,
-        lambda x, i: F.concat(F.when(first + i == line, ">> ").otherwise("   "), (first + i).cast("string"), F.lit(": "), x),
-    )
-    return F.when(line.isNotNull(), F.array_join(numbered, "\n"))
+    return F.when(line.isNotNull(), numbered(lines_of(content), F.lit(1), line, around))
+
+
+def block_of(line: Column) -> Column:
+    """The block of ``line_blocks`` that shows the surroundings of a line."""
+    return F.floor((line - 1) / BLOCK_LINES)
+
+
+def line_blocks(files: DataFrame, around: int = 5, content_col: str = "content") -> DataFrame:
+    """``files`` with block, first and lines instead of the content: the index for joins on lines.
+
+    A block is ``BLOCK_LINES`` lines and ``around`` more on either side, so all that surrounds a line is in one block: the band
+    predicate "within ``around`` lines" becomes equality of (file, block). A content is split once, whatever
+    number of lines is asked for.
+    """
+    kept = [c for c in files.columns if c != content_col]
+
+    def cut(lines: Column) -> Column:
+        # A line just beyond the end still has lines around it.
+        starts = F.sequence(F.lit(0), F.size(lines) - 1 + around, F.lit(BLOCK_LINES))
+        return F.transform(starts, lambda at: F.struct(
+            F.greatest(at - around, F.lit(0)).alias("before"),
+            F.slice(lines, F.greatest(at - around, F.lit(0)) + 1, at + BLOCK_LINES + around - F.greatest(at - around, F.lit(0))).alias("lines"),
+        ))
+
+    # The array of one holds the lines, so they are split once for all blocks.
+    blocks = F.transform(F.array(lines_of(F.col(content_col))), cut)[0]
+    rows = files.where(F.col(content_col).isNotNull()).select(*kept, F.posexplode(blocks).alias("block", "_block"))
+    return rows.select(*kept, F.col("block").cast("long").alias("block"), (F.col("_block.before") + 1).alias("first"), F.col("_block.lines").alias("lines"))

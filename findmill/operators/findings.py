@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from findmill.functions.recover import recovered_json, truthy
 from findmill.functions.rules import DEFAULTS, MIN_CONFIDENCE, NO_CONTEXT, mode_of
-from findmill.functions.text import basename, blocked_terms, clamp_round, contains_any, digits, extension, severity
-from findmill.operators.chunks import context
+from findmill.functions.text import basename, blocked_terms, clamp_round, contains_any, digits, extension, fresh, severity
+from findmill.operators.chunks import block_of, line_blocks, numbered
 from findmill.sources.store import written
 
 REQUIRED = ("title", "severity", "line", "description", "fix")
@@ -116,26 +116,47 @@ def drop_overlap_repeats(found: DataFrame) -> DataFrame:
 def with_snippets(found: DataFrame, files: DataFrame) -> DataFrame:
     """Findings without a snippet of the model's own get the lines around theirs, or say why there are none.
 
-    Only files of findings that need it are joined, and only the cut lines leave the join.
+    Findings meet blocks of lines by (file, block). Only files of findings that need it are cut, only blocks that
+    are asked for meet the findings, and a file with very many findings spreads over its blocks. The work grows with the
+    files' lines plus the findings.
     """
-    missing = F.col("snippet") == DEFAULTS["snippet"]
-    wanted = found.where(missing & F.col("line").isNotNull()).select("filepath").distinct()
-    texts = files.select(F.col("path").alias("filepath"), F.col("content").alias("_content")).join(wanted, "filepath", "left_semi")
-    both = found.join(texts, "filepath", "left")
+    line, needs = F.col("line"), F.col("snippet") == DEFAULTS["snippet"]
+    block, first, lines, there = fresh(found.columns, "_block", "_first", "_lines", "_there")
+    path = F.col("path").alias("filepath")
+    asked = found.where(needs & line.isNotNull()).select("filepath", block_of(line).alias(block)).distinct()
+    named = files.select(path, "content").join(asked.select("filepath").distinct(), "filepath", "left_semi")
+    cut = line_blocks(named).select("filepath", F.col("block").alias(block), F.col("first").alias(first), F.col("lines").alias(lines))
+    both = (
+        found.withColumn(block, F.when(needs, block_of(line))).join(cut.join(asked, ["filepath", block], "left_semi"), ["filepath", block], "left")
+        .join(files.select(path, F.lit(True).alias(there)), "filepath", "left")
+    )
     around = (
-        F.when(F.col("line").isNull(), F.lit(DEFAULTS["snippet"]))
-        .when(F.col("_content").isNull(), F.concat(F.lit(NO_CONTEXT), F.col("filepath")))
-        .otherwise(F.coalesce(F.nullif(context(F.col("_content"), F.col("line")), F.lit("")), F.lit(DEFAULTS["snippet"])))
+        F.when(line.isNull(), F.lit(DEFAULTS["snippet"]))
+        .when(F.col(there).isNull(), F.concat(F.lit(NO_CONTEXT), F.coalesce("filepath", F.lit(""))))
+        .otherwise(F.coalesce(F.nullif(numbered(F.col(lines), F.col(first), line), F.lit("")), F.lit(DEFAULTS["snippet"])))
     )
-    return both.withColumn("snippet", F.when(missing, around).otherwise(F.col("snippet"))).drop("_content")
+    return both.withColumn("snippet", F.when(needs, around).otherwise(F.col("snippet"))).select(*found.columns)
+
+
+def by_severity(found: DataFrame, mode: str) -> DataFrame:
+    """The severities that a mode looks at."""
+    return found.where(F.col("severity").isin(*mode_of(mode).severities))
+
+
+def by_confidence(found: DataFrame, confidence_col: str = "confidence") -> DataFrame:
+    return found.where(F.col(confidence_col) >= MIN_CONFIDENCE)
+
+
+def best_of(found: DataFrame, group: tuple[str, ...], k: int, order: tuple, rank_col: str = "response_rank") -> DataFrame:
+    """The first ``k`` rows of each group in an order, with their rank."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return found.withColumn(rank_col, rank).where(F.col(rank_col) <= k)
 
 
 def select_findings(found: DataFrame, mode: str, group: tuple[str, ...] = ("filepath", "chunk_idx")) -> DataFrame:
     """The mode's severities, then enough confidence, then the best few of each response (stable on ties)."""
-    rules = mode_of(mode)
-    kept = found.where(F.col("severity").isin(*rules.severities)).where(F.col("confidence") >= MIN_CONFIDENCE)
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("confidence"), "response_pos"))
-    return kept.withColumn("response_rank", rank).where(F.col("response_rank") <= rules.per_response)
+    kept = by_confidence(by_severity(found, mode))
+    return best_of(kept, group, mode_of(mode).per_response, (F.desc("confidence"), "response_pos"))
 
 
 def assign_ids(found: DataFrame, run: tuple[str, ...] = ("run_id",), order: tuple[str, ...] = ("filepath", "chunk_idx", "response_rank")) -> DataFrame:

@@ -1,15 +1,18 @@
-"""Exports: JSON rows, an HTML report, patches, saved responses, and the run history."""
+"""Exports: JSON rows, an HTML report, patches, and what a run stores."""
 
 from __future__ import annotations
 
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from findmill.functions.text import confidence_colour, html_escape, report_colour, safe_name
+from findmill.functions.text import confidence_colour, file_stamp, fresh, html_escape, joined, report_colour, safe_name
+from findmill.operators.rollup import union_all
+from findmill.sources.shared import Shared
+from findmill.sources.sinks import write_document, write_files
 
 PATCH = StructType(
     [StructField("ok", BooleanType())] + [StructField(x, StringType()) for x in ("diff", "before", "after", "error")]
@@ -37,7 +40,7 @@ def html_fragment(title: Column, sev: Column, confidence: Column, **optional: Co
 
 def report_rows(found: DataFrame) -> DataFrame:
     """(id, html), and a head (id 0) with the total; in order of id they are the document."""
-    refs = F.array_join("reasoning.cve_refs", ", ")
+    refs = joined(F.col("reasoning.cve_refs"))
     body = found.select(
         "id",
         html_fragment(
@@ -46,12 +49,18 @@ def report_rows(found: DataFrame) -> DataFrame:
         ).alias("html"),
     )
     head = found.agg(F.lit(0).cast("long").alias("id"), F.concat(F.lit("<h1>Findings: "), F.count("*"), F.lit("</h1>")).alias("html"))
-    return head.unionByName(body)
+    return union_all(head, body)
 
 
 def export_html(found: DataFrame, path: str) -> None:
-    """Text files that together, in order of their names, are the report."""
-    report_rows(found).repartitionByRange("id").sortWithinPartitions("id").select("html").write.mode("overwrite").text(path)
+    """The report as one file: there in full, or, if the job fails, as it was before."""
+    write_document(report_rows(found), path)
+
+
+def export_responses(calls: DataFrame, path: str) -> None:
+    """Raw responses as files ``<time>_<name>_<call>.json`` below ``path``; ``calls`` has call_id, safe_name, raw and at."""
+    name = F.concat(file_stamp(F.timestamp_seconds("at")), F.lit("_"), "safe_name", F.lit("_"), F.col("call_id").cast("string"), F.lit(".json"))
+    write_files(calls.where("raw IS NOT NULL").select(name.alias("name"), F.col("raw").alias("content")), path)
 
 
 def save_run(rows: DataFrame, path: str, run_id: str) -> DataFrame:
@@ -60,19 +69,23 @@ def save_run(rows: DataFrame, path: str, run_id: str) -> DataFrame:
     Other runs are neither listed nor overwritten, and a run without rows can be read too.
     """
     own = f"{path}/run_id={run_id}"
-    rows.drop("run_id").write.parquet(own)
+    rows.drop("run_id").write.mode("overwrite").parquet(own)  # what an attempt that failed has left goes
     return rows.sparkSession.read.parquet(own).withColumn("run_id", F.lit(run_id))
 
 
+def stored_run(spark: SparkSession, path: str, run_id: str) -> DataFrame | None:
+    """The rows that ``save_run`` stored, or None unless they are there in full."""
+    own = f"{path}/run_id={run_id}"
+    if not Shared(own).has("_SUCCESS"):
+        return None
+    return spark.read.parquet(own).withColumn("run_id", F.lit(run_id))
+
+
 def save_responses(raw: DataFrame, path: str, run_id: str) -> DataFrame:
     """Raw responses of a run; name and chunk are part of the row, so nothing is overwritten."""
     return save_run(raw.withColumn("safe_name", safe_name(F.col("file"))), path, run_id)
 
 
-def append_history(summary: DataFrame, path: str) -> None:
-    summary.write.mode("append").json(path)
-
-
 def _span(start: int, count: int) -> str:
     """Lines of a hunk, counted from 1; none lie after the line before."""
     return f"{start + 1}" if count == 1 else f"{start + (count > 0)},{count}"
@@ -115,18 +128,33 @@ def patch(file: pd.Series, content: pd.Series, line: pd.Series, fix: pd.Series)
 
 
 def write_patches(patched: DataFrame, path: str) -> None:
-    """Each usable patch as a text file of its own below ``path/id=<id>``; ``patched`` has (id, ok, diff)."""
-    body = F.when(F.endswith("diff", F.lit("\n")), F.expr("left(diff, length(diff) - 1)")).otherwise(F.col("diff"))
-    patched.where("ok").select("id", body.alias("value")).write.mode("append").partitionBy("id").text(path)
+    """Each usable patch as ``patch_<id>.patch`` below ``path``, all or none; ``patched`` has (id, ok, diff)."""
+    name = F.concat(F.lit("patch_"), F.col("id").cast("string"), F.lit(".patch"))
+    write_files(patched.where("ok").select(name.alias("name"), F.col("diff").alias("content")), path)
+
+
+def first_named(files: DataFrame, names: DataFrame) -> DataFrame:
+    """(file, path) for each name in ``names`` (column file): the first path with it."""
+    return files.select("file", "path").join(names, "file", "left_semi").groupBy("file").agg(F.min("path").alias("path"))
 
 
 def with_content(found: DataFrame, files: DataFrame) -> DataFrame:
-    """``found`` with the content of its file, looked up by path, else by name: then the first path with it."""
-    texts = files.select(F.col("path").alias("filepath"), "content")
-    missing = found.join(texts.select("filepath"), "filepath", "left_anti").select("file").distinct()
-    named = files.join(missing, "file", "left_semi").groupBy("file").agg(F.min_by("content", "path").alias("_named"))
-    both = found.join(texts, "filepath", "left").join(named, "file", "left")
-    return both.select(*found.columns, F.coalesce("content", "_named").alias("content"))
+    """``found`` with the content of its file, looked up by path, else by name: then the first path with it.
+
+    Paths are settled first, without contents. Contents are then cut down to those paths before they meet the
+    findings, so few findings over a large tree move few contents.
+    """
+    asked = found.select("filepath", "file").distinct()
+    paths = files.select(F.col("path").alias("filepath"))
+    known = paths.join(asked, "filepath", "left_semi").distinct()
+    lost = asked.join(known, "filepath", "left_anti")
+    named = lost.join(first_named(files, lost.select("file").distinct()), "file")
+    place = asked.join(known, "filepath", "left_semi").select("filepath", "file", F.col("filepath").alias("path")).unionByName(named.select("filepath", "file", "path"))
+    texts = files.select("path", "content").join(place.select("path").distinct(), "path", "left_semi")
+    path, file = fresh(found.columns, "_path", "_file")
+    of = place.join(texts, "path").select(F.col("filepath").alias(path), F.col("file").alias(file), "content")
+    same = F.col("filepath").eqNullSafe(F.col(path)) & F.col("file").eqNullSafe(F.col(file))
+    return found.join(of, same, "left").select(*found.columns, "content")
 
 
 def patches(found: DataFrame, files: DataFrame) -> DataFrame:

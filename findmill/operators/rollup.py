@@ -54,6 +54,21 @@ def facets(found: DataFrame, **values: tuple) -> DataFrame:
     return found
 
 
+def result_counts(shown: DataFrame, rows: DataFrame) -> DataFrame:
+    """``shown`` with how many rows it has, and how many there are in all."""
+    return shown.withColumns({"shown": shown.agg(F.count("*")).scalar(), "total": rows.agg(F.count("*")).scalar()})
+
+
+def by_id(found: DataFrame, value: int, key: str = "id") -> DataFrame:
+    """The row with an id: the first, should there be more."""
+    return found.where(F.col(key) == value).limit(1)
+
+
+def union_all(*frames: DataFrame) -> DataFrame:
+    """All rows of all frames; columns that one lacks are null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def top_priority(found: DataFrame, n: int = 5, sev: str = "severity", key: str = "id") -> DataFrame:
     return found.orderBy(severity_rank(F.col(sev)).desc(), key).limit(n)
 

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findmill.functions import text as X
 from findmill.functions.recover import recovered_json
-from findmill.functions.rules import MODELS, SOFT_TERMS
+from findmill.functions.rules import DEFAULTS, MODELS, MODES, SOFT_TERMS
 from findmill.operators import chunks as C
 from findmill.operators import findings as D
 from findmill.operators import inference as I
 from findmill.operators import report as R
 from findmill.operators import rollup as A
-from findmill.sources.tree import newest
+from findmill.operators import search_index as S
+from findmill.plans.engine import run_scan, run_status
+from findmill.sources.store import work_path
+from findmill.sources.history import newest
+from findmill.sources.tree import source_tree, write_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -120,13 +125,56 @@ def blank_filter(spark, sf_dir):
     return files_of(spark, sf_dir).where(X.has_text(F.col("content"))).groupBy(F.substring_index("file", ".", -1).alias("lang")).count().withColumnRenamed("count", "n")
 
 
-@query("""SELECT page_id, regexp_extract(string_split(url, '/')[-1], '^\\.*[^.].*\\.([^.]*)$', 1) AS ext,
- string_split(url, '/')[-1] AS base FROM pages WHERE (url LIKE '%.html' OR url LIKE '%#top') AND NOT list_contains(string_split(url, '/'), 'fr')""")
+_TREE_SQL = r"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'dist/x/' WHEN 2 THEN '_lib/' ELSE 'src/' END || lang || '/' || 'd' || doc_id || file AS path, 'd' || doc_id || file AS file,
+ regexp_replace(text, '\r\n?', chr(10), 'g') AS content FROM (SELECT *, CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.JS' WHEN 2 THEN '.test.js' WHEN 3 THEN '.env' ELSE '.d.ts' END AS file FROM documents) WHERE text IS NOT NULL"""
+_SEEN_SQL = f"SELECT * FROM ({_TREE_SQL}) WHERE doc_id % 6 > 1"
+
+
+def documents_tree(spark, sf_dir) -> str:
+    """The documents as files of a tree in the shared folder: some in pruned folders, some with other suffixes."""
+    pick = lambda by, *names: F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % by + 1).cast("int"))
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), pick(5, ".py", ".JS", ".test.js", ".env", ".d.ts"))
+    path = F.concat(pick(6, "node_modules/", "dist/x/", "_lib/", "src/", "src/", "src/"), "lang", F.lit("/"), name)
+    folder = urlparse(work_path(spark, "tree")).path
+    write_tree(table(spark, sf_dir, "documents").select(path.alias("path"), F.col("text").alias("content")), folder)
+    return folder
+
+
+@query(f"SELECT path, file, reverse(split_part(reverse(file), '.', 1)) AS ext, length(content) AS n_chars, md5(content) AS digest FROM ({_SEEN_SQL}) WHERE doc_id % 5 NOT IN (1, 3)")
 def suffix_filter(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    wanted = F.col("url").endswith(".html") | F.col("url").endswith("#top")
-    base = X.basename(F.col("url"))
-    return pages.where(wanted & ~F.array_contains(F.split("url", "/"), "fr")).select("page_id", X.extension(base).alias("ext"), base.alias("base"))
+    """A tree of files, walked with pruned folders and the suffixes of a mode."""
+    folder = documents_tree(spark, sf_dir)
+    files = source_tree(spark, folder, MODES["rapid"].suffixes)
+    return files.select(F.substring(F.col("path"), F.lit(len(folder) + 2), F.length("path")).alias("path"), "file", "ext", F.length("content").cast("long").alias("n_chars"), F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query(f"SELECT file, md5(content) AS digest FROM ({_SEEN_SQL}) WHERE path LIKE 'src/de/%' AND file LIKE '%.js'")
+def tree_pushdown(spark, sf_dir):
+    """Filters on path and name reach the walk of the tree."""
+    folder = documents_tree(spark, sf_dir)
+    wanted = source_tree(spark, folder).where(F.col("path").startswith(f"{folder}/src/de/") & (F.col("ext") == "js"))
+    return wanted.select("file", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query("""WITH d AS (SELECT doc_id, string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS l FROM documents),
+ f AS (SELECT doc_id, unnest(range(12)) AS k FROM documents UNION ALL SELECT doc_id, 12 FROM documents WHERE doc_id % 10 = 0),
+ n AS (SELECT f.doc_id, k, l, CASE WHEN k = 3 THEN NULL ELSE (doc_id + k * 7) % (len(l) + 9) + 1 END AS line FROM f JOIN d USING (doc_id)),
+ x AS (SELECT doc_id, k, line, l, unnest(range(greatest(1, line - 5), least(len(l), line + 5) + 1)) AS i FROM n WHERE k < 12 AND line IS NOT NULL),
+ s AS (SELECT doc_id, k, string_agg(CASE WHEN i = line THEN '>> ' ELSE '   ' END || i || ': ' || l[i], chr(10) ORDER BY i) AS snippet FROM x GROUP BY doc_id, k)
+SELECT n.doc_id, n.k, line, CASE WHEN n.k = 12 THEN 'Impossible d''extraire le contexte : gone/' || n.doc_id WHEN n.k = 5 THEN 'own' ELSE coalesce(nullif(snippet, ''), 'Code non disponible') END AS snippet
+FROM n LEFT JOIN s ON s.doc_id = n.doc_id AND s.k = n.k""")
+def snippets_band(spark, sf_dir):
+    """Findings meet the lines around theirs: twelve or so a file, some beyond its end, some without a line or a file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    k = F.sequence(F.lit(0).cast("long"), F.when(F.col("doc_id") % 10 == 0, 12).otherwise(11).cast("long"))
+    n_lines = F.size(C.lines_of(F.col("text")))
+    found = docs.select("doc_id", F.explode(k).alias("k"), n_lines.alias("n")).select(
+        "doc_id", "k", F.when(F.col("k") != 3, (F.col("doc_id") + F.col("k") * 7) % (F.col("n") + 9) + 1).cast("long").alias("line"),
+        F.concat(F.when(F.col("k") == 12, "gone/").otherwise("f/"), F.col("doc_id").cast("string")).alias("filepath"),
+        F.when(F.col("k") == 5, "own").otherwise(DEFAULTS["snippet"]).alias("snippet"),
+    )
+    files = docs.select(F.concat(F.lit("f/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    return D.with_snippets(found, files).select("doc_id", "k", "line", "snippet")
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k, coalesce(json_extract_string(props, '$.title'), 'Unknown') AS title FROM events")
@@ -184,22 +232,19 @@ def type_blocklist(spark, sf_dir):
 
 @query(f"SELECT o_orderkey, {ORDER_SEVERITY} AS severity FROM orders WHERE {ORDER_SEVERITY} IN ('Critical', 'High')")
 def severity_filter(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", order_severity().alias("severity")).where(F.col("severity").isin("Critical", "High"))
+    return D.by_severity(table(spark, sf_dir, "orders").select("o_orderkey", order_severity().alias("severity")), "rapid")
 
 
 @query("SELECT event_id, value FROM events WHERE round(value, 2) >= 20")
 def confidence_filter(spark, sf_dir):
-    return table(spark, sf_dir, "events").where(F.round("value", 2) >= 20).select("event_id", "value")
+    return D.by_confidence(table(spark, sf_dir, "events").withColumn("rounded", F.round("value", 2)), "rounded").select("event_id", "value")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER
  (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n <= 3""")
 def topk_per_group(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber", "l_partkey", "l_suppkey")
-    ranked = table(spark, sf_dir, "lineitem").withColumn("rank", F.row_number().over(order))
-    return ranked.where("rank <= 3").select("l_orderkey", "l_linenumber", "rank")
+    order = (F.desc("l_extendedprice"), "l_linenumber", "l_partkey", "l_suppkey")
+    return D.best_of(table(spark, sf_dir, "lineitem"), ("l_orderkey",), 3, order, "rank").select("l_orderkey", "l_linenumber", "rank")
 
 
 @query("SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey, o_orderkey) AS id FROM orders")
@@ -222,23 +267,26 @@ def run_score(spark, sf_dir):
     return counted.select("o_custkey", A.score(F.col("critical"), F.col("high")).alias("score"))
 
 
-@query("""SELECT event_type, CAST(floor(sum(CAST(round(value * 100) AS BIGINT)) / count(*)) AS BIGINT) AS mean_x100, 0.0::DOUBLE AS empty FROM events GROUP BY event_type""")
+_MEAN_SQL = "CAST((200 * sum({0}) + count(*)) // (2 * count(*)) AS DOUBLE) / 100"
+
+
+@query(f"SELECT event_type, {_MEAN_SQL.format('event_id % 101')} AS mean, 0.0::DOUBLE AS empty FROM events GROUP BY event_type")
 def mean_confidence(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    cents = F.round(F.col("value") * 100).cast("long")
-    empty = events.where("event_id < 0").agg(A.mean_confidence(F.col("value")).alias("empty"))
-    made = events.groupBy("event_type").agg(F.floor(F.sum(cents) / F.count("*")).alias("mean_x100"))
-    return made.withColumn("empty", empty.scalar())
+    events = table(spark, sf_dir, "events").withColumn("confidence", (F.col("event_id") % 101).cast("double"))
+    empty = events.where("event_id < 0").agg(A.mean_confidence(F.col("confidence")).alias("empty"))
+    return events.groupBy("event_type").agg(A.mean_confidence(F.col("confidence")).alias("mean")).withColumn("empty", empty.scalar())
 
 
 @query(f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (s = 'Critical') AS critical, count(*) FILTER (s = 'High') AS high,
- count(*) FILTER (s = 'Medium') AS medium, count(*) FILTER (s = 'Low') AS low, count(DISTINCT user_id) AS files, {_SCORE_SQL}
+ count(*) FILTER (s = 'Medium') AS medium, count(*) FILTER (s = 'Low') AS low, {_MEAN_SQL.format('user_id % 101')} AS confidence_score, {_SCORE_SQL}
 FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS s FROM events) GROUP BY 1""")
 def run_summary(spark, sf_dir):
     names = F.array(*map(F.lit, ("Critical", "High", "Medium", "Low")))
-    rows = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id", F.element_at(names, (F.col("event_id") % 4 + 1).cast("int")).alias("severity"))
-    made = rows.groupBy("day").agg(*A.severity_counts(F.col("severity")), F.count_distinct("user_id").alias("files"))
-    return made.withColumn("score", A.score(F.col("critical"), F.col("high")))
+    rows = table(spark, sf_dir, "events").select(
+        F.date_format("ts", "yyyy-MM-dd").alias("day"), F.element_at(names, (F.col("event_id") % 4 + 1).cast("int")).alias("severity"),
+        (F.col("user_id") % 101).cast("double").alias("confidence"),
+    )
+    return A.run_summary(rows, "day")
 
 
 @query("SELECT count(*) FILTER (event_type = 'purchase') AS successful_analyses, count(*) FILTER (event_type <> 'purchase') AS failed_analyses FROM events")
@@ -257,6 +305,14 @@ def search_text(spark, sf_dir):
     return A.search(table(spark, sf_dir, "documents"), "TOKEN = ", ("text", "source"), "doc_id").select("doc_id")
 
 
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'token = ') OR contains(lower(source), 'token = ') OR (doc_id <> 0 AND contains(CAST(doc_id AS VARCHAR), 'token = '))")
+def search_indexed(spark, sf_dir):
+    """The same search through an index of trigrams."""
+    docs, path = table(spark, sf_dir, "documents"), work_path(spark, "grams")
+    S.build(docs, path, "doc_id", ("text", "source"), "doc_id")
+    return S.search_indexed(docs, path, "TOKEN = ", "doc_id", ("text", "source"), "doc_id").select("doc_id")
+
+
 @query("SELECT doc_id, lang, source FROM documents WHERE lang IN ('de', 'fr') AND source IN ('src1', 'src2', 'src3')")
 def facet_filter(spark, sf_dir):
     return A.facets(table(spark, sf_dir, "documents"), lang=("de", "fr"), source=("src1", "src2", "src3")).select("doc_id", "lang", "source")
@@ -266,19 +322,19 @@ def facet_filter(spark, sf_dir):
 def search_and_facets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     hits = A.facets(A.search(docs, "Token", ("text",), None), lang=("en", "de")).select("doc_id", "lang")
-    shown, total = hits.agg(F.count("*")).scalar(), docs.agg(F.count("*")).scalar()
-    return hits.withColumns({"shown": shown, "total": total})
+    return A.result_counts(hits, docs)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 7")
 def point_lookup(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderkey = 7").orderBy("o_orderkey").limit(1).select("o_orderkey", "o_totalprice")
+    return A.by_id(table(spark, sf_dir, "orders"), 7, "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT source AS file, min(doc_id) AS doc_id FROM documents WHERE source = 'src5' GROUP BY source")
 def file_lookup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), "doc_id")
-    return docs.where(F.col("file") == "src5").orderBy("doc_id").limit(1)
+    files = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("path"))
+    names = files.where("file = 'src5'").select("file").distinct()
+    return R.first_named(files, names).select("file", F.col("path").cast("long").alias("doc_id"))
 
 
 @query(f"SELECT o_orderkey, severity, CAST(rk AS INTEGER) AS rank FROM (SELECT o_orderkey, severity, {RANK_SQL.format('severity')} AS rk FROM (SELECT *, {ORDER_SEVERITY} AS severity FROM orders)) ORDER BY rk DESC, o_orderkey LIMIT 5")
@@ -289,7 +345,7 @@ def top5_priority(spark, sf_dir):
 
 @query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS date FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
 def history_top50(spark, sf_dir):
-    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("date"))
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), X.iso(F.col("o_orderdate")).alias("date"))
     return newest(runs)
 
 
@@ -333,7 +389,7 @@ def enrich_impact(spark, sf_dir):
 def bag_union(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "lang")
     pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"))
-    return docs.unionByName(pages, allowMissingColumns=True)
+    return A.union_all(docs, pages)
 
 
 @query("SELECT o_orderkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders")
@@ -364,14 +420,14 @@ def ts_format(spark, sf_dir):
     ts = F.col("ts")
     kind = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type"))
     return table(spark, sf_dir, "events").select(
-        "event_id", F.date_format(ts, "yyyyMMdd_HHmmss").alias("stamp"), F.date_format(ts, "HH:mm:ss").alias("clock"),
-        F.date_format(ts, "dd/MM/yyyy HH:mm").alias("shown"), X.or_else(kind, "N/A").alias("kind"),
+        "event_id", X.file_stamp(ts).alias("stamp"), X.clock(ts).alias("clock"),
+        X.shown_time(ts).alias("shown"), X.or_else(kind, "N/A").alias("kind"),
     )
 
 
 @query("SELECT source, string_agg(lang, ', ' ORDER BY lang) AS langs FROM (SELECT DISTINCT source, lang FROM documents) GROUP BY source")
 def array_join(spark, sf_dir):
-    langs = F.array_join(F.array_sort(F.collect_set("lang")), ", ")  # a handful of languages
+    langs = X.joined(F.array_sort(F.collect_set("lang")))  # a handful of languages
     return table(spark, sf_dir, "documents").groupBy("source").agg(langs.alias("langs"))
 
 
@@ -465,12 +521,50 @@ SELECT row_number() OVER (ORDER BY filepath, chunk_idx) AS id, * FROM f WHERE co
 def infer_replay(spark, sf_dir):
     """Chunks to a stub model to findings to the best of each response, with ids."""
     cut = C.prompts(C.chunks(files_of(spark, sf_dir), 4000), ("", "\n", ""))
-    asked = I.infer(cut.select("doc_id", "file", "chunk_idx", "prompt"), I.ReplayBackend(_stub), "qwen2.5-coder:14b")
+    asked = I.infer(cut.select("doc_id", "file", "chunk_idx", "prompt"), I.ReplayBackend(_stub), "qwen2.5-coder:14b", spark.sparkContext.defaultParallelism)
     raw = asked.where("status = 'ok'").select(F.lit("r").alias("run_id"), F.concat("doc_id", F.lit("/"), "file").alias("filepath"), "chunk_idx", "raw")
     found = D.assign_ids(D.select_findings(D.findings(raw), "devsecops"))
     return found.select("id", "filepath", "chunk_idx", "title", "severity", "line", "confidence")
 
 
+def _audit(prompt: str) -> str:
+    """A stub model: what it finds follows from how often the chunk has an e."""
+    chunk = prompt[prompt.index("\n---\n") + 5 : prompt.rindex("\n---\n")]
+    n = chunk.count("e")
+    return f'[{{"title": "t", "severity": "{("critical", "high", "medium", "low")[n % 4]}", "line": {n % 9 + 1}, "description": "d", "fix": "f", "confidence": {n % 101}}}]'
+
+
+_SCAN_SQL = f"""WITH s AS (SELECT path, file, content FROM ({_SEEN_SQL}) WHERE doc_id % 5 NOT IN (1, 3)),
+ c AS (SELECT path, file, content, CAST(i AS INTEGER) AS chunk_idx, substr(content, CAST(i * 11500 + 1 AS BIGINT), 12000) AS chunk
+  FROM (SELECT *, unnest(range(CAST(ceil(length(content) / 11500.0) AS BIGINT))) AS i FROM s WHERE regexp_matches(content, '\\S'))),
+ e AS (SELECT *, length(chunk) - length(replace(chunk, 'e', '')) AS n FROM c),
+ f AS (SELECT path, file, content, chunk_idx, CASE n % 4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' END AS severity, CAST(n % 9 + 1 AS BIGINT) AS line, (100.0 + n % 101) / 2 AS confidence FROM e WHERE n % 4 < 2),
+ o AS (SELECT *, row_number() OVER (ORDER BY path, chunk_idx) AS id, string_split(CASE WHEN content LIKE '%' || chr(10) THEN left(content, length(content) - 1) ELSE content END, chr(10)) AS l FROM f),
+ x AS (SELECT id, line, l, unnest(range(greatest(1, line - 5), least(len(l), line + 5) + 1)) AS i FROM o),
+ w AS (SELECT id, string_agg(CASE WHEN i = line THEN '>> ' ELSE '   ' END || i || ': ' || l[i], chr(10) ORDER BY i) AS snippet FROM x GROUP BY id)"""
+
+
+@query(f"""{_SCAN_SQL} SELECT id, path, chunk_idx, severity, line, CAST(confidence AS DOUBLE) AS confidence, coalesce(nullif(snippet, ''), 'Code non disponible') AS snippet FROM o LEFT JOIN w USING (id)""")
+def scan_findings(spark, sf_dir):
+    """A whole scan over a tree of files: calls, findings, the best of each, ids, and the lines around them."""
+    folder = documents_tree(spark, sf_dir)
+    run = run_scan(spark, folder, I.ReplayBackend(_audit), urlparse(work_path(spark, "scan")).path, mode="rapid", max_calls=spark.sparkContext.defaultParallelism)
+    return run.findings.select("id", F.substring(F.col("filepath"), F.lit(len(folder) + 2), F.length("filepath")).alias("path"), "chunk_idx", "severity", "line", "confidence", "snippet")
+
+
+@query(f"""{_SCAN_SQL} SELECT (SELECT count(*) FROM s) AS files, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'High') AS high, CAST(0 AS BIGINT) AS medium, CAST(0 AS BIGINT) AS low,
+ CAST((200 * CAST(sum(confidence * 2) AS BIGINT) + 2 * count(*)) // (4 * count(*)) AS DOUBLE) / 100 AS confidence_score,
+ CAST(100 - 20 * count(*) FILTER (severity = 'Critical') - 10 * count(*) FILTER (severity = 'High') AS BIGINT) AS score,
+ (SELECT count(*) FROM c) AS successful_analyses, CAST(0 AS BIGINT) AS failed_analyses, (SELECT count(*) FROM s) AS done_files, (SELECT count(*) FROM c) AS done_calls, CAST(100 AS BIGINT) AS progress FROM f""")
+def scan_summary(spark, sf_dir):
+    """The summary of a whole scan, and how far its calls are by what the store holds."""
+    store = urlparse(work_path(spark, "scan")).path
+    run = run_scan(spark, documents_tree(spark, sf_dir), I.ReplayBackend(_audit), store, mode="rapid", max_calls=spark.sparkContext.defaultParallelism)
+    status = run_status(spark, store, run.run_id)
+    row = run.summary.select("stats.*", "confidence_score", "score", "successful_analyses", "failed_analyses")
+    return row.withColumns({c: F.lit(status[c]).cast("long") for c in ("done_files", "done_calls", "progress")})
+
+
 @query(f"SELECT {_COUNTS_SQL}, {_SCORE_SQL} FROM (SELECT {SEVERITY_SQL.format('event_type')} AS s FROM events)")
 def stream_rollup(spark, sf_dir):
     """Running counts over a stream that takes what is there and ends."""

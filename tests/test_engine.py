@@ -1,15 +1,22 @@
 import json
 import os
+import shutil
 import subprocess
+import sys
 import threading
 import time
 
+import pyarrow.parquet as pq
+import pyspark
 import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from findmill.operators.inference import ReplayBackend
-from findmill.plans.engine import Stopped, generate_patch, run_scan, run_status, running_scans, stop_scan
-from findmill.sources.tree import history, opened, responses, source_tree
+from findmill.plans.engine import Stopped, generate_patch, run_scan, run_status, running_scans, scan_progress, stop_scan
+from findmill.sources.history import append, history, page
+from findmill.sources.tree import SourceTree, opened, responses, source_tree
 from findmill.streaming.incremental import publish_findings, response_stream
 
 
@@ -46,6 +53,36 @@ def test_source_tree_walked_by_tasks(spark, tree, opened):
     assert sorted(r.file for r in read.load(str(tree)).collect()) == ["__init__.py", "bad.py", "blank.py", "main.py", "z.py"]
 
 
+def test_filters_reach_the_walk(spark, tree):
+    """Pushed filters show in the plan, keep folders shut and files unread, and change no row."""
+    (tree / "sub/deep").mkdir()
+    (tree / "sub/deep/z.py").write_text("z")
+    (tree / "other/far").mkdir(parents=True)
+    (tree / "other/far/y.py").write_text("y")
+    every = [r.asDict() for r in source_tree(spark, str(tree)).collect()]
+    asked = {
+        "below": (F.col("path").startswith(f"{tree}/sub/"), lambda r: r["path"].startswith(f"{tree}/sub/")),
+        "ext": (F.col("ext") == "py", lambda r: r["ext"] == "py"),
+        "in": (F.col("ext").isin("py", "env") & ~F.col("file").startswith("_"), lambda r: r["ext"] in ("py", "env") and r["file"][0] != "_"),
+        "path": (F.col("path") == f"{tree}/sub/deep/z.py", lambda r: r["path"].endswith("deep/z.py")),
+        "content": (F.col("content").contains("z") & F.col("file").endswith(".py"), lambda r: "z" in r["content"] and r["file"].endswith(".py")),
+        "either": ((F.col("ext") == "py") | (F.col("file") == ".env"), lambda r: r["ext"] == "py" or r["file"] == ".env"),
+        "null": (F.col("path").isNotNull() & F.col("file").contains("a"), lambda r: "a" in r["file"]),
+    }
+    for name, (column, test) in asked.items():
+        found = source_tree(spark, str(tree)).where(column)
+        assert sorted(r.path for r in found.collect()) == sorted(r["path"] for r in every if test(r)), name
+    plan = source_tree(spark, str(tree)).where(asked["below"][0])._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan.replace("RuntimeFilters", ""), plan  # no row is left to filter
+    from pyspark.sql.datasource import EqualTo, GreaterThan, StringStartsWith
+
+    reader = SourceTree({"path": str(tree), "pushdown": "true"}).reader(None)
+    left = reader.pushFilters([StringStartsWith(("path",), f"{tree}/sub/"), GreaterThan(("path",), "a"), EqualTo(("content",), "z")])
+    assert [type(x) for x in left] == [GreaterThan, EqualTo]
+    reader.partitions()
+    assert (reader.entered, reader.shut) == (3, 1)  # the root, sub and deep; other stays shut
+
+
 def test_scan_history_patch(spark, tree, tmp_path):
     answer = json.dumps([{"title": "t", "severity": "critical", "line": 2, "description": "d", "fix": "fixed", "confidence": 90}])
     run = run_scan(spark, str(tree), ReplayBackend(lambda p: answer), str(tmp_path / "store"), mode="rapid")
@@ -56,43 +93,176 @@ def test_scan_history_patch(spark, tree, tmp_path):
     patch = generate_patch(run, next(r.id for r in found if r.file == "main.py")).first()
     assert patch.ok and "-b\n+fixed\n" in patch.diff
     assert history(spark, str(tmp_path / "none")).count() == 0
-    assert spark.read.json(str(tmp_path / "store/history")).count() == 1
+    assert [r.id for r in history(spark, str(tmp_path / "store/history")).collect()] == [run.run_id]
     assert run_scan(spark, str(tree / "sub"), ReplayBackend(lambda p: answer), str(tmp_path / "s2"), mode="nothing") is not None
     assert {r.file: r.snippet for r in found}["main.py"] == "   1: a\n>> 2: b"
-    assert running_scans() == [] and not stop_scan(spark, "none") and run_status("none") is None
-    status = run_status(run.run_id)
-    assert (status["state"], status["progress"], status["step"]) == ("done", 100, "summary")
+    store = str(tmp_path / "store")
+    assert running_scans(store) == [] and not stop_scan(store, "none") and run_status(spark, store, "none") is None
+    status = run_status(spark, store, run.run_id)
+    assert (status["state"], status["progress"], status["step"], status["files"], status["done_calls"]) == ("done", 100, "summary", 5, 4)
     (tree / "empty").mkdir()
     assert run_scan(spark, str(tree / "empty"), ReplayBackend(lambda p: answer), str(tmp_path / "s3")) is None
 
 
-def test_a_scan_is_stopped_from_another_thread(spark, tree, tmp_path):
-    ended = []
+#: Workers do not find modules of tests.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class Counting:
+    """Answers after a pause and notes each call as a file, so that calls of any process count."""
+
+    def __init__(self, folder, pause=0.0, kill=None):
+        self.folder, self.pause, self.kill = str(folder), pause, kill
+        os.makedirs(self.folder, exist_ok=True)
+
+    def call(self, model, prompt, timeout):
+        name = prompt.split("File: ")[1].split("\n")[0]
+        if self.kill == name and not os.path.exists(f"{self.folder}/killed"):
+            open(f"{self.folder}/killed", "w").close()
+            os.kill(os.getpid(), 9)
+        with open(f"{self.folder}/call-{name}-{time.time_ns()}", "w"):
+            time.sleep(self.pause)
+        return json.dumps([{"title": name, "severity": "high", "line": 1, "description": "d", "fix": "f", "confidence": 90}])
+
+    def calls(self):
+        return sorted(x.split("-")[1] for x in os.listdir(self.folder) if x.startswith("call-"))
+
+
+def many(folder, n):
+    folder.mkdir()
+    for i in range(n):
+        (folder / f"f{i:03}.py").write_text(f"line {i}\n")
+    return [f"f{i:03}.py" for i in range(n)]
 
-    class Slow:
-        def call(self, model, prompt, timeout):
-            time.sleep(60)
-            return "[]"
+
+def scan_in_thread(*given, **more):
+    ended = []
 
     def scan():
         try:
-            run_scan(spark, str(tree), Slow(), str(tmp_path / "store"))
+            ended.append(run_scan(*given, **more))
         except Exception as e:
             ended.append(e)
 
     thread = threading.Thread(target=scan)
     thread.start()
-    began = time.time()
-    while time.time() - began < 40 and not any(run_status(i)["step"] == "calls" for i in running_scans()):
+    return thread, ended
+
+
+def until(test, seconds=60):
+    end = time.time() + seconds
+    while time.time() < end and not test():
         time.sleep(0.2)
-    (run_id,) = running_scans()
-    time.sleep(3)
+    assert test()
+
+
+def test_a_stop_keeps_the_answers_and_a_scan_goes_on(spark, tmp_path):
+    names, store, model = many(tmp_path / "src", 40), str(tmp_path / "store"), Counting(tmp_path / "calls", 0.4)
+    thread, ended = scan_in_thread(spark, str(tmp_path / "src"), model, store, commit_seconds=0, slot_calls=5)
+    until(lambda: len(model.calls()) >= 6)
+    (run_id,) = running_scans(store)
     with pytest.raises(RuntimeError):
-        run_scan(spark, str(tree), Slow(), str(tmp_path / "other"))
-    assert stop_scan(spark, run_id)
-    thread.join(50)
-    assert not thread.is_alive() and isinstance(ended[0], Stopped) and run_status(run_id)["state"] == "stopped"
-    assert not (tmp_path / "store/history").exists() and running_scans() == []
+        run_scan(spark, str(tmp_path / "src"), model, str(tmp_path / "other"))
+    status = run_status(spark, store, run_id)
+    assert status["state"] == "running" and status["step"] == "calls" and 0 < status["done_files"] < 40 and status["files"] == 40
+    assert status["progress"] == status["done_files"] * 100 // 40 and status["eta_seconds"] > 0
+    assert stop_scan(store, run_id)
+    thread.join(60)
+    asked = len(model.calls())
+    (stopped,) = ended
+    assert isinstance(stopped, Stopped) and asked < 40 and stopped.run.findings.count() == stopped.run.calls.count() == asked
+    assert stopped.run.summary.first().successful_analyses == asked and run_status(spark, store, run_id)["state"] == "stopped"
+    assert not (tmp_path / "store/history").exists() and running_scans(store) == []
+    files = {r.filepath.rsplit("/", 1)[1]: r.done for r in scan_progress(spark, store, run_id).collect()}
+    assert sorted(files) == names and sum(files.values()) == asked
+    # Another driver would call just so; the sources may have gone by then.
+    model.pause = 0
+    shutil.rmtree(tmp_path / "src")
+    run = run_scan(spark, str(tmp_path / "src"), model, store, resume=run_id, commit_seconds=0, slot_calls=5)
+    assert model.calls() == names and run.findings.count() == 40 and run_status(spark, store, run_id)["state"] == "done"
+    assert history(spark, f"{store}/history").first().id == run_id
+
+
+def test_cancelled_jobs_leave_what_was_put_down(spark, tmp_path):
+    names, store, model = many(tmp_path / "src", 12), str(tmp_path / "store"), Counting(tmp_path / "calls", 1.0)
+    thread, ended = scan_in_thread(spark, str(tmp_path / "src"), model, store, commit_seconds=0, slot_calls=3)
+    until(lambda: len(model.calls()) >= 4)
+    (run_id,) = running_scans(store)
+    assert stop_scan(store, run_id, cancel=spark)
+    thread.join(60)
+    assert isinstance(ended[0], Stopped) and ended[0].run is None
+    model.pause = 0
+    time.sleep(2)  # calls of the cancelled tasks end
+    run = run_scan(spark, str(tmp_path / "src"), model, store, resume=run_id, commit_seconds=0, slot_calls=3)
+    assert set(model.calls()) == set(names) and len(model.calls()) <= 12 + 2 and run.findings.count() == 12
+
+
+def test_a_failed_scan_repeats_the_open_call_only(spark, tmp_path):
+    """A worker dies in the midst of a task; without task retries (local mode) the job fails, and the scan goes on by its id."""
+    names, store = many(tmp_path / "src", 30), str(tmp_path / "store")
+    model = Counting(tmp_path / "calls", kill="f020.py")
+    with pytest.raises(Exception, match="."):
+        run_scan(spark, str(tmp_path / "src"), model, store, commit_seconds=0, slot_calls=100, max_calls=1)
+    (run_id,) = os.listdir(tmp_path / "store/state")
+    before = model.calls()
+    assert run_status(spark, store, run_id)["state"] == "failed" and 0 < len(before) < 30
+    assert run_scan(spark, str(tmp_path / "src"), model, store, resume=run_id, slot_calls=100, max_calls=1).findings.count() == 30
+    assert model.calls() == names
+
+
+CLUSTER = """
+import json, sys
+sys.path[:0] = {paths!r}
+from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+from pyspark.sql import SparkSession
+from test_engine import Counting
+from findmill.plans.engine import run_scan, run_status
+spark = (SparkSession.builder.master("local-cluster[2,2,1024]").config("spark.executor.memory", "900m").config("spark.ui.enabled", "false")
+    .config("spark.checkpoint.dir", "file://{tmp}/shared").config("spark.sql.shuffle.partitions", "4").config("spark.executorEnv.PYTHONPATH", "{path}").getOrCreate())
+own = ResourceProfileBuilder().require(TaskResourceRequests().cpus(1)).build if {profile} else None
+run = run_scan(spark, "{tmp}/src", Counting("{tmp}/calls", kill="f020.py"), "{tmp}/store", commit_seconds=0, slot_calls=6, max_calls=2, resources=own)
+print(json.dumps([run.findings.count(), run.calls.count(), run_status(spark, "{tmp}/store", run.run_id)["state"]]))
+spark.stop()
+"""
+
+
+@pytest.mark.parametrize("profile", [False, True])
+def test_a_lost_task_repeats_no_answer_on_a_cluster(tmp_path, profile):
+    """Two executors in processes of their own; a worker is killed in the midst of a slot, and Spark runs its task again."""
+    names = many(tmp_path / "src", 30)
+    here = os.path.dirname(os.path.abspath(__file__))
+    paths = [os.path.dirname(here), here]
+    code = CLUSTER.format(paths=paths, path=os.pathsep.join(paths), tmp=tmp_path, profile=profile)
+    home = tmp_path / "home"
+    home.mkdir()
+    for x in os.listdir(os.path.dirname(pyspark.__file__)):
+        if x != "work":
+            (home / x).symlink_to(os.path.join(os.path.dirname(pyspark.__file__), x))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))}
+    env |= {"PYTHONPATH": os.pathsep.join(paths), "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable}
+    made = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=180)
+    assert made.stdout.strip().endswith(json.dumps([30, 30, "done"])), made.stderr[-3000:]
+    assert os.path.exists(tmp_path / "calls/killed") and sorted(x.split("-")[1] for x in os.listdir(tmp_path / "calls") if x.startswith("call-")) == names
+
+
+def test_slots_hold_answers_once(spark, tmp_path):
+    """Null prompts, a repeated ask, an answer that two attempts gave, an empty table."""
+    from findmill.operators import calls as K
+
+    folder = str(tmp_path / "answers")
+    assert K.answers(spark, folder).count() == 0
+    prompts = spark.createDataFrame([(i, None if i == 3 else f"p{i}", f"f{i % 2}") for i in range(10)], "call_id long, prompt string, filepath string")
+    assert K.ask_all(prompts.where("false"), ReplayBackend(lambda p: "[]"), "m", folder) == {"asked": 0, "reused": 0, "left": 0}
+    assert K.ask_all(prompts, ReplayBackend(lambda p: f'["{p}"]'), "m", folder, 3, slot_calls=2) == {"asked": 10, "reused": 0, "left": 0}
+    assert K.ask_all(prompts, ReplayBackend(lambda p: "[]"), "m", folder, 3, slot_calls=2) == {"asked": 0, "reused": 10, "left": 0}
+    slot = K._Slot(K.Shared(folder).below("slot=0"), 100.0)
+    slot.add((4, "ok", "later", "m", time.time() + 100))
+    slot.put()
+    assert {r.call_id: r.raw for r in K.answers(spark, folder).collect()} == {i: '[""]' if i == 3 else f'["p{i}"]' for i in range(10)}
+    files = K.file_progress(prompts.union(spark.createDataFrame([(99, "open", "f0")], prompts.schema)), K.answers(spark, folder))
+    assert {r.filepath: (r.calls, r.done, r.failed) for r in files.collect()} == {"f0": (6, 5, 0), "f1": (5, 5, 0)}
+    assert K.overall(files, 3, 30.0).first().asDict() == {"files": 3, "done_files": 2, "calls": 11, "done_calls": 10, "failed_calls": 0, "progress": 66, "eta_seconds": 15}
+    assert K.overall(files.where("false"), 0, 1.0).first().progress == 100
 
 
 def test_a_clone_lies_in_the_shared_folder_and_goes(spark, tree, tmp_path):
@@ -133,6 +303,51 @@ def test_history_generations(spark, tmp_path):
     assert len(rows) == 50 and rows[0].date == "2025-02-01T00:00:59" and rows[0].confidence_score is None
 
 
+def test_history_reads_few_files_of_many_runs(spark, tmp_path):
+    """3,000 runs in pages, some out of order: the newest fifty, from the recent files and a few pages."""
+    import random
+
+    path = str(tmp_path / "history")
+    row = {"target": "t", "profile": "p", "mode": "deep", "stats": {"critical": 1}, "score": 80}
+    dates = [f"2025-{1 + i // 250 % 12:02}-{1 + i // 10 % 25:02}T00:{i % 60:02}:00" for i in range(3000)]
+    runs = [{"id": f"r{i:05}", "date": d, **row} for i, d in enumerate(dates)]
+    late = runs[:40] + runs[-40:]  # two pages whose dates lie far apart
+    for at in range(40, 2960, 40):
+        part = sorted(runs[at : at + 40], key=lambda r: r["date"], reverse=True)
+        (tmp_path / "history/recent").mkdir(parents=True, exist_ok=True)
+        from findmill.sources import history as H
+
+        for r in part:
+            (tmp_path / "history/recent" / H._name(r["date"], r["id"])).write_text(json.dumps(r))
+        page(path, H.Shared(path).below("recent").names())
+    random.Random(1).shuffle(late)
+    from findmill.sources.history import HISTORY_SCHEMA
+
+    append(spark.createDataFrame([(r["id"], r["date"], "t", "p", "deep", (1, 0, 0, 0, 3), 1.0, 80, 1, 0) for r in late], HISTORY_SCHEMA), path, most_recent=1000)
+    want = sorted(runs, key=lambda r: r["id"])
+    want = sorted(want, key=lambda r: r["date"], reverse=True)[:50]
+    found = history(spark, path)
+    assert [r.id for r in found.collect()] == [r["id"] for r in want]
+    assert len(found.inputFiles()) <= 50 + 5 and len(os.listdir(tmp_path / "history/pages")) == 73
+    page(path, sorted(os.listdir(tmp_path / "history/recent")))
+    assert [r.id for r in history(spark, path).collect()] == [r["id"] for r in want] and not os.listdir(tmp_path / "history/recent")
+    assert history(spark, path, 5000).count() == 3000
+
+
+def test_indexed_search_equals_search(spark, tmp_path):
+    from findmill.operators import search_index as S
+    from findmill.operators.rollup import search
+
+    rows = [(i, f"Title {i % 7}", None if i % 5 == 0 else f"The {'SQL' if i % 97 == 0 else 'Query'} number {i} é{i}", f"f{i % 3}.py", i % 50, "") for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, title string, description string, file string, line int, snippet string").withColumn("type", F.col("title"))
+    S.build(df, str(tmp_path / "index"))
+    for text in ("sql", "SQL number 19", "é1999", "title 3", "zzz", "42", "f2.py", "", "the ", "ry", "Query number 1234 é1234", "17 "):
+        want = sorted(r.id for r in search(df, text).collect())
+        assert sorted(r.id for r in S.search_indexed(df, str(tmp_path / "index"), text).collect()) == want, text
+    assert S.candidates(spark, str(tmp_path / "index"), "sql number").count() == 16  # of 2,000 rows
+    assert S.candidates(spark, str(tmp_path / "index"), "ry") is None
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from findmill.operators.findings import findings
 
@@ -149,6 +364,70 @@ def test_stream_equals_batch(spark, tmp_path):
     assert streamed == batch and len(batch) == 2
 
 
+def test_files_are_published_when_they_are_whole(spark, tmp_path):
+    """Answers come in three parts, one twice; a restart repeats nothing; in the end it is what the scan itself finds."""
+    from findmill.operators import calls as K
+    from findmill.operators.report import stored_run
+    from findmill.streaming.incremental import answer_stream, publish_by_file
+
+    src, store = tmp_path / "src", str(tmp_path / "store")
+    src.mkdir()
+    for i in range(6):
+        (src / f"f{i}.py").write_text("".join(f"line {n} of file {i}\n" for n in range(900 * i + 1)))
+    model = Counting(tmp_path / "calls")
+    run = run_scan(spark, str(src), model, store, mode="rapid", slot_calls=2, max_calls=2, profile="eco", commit_seconds=0)
+    prompts, answered = stored_run(spark, f"{store}/prompts", run.run_id), list((tmp_path / "store/answers").glob("run_id=*/slot=*/*.parquet"))
+    answered.sort(key=lambda x: pq.read_table(x).column("call_id")[0].as_py())
+    total = prompts.count()
+    assert total == len(answered) > 20
+    arriving, out = tmp_path / "arriving", tmp_path / "out"
+    kept = ["filepath", "chunk_idx", "title", "severity", "line", "snippet"]
+    published, sizes = [], []
+    for part in (answered[:7], answered[5:18], answered[18:]):
+        for file in part:
+            to = arriving / file.parent.name / f"{len(published)}-{file.name}"
+            to.parent.mkdir(parents=True, exist_ok=True)
+            shutil.copy(file, to)
+        answers = answer_stream(prompts, str(arriving))
+        publish_by_file(answers, run.files, "rapid", str(out), str(tmp_path / "checkpoint")).awaitTermination()
+        published = sorted(map(tuple, spark.read.parquet(str(out)).select(kept).collect()))
+        sizes.append(len(published))
+        there = K.file_progress(prompts, spark.read.schema(K.ANSWER).parquet(str(arriving)).dropDuplicates(["call_id"])).collect()
+        assert {x[0] for x in published} == {r.filepath for r in there if r.done == r.calls}
+    assert published == sorted(map(tuple, run.findings.select(kept).collect())) and len(published) == total
+    assert sizes[0] < sizes[1] < sizes[2]
+
+
+def test_a_followed_tree_equals_a_scan(spark, tree, tmp_path):
+    """Changed, new, renamed, moved and removed files and folders; each time only what changed is read."""
+    from findmill.streaming.incremental import current_tree, follow_tree
+
+    copy, checkpoint = str(tmp_path / "copy"), str(tmp_path / "checkpoint")
+    (tmp_path / "away/in/deep").mkdir(parents=True)
+    (tmp_path / "away/in/deep/old.py").write_text("old")
+    for i in range(30):
+        (tree / f"sub/many{i}.py").write_text(f"{i}")
+    assert current_tree(spark, copy).count() == 0
+
+    def step(*changes):
+        time.sleep(0.1)
+        for change in changes:
+            change()
+        time.sleep(0.1)
+        follow_tree(spark, str(tree), copy, checkpoint, (".py", ".ts", ".env"), settle_seconds=0).awaitTermination()
+        want = sorted(map(tuple, source_tree(spark, str(tree), (".py", ".ts", ".env")).collect()))
+        assert sorted(map(tuple, current_tree(spark, copy).collect())) == want
+        number = max(int(x.split("=")[1]) for x in os.listdir(f"{copy}/contents"))
+        return sorted(r.file for r in spark.read.parquet(f"{copy}/contents/batch={number}").where("kind = 'file'").collect())
+
+    assert len(step()) == 37
+    assert step() == []
+    assert step(lambda: (tree / "main.py").write_text("new text"), lambda: (tree / "fresh.py").write_text("f"), lambda: (tree / "sub/many3.py").unlink()) == ["fresh.py", "main.py"]
+    assert step(lambda: (tmp_path / "away/in").rename(tree / "in"), lambda: (tree / "a.d.ts").rename(tree / "sub/b.d.ts")) == ["b.d.ts", "old.py"]
+    assert step(lambda: shutil.rmtree(tree / "sub"), lambda: (tree / "in").rename(tree / "out")) == ["old.py"]
+    assert step(lambda: (tree / "sub").write_text("a file now"), lambda: (tree / "empty/er").mkdir(parents=True)) == []
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

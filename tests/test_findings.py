@@ -12,7 +12,8 @@ from findmill.operators import chunks as C
 from findmill.operators import findings as D
 from findmill.operators import rollup as A
 from findmill.operators.inference import ReplayBackend, ask, resolve_endpoint
-from findmill.operators.report import json_rows, make_patch, report_rows, write_patches
+from findmill.sources.sinks import write_document, write_files
+from findmill.operators.report import json_rows, make_patch, report_rows, with_content, write_patches
 
 FULL = {"title": "t", "severity": "High", "line": 3, "description": "d", "fix": "f"}
 
@@ -101,6 +102,42 @@ def test_snippets(spark):
     assert found == sorted(["   1: one\n>> 2: two", none, "own", "Impossible d'extraire le contexte : gone.py", none])
 
 
+def test_snippets_by_blocks_equal_whole_files(spark):
+    """Findings on every line of files around the size of a block, and beyond: as if each read its file alone."""
+    texts = {f"f{n}{end!r}": "\n".join(f"l{i}" for i in range(n)) + end for n in (1, 5, 63, 64, 65, 69, 70, 128, 129, 200) for end in ("", "\n", "\n\n")} | {"empty": "", "feed": "\n"}
+    rows = [(f, n, "Code non disponible") for f, t in texts.items() for n in [*range(1, t.count("\n") + 9), 10**12]] + [("hot", n % 500 + 1, "Code non disponible") for n in range(3000)]
+    texts["hot"] = "x\n" * 480
+    rows += [(None, 1, "Code non disponible"), ("gone", None, "Code non disponible"), ("f5''", 2, None)]
+    found = spark.createDataFrame([(f, n, s, 7, 8) for f, n, s in rows], "filepath string, line long, snippet string, block int, lines int")
+    files = spark.createDataFrame([*texts.items(), ("null", None)], "path string, content string")
+    made = D.with_snippets(found, files)
+    assert made.columns == found.columns
+
+    def want(f, n, s):
+        if s is None or n is None:
+            return s
+        if f not in texts:
+            return f"Impossible d'extraire le contexte : {f or ''}"
+        lines = texts[f].removesuffix("\n").split("\n")
+        return "\n".join(f"{'>> ' if i == n else '   '}{i}: {lines[i - 1]}" for i in range(max(1, n - 5), min(len(lines), n + 5) + 1)) or s
+
+    assert sorted((str(r.filepath), r.line or 0, str(r.snippet)) for r in made.collect()) == sorted((str(f), n or 0, str(want(f, n, s))) for f, n, s in rows)
+
+
+def test_few_findings_move_few_contents(spark, tmp_path):
+    """Contents are cut down to the paths that are asked for before they are dealt."""
+    spark.range(2000).selectExpr("concat('p/', id % 50, '/', id) AS path", "concat('n', id % 100) AS file", "repeat('text ', 200) || id AS content").write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    rows = [(1, "p/7/7", "n7"), (2, "gone", "n8"), (3, "gone", "none"), (4, "p/7/7", "n7"), (5, None, "n9")]
+    found = spark.createDataFrame(rows, "id int, filepath string, file string").withColumn("content", F.lit("old")).drop("content")
+    made = with_content(found, files)
+    got = {r.id: r.content and r.content.split(" ")[-1] for r in made.collect()}
+    assert got == {1: "7", 2: "1008", 3: None, 4: "7", 5: "1009"}
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    with_text = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "content" in x]
+    assert not with_text, plan
+
+
 def test_selection_and_ids(spark):
     raw = spark.createDataFrame([("r", f"{f}.py", c, json.dumps([FULL] * 5)) for f in "ba" for c in (0, 1)], "run_id string, filepath string, chunk_idx int, raw string")
     best = D.assign_ids(D.select_findings(D.findings(raw), "rapid"))
@@ -223,7 +260,34 @@ def test_endpoint_resolution():
 
 
 def test_patch_files(spark, tmp_path):
-    df = spark.createDataFrame([(1, True, "--- a\n+++ b\n"), (2, False, None)], "id long, ok boolean, diff string")
+    df = spark.createDataFrame([(1, True, "--- a\n+++ b\n"), (2, False, None), (30, True, "é\n")], "id long, ok boolean, diff string")
     write_patches(df, str(tmp_path / "p"))
-    (file,) = (tmp_path / "p").glob("id=*/part-*")
-    assert file.parent.name == "id=1" and file.read_text() == "--- a\n+++ b\n"
+    assert {x.name: x.read_text() for x in (tmp_path / "p").iterdir()} == {"patch_1.patch": "--- a\n+++ b\n", "patch_30.patch": "é\n"}
+    write_patches(df.where("id = 30"), str(tmp_path / "p"))
+    assert [x.name for x in (tmp_path / "p").iterdir()] == ["patch_30.patch"]
+
+
+def test_a_failed_task_leaves_no_file(spark, tmp_path):
+    """A sink shows nothing until all is written, and a failure leaves what was there before."""
+    rows = spark.range(60).repartition(6)
+    wrong = F.when(F.col("id") == 42, F.raise_error(F.lit("no"))).otherwise(F.concat(F.lit("text "), F.col("id").cast("string")))
+    for write, good in (
+        (write_files, rows.select(F.concat(F.lit("a/f"), F.col("id").cast("string")).alias("name"), F.col("id").cast("string").alias("content"))),
+        (write_document, rows.select("id", F.concat(F.lit("<p>"), F.col("id").cast("string"), F.lit("</p>")).alias("html"))),
+    ):
+        last = good.columns[1]
+        path = tmp_path / write.__name__
+        with pytest.raises(Exception, match="."):
+            write(rows.select(good.columns[0] if write is write_document else F.concat(F.lit("a/f"), F.col("id").cast("string")).alias("name"), wrong.alias(last)), str(path))
+        assert [x.name for x in tmp_path.iterdir()] == (["write_files"] if write is write_document else [])
+        write(good, str(path))
+    assert len(list((tmp_path / "write_files/a").iterdir())) == 60
+    body = (tmp_path / "write_document").read_text().split("\n")
+    assert body[2:-2] == [f"<p>{i}</p>" for i in range(60)] and body[0] == "<!DOCTYPE html>"
+    with pytest.raises(Exception, match="names repeat"):
+        write_files(rows.select(F.lit("same").alias("name"), F.lit("x").alias("content")), str(tmp_path / "twice"))
+    with pytest.raises(Exception, match="."):
+        write_document(good, str(tmp_path / "write_document"), overwrite=False)
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["write_document", "write_files"]
+    write_files(rows.where("false").selectExpr("'' AS name", "'' AS content"), str(tmp_path / "empty"))
+    assert (tmp_path / "empty").is_dir()
