@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findmill.functions.text import fresh  # noqa: F401
 from findmill.sources.store import work_path, written  # noqa: F401  (the operators take them from here)
 
 SLICE_ROWS = 1000
@@ -27,17 +28,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fresh(taken: list[str], *names: str) -> list[str]:
-    """``names`` with as many underscores behind them as it takes to clash with no column of ``taken``."""
-    known = {c.lower() for c in taken}
-    made = []
-    for name in names:
-        while name.lower() in known:
-            name += "_"
-        made.append(name)
-    return made
-
-
 def utf8(text: Column) -> Column:
     """The bytes of a text; null counts as empty."""
     return F.coalesce(text.cast("binary"), F.lit(b""))

@@ -23,17 +23,18 @@ links found.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findmill.llm.anchor_simhash import SEED, _with_end, components
-from findmill.llm.common import arrow_map, beside, buffers, discard, utf8, written
+from findmill.llm.common import arrow_map, beside, buffers, discard, fresh, utf8, written
 
 WORDS = 5
 BITS = 512
@@ -41,6 +42,8 @@ TABLES = 9
 FIRST_TABLES = 3
 FAR = 115
 PART_ROWS = 1024
+#: Most bits of the filter that tells which texts are to be cut again: 32 MB.
+FILTER_BITS = 1 << 28
 _SLICE = 1 << 14
 _ROUNDS = np.random.default_rng(SEED)
 #: Odd factors: of the eight words of a shingle's 512 bits, and of the hash of each table.
@@ -160,13 +163,61 @@ def _rows(given: DataFrame, kind: str) -> DataFrame:
             prints.append(wide_fingerprint(found))
             sketches.append(parity(found))
             least.append(least_shingles(found))
-        bits = np.stack(prints)
-        made = [np.unique(x) for x in keys(np.stack(least), bits).view(np.int64)]
-        fps = [x.tobytes() for x in np.packbits(np.concatenate([bits, np.stack(sketches)], axis=1), axis=1)]
-        columns = [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(made, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], ["_id", "sig", "n", "fp", "keys", "text_hash"])
+        fps = [x.tobytes() for x in np.packbits(np.concatenate([np.stack(prints), np.stack(sketches)], axis=1), axis=1)]
+        columns = [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array([x.tobytes() for x in least], pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], ["_id", "sig", "n", "fp", "least", "text_hash"])
 
-    return arrow_map(given, f"_id {kind}, sig binary, n long, fp binary, keys array<long>, text_hash long", per_batch)
+    return arrow_map(given, f"_id {kind}, sig binary, n long, fp binary, least binary, text_hash long", per_batch)
+
+
+def _each_key(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(key, node) for every key of rows (node, fp, least): keys are made where they are dealt, not stored."""
+    fp, least = (np.frombuffer(b"".join(batch.column(i).to_pylist()), kind).reshape(batch.num_rows, -1) for i, kind in ((1, np.uint8), (2, np.uint64)))
+    found = np.sort(keys(least, np.unpackbits(fp[:, : BITS // 8], axis=1)).view(np.int64), axis=1)
+    keep = np.append(np.ones((len(found), 1), bool), found[:, 1:] != found[:, :-1], axis=1)
+    node = np.repeat(batch.column(0).to_numpy(), keep.sum(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(node)], ["key", "node"])
+
+
+def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Four bits of the filter for each hash."""
+    mixed = hashes.view(np.uint64)[:, None] * _WIDEN[:4]
+    return ((mixed ^ (mixed >> np.uint64(32))) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _wanted_only(given: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``given`` without most rows whose ``text_hash`` is not that of a row of ``wanted``, and with all others.
+
+    The hashes are told by a Bloom filter of 16 bits each, ``FILTER_BITS`` at most, so what is broadcast has a fixed bound;
+    with very many hashes it holds back fewer rows, and the join behind it does the rest.
+    """
+    spark = given.sparkSession
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * wanted.count() - 1).bit_length()))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            own[_places(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel()] = True
+        packed = np.packbits(own).reshape(-1, 1 << 13)
+        some = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[i].tobytes() for i in some], pa.binary())], ["at", "bits"])
+
+    def either(table: pa.Table) -> pa.Table:
+        parts = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        return pa.table({"at": table.column("at")[:1], "bits": [np.bitwise_or.reduce(parts, axis=0).tobytes()]})
+
+    whole = np.zeros((bits >> 16, 1 << 13), np.uint8)
+    for at, part in wanted.select("text_hash").mapInArrow(fill, "at int, bits binary").groupBy("at").applyInArrow(either, "at int, bits binary").collect():
+        whole[at] = np.frombuffer(part, np.uint8)
+    shared = spark.sparkContext.broadcast(whole.tobytes())
+
+    @F.pandas_udf("boolean")
+    def may_be(hashes: pd.Series) -> pd.Series:
+        at = _places(hashes.to_numpy(), bits)
+        have = np.frombuffer(shared.value, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+        return pd.Series(have.all(axis=1))
+
+    return given.where(may_be("text_hash"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -255,9 +306,9 @@ def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[(key[at] == key[at + k]) & (5 * n[at] >= 4 * n[at + k])]
 
 
-def _most_met(met: DataFrame) -> DataFrame:
+def _most_met(met: DataFrame, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Of the middles (b) each text (a) met the one that most texts met, so that groups become stars."""
-    met = written(met, "near-middles")
+    met = kept(met, "near-middles")
     texts = met.groupBy("b").agg(F.count("*").alias("degree")).withColumn("texts", F.col("degree"))
     best = beside(met, texts, "b", met.count()).groupBy("a").agg(F.max_by("b", F.struct("texts", "b")).alias("b"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -277,8 +328,9 @@ def _verified(pairs: DataFrame, firsts: DataFrame, given: DataFrame) -> DataFram
         return pa.RecordBatch.from_arrays(made, ["sig", "hashes"])
 
     # A text of each set, that of its first id: exact copies are not cut.
-    one = need.select(F.col("text_hash").alias("wanted"), "first_id")
-    texts = given.join(one, (F.col("text_hash") == F.col("wanted")) & F.col("_id").eqNullSafe(F.col("first_id")), "left_semi").select("raw")
+    one = need.select(F.col("text_hash").alias("wanted"), "first_id").hint("merge")
+    some = _wanted_only(given, need)
+    texts = some.join(one, (F.col("text_hash") == F.col("wanted")) & F.col("_id").eqNullSafe(F.col("first_id")), "left_semi").select("raw")
     made = arrow_map(texts, "sig binary, hashes binary", sets).join(need.select("sig", "node"), "sig").select("node", "hashes")
     kept = written(made.dropDuplicates(["node"]), "near-sets")
     both = pairs.join(kept.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
@@ -295,36 +347,44 @@ def _verified(pairs: DataFrame, firsts: DataFrame, given: DataFrame) -> DataFram
     return found
 
 
-def _connected(df: DataFrame, id_col: str, text_col: str, part_rows: int) -> DataFrame:
-    """(_id, text_hash, root) for every row of ``df``: rows with one root are near copies."""
+def _connected(df: DataFrame, id_col: str, text_col: str, part_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(_id, text_hash, root) for every row of ``df``: rows with one root are near copies. And the tables that are done with after that."""
+    made: list[DataFrame] = []
+
+    def kept(table: DataFrame, name: str) -> DataFrame:
+        made.append(written(table, name))
+        return made[-1]
+
     given = df.select(F.col(id_col).alias("_id"), utf8(F.col(text_col)).alias("raw")).withColumn("text_hash", F.xxhash64("raw"))
-    rows = written(_rows(given, df.schema[id_col].dataType.simpleString()), "near-rows")
+    rows = kept(_rows(given, df.schema[id_col].dataType.simpleString()), "near-rows")
     grouped = rows.groupBy("sig").agg(
-        F.min("_id").alias("first_id"), F.count("*").alias("degree"), *(F.first(c).alias(c) for c in ("n", "fp", "keys")),
+        F.min("_id").alias("first_id"), F.count("*").alias("degree"), *(F.first(c).alias(c) for c in ("n", "fp", "least")),
         F.coalesce(F.min_by("text_hash", "_id"), F.first("text_hash")).alias("text_hash"),
     )
-    firsts = written(grouped.withColumn("node", F.monotonically_increasing_id()), "near-firsts")
+    firsts = kept(grouped.withColumn("node", F.monotonically_increasing_id()), "near-firsts")
     # Most keys belong to one set; they go before anything else is copied beside them.
-    each = firsts.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key")
-    shared = written(each.mapInArrow(_shared, "key long, node long, size long"), "near-keys")
+    each = arrow_map(firsts.select("node", "fp", "least"), "key long, node long", _each_key).repartition("key").sortWithinPartitions("key")
+    shared = kept(each.mapInArrow(_shared, "key long, node long, size long"), "near-keys")
 
     few = shared.where(F.col("key").bitwiseAND(15) < FIRST_TABLES)
     dealt = F.xxhash64("key", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / part_rows)))
     part = F.when(F.col("size") > part_rows, dealt).otherwise(F.col("key"))
     wide = few.withColumn("part", part).join(firsts.select("node", "n", "fp"), "node").select("part", "node", "n", "fp")
     middle = wide.repartition("part").sortWithinPartitions("part").mapInArrow(_to_middle, "a long, b long")
-    links = _verified(_most_met(middle), firsts, given)
+    links = _verified(_most_met(middle, kept), firsts, given)
+    made.append(links)
 
-    roots = written(components(links), "near-roots")
+    roots = kept(components(links), "near-roots")
     lean = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     several = lean.repartition("key").sortWithinPartitions("key").mapInArrow(_mixed_keys, "key long, node long, root long")
     wide = several.join(firsts.select("node", "n", "fp"), "node").select("key", "node", "root", "n", "fp")
     rest = wide.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_all_pairs, "a long, b long")
     more = _verified(rest, firsts, given)
+    made.append(more)
     if not more.isEmpty():
         roots = components(links.union(more))
     by_sig = firsts.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"), "degree")
-    return beside(rows.select("_id", "sig", "text_hash"), by_sig, "sig", rows.count()).select("_id", "text_hash", "root")
+    return beside(rows.select("_id", "sig", "text_hash"), by_sig, "sig", rows.count()).select("_id", "text_hash", "root"), made
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
@@ -334,7 +394,10 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     equal. Rows whose id is null take part; they get the smallest id that is not null, or null if there is
     none. Repeated rows stay, an empty table gives an empty result, other columns of ``df`` are not read.
     """
-    rows = written(_connected(df, id_col, text_col, part_rows).drop("text_hash"), "near-roots")
+    found, made = _connected(df, id_col, text_col, part_rows)
+    rows = written(found.drop("text_hash"), "near-roots")
+    for done in made:
+        discard(done)
     lowest = rows.groupBy("root").agg(F.min("_id").alias("component_id"), F.count("*").alias("degree"))
     return beside(rows, lowest, "root", rows.count()).select(F.col("_id").alias(id_col), "component_id")
 
@@ -345,16 +408,22 @@ def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The row with the smallest id stays (null ids last), of rows that share it the one whose text has the
     smallest hash, of rows equal in both any one. Ids need not be unique: rows, not ids, are kept or dropped.
     """
-    rows = _connected(df, id_col, text_col, part_rows).groupBy("root", "_id", "text_hash").agg(F.count("*").alias("rows"))
+    found, made = _connected(df, id_col, text_col, part_rows)
+    rows = found.groupBy("root", "_id", "text_hash").agg(F.count("*").alias("rows"))
     rows = written(rows.withColumn("rank", F.struct(F.col("_id").isNull().alias("none"), "_id", "text_hash")), "near-roots")
+    for done in made:
+        discard(done)
     first = rows.groupBy("root").agg(F.min("rank").alias("first"), F.count("*").alias("degree"))
-    marks = beside(rows, first, "root", rows.count()).select("_id", F.col("text_hash").alias("_hash"), (F.col("rank") != F.col("first")).alias("_gone"), "rows")
+    own, hashed, gone, named_hash = fresh(df.columns, "_id", "_hash", "_gone", "_text_hash")
+    marks = beside(rows, first, "root", rows.count()).select(
+        F.col("_id").alias(own), F.col("text_hash").alias(hashed), (F.col("rank") != F.col("first")).alias(gone), "rows"
+    )
     # Only what goes or is there more than once meets the texts: its size is known, and Spark picks the join.
-    marks = written(marks.where("_gone OR rows > 1").select("_id", "_hash", "_gone"), "near-marks")
-    named = df.withColumn("_text_hash", F.xxhash64(utf8(F.col(text_col))))
-    both = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    marks = written(marks.where(F.col(gone) | (F.col("rows") > 1)).select(own, hashed, gone), "near-marks")
+    named = df.withColumn(named_hash, F.xxhash64(utf8(F.col(text_col))))
+    both = F.col(id_col).eqNullSafe(F.col(own)) & (F.col(named_hash) == F.col(hashed))
     single = named.join(marks, both, "left_anti").select(*df.columns)
-    repeated = marks.where("NOT _gone")
+    repeated = marks.where(~F.col(gone))
     if repeated.isEmpty():
         return single
-    return single.union(named.join(repeated, both, "left_semi").dropDuplicates([id_col, "_text_hash"]).select(*df.columns))
+    return single.union(named.join(repeated, both, "left_semi").dropDuplicates([id_col, named_hash]).select(*df.columns))

@@ -78,3 +78,22 @@ def test_rows_and_not_ids_are_kept_or_dropped(spark):
     found = N.without_copies(df)
     assert found.columns == df.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in found.collect()) == sorted([(1, one), (5, two), (7, ""), (0, "c d e"), (9, "f")])
+
+
+def test_clashing_columns_come_back_as_they_are(spark):
+    one = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, one, 7, "h", 8, 9, 10), (2, one + " end", 17, "i", 18, 19, 20), (3, "other", 27, "j", 28, 29, 30), (3, "other", 27, "j", 28, 29, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _text_hash string, _hash int, _gone int, rows int")
+    assert sorted(map(tuple, N.without_copies(df).collect())) == [rows[0], rows[2]]
+
+
+def test_the_filter_holds_back_no_wanted_text(spark):
+    hashes = [(int(x),) for x in np.random.default_rng(4).integers(-(2**63), 2**63, 20_000)]
+    given, wanted = spark.createDataFrame(hashes, "text_hash long"), spark.createDataFrame(hashes[:2000], "text_hash long")
+    left = {r[0] for r in N._wanted_only(given, wanted).collect()}
+    assert {h for (h,) in hashes[:2000]} <= left and len(left) < 2600
+    old, N.FILTER_BITS = N.FILTER_BITS, 1 << 16
+    try:
+        assert {h for (h,) in hashes} == {r[0] for r in N._wanted_only(given, given).collect()}
+    finally:
+        N.FILTER_BITS = old
