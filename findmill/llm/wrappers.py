@@ -21,7 +21,8 @@ off the expression, and a page's text is what stands at those places:
   forms, comments. html, body, main and article are never judged by name.
 
 A host with fewer than ``MIN_PAGES`` pages shows neither menus by links nor a template, so only elements and
-names decide there. Pages nest at most ``MAX_DEPTH`` deep; elements below stand beside each other.
+names decide there. Expressions nest at most ``MAX_DEPTH`` deep; elements below stand beside each other, and
+whether they are furniture is told by all that they stand in.
 
 The table of wrappers is written first, so its size is known: Spark broadcasts it while it is below its
 own threshold, and joins by host beyond that.
@@ -32,6 +33,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,9 +51,9 @@ MAX_DEPTH = 100
 WEIGHTS = {1: 64, 2: 8, 3: 1}
 OPTIONAL, REPEATED = 1, 2
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL
-)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -152,33 +154,115 @@ def _root() -> Place:
     return _ROOT[0]
 
 
+class _Tags:
+    """The tags of a page from left to right, in time that grows with the page whatever it holds.
+
+    A ``<`` that no tag begins with is text. Where one does not end, its quotes are followed by places, and what led nowhere
+    is remembered: a later tag that comes by there does not end either.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.special: list[int] | None = None
+        self.dead: set[int] = set()
+
+    def next(self, at: int) -> tuple[int, int, str, str | None, str] | None:
+        """(start, end, slash, name, attributes) of the next tag; the name is None for comments and declarations."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", None, ""
+            if start > self.last:  # nothing ends any more but a comment, at the end
+                start = page.find("<!--", start)
+                return None if start < 0 else (start, len(page), "", None, "")
+            if page[start + 1] in "!?":
+                return start, page.find(">", start) + 1, "", None, ""
+            if self.special is None and (m := _TAG.match(page, start)):
+                return start, m.end(), m[1], m[2], m[3]
+            if (m := _NAME.match(page, start)) and (end := self._end(m.end())) is not None:
+                return start, end + 1, m[1], m[2], page[m.end() : end]
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int | None:
+        """The first ``>`` from here that is in no quotes."""
+        if self.special is None:
+            self.special = [m.start() for m in _SPECIAL.finditer(self.page)]
+        seen = []
+        while True:
+            i = bisect_left(self.special, at)
+            place = self.special[i] if i < len(self.special) else -1
+            if place < 0 or place in self.dead:
+                break
+            if self.page[place] == ">":
+                return place
+            seen.append(place)
+            at = self.page.find(self.page[place], place + 1) + 1
+            if not at:
+                break
+        self.dead.update(seen)
+        return None
+
+
+class _Deep:
+    """Open elements below ``MAX_DEPTH``: whether text in them counts, by the same rules as above, at any depth."""
+
+    def __init__(self):
+        self.open: list[tuple[str, Place, bool]] = []
+        self.count: dict[str, int] = {}
+
+    def enter(self, stack: list[Place], tag: str, label: str) -> None:
+        place, heading = self.open[-1][1:] if self.open else (stack[-1], any(x.tag in HEADINGS for x in stack))
+        own = Place(place, label)
+        if (own.level, own.masthead) == (place.level, place.masthead):
+            own = place  # nothing new, so a chain of places does not grow
+        self.open.append((tag, own, heading or tag in HEADINGS))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def leave(self, tag: str) -> bool:
+        """Close the innermost element with this tag, and those inside; False if there is none."""
+        if not self.count.get(tag):
+            return False
+        while True:
+            name = self.open.pop()[0]
+            self.count[name] -= 1
+            if name == tag:
+                return True
+
+    def shut(self) -> None:
+        self.open.clear()
+        self.count.clear()
+
+    def holds_text(self) -> bool:
+        return not self.open or self.open[-1][1].content(self.open[-1][2]) > 0
+
+
 def events(page: str, root: Place) -> Iterator[tuple[str, Place, str]]:
-    """('open' | 'close' | 'text', place, text) of a page, in order; line breaks are texts of a space."""
-    stack = [root]
-    below: dict[str, int] = {}  # open elements deeper than MAX_DEPTH, which are not on the stack
+    """('open' | 'close' | 'text', place, text) of a page, in order; line breaks are texts of a space.
+
+    Elements below ``MAX_DEPTH`` open and close at once, and their text belongs to the place above, unless they hold none.
+    """
+    stack, deep, tags = [root], _Deep(), _Tags(page)
     at, size = 0, len(page)
     while at < size:
-        m = _TAG.search(page, at)
-        while m is not None and m.start() == m.end():
-            m = _TAG.search(page, m.end() + 1)
-        if m is None:
-            yield "text", stack[-1], page[at:]
-            return
-        if m.start() > at:
-            yield "text", stack[-1], page[at : m.start()]
-        at = m.end()
-        if m[2] is None:
+        m = tags.next(at)
+        start, end, slash, name, attributes = m or (size, size, "", None, "")
+        if start > at and deep.holds_text():
+            yield "text", stack[-1], page[at:start]
+        at = end
+        if name is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if below.get(tag):
-                below[tag] -= 1
+        tag = name.lower()
+        if slash:
+            if deep.leave(tag):
                 place = stack[-1].child(tag)
                 yield "open", place, ""
                 yield "close", place, ""
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    deep.shut()
                     while len(stack) > i:
                         yield "close", stack.pop(), ""
                     break
@@ -186,7 +270,8 @@ def events(page: str, root: Place) -> Iterator[tuple[str, Place, str]]:
                     break
             continue
         if tag == "br":
-            yield "text", stack[-1], " "
+            if deep.holds_text():
+                yield "text", stack[-1], " "
             continue
         if tag in RAW:
             end = re.compile(rf"(?i)</{re.escape(tag)}[\s/>]").search(page, at)
@@ -196,22 +281,23 @@ def events(page: str, root: Place) -> Iterator[tuple[str, Place, str]]:
             at = size if close < 0 else close + 1
             continue
         ends = ENDS.get(tag, ())
-        if tag in BLOCK:
+        if tag in BLOCK and not deep.open:
             _depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ("p", *HEADINGS) or stack[i].tag in SCOPE), 0)
             if _depth and stack[_depth].tag in ("p", *HEADINGS):
                 while len(stack) > _depth:
                     yield "close", stack.pop(), ""
-        if ends:
+        if ends and not deep.open:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ends or stack[i].tag in SCOPE), 0)
             if depth and stack[depth].tag in ends:
                 while len(stack) > depth:
                     yield "close", stack.pop(), ""
-        place = stack[-1].child(_label(tag, m[3]))
+        label = _label(tag, attributes)
+        place = stack[-1].child(label)
         yield "open", place, ""
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             yield "close", place, ""
         elif len(stack) > MAX_DEPTH:
-            below[tag] = below.get(tag, 0) + 1
+            deep.enter(stack, tag, label)
             yield "close", place, ""
         else:
             stack.append(place)

@@ -203,3 +203,45 @@ def test_folding_leaves_no_neighbours_alike(labels):
     found = H.fold([[x, 0, [], 1] for x in labels])
     assert [k for k, _ in groupby(x[0] for x in found)] == [x[0] for x in found]
     assert sum(x[3] for x in found) == len(labels)
+
+
+@pytest.mark.parametrize("depth", [0, 90, 97, 98, 99, 100, 101, 150, 3000])
+def test_furniture_is_left_out_at_any_depth(depth):
+    inner = "<nav>MENU <b>ITEM</b></nav><div class=x><p>real <i>text</i> here</p></div><footer><div><p>FOOT</p></div></footer><form><label>FORM</label></form><header><p>HEAD</p></header><div class=sidebar><div>SIDE</div><br>BAR</div><p>end</p>"
+    for closing in ("</div>" * depth, ""):
+        page = "<div>" * depth + inner + closing + ("<p>after</p>" if closing or not depth else "")
+        want = ["real text here", "end", *(["after"] if closing or not depth else [])]
+        assert H.main_text(page, None, set(), H.Place(None, "")).split("\n") == want, depth
+
+
+@pytest.mark.parametrize("odd", ["<a ", "<!x", "<a \"", "<a '\"", "<a href=\"x' ", "<", "</", "<a b='>\"", "<p><a \">", "<!-- ", "<script>", "</script ", "<div>", "</div>", "<nav>", "<a \"'>'"])
+def test_odd_markup_takes_time_in_proportion(odd):
+    """Seconds of 200 and of 800 thousand characters, with and without an end; squares would take minutes."""
+    import time
+
+    for tail in ("", ">", "'>", "\">x", "' \" >"):
+        for size in (200_000, 800_000):
+            page = odd * (size // len(odd)) + tail
+            began = time.process_time()
+            for _ in H.events(page, H.Place(None, "")):
+                pass
+            assert time.process_time() - began < 12, (odd, tail, size)
+
+
+PARTS = st.lists(st.sampled_from(["<a ", "<p>", "</p>", ">", "\"", "'", "x", " ", "<!--", "-->", "<!", "<b c='d>e'>", "</b", "<", "=", "<i\">\">"]), max_size=14)
+
+
+@settings(max_examples=500, deadline=None)
+@given(PARTS)
+def test_tags_are_those_of_a_plain_search(parts):
+    """Against a search that tries every < afresh."""
+    import re
+
+    page, found, at = "".join(parts), [], 0
+    plain = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
+    want = [(m.start(), m.end(), m[1] or "", m[2], m[3] or "") for m in plain.finditer(page)]
+    tags = H._Tags(page)
+    while m := tags.next(at):
+        found.append(m)
+        at = m[1]
+    assert found == want
