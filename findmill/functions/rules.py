@@ -4,13 +4,6 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-SEVERITIES = ("Critical", "High", "Medium", "Low")
-CHUNK_OVERLAP = 500
-MIN_CONFIDENCE = 20
-LOG_LINES = 501
-HISTORY_ROWS = 50
-
-
 class Mode(NamedTuple):
     suffixes: tuple[str, ...]
     severities: tuple[str, ...]
@@ -33,6 +26,11 @@ class Model(NamedTuple):
 
 
 #: Fixed values.
+SEVERITIES = ("Critical", "High", "Medium", "Low")
+CHUNK_OVERLAP = 500
+MIN_CONFIDENCE = 20
+LOG_LINES = 501
+HISTORY_ROWS = 50
 PRUNED_DIRS = ("node_modules", ".git", "venv", "dist", "build", "__pycache__", ".venv")
 MODES = {
     "rapid": Mode((".py", ".js", ".ts", ".php", ".java", ".go"), ("Critical", "High"), 3),
@@ -81,6 +79,11 @@ DEFAULTS = {
     "snippet": "Code non disponible", "type": "Unknown", "pattern": "Non spécifié", "exploit_example": "Non fourni",
     "business_impact": "Non évalué", "attack_vector": "Unknown",
 }
+#: Addresses of a model server: in a container, outside, and those that are tried after either.
+CONTAINER_ENDPOINTS = ("http://host.docker.internal:11434/api/generate", "http://ollama:11434/api/generate", "http://172.17.0.1:11434/api/generate")
+NATIVE_ENDPOINTS = ("http://127.0.0.1:11434/api/generate", "http://localhost:11434/api/generate")
+OTHER_ENDPOINTS = ("http://localhost:11434/api/generate", "http://host.docker.internal:11434/api/generate")
+DEFAULT_ENDPOINT, ENDPOINT_VARIABLE, PROBE_MODEL = "http://localhost:11434/api/generate", "OLLAMA_URL", "llama3"
 NO_LINE, NO_CONTEXT = "Ligne inconnue.", "Impossible d'extraire le contexte : "
 FIX_TIMES = {"Critical": "2-4h", "High": "1-2h", "Medium": "30min-1h", "Low": "15-30min"}
 

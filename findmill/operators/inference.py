@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
 import re
@@ -9,12 +10,22 @@ import time
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 
-from findmill.functions.rules import FALLBACK_MODEL, model_of
+from findmill.functions.rules import (
+    CONTAINER_ENDPOINTS,
+    DEFAULT_ENDPOINT,
+    ENDPOINT_VARIABLE,
+    FALLBACK_MODEL,
+    NATIVE_ENDPOINTS,
+    OTHER_ENDPOINTS,
+    PROBE_MODEL,
+    model_of,
+)
 
 ATTEMPTS = 3
 CALLS_PER_TASK = 64
@@ -35,19 +46,45 @@ class ReplayBackend:
 
 
 class HttpBackend:
-    """A model server that takes a JSON request and answers {"response": text}."""
+    """A model server that takes a JSON request and answers {"response": text}; a task keeps its connection open."""
 
     def __init__(self, url: str, context: int, **options):
         self.url, self.options = url, {"num_ctx": context, "temperature": 0.1, **options}
+        self.held: http.client.HTTPConnection | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "held": None}  # a connection stays with its process
 
     def call(self, model: str, prompt: str, timeout: int) -> str:
-        body = {
-            "model": model, "prompt": prompt, "stream": False, "format": "json",
-            "options": self.options,
-        }
-        request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
-        with urllib.request.urlopen(request, timeout=timeout) as answer:
-            return json.load(answer).get("response", "{}")
+        body = {"model": model, "prompt": prompt, "stream": False, "format": "json", "options": self.options}
+        reused = self.held is not None
+        try:
+            answer = self._post(json.dumps(body).encode(), timeout)
+        except (http.client.BadStatusLine, ConnectionError):
+            if not reused:
+                raise
+            answer = self._post(json.dumps(body).encode(), timeout)  # the server had closed a connection that lay idle
+        return json.loads(answer).get("response", "{}")
+
+    def _post(self, body: bytes, timeout: int) -> bytes:
+        at = urlsplit(self.url)
+        if self.held is None:
+            self.held = (http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection)(at.netloc, timeout=timeout)
+        held, self.held = self.held, None
+        held.timeout = timeout
+        if held.sock:
+            held.sock.settimeout(timeout)
+        try:
+            held.request("POST", f"{at.path or '/'}{f'?{at.query}' if at.query else ''}", body, {"Content-Type": "application/json"})
+            answer = held.getresponse()
+            data = answer.read()
+            if answer.status != 200:
+                raise OSError(f"status {answer.status}")
+        except BaseException:
+            held.close()
+            raise
+        self.held = held
+        return data
 
 
 _PARTS = (r"\[\s*\{.*\}\s*\]", r"\{.*\}", r"```json\s*(\[.*?\]|\{.*?\})\s*```")
@@ -67,18 +104,49 @@ def _usable(text: str) -> bool:
     return False
 
 
-def resolve_endpoint(given: str | None, candidates: Sequence[str], default: str, tries: int = 2, timeout: float = 2.0, variable: str | None = None) -> str:
-    """The address given, else that in the environment, else the first candidate that answers with 200, else the default."""
+def in_container(marker: str = "/.dockerenv", groups: str = "/proc/1/cgroup") -> bool:
+    """Whether this program runs in a container, by a file that is there or by the groups of its first process."""
+    if os.path.exists(marker):
+        return True
+    try:
+        with open(groups, encoding="utf-8", errors="ignore") as f:
+            text = f.read()
+    except OSError:
+        return False
+    return "docker" in text or "containerd" in text
+
+
+def endpoint_candidates(container: bool | None = None) -> tuple[str, ...]:
+    """Addresses to try, in order: those of where the program runs, then others in case that was told wrongly."""
+    inside = in_container() if container is None else container
+    return (*(CONTAINER_ENDPOINTS if inside else NATIVE_ENDPOINTS), *OTHER_ENDPOINTS)
+
+
+def _answers(url: str, timeout: float) -> bool:
+    body = json.dumps({"model": PROBE_MODEL, "prompt": "ping", "stream": False}).encode()
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as answer:
+            return answer.status == 200
+    except OSError:
+        return False
+
+
+def resolve_endpoint(
+    given: str | None = None, candidates: Sequence[str] | None = None, default: str = DEFAULT_ENDPOINT, tries: int = 2, timeout: float = 2.0,
+    variable: str | None = ENDPOINT_VARIABLE, pause: float = 0.3,
+) -> str:
+    """The address given, else that in the environment, else the first candidate that answers a short request with 200, else the default.
+
+    Without ``candidates`` they are those of a container or of a machine, whichever this is.
+    """
     if given or variable and os.environ.get(variable):
         return given or os.environ[variable]
-    for url in candidates:
-        for _ in range(tries):
-            try:
-                with urllib.request.urlopen(url, timeout=timeout) as answer:
-                    if answer.status == 200:
-                        return url
-            except OSError:
-                continue
+    for url in endpoint_candidates() if candidates is None else candidates:
+        for i in range(tries):
+            if i:
+                time.sleep(pause)
+            if _answers(url, timeout):
+                return url
     return default
 
 

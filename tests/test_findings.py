@@ -1,7 +1,10 @@
 import difflib
 import http.client
+import http.server
 import io
 import json
+import pickle
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,9 +14,9 @@ from findmill.functions.recover import recovered_json
 from findmill.operators import chunks as C
 from findmill.operators import findings as D
 from findmill.operators import rollup as A
-from findmill.operators.inference import ReplayBackend, ask, resolve_endpoint
-from findmill.sources.sinks import write_document, write_files
+from findmill.operators.inference import HttpBackend, ReplayBackend, ask, endpoint_candidates, in_container, resolve_endpoint
 from findmill.operators.report import json_rows, make_patch, report_rows, with_content, write_patches
+from findmill.sources.sinks import write_document, write_files
 
 FULL = {"title": "t", "severity": "High", "line": 3, "description": "d", "fix": "f"}
 
@@ -254,9 +257,71 @@ def test_ask_retries_and_falls_back():
     assert ask(ReplayBackend(lambda p: 'so: {"a": 1}.'), "m", "p", pauses.append)[0] == "ok"
 
 
-def test_endpoint_resolution():
+class Server:
+    """A model server in a thread: notes connections and requests, closes or refuses when told to."""
+
+    def __init__(self, status=200, close_after=None):
+        self.peers, self.bodies = set(), []
+        owner = self
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            protocol_version = "HTTP/1.1"
+
+            def do_POST(self):
+                owner.peers.add(self.client_address)
+                owner.bodies.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+                data = json.dumps({"response": f"[{len(owner.bodies)}]"}).encode()
+                self.send_response(status)
+                self.send_header("Content-Length", str(len(data)))
+                self.end_headers()
+                self.wfile.write(data)
+                if len(owner.bodies) == close_after:
+                    self.close_connection = True  # without telling
+
+            def log_message(self, *args):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.server.server_address[1]}/api/generate"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *args):
+        self.server.shutdown()
+
+
+def test_a_backend_keeps_its_connection():
+    with Server() as server:
+        backend = HttpBackend(server.url, 8192, num_thread=8)
+        assert [backend.call("m", f"p{i}", 5) for i in range(4)] == ["[1]", "[2]", "[3]", "[4]"]
+        assert len(server.peers) == 1 and server.bodies[0] == {"model": "m", "prompt": "p0", "stream": False, "format": "json", "options": {"num_ctx": 8192, "temperature": 0.1, "num_thread": 8}}
+        other = pickle.loads(pickle.dumps(backend))
+        assert other.call("m", "x", 5) == "[5]" and len(server.peers) == 2
+    with Server(close_after=2) as server:
+        backend = HttpBackend(server.url, 1)
+        assert [backend.call("m", "p", 5) for _ in range(4)] == ["[1]", "[2]", "[3]", "[4]"] and len(server.peers) == 2
+    with Server(status=500) as server:
+        with pytest.raises(OSError):
+            HttpBackend(server.url, 1).call("m", "p", 5)
+
+
+def test_endpoint_resolution(monkeypatch, tmp_path):
+    monkeypatch.delenv("OLLAMA_URL", raising=False)
     assert resolve_endpoint("http://given", [], "http://default") == "http://given"
-    assert resolve_endpoint(None, ["http://127.0.0.1:9/"], "http://default", timeout=0.2) == "http://default"
+    nowhere = "http://127.0.0.1:9/"
+    assert resolve_endpoint(None, [nowhere], "http://default", timeout=0.2, pause=0) == "http://default"
+    with Server(status=404) as wrong, Server() as right:
+        assert resolve_endpoint(None, [nowhere, wrong.url, right.url], timeout=2, pause=0) == right.url
+        assert len(wrong.bodies) == 2 and right.bodies[0]["prompt"] == "ping"
+    monkeypatch.setenv("OLLAMA_URL", "http://env")
+    assert resolve_endpoint() == "http://env" and resolve_endpoint("http://given") == "http://given"
+    (tmp_path / "groups").write_text("0::/system.slice/docker-1.scope")
+    assert in_container(str(tmp_path / "groups"), "") and in_container("", str(tmp_path / "groups"))
+    (tmp_path / "groups").write_text("0::/init.scope")
+    assert not in_container("", str(tmp_path / "groups")) and not in_container("", str(tmp_path / "none"))
+    assert endpoint_candidates(True)[0] != endpoint_candidates(False)[0] and endpoint_candidates(True)[-2:] == endpoint_candidates(False)[-2:]
 
 
 def test_patch_files(spark, tmp_path):
