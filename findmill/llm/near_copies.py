@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findmill.llm.anchor_simhash import SEED, _with_end, components
@@ -185,13 +185,13 @@ def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(32))) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _wanted_only(given: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``given`` without most rows whose ``text_hash`` is not that of a row of ``wanted``, and with all others.
+def _may_be(wanted: DataFrame) -> Callable[[str], Column]:
+    """A test of a column of hashes: true for all that are a ``text_hash`` of ``wanted``, false for most others.
 
-    The hashes are told by a Bloom filter of 16 bits each, ``FILTER_BITS`` at most, so what is broadcast has a fixed bound;
-    with very many hashes it holds back fewer rows, and the join behind it does the rest.
+    It is a Bloom filter of 16 bits a hash, ``FILTER_BITS`` at most, so what is broadcast has a fixed bound; with very
+    many hashes it tells fewer apart, and the join behind it does the rest.
     """
-    spark = given.sparkSession
+    spark = wanted.sparkSession
     bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * wanted.count() - 1).bit_length()))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +212,12 @@ def _wanted_only(given: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(whole.tobytes())
 
     @F.pandas_udf("boolean")
-    def may_be(hashes: pd.Series) -> pd.Series:
+    def told(hashes: pd.Series) -> pd.Series:
         at = _places(hashes.to_numpy(), bits)
         have = np.frombuffer(shared.value, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
         return pd.Series(have.all(axis=1))
 
-    return given.where(may_be("text_hash"))
+    return told
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -329,8 +329,7 @@ def _verified(pairs: DataFrame, firsts: DataFrame, given: DataFrame) -> DataFram
 
     # A text of each set, that of its first id: exact copies are not cut.
     one = need.select(F.col("text_hash").alias("wanted"), "first_id").hint("merge")
-    some = _wanted_only(given, need)
-    texts = some.join(one, (F.col("text_hash") == F.col("wanted")) & F.col("_id").eqNullSafe(F.col("first_id")), "left_semi").select("raw")
+    texts = given.where(_may_be(need)("text_hash")).join(one, (F.col("text_hash") == F.col("wanted")) & F.col("_id").eqNullSafe(F.col("first_id")), "left_semi").select("raw")
     made = arrow_map(texts, "sig binary, hashes binary", sets).join(need.select("sig", "node"), "sig").select("node", "hashes")
     kept = written(made.dropDuplicates(["node"]), "near-sets")
     both = pairs.join(kept.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
@@ -422,8 +421,11 @@ def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = written(marks.where(F.col(gone) | (F.col("rows") > 1)).select(own, hashed, gone), "near-marks")
     named = df.withColumn(named_hash, F.xxhash64(utf8(F.col(text_col))))
     both = F.col(id_col).eqNullSafe(F.col(own)) & (F.col(named_hash) == F.col(hashed))
-    single = named.join(marks, both, "left_anti").select(*df.columns)
+    # Texts that no mark can mean stay where they are; the others, few as a rule, are dealt to meet the marks.
+    met = _may_be(marks.select(F.col(hashed).alias("text_hash")))(named_hash)
+    asked = named.where(met)
+    single = named.where(~met).union(asked.join(marks, both, "left_anti")).select(*df.columns)
     repeated = marks.where(~F.col(gone))
     if repeated.isEmpty():
         return single
-    return single.union(named.join(repeated, both, "left_semi").dropDuplicates([id_col, named_hash]).select(*df.columns))
+    return single.union(asked.join(repeated, both, "left_semi").dropDuplicates([id_col, named_hash]).select(*df.columns))
