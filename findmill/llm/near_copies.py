@@ -19,6 +19,8 @@ texts are dealt into parts, other ones for every table. Of the middles a text me
 one that most texts met. Then, in keys whose texts are not all connected yet, all texts are compared that are
 not connected. So a large group of near copies costs about one pair a text, and connectivity is that of all
 links found.
+
+Joins by node are dealt at every size: what Spark would broadcast on a small input is held by the driver.
 """
 
 from __future__ import annotations
@@ -320,7 +322,7 @@ def _verified(pairs: DataFrame, firsts: DataFrame, given: DataFrame) -> DataFram
     if pairs.isEmpty():
         return pairs
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    need = written(firsts.select("node", "sig", "text_hash", "first_id").join(nodes, "node", "left_semi"), "near-needed")
+    need = written(firsts.select("node", "sig", "text_hash", "first_id").join(nodes.hint("merge"), "node", "left_semi"), "near-needed")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(x) for x in buffers(batch.column(0))]
@@ -330,10 +332,10 @@ def _verified(pairs: DataFrame, firsts: DataFrame, given: DataFrame) -> DataFram
     # A text of each set, that of its first id: exact copies are not cut.
     one = need.select(F.col("text_hash").alias("wanted"), "first_id").hint("merge")
     texts = given.where(_may_be(need)("text_hash")).join(one, (F.col("text_hash") == F.col("wanted")) & F.col("_id").eqNullSafe(F.col("first_id")), "left_semi").select("raw")
-    made = arrow_map(texts, "sig binary, hashes binary", sets).join(need.select("sig", "node"), "sig").select("node", "hashes")
+    made = arrow_map(texts, "sig binary, hashes binary", sets).join(need.select("sig", "node").hint("merge"), "sig").select("node", "hashes")
     kept = written(made.dropDuplicates(["node"]), "near-sets")
-    both = pairs.join(kept.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
-        kept.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b"
+    both = pairs.join(kept.select(F.col("node").alias("a"), F.col("hashes").alias("x")).hint("merge"), "a").join(
+        kept.select(F.col("node").alias("b"), F.col("hashes").alias("y")).hint("merge"), "b"
     )
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -368,21 +370,21 @@ def _connected(df: DataFrame, id_col: str, text_col: str, part_rows: int) -> tup
     few = shared.where(F.col("key").bitwiseAND(15) < FIRST_TABLES)
     dealt = F.xxhash64("key", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("size") / part_rows)))
     part = F.when(F.col("size") > part_rows, dealt).otherwise(F.col("key"))
-    wide = few.withColumn("part", part).join(firsts.select("node", "n", "fp"), "node").select("part", "node", "n", "fp")
+    wide = few.withColumn("part", part).join(firsts.select("node", "n", "fp").hint("merge"), "node").select("part", "node", "n", "fp")
     middle = wide.repartition("part").sortWithinPartitions("part").mapInArrow(_to_middle, "a long, b long")
     links = _verified(_most_met(middle, kept), firsts, given)
     made.append(links)
 
     roots = kept(components(links), "near-roots")
-    lean = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    lean = shared.join(roots.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     several = lean.repartition("key").sortWithinPartitions("key").mapInArrow(_mixed_keys, "key long, node long, root long")
-    wide = several.join(firsts.select("node", "n", "fp"), "node").select("key", "node", "root", "n", "fp")
+    wide = several.join(firsts.select("node", "n", "fp").hint("merge"), "node").select("key", "node", "root", "n", "fp")
     rest = wide.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_all_pairs, "a long, b long")
     more = _verified(rest, firsts, given)
     made.append(more)
     if not more.isEmpty():
         roots = components(links.union(more))
-    by_sig = firsts.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"), "degree")
+    by_sig = firsts.join(roots.hint("merge"), "node", "left").select("sig", F.coalesce("root", "node").alias("root"), "degree")
     return beside(rows.select("_id", "sig", "text_hash"), by_sig, "sig", rows.count()).select("_id", "text_hash", "root"), made
 
 
