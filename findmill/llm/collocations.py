@@ -20,16 +20,18 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findmill.llm.common import discard, read_table, utf8, written
 
 ID_BYTES, SHARD_WORDS, FILTER_ENTRIES, SLICE_ENTRIES = 6, 2_500_000, 500_000, 1_000_000
+BATCH_BYTES = 4 << 20
 LONGEST, MIN_COUNT, COVER_PERCENT, TOP, SALTS = 3, 10, 50, 2000, 64
 #: Bytes of a text that are split at a time, words known before the local ids begin anew, and bits of a local id.
 PART, MOST_WORDS, LOCAL_BITS = 1 << 20, 250_000, 21
@@ -89,8 +91,10 @@ class Filter:
         lanes = permuted(lanes, self.bits)
         order = np.argsort(lanes[0])
         lanes, counts = [x[order] for x in lanes], counts[order]
+        del order
         place = (lanes[0] >> np.uint64(self.bits - self.quotient)).astype(np.int64)
         rest = np.concatenate([_low_bytes(lanes[0], self.id_bytes - self.quotient // 8), *(_low_bytes(x, self.id_bytes) for x in lanes[1:])], axis=1)
+        del lanes
         own = place // self.buckets
         ends = np.flatnonzero(np.append(own[1:] != own[:-1], True)) + 1 if len(own) else []
         at = 0
@@ -187,11 +191,11 @@ class Shard:
             if words is None:
                 words = self.langs[lang] = _Words(lang.encode(), self.names)
             tokens = text[at:end].replace(_BREAK, b" \xff ").split()
-            self._put(np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)))
+            self._put(np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens)))
             at = end
             if self.size >= SHARD_WORDS or len(self.names) >= MOST_WORDS:
                 yield from self.flush()
-        self._put(np.zeros(1, np.int64))
+        self._put(np.zeros(1, np.int32))
 
     def _put(self, ids: np.ndarray) -> None:
         self.parts.append(ids)
@@ -202,27 +206,23 @@ class Shard:
         if self.size <= self.carried:
             return
         flat = np.concatenate(self.parts)
+        self.parts = []
         ids = self._global()
-        single = np.bincount(flat[self.carried :], minlength=len(ids))
-        yield from self._words(single)
+        yield from self._words(np.bincount(flat[self.carried :], minlength=len(ids)))
         for n in range(2, self.longest + 1):
-            keys, whole = np.zeros(max(0, len(flat) - n + 1), np.int64), np.ones(max(0, len(flat) - n + 1), bool)
-            for i in range(n):
-                part = flat[i : len(flat) - n + 1 + i]
-                keys = (keys << LOCAL_BITS) | part
-                whole &= part > 0
-            whole[: max(0, self.carried - n + 1)] = False  # these were counted with the words before
-            keys = keys[whole]
-            keys.sort()
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys
-            counts = np.diff(np.append(starts, len(keys)))
-            keys = keys[starts]
-            # Several filters, as lanes and entries take many times the memory of keys.
-            for at in range(0, len(keys), FILTER_ENTRIES):
-                part = keys[at : at + FILTER_ENTRIES]
-                lanes = [ids[(part >> (LOCAL_BITS * (n - 1 - i))) & ((1 << LOCAL_BITS) - 1)] for i in range(n)]
-                for row in self.layout.cut(lanes, counts[at : at + FILTER_ENTRIES]):
-                    yield row[0], n, *row[1:]
+            # By first word in parts of about a filter, as lanes and entries take many times the memory of keys.
+            most = FILTER_ENTRIES * 3 // 2
+            parts = len(flat) // most + 1
+            for at in range(parts):
+                keys = self._keys(flat, n, at, parts)
+                starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys
+                for low in range(0, len(starts), most):
+                    own = starts[low : low + most + 1]
+                    counts = np.diff(own if len(own) > most else np.append(own, len(keys)))
+                    part = keys[own[: len(counts)]]
+                    lanes = [ids[(part >> (LOCAL_BITS * (n - 1 - i))) & ((1 << LOCAL_BITS) - 1)] for i in range(n)]
+                    for row in self.layout.cut(lanes, counts):
+                        yield row[0], n, *row[1:]
         last = flat[-(self.longest - 1) :] if self.longest > 1 else flat[:0]
         if len(self.names) >= MOST_WORDS:
             kept = [self.names[i] for i in last]
@@ -232,9 +232,24 @@ class Shard:
                 lang, _, word = key.partition(_BREAK)
                 own = self.langs.setdefault(lang.decode(), _Words(lang, self.names))
                 again.append(own[word] if key else 0)
-            last = np.array(again, np.int64)
+            last = np.array(again, np.int32)
         self.parts, self.size, self.carried = [last], len(last), len(last)
 
+    def _keys(self, flat: np.ndarray, n: int, at: int, parts: int) -> np.ndarray:
+        """Of all stretches of n words without a break whose first word is in part ``at``, sorted."""
+        size = max(0, len(flat) - n + 1)
+        whole = flat[:size] % parts == at
+        for i in range(n):
+            whole &= flat[i : size + i] > 0
+        whole[: max(0, self.carried - n + 1)] = False  # these were counted with the words before
+        first = np.flatnonzero(whole)
+        keys = np.zeros(len(first), np.int64)
+        for i in range(n):
+            keys <<= LOCAL_BITS
+            keys |= flat[first + i]
+        keys.sort()
+        return keys
+
     def _words(self, single: np.ndarray) -> Iterator[tuple]:
         used = np.flatnonzero(single[1:]) + 1
         own = (self.ids[used] >> np.uint64(self.layout.bits - self.layout.slice_bits)).astype(np.int64)
@@ -341,7 +356,9 @@ def counted(
     own_ids: dict[bytes, int] = {}
     while True:
         layout = Filter(id_bytes, min(8 * id_bytes - 4, (slices - 1).bit_length()))
-        made = written(_counted(docs, lang_col, text_col, layout, longest, least, own_ids), "phrases")
+        counting = _counted(docs, lang_col, text_col, layout, longest, least, own_ids)
+        with _small_batches(spark):
+            made = written(counting, "phrases")
         # Few by the size of the ids: each clash is a pair of words among V² / 2 whose hashes agree.
         clashes = made.where(F.col("words") == _CLASH).select("lang", "word").distinct().collect()
         if not clashes:
@@ -352,6 +369,18 @@ def counted(
             own_ids[key] = word_id(key + _JOIN * (1 + len(own_ids)), id_bytes) or 1
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts go to Python ``BATCH_BYTES`` at a time: 10,000 rows at once take many times their size, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _windows(ids: Column, n: int) -> Column:
     """All stretches of two to n - 1 of the n word ids."""
     return F.array(*(F.slice(ids, at + 1, size) for size in range(2, n) for at in range(n - size + 1)))

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -152,3 +153,24 @@ def test_scores_beyond_64_bits_are_exact(spark):
 def test_query_equals_brute_force(spark):
     rows = [(r.lang, r.text) for r in read_table(spark, SF, "documents").collect()]
     assert found(C.op12_collocations(spark, SF)) == brute(rows)
+
+
+def test_a_shard_is_counted_in_little_memory():
+    """Two and a half million words, most of them different phrases: what is held besides the words is a few filters."""
+    pick = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(200_000)])
+    texts = [" ".join(words[pick.integers(0, len(words), 10_000)]).encode() for _ in range(249)]
+    shard = C.Shard(C.Filter(6, 8), 3, {})
+    for text in texts:
+        assert not list(shard.add("en", text))
+    tracemalloc.start()
+    found = sum(C.unpack_counts(counts, _entries(shard, n, entries)).sum() for _, n, entries, counts in shard.flush() if n == 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 249 * 9_998
+    assert most < 110e6
+
+
+def _entries(shard, n, entries):
+    buckets = shard.layout.buckets
+    return int(C.unpack_counts(entries[: buckets + 8 * entries[:buckets].count(255)], buckets).sum())
