@@ -2,6 +2,7 @@ import base64
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import public_tokenizers as P
@@ -102,6 +103,19 @@ def test_measures_of_long_texts_are_those_of_the_whole_text():
         assert found == pytest.approx(Q.piece_fertility(MODEL, text, 1, 1 << 30))
 
 
+def test_a_text_costs_its_own_tokens_not_the_vocabulary():
+    """A short text beside vocabularies of 32,000 and 50,000 tokens."""
+    text, ranks = prose("one two three four five six seven eight nine ten"), P.path("byte_bpe_multi_50k.tiktoken")
+    measures = (lambda: Q.piece_fertility(MODEL, text, len(text))), (lambda: Q.byte_fertility(ranks, P.PATTERN, text, len(text)))
+    for measure in measures:
+        measure()
+        tracemalloc.start()
+        measure()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 64_000
+
+
 def prose(words: str, n: int = 90) -> str:
     """Words in an order without repeated windows."""
     w = words.split()
