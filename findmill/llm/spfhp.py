@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import re
-import struct
+from array import array
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -92,7 +92,8 @@ class WordIds:
         )
         if made != (["NFC", "Replace", "Lowercase"], _PATTERN, True, "Removed", "ByteLevel", False, "</w>"):
             raise ValueError(f"{path} normalises or splits texts in another way")
-        self.special = [x["content"].encode() for x in steps["added_tokens"]]
+        special = [re.escape(x["content"].encode()) for x in steps["added_tokens"]]
+        self.special = re.compile(b"|".join(special) or rb"(?!)").search
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.words = Recent(self._word, most)
@@ -101,19 +102,20 @@ class WordIds:
         text = part.decode()
         if not (text.isascii() and text.isprintable()):
             text = part.decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        # The machine's own order, which is little-endian wherever Spark runs here.
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def _whole(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        if any(x in word for x in self.special):
+        if self.special(word):
             return self._whole(word.decode("utf-8", "replace"))
         if word.isascii():
             lower = word.lower()
-            split = [lower] if lower.isalpha() else _SPLIT_ASCII.findall(lower)
+            if lower.isalpha():
+                return self._part(word) if lower == word else self.words[lower]
+            split = _SPLIT_ASCII.findall(lower)
         else:
             given = word.decode("utf-8", "replace")
             lower = given.lower()

@@ -1,3 +1,4 @@
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -38,6 +39,19 @@ def test_a_vocabulary_that_splits_in_another_way_is_refused():
         K.WordIds(P.path("byte_bpe_50k.json"))
 
 
+def test_a_new_word_takes_few_steps():
+    """A search for special tokens is one call, however many there are."""
+    words, calls = K.WordIds(VOCABULARY), Counter()
+    text = " ".join("".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 11)) + "q" * (i // 26) for i in range(300)).encode()
+    new = len(set(text.split()))
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        words.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] <= 3 * new + 10
+
+
 def test_small_caches_give_the_same_ids():
     words = K.WordIds(VOCABULARY, most=3)
     text = "one two three four five one two six seven one"
