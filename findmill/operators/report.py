@@ -91,10 +91,11 @@ def _span(start: int, count: int) -> str:
     return f"{start + 1}" if count == 1 else f"{start + (count > 0)},{count}"
 
 
-def make_patch(file: str, content: str | None, line: int | None, fix: str | None) -> dict:
+def make_patch(file: str, content: str | None, line: int | None, fix: str | None, skipped: int = 0) -> dict:
     """Replace one line by a fix with that line's indent, as a unified diff with three lines around it.
 
-    Lines end with a line feed only. Of each line of the fix the white space in front gives way to the indent.
+    Lines end with a line feed only. Of each line of the fix the white space in front gives way to the indent. ``content`` may be
+    a part of a file that holds these lines: then ``line`` counts from its beginning, before which are ``skipped`` lines.
     """
     failed = {"ok": False, "diff": None, "before": None, "after": None}
     if content is None:
@@ -116,17 +117,33 @@ def make_patch(file: str, content: str | None, line: int | None, fix: str | None
         low, high = max(0, first - 3), min(len(lines), last + 3)
         middle = [f"-{old}", *(f"+{x}" for x in new)] if at is None else [*(f"+{x}" for x in new[:at]), f" {old}", *(f"+{x}" for x in new[at + 1 :])]
         body = [*(f" {x}" for x in lines[low : line - 1]), *middle, *(f" {x}" for x in lines[line:high])]
-        head = f"--- a/{file}\n+++ b/{file}\n@@ -{_span(low, high - low)} +{_span(low, high - low + len(new) - 1)} @@\n"
+        head = f"--- a/{file}\n+++ b/{file}\n@@ -{_span(low + skipped, high - low)} +{_span(low + skipped, high - low + len(new) - 1)} @@\n"
         diff = head + "".join(x if x.endswith("\n") else f"{x}\n\\ No newline at end of file\n" for x in body)
     return {"ok": True, "diff": diff, "before": old.removesuffix("\n"), "after": "".join(new).removesuffix("\n"), "error": None}
 
 
 @F.pandas_udf(PATCH)
-def patch(file: pd.Series, content: pd.Series, line: pd.Series, fix: pd.Series) -> pd.DataFrame:
-    rows = [make_patch(f, c, None if pd.isna(n) else int(n), x) for f, c, n, x in zip(file, content, line, fix)]
+def _patch(file: pd.Series, near: pd.Series, line: pd.Series, fix: pd.Series, skipped: pd.Series) -> pd.DataFrame:
+    rows = [make_patch(f, c, None if pd.isna(n) else int(n), x, int(k)) for f, c, n, x, k in zip(file, near, line, fix, skipped)]
     return pd.DataFrame(rows, columns=["ok", "diff", "before", "after", "error"])
 
 
+def patch(file: str, content: str, line: Column | str, fix: str) -> Column:
+    """``make_patch`` of columns. Python gets the line and three lines on either side of it, not the whole content."""
+    content, line = F.col(content), (F.col(line) if isinstance(line, str) else line).cast("long")
+    # What lies behind the lines around is not cut: four further ones tell whether the last of them is whole.
+    head = F.call_function("substring_index", content, F.lit("\n"), (F.greatest(F.lit(1), F.least(line, F.lit(1 << 30))) + 4).cast("int"))
+    lines = F.split(head, "\n", -1)
+    n = F.size(lines) - F.when(head.endswith("\n") | (head == ""), 1).otherwise(0)
+    here = F.greatest(F.lit(1), F.least(line, n.cast("long"))).cast("int")
+    first, last = F.greatest(F.lit(1), here - 3), F.least(n, here + 3)
+    near = F.concat(F.array_join(F.slice(lines, first, F.greatest(F.lit(0), last - first + 1)), "\n"), F.when(last < F.size(lines), "\n").otherwise(""))
+    inside = line.isNotNull() & (line >= 1) & (line <= n)
+    own = F.when(content.isNotNull(), F.when(inside, near).otherwise(""))
+    skipped = F.when(inside, first - 1).otherwise(0)
+    return _patch(F.col(file), own, F.when(inside, line - skipped).otherwise(line), F.col(fix), skipped)
+
+
 def write_patches(patched: DataFrame, path: str) -> None:
     """Each usable patch as ``patch_<id>.patch`` below ``path``, all or none; ``patched`` has (id, ok, diff)."""
     name = F.concat(F.lit("patch_"), F.col("id").cast("string"), F.lit(".patch"))
