@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from findmill.operators.inference import Backend, ask
 from findmill.operators.rollup import eta_seconds, progress
 from findmill.sources.shared import Shared
+from findmill.sources.store import small_batches
 
 SLOT_CALLS, COMMIT_SECONDS, STOP_SECONDS = 64, 5.0, 1.0
 ANSWER = "call_id long, status string, raw string, model string, at double"
@@ -102,7 +103,8 @@ def ask_all(
     dealt = prompts.select(slot_of(F.col("call_id"), slots).alias("slot"), "call_id", "prompt").repartitionById(tasks, F.col("slot") % tasks)
     more = {} if resources is None else {"profile": resources}
     made = dealt.sortWithinPartitions("slot", "call_id").mapInPandas(run, "asked long, reused long, left long", **more)
-    return made.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("asked", "reused", "left"))).first().asDict()
+    with small_batches(prompts.sparkSession):
+        return made.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("asked", "reused", "left"))).first().asDict()
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql.datasource import (
 from pyspark.sql.types import StructType
 
 from findmill.functions.rules import PRUNED_DIRS
-from findmill.sources.store import work_path
+from findmill.sources.store import small_batches, work_path
 
 class _Files(InputPartition):
     """Files, or a folder to walk; of a wide folder the names with one remainder by ``parts``."""
@@ -300,7 +300,8 @@ def write_tree(rows: DataFrame, folder: str) -> int:
             yield pd.DataFrame({"n": [len(batch)]})
 
     texts = rows.where(F.col("path").isNotNull() & F.col("content").isNotNull()).select("path", "content")
-    return texts.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    with small_batches(rows.sparkSession):
+        return texts.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 @contextmanager

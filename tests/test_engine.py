@@ -431,3 +431,21 @@ def test_a_followed_tree_equals_a_scan(spark, tree, tmp_path):
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_texts_come_to_python_in_small_batches(spark, tmp_path):
+    """Forty texts of a megabyte: a batch holds a few of them when a tree is written or a model asked."""
+    from pyspark.sql import functions as F
+
+    from findmill.sources import tree
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    seen = str(tmp_path / "seen")
+    os.makedirs(seen)
+    rows = spark.range(0, 40, 1, 1).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("path"), F.repeat(F.lit("x"), F.lit(1 << 20)).alias("content"))
+    kept, tree.F.sum = tree.F.sum, lambda c: F.max(c) if c == "n" else kept(c)
+    try:
+        assert 1 <= tree.write_tree(rows, seen) <= 8
+    finally:
+        tree.F.sum = kept
+    assert len(os.listdir(seen)) == 40 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
