@@ -35,9 +35,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, placed in sequences."""
-    cut = spfhp.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    lean = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return spfhp.pack(written(lean, "pieces"))
+    return spfhp.pack(spfhp.stored_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findmill.llm.common import arrow_map, read_table, written
+from findmill.sources.store import small_batches
 
 SEQUENCE = 4096
 END_ID = 2
@@ -165,6 +166,13 @@ def pieces(
     return arrow_map(df.select(id_col, text), f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long", per_batch)
 
 
+def stored_pieces(df: DataFrame, vocabulary: str) -> DataFrame:
+    """The pieces of ``documents``, a checksum in place of their ids, as a stored table; texts come to tasks 4 MB at a time."""
+    cut = pieces(df, vocabulary)
+    with small_batches(df.sparkSession):
+        return written(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), "pieces")
+
+
 class Pattern(NamedTuple):
     lengths: tuple[int, ...]
     copies: int
@@ -280,9 +288,5 @@ def pack(
 def op8_spfhp(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    documents = read_table(spark, sf_dir, "documents")
-    cut = pieces(documents, P.path("word_bpe_49k.json"))
-    stored = written(
-        cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), "pieces"
-    )
+    stored = stored_pieces(read_table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))
     return pack(stored).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -4,11 +4,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from findmill.llm import spfhp as K
 
 SF = "/root/testdata/sf0.001"
@@ -126,3 +128,25 @@ def test_one_common_length_is_spread_and_ranked_without_gaps(spark):
     count = Counter(r.sequence_id for r in rows)
     assert set(count.values()) == {4} and len(count) == 1250
     assert len({(r.sequence_id, r.offset) for r in rows}) == 5000
+
+
+@pytest.mark.parametrize("packed", [K.op8_spfhp, lambda spark, _: corpus_pipeline.packing(spark, K.read_table(spark, "", "documents"), "")])
+def test_texts_come_to_python_in_small_batches(spark, monkeypatch, packed):
+    """Forty texts of a megabyte: a task is given a few of them at a time."""
+
+    def rows_of_batches(df, vocabulary):
+        def run(batches):
+            for b in batches:
+                one = [pa.array(x, pa.int64()) for x in ([0] * b.num_rows, [1] * b.num_rows)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *one, pa.array([b""] * b.num_rows), pa.array([b.num_rows] * b.num_rows)], names)
+
+        names = ["doc_id", "start", "length", "ids", "doc_tokens"]
+        return df.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long")
+
+    texts = spark.range(0, 40, 1, 1).select(K.F.col("id").alias("doc_id"), K.F.repeat(K.F.lit("x"), K.F.lit(1 << 20)).alias("text"))
+    monkeypatch.setattr(K, "read_table", lambda *_: texts)
+    monkeypatch.setattr(K, "pieces", rows_of_batches)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    found = [r.doc_tokens for r in packed(spark, "").collect()]
+    assert len(found) == 40 and max(found) <= 8
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
