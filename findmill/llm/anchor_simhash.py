@@ -266,19 +266,26 @@ def _beside_lowest(edges: DataFrame, count: int) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root): the smallest node each node of ``edges`` (a, b) is connected with.
 
-    Large-star and small-star steps alternate until a round changes no edge. Each round is a table in the
-    shared folder; the one before is removed. Minima are aggregated before the shuffle, and the edges of
+    Large-star and small-star steps alternate until a round changes no edge. Each step is a table in the
+    shared folder, so that its plan does not hold that of the step before many times over (the driver keeps
+    every plan); the one before is removed. Minima are aggregated before the shuffle, and the edges of
     nodes with very many neighbours are not dealt by the node.
     """
+
+    def each(found: DataFrame, names: tuple[str, str], *pairs: tuple[str, str]) -> DataFrame:
+        """A row for each pair of columns of every row; unlike a union, it reads ``found`` once."""
+        return found.select(F.inline(F.array(*(F.struct(*(F.col(c).alias(n) for c, n in zip(pair, names))) for pair in pairs))))
+
     now = written(edges.where("a <> b").distinct(), "edges")
     count = now.count()
     for _ in range(max_rounds):
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
+        both = each(now, ("u", "v"), ("a", "b"), ("b", "a"))
         large = _beside_lowest(both, 2 * count).where("v > u").withColumn("low", F.least("u", "low"))
-        down = large.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        down = written(large.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct(), "edges")
         small = _beside_lowest(down, 2 * count)
-        stars = small.select(F.col("v").alias("a"), F.col("low").alias("b")).union(small.select("u", "low"))
+        stars = each(small, ("a", "b"), ("v", "low"), ("u", "low"))
         after = written(stars.where("a <> b").distinct(), "edges")
+        discard(down)
         before, count = count, after.count()
         # Both tables hold distinct rows, so they are equal if as many and none is new.
         settled = count == before and after.join(now, ["a", "b"], "left_anti").isEmpty()

@@ -110,3 +110,18 @@ def test_nulls_repeats_and_empty_tables(spark):
     found = sorted(((r.doc_id or -1), r.component_id or -1) for r in S.near_duplicates(df).collect())
     assert found == [(-1, -1), (-1, 2), (2, 2), (4, 2), (7, 7), (7, 7), (9, 2)]
     assert S.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_no_step_of_components_has_a_plan_that_holds_those_before(spark, monkeypatch):
+    """The driver keeps every plan: a step reads the table of edges a few times, not a hundred."""
+    reads, kept = [], S.written
+
+    def counted(df, name):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return kept(df, name)
+
+    monkeypatch.setattr(S, "written", counted)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40, 2)] + [(100, i) for i in range(40)], "a long, b long")
+    found = {r.node: r.root for r in S.components(edges).collect()}
+    assert found == {i: 0 for i in [*range(1, 40), 100]}
+    assert max(reads) <= 8
