@@ -1,7 +1,7 @@
 """Search in many stored rows by an index of trigrams, with every hit verified.
 
-Each row's texts give their different trigrams (lower-cased), and the index holds (gram, key), sorted by gram in buckets, with the number of
-rows of each gram. A search takes the ``RAREST`` grams of what is looked for, reads their lists only, and looks at the texts
+Each row's texts give their different trigrams (lower-cased), and the index holds (gram, key), sorted by gram in files of buckets, with the
+number of rows of each gram. A search takes the ``RAREST`` grams of what is looked for, reads their lists only, and looks at the texts
 of rows that are in all of them. A text under three characters has no trigram: then all rows are looked at.
 """
 
@@ -14,6 +14,8 @@ from findmill.operators.rollup import search
 
 COLUMNS = ("title", "description", "file", "snippet", "type")
 RAREST, BUCKETS = 4, 64
+#: The rows of a bucket are dealt over so many places by their key, as a gram may be in most rows.
+SPREAD = 16
 
 
 def grams(text: Column) -> Column:
@@ -37,11 +39,12 @@ def build(rows: DataFrame, path: str, key: str = "id", columns: tuple[str, ...]
     texts = [F.col(c).cast("string") for c in columns] + ([F.col(line).cast("string")] if line else [])
     own = F.array_distinct(F.flatten(F.array(*(grams(t) for t in texts))))
     pairs = rows.select(F.col(key).alias("key"), F.explode(own).alias("gram")).withColumn("bucket", _bucket(F.col("gram")))
-    # By ranges, so that a gram that is in most rows spreads over tasks.
-    pairs.repartitionByRange("bucket", "gram", "key").sortWithinPartitions("bucket", "gram", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lists")
+    # Not by ranges: finding their bounds would cut all texts into grams once more.
+    dealt = pairs.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(SPREAD)))
+    dealt.sortWithinPartitions("bucket", "gram", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lists")
     spark = rows.sparkSession
     counts = spark.read.parquet(f"{path}/lists").groupBy("bucket", "gram").agg(F.count("*").alias("n"))
-    counts.repartitionByRange("bucket", "gram").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/counts")
+    counts.repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/counts")
 
 
 def candidates(spark: SparkSession, path: str, text: str) -> DataFrame | None:

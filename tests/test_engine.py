@@ -449,3 +449,22 @@ def test_texts_come_to_python_in_small_batches(spark, tmp_path):
     finally:
         tree.F.sum = kept
     assert len(os.listdir(seen)) == 40 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_an_index_reads_its_rows_once(spark, tmp_path):
+    """Bounds of ranges would take a pass of their own, in which all texts are cut into grams."""
+    from pyspark.sql import functions as F
+
+    from findmill.operators import search_index as S
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(n):
+        seen.add(1)
+        return f"finding number {n}"
+
+    rows = spark.range(300).select(F.col("id"), text.asNondeterministic()("id").alias("title"))
+    S.build(rows, str(tmp_path / "index"), columns=("title",), line=None)
+    assert seen.value == 300
+    assert sorted(r.key for r in S.candidates(spark, str(tmp_path / "index"), "number 29").collect()) == [29, *range(290, 300)]
