@@ -116,20 +116,19 @@ def drop_overlap_repeats(found: DataFrame) -> DataFrame:
 def with_snippets(found: DataFrame, files: DataFrame) -> DataFrame:
     """Findings without a snippet of the model's own get the lines around theirs, or say why there are none.
 
-    Findings meet blocks of lines by (file, block). Only files of findings that need it are cut, only blocks that
-    are asked for meet the findings, and a file with very many findings spreads over its blocks. The work grows with the
+    Findings meet blocks of lines by (file, block), and whether a file is there is told of what is asked for, before any lines
+    are: so contents are dealt once, as blocks, and no finding carries lines from one task to another. Only blocks that are
+    asked for meet the findings, and a file with very many findings spreads over its blocks. The work grows with the
     files' lines plus the findings.
     """
     line, needs = F.col("line"), F.col("snippet") == DEFAULTS["snippet"]
     block, first, lines, there = fresh(found.columns, "_block", "_first", "_lines", "_there")
-    path = F.col("path").alias("filepath")
+    path, place = F.col("path").alias("filepath"), ["filepath", block]
     asked = found.where(needs & line.isNotNull()).select("filepath", block_of(line).alias(block)).distinct()
-    named = files.select(path, "content").join(asked.select("filepath").distinct(), "filepath", "left_semi")
-    cut = line_blocks(named).select("filepath", F.col("block").alias(block), F.col("first").alias(first), F.col("lines").alias(lines))
-    both = (
-        found.withColumn(block, F.when(needs, block_of(line))).join(cut.join(asked, ["filepath", block], "left_semi"), ["filepath", block], "left")
-        .join(files.select(path, F.lit(True).alias(there)), "filepath", "left")
-    )
+    known = asked.join(files.select(path), "filepath", "left_semi").select(*place, F.lit(True).alias(there))
+    # Files that nothing asks for are cut as well: to drop them first would deal whole contents by file, then the blocks.
+    cut = line_blocks(files.select(path, "content")).select("filepath", F.col("block").alias(block), F.col("first").alias(first), F.col("lines").alias(lines))
+    both = found.withColumn(block, F.when(needs, block_of(line))).join(known, place, "left").join(cut.join(asked, place, "left_semi"), place, "left")
     around = (
         F.when(line.isNull(), F.lit(DEFAULTS["snippet"]))
         .when(F.col(there).isNull(), F.concat(F.lit(NO_CONTEXT), F.coalesce("filepath", F.lit(""))))
